@@ -25,13 +25,21 @@ the highest-gain open leaf.
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metablend.operators.literals import arr, lookup_map
+
 CODE = 65536          # split code = feature * CODE + bin
 EPS_GAIN = 1e-12
+MASK_MUL = 1 << 20    # (slot, node) key for feature masks: node * MASK_MUL + slot
 
 
 @dataclass
@@ -45,6 +53,9 @@ class TreeParams:
     max_leaves: int | None = None  # best-first budget
     feature_k: int | None = None   # features tried per node (forests)
     seed: int = 42
+    max_bins: int = 256            # bound on bins per feature (histogram size bound)
+    collect_limit: int = 200_000   # histograms up to this many rows are scanned on the driver
+    depth_caps: list | None = None # per-slot depth caps (set by grow)
 
 
 @dataclass
@@ -72,19 +83,63 @@ def _gain(p: TreeParams, GL: Column, HL: Column, CL: Column, GR: Column, HR: Col
     return (2.0 * G * (H - G) / H - 2.0 * GL * (HL - GL) / HL - 2.0 * GR * (HR - GR) / HR)
 
 
+def _typ(v: list) -> str:
+    if all(isinstance(x, bool) for x in v):
+        return "boolean"
+    if all(isinstance(x, int) and not isinstance(x, bool) for x in v):
+        return "int"
+    return "double"
+
+
+def p_features(state: DataFrame) -> int:
+    """Number of binned features (length of the ``bins`` array, one row read)."""
+    row = state.select(F.size("bins").alias("d")).first()
+    return int(row["d"]) if row is not None else 0
+
+
 def explode_slots(state: DataFrame, n_slots: int, static: dict[str, list],
                   arrays: list[str], keep: list[str]) -> DataFrame:
     """One row per (row, slot) with the slot's static parameters and state."""
-    cols = [F.lit(list(range(n_slots))).alias("slot")]
-    cols += [F.lit(v).alias(k) for k, v in static.items()]
+    cols = [arr(range(n_slots), "int").alias("slot")]
+    cols += [arr(v, _typ(v)).alias(k) for k, v in static.items()]
     cols += [F.col("_node").alias("node")] + [F.col(a).alias(a) for a in arrays]
     return state.select(*keep, F.inline(F.arrays_zip(*cols)))
 
 
-def _best_splits(rows: DataFrame, p: TreeParams, depth_ok: Column | None) -> list:
-    hist = (rows.select("slot", "node", F.posexplode("bins").alias("f", "b"), "g", "h", "c")
+def allowed_features(p: TreeParams, keys: list[tuple], n_features: int) -> dict[tuple, int]:
+    """Per (slot, node): bitmask of the ``feature_k`` features a forest node
+    may try — a fixed hash of (seed, slot, node, feature), so it is the same
+    wherever and however often it is computed."""
+    out = {}
+    for slot, node in keys:
+        ranked = sorted(range(n_features), key=lambda f: hashlib.blake2b(
+            f"{p.seed}|{slot}|{node}|{f}".encode(), digest_size=8).digest())
+        out[(slot, node)] = sum(1 << f for f in ranked[:p.feature_k])
+    return out
+
+
+def _histogram(rows: DataFrame) -> DataFrame:
+    return (rows.select("slot", "node", F.posexplode("bins").alias("f", "b"), "g", "h", "c")
             .groupBy("slot", "node", "f", "b")
             .agg(F.sum("g").alias("G"), F.sum("h").alias("H"), F.sum("c").alias("C")))
+
+
+def _best_splits(rows: DataFrame, p: TreeParams, depth_ok: Column | None,
+                 eval_keys: list[tuple] | None = None, n_features: int | None = None) -> list:
+    """Best split per (slot, node).  The histogram is always built by Spark.
+    When its size bound (nodes x features x bins) is small it is collected
+    and scanned with numpy; otherwise the prefix sums and the arg-max run in
+    Spark and only one row per (slot, node, feature) comes back."""
+    masks = None
+    if p.feature_k is not None and eval_keys is not None and n_features:
+        masks = allowed_features(p, eval_keys, n_features)
+    if eval_keys is not None and n_features and len(eval_keys) * n_features * p.max_bins <= p.collect_limit:
+        return _best_splits_local(rows, p, masks)
+    hist = _histogram(rows)
+    if masks is not None:
+        mk = lookup_map([n * MASK_MUL + s for s, n in masks], list(masks.values()), "bigint")
+        bits = F.element_at(mk, F.col("node") * MASK_MUL + F.col("slot"))
+        hist = hist.where(F.call_function("shiftright", bits, F.col("f")) % 2 == 1)
     wcum = Window.partitionBy("slot", "node", "f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     wall = Window.partitionBy("slot", "node", "f")
     h2 = hist.select(
@@ -101,10 +156,6 @@ def _best_splits(rows: DataFrame, p: TreeParams, depth_ok: Column | None) -> lis
         valid = valid & (HL > 0) & (HR > 0)
     if depth_ok is not None:
         valid = valid & depth_ok
-    if p.feature_k is not None:
-        fh = F.xxhash64(F.lit(p.seed), F.col("slot"), F.col("node"), F.col("f"))
-        h2 = h2.withColumn("_fr", F.dense_rank().over(Window.partitionBy("slot", "node").orderBy(fh)))
-        valid = valid & (F.col("_fr") <= p.feature_k)
     gain = _gain(p, GL, HL, CL, GR, HR, CR, Gt, Ht, Ct)
     cand = F.when(valid & (gain > EPS_GAIN), F.struct(
         F.round(gain, 9).alias("rg"), (-F.col("f")).alias("nf"), (-F.col("b")).alias("nb"),
@@ -135,12 +186,62 @@ def _best_splits(rows: DataFrame, p: TreeParams, depth_ok: Column | None) -> lis
     return list(by_node.values())
 
 
+def _best_splits_local(rows: DataFrame, p: TreeParams, masks: dict | None) -> list:
+    """Same selection as the Spark path over a collected (bounded) histogram."""
+    pdf = _histogram(rows).toPandas()
+    if pdf.empty:
+        return []
+    pdf = pdf.sort_values(["slot", "node", "f", "b"], kind="mergesort").reset_index(drop=True)
+    grp = pdf.groupby(["slot", "node", "f"], sort=False)
+    GL, HL, CL = grp["G"].cumsum().to_numpy(), grp["H"].cumsum().to_numpy(), grp["C"].cumsum().to_numpy()
+    Gt, Ht, Ct = (grp["G"].transform("sum").to_numpy(), grp["H"].transform("sum").to_numpy(),
+                  grp["C"].transform("sum").to_numpy())
+    GR, HR, CR = Gt - GL, Ht - HL, Ct - CL
+    slot, node, f, b = (pdf["slot"].to_numpy(), pdf["node"].to_numpy(), pdf["f"].to_numpy(), pdf["b"].to_numpy())
+    depth = np.floor(np.log2(node.astype(float))).astype(int)
+    caps = np.array(p.depth_caps) if p.depth_caps is not None else None
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if p.criterion == "newton":
+            gain = 0.5 * (GL * GL / (HL + p.lam) + GR * GR / (HR + p.lam) - Gt * Gt / (Ht + p.lam))
+        elif p.criterion == "variance":
+            gain = GL * GL / CL + GR * GR / CR - Gt * Gt / Ct
+        else:
+            gain = 2.0 * Gt * (Ht - Gt) / Ht - 2.0 * GL * (HL - GL) / HL - 2.0 * GR * (HR - GR) / HR
+    valid = (CL >= p.min_rows_leaf) & (CR >= p.min_rows_leaf) & (Ct >= p.min_rows_split)
+    if p.criterion == "newton":
+        valid &= (HL >= p.min_hess) & (HR >= p.min_hess)
+    if p.criterion == "gini":
+        valid &= (HL > 0) & (HR > 0)
+    if caps is not None:
+        valid &= depth < caps[slot]
+    if masks is not None:
+        bits = np.array([masks.get((int(s), int(n)), 0) for s, n in zip(slot, node)], dtype=np.int64)
+        valid &= ((bits >> f) & 1) == 1
+    valid &= np.isfinite(gain) & (gain > EPS_GAIN)
+    out: dict[tuple, Node] = {}
+    first = ~pd.Series(list(zip(slot, node))).duplicated().to_numpy()
+    for i in np.nonzero(first)[0]:
+        out[(int(slot[i]), int(node[i]))] = Node(int(slot[i]), int(node[i]), float(Gt[i]), float(Ht[i]), float(Ct[i]))
+    if valid.any():
+        cand = pd.DataFrame({"slot": slot[valid], "node": node[valid], "rg": np.round(gain[valid], 9),
+                             "f": f[valid], "b": b[valid], "i": np.nonzero(valid)[0]})
+        cand = cand.sort_values(["slot", "node", "rg", "f", "b"], ascending=[True, True, False, True, True],
+                                kind="mergesort").drop_duplicates(["slot", "node"])
+        for r in cand.itertuples(index=False):
+            i = int(r.i)
+            n = out[(int(r.slot), int(r.node))]
+            n.feature, n.cut, n.gain = int(r.f), int(r.b), float(gain[i])
+            n.left = (float(GL[i]), float(HL[i]), float(CL[i]))
+            n.right = (float(GR[i]), float(HR[i]), float(CR[i]))
+    return list(out.values())
+
+
 def _move(state: DataFrame, n_slots: int, splits: list[Node]) -> DataFrame:
     if not splits:
         return state
     keys = [s.node * n_slots + s.slot for s in splits]
     codes = [s.feature * CODE + s.cut for s in splits]
-    m = F.map_from_arrays(F.lit(keys).cast("array<bigint>"), F.lit(codes).cast("array<int>"))
+    m = lookup_map(keys, codes, "int")
 
     def step(n, i):
         code = F.element_at(m, n * n_slots + i)
@@ -151,38 +252,44 @@ def _move(state: DataFrame, n_slots: int, splits: list[Node]) -> DataFrame:
 
 def grow(state: DataFrame, n_slots: int, static: dict[str, list], arrays: list[str],
          gh, p: TreeParams, active: list[bool] | None = None,
-         max_depth: list[int] | None = None) -> tuple[DataFrame, list[Node]]:
+         max_depth: list[int] | None = None,
+         n_features: int | None = None) -> tuple[DataFrame, list[Node]]:
     """Grow one tree per slot.
 
     ``gh(df)`` receives the exploded (row, slot) rows and must return them
     with ``g, h, c`` (doubles) and ``m`` (training mask).  Returns the state
-    with the final ``_node`` array and every node of every slot; a node with
-    ``feature is None`` is a leaf.
+    with ``_node`` = each row's leaf per slot, and every node of every slot
+    (a node with ``feature is None`` is a leaf).
     """
     keep = [c for c in ("row_id", "label", "split", "fold", "bins") if c in state.columns]
     depth_cap = max_depth or [p.max_depth] * n_slots
     act = active or [True] * n_slots
     state = state.withColumn("_node", F.array_repeat(F.lit(1).cast("long"), n_slots))
+    depth_lit, act_lit = arr(depth_cap, "int"), arr(act, "boolean")
     best_first = p.max_leaves is not None and any(2 ** d > p.max_leaves for d in depth_cap)
-    done: list[Node] = []
-    open_leaves: dict[tuple, Node] = {}          # best-first: evaluated, not split
-    leaves_count = [1] * n_slots
-    to_eval = {(s, 1) for s in range(n_slots) if act[s]}
-    depth_lit, act_lit = F.lit(depth_cap), F.lit(act)
-    level = 0
-    while True:
-        ex = gh(explode_slots(state, n_slots, static, arrays, keep))
+
+    n_features = n_features or p_features(state)
+    p = dataclasses.replace(p, depth_caps=list(depth_cap))
+
+    def evaluate(st: DataFrame, level: int | None, keys: list[int] | None,
+                 eval_keys: list[tuple]) -> list[Node]:
+        ex = gh(explode_slots(st, n_slots, static, arrays, keep))
         ex = ex.where(F.col("m") & F.element_at(act_lit, F.col("slot") + 1))
-        if best_first:
-            keys = sorted(node * n_slots + slot for slot, node in to_eval)
+        if keys is not None:
             ex = ex.where((F.col("node") * n_slots + F.col("slot")).isin(keys))
         else:
             ex = ex.where((F.col("node") >= F.lit(2 ** level))
                           & (F.lit(level) < F.element_at(depth_lit, F.col("slot") + 1)))
         node_depth = F.floor(F.log2(F.col("node").cast("double"))).cast("int")
-        depth_ok = node_depth < F.element_at(depth_lit, F.col("slot") + 1)
-        nodes = _best_splits(ex, p, depth_ok)
-        if not best_first:
+        return _best_splits(ex, p, node_depth < F.element_at(depth_lit, F.col("slot") + 1),
+                            eval_keys, n_features)
+
+    if not best_first:
+        done: list[Node] = []
+        level = 0
+        eval_keys = [(s, 1) for s in range(n_slots) if act[s]]
+        while True:
+            nodes = evaluate(state, level, None, eval_keys)
             done.extend(nodes)
             splits = [n for n in nodes if n.feature is not None]
             if not splits:
@@ -190,6 +297,7 @@ def grow(state: DataFrame, n_slots: int, static: dict[str, list], arrays: list[s
             state = _move(state, n_slots, splits)
             level += 1
             deeper = False
+            eval_keys = []
             for n in splits:
                 if level >= depth_cap[n.slot]:
                     # children sit at the depth cap: leaves, totals known from the split
@@ -197,31 +305,74 @@ def grow(state: DataFrame, n_slots: int, static: dict[str, list], arrays: list[s
                     done.append(Node(n.slot, 2 * n.node + 1, *n.right))
                 else:
                     deeper = True
+                    eval_keys += [(n.slot, 2 * n.node), (n.slot, 2 * n.node + 1)]
             if not deeper:
                 break
-            continue
-        for n in nodes:
-            open_leaves[(n.slot, n.node)] = n
-        chosen = []
+        return state, done
+
+    # Best-first with a leaf budget, exact and batched: a node's best split
+    # depends only on its own rows, so children are evaluated speculatively for
+    # every open candidate the best-first order could still pick; the order is
+    # replayed on the driver and only the chosen splits form the tree.  Passes
+    # = depth of the final tree, not one per split.
+    known: dict[tuple, Node] = {}
+    pending = {(s, 1) for s in range(n_slots) if act[s]}
+    final: dict[int, tuple] = {}
+    while pending:
+        for n in evaluate(state, None, sorted(nd * n_slots + sl for sl, nd in pending), sorted(pending)):
+            known[(n.slot, n.node)] = n
+        for sl, nd in pending:                      # nodes without training rows
+            known.setdefault((sl, nd), Node(sl, nd, 0.0, 0.0, 0.0))
+        pending, moves = set(), []
         for s in range(n_slots):
-            if leaves_count[s] >= p.max_leaves:
+            if not act[s]:
                 continue
-            cands = [n for (sl, _), n in open_leaves.items() if sl == s and n.feature is not None]
-            if cands:
-                chosen.append(max(cands, key=lambda n: (round(n.gain, 9), -n.node)))
-        if not chosen:
+            chosen, open_, blocked = _replay(known, s, p.max_leaves)
+            final[s] = (chosen, open_)
+            for b in blocked:
+                moves.append(b)
+                pending |= {(s, 2 * b.node), (s, 2 * b.node + 1)}
+        state = _move(state, n_slots, moves)
+    out: list[Node] = []
+    leaf_keys = []
+    for s, (chosen, open_) in final.items():
+        out.extend(chosen)
+        for nd in open_:
+            k = known[(s, nd)]
+            out.append(Node(s, nd, k.G, k.H, k.C))
+            leaf_keys.append(nd * n_slots + s)
+    # rows may sit below their final leaf (speculative moves): walk up to it
+    lk = lookup_map(leaf_keys, [True] * len(leaf_keys), "boolean")
+
+    def up(n, i):
+        return F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(None).cast("long"),
+                           lambda acc, k: F.coalesce(acc, F.when(
+                               F.element_at(lk, F.call_function("shiftright", n, k) * n_slots + i).isNotNull(),
+                               F.call_function("shiftright", n, k))))
+    state = state.withColumn("_node", F.transform("_node", lambda n, i: F.coalesce(up(n, i), n)))
+    return state, out
+
+
+def _replay(known: dict, s: int, budget: int):
+    """Best-first order over evaluated nodes of slot ``s``.  Returns chosen
+    splits, open leaves, and the candidates whose children must be evaluated
+    before the order can continue."""
+    open_ = {1}
+    chosen = []
+    leaves = 1
+    while leaves < budget:
+        cands = [known[(s, n)] for n in open_ if known[(s, n)].feature is not None]
+        if not cands:
             break
-        to_eval = set()
-        for b in chosen:
-            del open_leaves[(b.slot, b.node)]
-            done.append(b)
-            leaves_count[b.slot] += 1
-            to_eval |= {(b.slot, 2 * b.node), (b.slot, 2 * b.node + 1)}
-        state = _move(state, n_slots, chosen)
-    for n in open_leaves.values():               # budget reached: open nodes stay leaves
-        n.feature, n.cut, n.left, n.right = None, None, None, None
-        done.append(n)
-    return state, done
+        b = max(cands, key=lambda n: (round(n.gain, 9), -n.node))
+        if (s, 2 * b.node) not in known:
+            blocked = [n for n in cands if (s, 2 * n.node) not in known]
+            return chosen, open_, blocked
+        open_.remove(b.node)
+        open_ |= {2 * b.node, 2 * b.node + 1}
+        chosen.append(b)
+        leaves += 1
+    return chosen, open_, []
 
 
 def leaf_map(nodes: list[Node], n_slots: int, value) -> Column:
@@ -229,7 +380,7 @@ def leaf_map(nodes: list[Node], n_slots: int, value) -> Column:
     leaves = [n for n in nodes if n.feature is None]
     keys = [n.node * n_slots + n.slot for n in leaves]
     vals = [float(value(n)) for n in leaves]
-    return F.map_from_arrays(F.lit(keys).cast("array<bigint>"), F.lit(vals).cast("array<double>"))
+    return lookup_map(keys, vals, "double")
 
 
 def leaf_values(nodes: list[Node], n_slots: int, value) -> Column:

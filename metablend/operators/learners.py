@@ -22,7 +22,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metablend.operators.grow import Node, TreeParams, grow, leaf_values
+from metablend.operators.literals import arr
+from metablend.operators.grow import Node, TreeParams, grow, leaf_values, p_features
 
 KEEP = ["row_id", "label", "split", "fold", "bins"]
 
@@ -74,15 +75,22 @@ class _State:
         self.every = checkpoint_every
         self.n = 0
         self.df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.stale: list[DataFrame] = []
 
     def replace(self, new: DataFrame) -> DataFrame:
+        """The new state is cached lazily by the next tree's first pass (no
+        extra job); the previous one is released only after that, so a
+        partition is never recomputed through a released parent."""
         new = new.persist(StorageLevel.MEMORY_AND_DISK)
         self.n += 1
+        for old in self.stale:
+            old.unpersist()
+        self.stale = [self.df]
         if self.every and self.n % self.every == 0:
-            new = new.checkpoint(eager=True)
-        else:
-            new.count()
-        self.df.unpersist()
+            cut = new.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+            for old in self.stale + [new]:
+                old.unpersist()
+            self.stale, new = [], cut
         self.df = new
         return new
 
@@ -111,6 +119,7 @@ class BoostSlot:
     lr: float = 0.1
     max_depth: int = 3
     subsample: float = 1.0
+    row_fraction: float = 1.0      # fixed nested subset of the training rows (learning curves)
 
 
 def _init_scores(prep: DataFrame, holdouts: list[int]) -> list[float]:
@@ -139,8 +148,10 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
     S = len(slots)
     holds = [s.holdout for s in slots]
     f0 = _init_scores(prep, holds)
-    st = _State(prep.select(*KEEP).withColumn("F", F.lit(f0).cast("array<double>")), checkpoint_every)
-    static = {"hold": holds, "ss": [float(s.subsample) for s in slots]}
+    d = p_features(prep)
+    st = _State(prep.select(*KEEP).withColumn("F", arr(f0)), checkpoint_every)
+    static = {"hold": holds, "ss": [float(s.subsample) for s in slots],
+              "rf": [float(s.row_fraction) for s in slots]}
     lrs = [float(s.lr) for s in slots]
     trees: list[tuple] = []
     newton = p.criterion == "newton"
@@ -153,12 +164,13 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
         def gh(ex, t=t):
             prob = 1.0 / (1.0 + F.exp(-F.col("F")))
             y = F.col("label").cast("double")
-            m = train_mask(F.col("hold")) & (uniform(F.col("row_id"), t, seed) < F.col("ss"))
+            m = (train_mask(F.col("hold")) & (uniform(F.col("row_id"), t, seed) < F.col("ss"))
+                 & (uniform(F.col("row_id"), "subset", seed) < F.col("rf")))
             g = (prob - y) if newton else (y - prob)
             return ex.select("*", g.alias("g"), (prob * (1.0 - prob)).alias("h"),
                              F.lit(1.0).alias("c"), m.alias("m"))
 
-        grown, nodes = grow(st.df, S, static, ["F"], gh, p, active, [s.max_depth for s in slots])
+        grown, nodes = grow(st.df, S, static, ["F"], gh, p, active, [s.max_depth for s in slots], d)
 
         def value(n: Node) -> float:
             if newton:
@@ -204,6 +216,7 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
                 .withColumn("w", F.array_repeat(F.lit(1.0), S))
                 .withColumn("D", F.array_repeat(F.lit(0.0), S)), checkpoint_every)
     p = TreeParams("gini", max_depth=1)
+    d = p_features(prep)
     alive = [True] * S
     alpha_sum = [0.0] * S
     trees: list[tuple] = []
@@ -217,7 +230,7 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
             return ex.select("*", (w * F.col("label")).alias("g"), w.alias("h"),
                              F.lit(1.0).alias("c"), train_mask(F.col("hold")).alias("m"))
 
-        grown, nodes = grow(st.df, S, {"hold": holds}, ["w"], gh, p, active)
+        grown, nodes = grow(st.df, S, {"hold": holds}, ["w"], gh, p, active, None, d)
         leaves = [n for n in nodes if n.feature is None]
         alpha = [0.0] * S
         z = [1.0] * S
@@ -251,19 +264,20 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
         if not kept:
             continue
         hv = leaf_values(kept, S, lambda n: 1.0 if n.G > n.H - n.G else 0.0)
-        al, zl = F.lit(alpha), F.lit(z)
+        al, zl = arr(alpha), arr(z)
+        ks = arr(keep_slot, "boolean")
         upd = grown.withColumn("_h", hv)
         upd = upd.withColumn("D", F.transform("D", lambda d, i: d + F.element_at(al, i + 1)
                                               * (2.0 * F.element_at(F.col("_h"), i + 1) - 1.0)
-                                              * F.when(F.element_at(F.lit(keep_slot), i + 1), 1.0).otherwise(0.0)))
+                                              * F.when(F.element_at(ks, i + 1), 1.0).otherwise(0.0)))
         upd = upd.withColumn("w", F.transform("w", lambda w, i: F.when(
-            F.element_at(F.lit(keep_slot), i + 1),
+            F.element_at(ks, i + 1),
             w * F.exp(F.element_at(al, i + 1) * (F.element_at(F.col("_h"), i + 1)
                                                  != F.col("label").cast("double")).cast("double"))
             / F.element_at(zl, i + 1)).otherwise(w)))
         st.replace(upd.drop("_h", "_node"))
-    asum = F.lit([a if a > 0 else 1.0 for a in alpha_sum])
-    fitted_any = F.lit([a > 0 for a in alpha_sum])
+    asum = arr([a if a > 0 else 1.0 for a in alpha_sum])
+    fitted_any = arr([a > 0 for a in alpha_sum], "boolean")
     out = st.df.withColumn("P", F.transform("D", lambda d, i: F.when(
         F.element_at(fitted_any, i + 1),
         1.0 / (1.0 + F.exp(-(d / F.element_at(asum, i + 1))))).otherwise(0.5)))
@@ -304,7 +318,7 @@ def _forest_round(prep_state: DataFrame, holds: list[int], spec: ForestSpec, n_f
         # weights are per model; repeat them per tree so each slot sees its model's weight
         prep_state = prep_state.withColumn(weight, F.flatten(F.transform(
             F.col(weight), lambda x: F.array_repeat(x, T))))
-    grown, nodes = grow(prep_state, S, static, arrays, gh, p)
+    grown, nodes = grow(prep_state, S, static, arrays, gh, p, None, None, n_features)
     lv = leaf_values(nodes, S, lambda n: n.G / n.H if n.H > 0 else 0.0)
     per_model = F.transform(F.sequence(F.lit(0), F.lit(len(holds) - 1)), lambda m: F.aggregate(
         F.slice(F.col("_lv"), m * T + 1, T), F.lit(0.0), lambda a, b: a + b) / float(T))
@@ -352,7 +366,7 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
         cur = cur.withColumn("_h", F.transform("_p", lambda x: F.when(x > 0.5, 1.0).otherwise(0.0)))
         cur = cur.drop("_lv", "_node", "_p").persist(StorageLevel.MEMORY_AND_DISK)
         ex = cur.select("label", "split", "fold", F.posexplode(F.arrays_zip("w", "_h")).alias("m", "z"))
-        hl = F.lit(holdouts)
+        hl = arr(holdouts, "int")
         errs = {int(x["m"]): (float(x["wrong"] or 0.0), float(x["tot"] or 0.0)) for x in
                 ex.where(train_mask(F.element_at(hl, F.col("m") + 1)))
                 .groupBy("m").agg(F.sum(F.when(F.col("z._h") != F.col("label"), F.col("z.w"))).alias("wrong"),
@@ -373,7 +387,7 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
                 alpha[m], keep[m] = spec.lr * math.log((1 - err) / err), True
             z[m] = (tot - wrong) + wrong * math.exp(alpha[m])
             alpha_sum[m] += alpha[m]
-        al, zl, kl = F.lit(alpha), F.lit(z), F.lit(keep)
+        al, zl, kl = arr(alpha), arr(z), arr(keep, "boolean")
         nxt = cur.withColumn("D", F.transform("D", lambda d, i: F.when(
             F.element_at(kl, i + 1), d + F.element_at(al, i + 1) * (2.0 * F.element_at(F.col("_h"), i + 1) - 1.0))
             .otherwise(d)))
@@ -384,8 +398,8 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
             / F.element_at(zl, i + 1)).otherwise(w)))
         st.replace(nxt.drop("_h"))
         cur.unpersist()
-    asum = F.lit([a if a > 0 else 1.0 for a in alpha_sum])
-    fitted_any = F.lit([a > 0 for a in alpha_sum])
+    asum = arr([a if a > 0 else 1.0 for a in alpha_sum])
+    fitted_any = arr([a > 0 for a in alpha_sum], "boolean")
     out = st.df.withColumn("P", F.transform("D", lambda d, i: F.when(
         F.element_at(fitted_any, i + 1),
         1.0 / (1.0 + F.exp(-(d / F.element_at(asum, i + 1))))).otherwise(0.5)))
