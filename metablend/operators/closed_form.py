@@ -37,10 +37,12 @@ def bin_rate_models(prepared: DataFrame, bin_col: str, k: int, prior: float = 1.
 
 
 def bin_rate_scores(prepared: DataFrame, bases: list[tuple[str, str]], k: int,
-                    prior: float = 1.0, label: str = "label") -> DataFrame:
-    """Adds one probability column per ``(name, bin_col)`` base: out-of-fold
-    on training rows, fold average elsewhere.  Broadcast joins only."""
-    out = prepared.withColumn("_mk", F.coalesce(F.col("fold"), F.lit(-1)))
+                    prior: float = 1.0, label: str = "label",
+                    target: DataFrame | None = None) -> DataFrame:
+    """Adds one probability column per ``(name, bin_col)`` base to ``target``
+    (default: ``prepared``): out-of-fold on training rows, fold average
+    elsewhere.  Models are always counted on ``prepared``; broadcast joins only."""
+    out = (prepared if target is None else target).withColumn("_mk", F.coalesce(F.col("fold"), F.lit(-1)))
     default = prior / (2.0 * prior)
     for name, bin_col in bases:
         model = bin_rate_models(prepared, bin_col, k, prior, label).select(
@@ -48,3 +50,14 @@ def bin_rate_scores(prepared: DataFrame, bases: list[tuple[str, str]], k: int,
         out = (out.join(F.broadcast(model), ["_mk", bin_col], "left")
                .withColumn(name, F.coalesce(F.col(name), F.lit(default))))
     return out.drop("_mk")
+
+
+def bin_rate_full(train: DataFrame, score: DataFrame, bin_col: str, name: str,
+                  prior: float = 1.0, label: str = "label") -> DataFrame:
+    """One model fitted on all of ``train`` applied to ``score`` rows (train on
+    one source, evaluate on another).  The model has at most n_bins rows."""
+    model = (train.groupBy(bin_col).agg(F.sum(label).cast("double").alias("_pos"),
+                                        F.count(F.lit(1)).cast("double").alias("_n"))
+             .select(bin_col, ((F.col("_pos") + prior) / (F.col("_n") + 2.0 * prior)).alias(name)))
+    return (score.join(F.broadcast(model), bin_col, "left")
+            .withColumn(name, F.coalesce(F.col(name), F.lit(prior / (2.0 * prior)))))

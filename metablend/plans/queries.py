@@ -254,6 +254,87 @@ def q_label_association(spark, d):
     return rnd(G.label_association(doc_quality(spark, d), DOC_CATEGORICAL, DOC_CONTINUOUS))
 
 
+# ---------------------------------------------------------------- H, M5, M7, S7 (closed form)
+GRID_FEATURES = ["uniq_ratio", "nonalpha_ratio", "n_chars", "n_words"]
+GRID_PRIORS = [1.0, 10.0]
+
+
+def grid_configs():
+    """Grid order: keys sorted (feature, prior), last key varies fastest."""
+    return [(i, f, a) for i, (f, a) in enumerate((f, a) for f in GRID_FEATURES for a in GRID_PRIORS)]
+
+
+def _grid_long(spark, d):
+    prepared, _ = prepared_doc(spark, d, seed=SEED, k=K_DOC, n_bins=16, kind="width")
+    out = prepared
+    for i, feat, prior in grid_configs():
+        out = bin_rate_scores(prepared, [(f"c{i}", f"b_{feat}")], K_DOC, prior, target=out)
+    cfg = grid_configs()
+    st = F.expr("stack({}, {}) as (config_id, feature, prior, score)".format(
+        len(cfg), ", ".join(f"{i}, '{f}', CAST({a} AS DOUBLE), c{i}" for i, f, a in cfg)))
+    return out.where(F.col("split") == "train").select("fold", "label", st) \
+        .withColumn("pred", M.threshold("score"))
+
+
+def q_grid_cv_scores(spark, d):
+    return rnd(M.accuracy(_grid_long(spark, d), by=["config_id", "feature", "prior", "fold"]))
+
+
+def q_grid_select(spark, d):
+    from metablend.plans.search import select_best
+    per = M.accuracy(_grid_long(spark, d), by=["config_id", "feature", "prior", "fold"])
+    mean = per.groupBy("config_id", "feature", "prior").agg(F.round(F.avg("accuracy"), 9).alias("mean_score"))
+    best = select_best(mean, "mean_score", "config_id").where(F.col("selected"))
+    return rnd(best.select("config_id", "feature", "prior", F.col("mean_score").alias("mean_accuracy")))
+
+
+def _oof_long(spark, d):
+    s = blended_scores(spark, d, k=K_DOC).where(F.col("split") == "train")
+    st = F.expr("stack(3, 'p_uniq', p_uniq, 'p_nonalpha', p_nonalpha, 'blend', score) as (model, p)")
+    return s.select("fold", "label", st).withColumn("pred", M.threshold("p"))
+
+
+def q_cv_summary(spark, d):
+    per = M.accuracy(_oof_long(spark, d), by=["model", "fold"])
+    return rnd(per.groupBy("model").agg(F.avg("accuracy").alias("mean_accuracy"),
+                                        F.stddev_pop("accuracy").alias("std_accuracy"),
+                                        F.count(F.lit(1)).alias("folds")))
+
+
+def q_fold_metric_mean(spark, d):
+    lg = _oof_long(spark, d).where(F.col("model") == "blend")
+    per = M.accuracy(lg, by=["fold"]).join(M.auc(lg, label="label", score="p", by=["fold"]), "fold")
+    return rnd(per.agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"),
+                       F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc")))
+
+
+def q_model_leaderboard(spark, d):
+    from pyspark.sql import Window
+    s = blended_scores(spark, d, k=K_DOC).where(F.col("split") == "test")
+    st = F.expr("stack(3, 'p_uniq', p_uniq, 'p_nonalpha', p_nonalpha, 'blend', score) as (model, score)")
+    lg = s.select("label", st).withColumn("pred", M.threshold("score"))
+    a = M.auc(lg, by=["model"]).select("model", F.lit("auc").alias("metric"), F.round("auc", 6).alias("value"))
+    c = M.accuracy(lg, by=["model"]).select("model", F.lit("accuracy").alias("metric"),
+                                            F.round("accuracy", 6).alias("value"))
+    w = Window.partitionBy("metric").orderBy(F.col("value").desc())
+    return a.unionByName(c).withColumn("rank", F.rank().over(w))
+
+
+def q_two_source_eval(spark, d):
+    """Closed-form models fitted on source a, evaluated on source b."""
+    from metablend.operators.closed_form import bin_rate_full
+    dq = doc_quality(spark, d)
+    specs = fit_bins(dq.where(F.col("origin") == "a"), ["uniq_ratio", "nonalpha_ratio"], [], 16, "width")
+    b = bin_columns(dq, specs)
+    tr, ev = b.where(F.col("origin") == "a"), b.where(F.col("origin") == "b")
+    ev = bin_rate_full(tr, ev, "b_uniq_ratio", "p_uniq")
+    ev = bin_rate_full(tr, ev, "b_nonalpha_ratio", "p_nonalpha")
+    ev = ev.withColumn("blend", (F.col("p_uniq") + F.col("p_nonalpha")) / 2.0)
+    st = F.expr("stack(3, 'p_uniq', p_uniq, 'p_nonalpha', p_nonalpha, 'blend', blend) as (model, score)")
+    lg = ev.select("label", st).withColumn("pred", M.threshold("score"))
+    return M.metric_table(lg, by=["model"]).select("model", "metric", F.round("value", 6).alias("value"))
+
+
 QUERIES = {
     "scan_typed": q_scan_typed,
     "feature_projection": q_feature_projection,
@@ -295,4 +376,10 @@ QUERIES = {
     "duplicate_rows": q_duplicate_rows,
     "source_overlap": q_source_overlap,
     "label_association": q_label_association,
+    "grid_cv_scores": q_grid_cv_scores,
+    "grid_select": q_grid_select,
+    "cv_summary": q_cv_summary,
+    "fold_metric_mean": q_fold_metric_mean,
+    "model_leaderboard": q_model_leaderboard,
+    "two_source_eval": q_two_source_eval,
 }

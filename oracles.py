@@ -189,6 +189,48 @@ def _pairs(cols):
 DUP = "l_quantity, l_discount, l_tax, l_returnflag"
 
 
+def metric_rows_by(src: str) -> str:
+    """Per-model auc/accuracy/precision/recall/f1 of (model, label, score) rows."""
+    return f""",
+mt AS (SELECT model, label, score, CAST(score >= {D(0.5)} AS INTEGER) AS pred FROM {src}),
+mg AS (SELECT model, score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+              sum(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS neg FROM mt GROUP BY model, score),
+mc AS (SELECT model, pos, neg, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY score
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM mg),
+ma AS (SELECT model, sum(pos * (nb + neg / {D(2)})) / nullif({D('sum(pos)')} * {D('sum(neg)')}, 0) AS auc
+       FROM mc GROUP BY model),
+mq AS (SELECT model, {D("sum(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END)")} AS tp,
+              {D("sum(CASE WHEN label <> 1 AND pred = 1 THEN 1 ELSE 0 END)")} AS fp,
+              {D("sum(CASE WHEN label = 1 AND pred <> 1 THEN 1 ELSE 0 END)")} AS fn,
+              avg(CASE WHEN label = pred THEN {D(1)} ELSE {D(0)} END) AS acc FROM mt GROUP BY model)
+SELECT model, 'auc' AS metric, round(auc, 6) AS value FROM ma
+UNION ALL SELECT model, 'accuracy', round(acc, 6) FROM mq
+UNION ALL SELECT model, 'precision', round(coalesce(tp / nullif(tp + fp, 0), 0), 6) FROM mq
+UNION ALL SELECT model, 'recall', round(coalesce(tp / nullif(tp + fn, 0), 0), 6) FROM mq
+UNION ALL SELECT model, 'f1', round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) FROM mq"""
+
+
+GRID_FEATURES = [("uniq_ratio", "bu"), ("nonalpha_ratio", "bn"), ("n_chars", "bc"), ("n_words", "bw")]
+GRID_PRIORS = [1.0, 10.0]
+GRID = [(i, f, b, a) for i, ((f, b), a) in enumerate((fb, a) for fb in GRID_FEATURES for a in GRID_PRIORS)]
+GRID_LONG = PREP + "".join(rate_model(f"g{i}", b, 3, a) for i, f, b, a in GRID) + ",\ngl AS (" + \
+    " UNION ALL ".join(
+        f"SELECT p.fold, p.label, {i} AS config_id, '{f}' AS feature, {D(a)} AS prior, "
+        f"coalesce(m.rate, {D(0.5)}) AS score FROM p LEFT JOIN m_g{i} m ON m.fold = coalesce(p.fold, -1) "
+        f"AND m.bin = p.{b} WHERE p.split = 'train'" for i, f, b, a in GRID) + ")," + """
+gf AS (SELECT config_id, feature, prior, fold,
+              avg(CASE WHEN label = CAST(score >= CAST(0.5 AS DOUBLE) AS INTEGER) THEN CAST(1 AS DOUBLE)
+                       ELSE CAST(0 AS DOUBLE) END) AS accuracy
+       FROM gl GROUP BY config_id, feature, prior, fold)"""
+
+OOF_LONG = SCORED + f""",
+ol AS (SELECT fold, label, 'p_uniq' AS model, p_uniq AS p FROM bl WHERE split = 'train'
+       UNION ALL SELECT fold, label, 'p_nonalpha', p_nonalpha FROM bl WHERE split = 'train'
+       UNION ALL SELECT fold, label, 'blend', score FROM bl WHERE split = 'train'),
+of AS (SELECT model, fold, avg(CASE WHEN label = CAST(p >= {D(0.5)} AS INTEGER) THEN {D(1)} ELSE {D(0)} END) AS accuracy
+       FROM ol GROUP BY model, fold)"""
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_typed"] = f"""WITH {DQ}
@@ -350,4 +392,51 @@ cv AS (SELECT chi.origin, chi.feature, chi.chi2, sqrt(chi.chi2 / nullif(nn.n * (
 SELECT origin, feature, 'chi2' AS measure, round(chi2, 6) AS value FROM cv
 UNION ALL SELECT origin, feature, 'cramers_v', round(v, 6) FROM cv
 UNION ALL {pbis}"""
+    q["grid_cv_scores"] = f"""WITH {GRID_LONG}
+SELECT config_id, feature, prior, fold, round(accuracy, 6) AS accuracy FROM gf"""
+    q["grid_select"] = f"""WITH {GRID_LONG},
+gm AS (SELECT config_id, feature, prior, round(avg(accuracy), 9) AS mean_score FROM gf GROUP BY ALL),
+gr AS (SELECT *, row_number() OVER (ORDER BY mean_score DESC, config_id ASC) AS rk FROM gm)
+SELECT config_id, feature, prior, round(mean_score, 6) AS mean_accuracy FROM gr WHERE rk = 1"""
+    q["cv_summary"] = f"""WITH {OOF_LONG}
+SELECT model, round(avg(accuracy), 6) AS mean_accuracy, round(stddev_pop(accuracy), 6) AS std_accuracy,
+       count(*) AS folds FROM of GROUP BY model"""
+    q["fold_metric_mean"] = f"""WITH {OOF_LONG},
+bg AS (SELECT fold, p, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+              sum(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS neg FROM ol WHERE model = 'blend' GROUP BY fold, p),
+bc AS (SELECT fold, pos, neg, coalesce(sum(neg) OVER (PARTITION BY fold ORDER BY p
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM bg),
+ba AS (SELECT fold, sum(pos * (nb + neg / {D(2)})) / nullif({D('sum(pos)')} * {D('sum(neg)')}, 0) AS auc
+       FROM bc GROUP BY fold),
+pf AS (SELECT o.fold, o.accuracy, a.auc FROM of o JOIN ba a ON a.fold = o.fold WHERE o.model = 'blend')
+SELECT round(avg(accuracy), 6) AS mean_accuracy, round(stddev_pop(accuracy), 6) AS std_accuracy,
+       round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS std_auc FROM pf"""
+    q["model_leaderboard"] = f"""WITH {SCORED},
+tl AS (SELECT label, 'p_uniq' AS model, p_uniq AS score FROM bl WHERE split = 'test'
+       UNION ALL SELECT label, 'p_nonalpha', p_nonalpha FROM bl WHERE split = 'test'
+       UNION ALL SELECT label, 'blend', score FROM bl WHERE split = 'test'),
+lg AS (SELECT model, score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+              sum(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS neg FROM tl GROUP BY model, score),
+lc AS (SELECT model, pos, neg, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY score
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM lg),
+mv AS (SELECT model, 'auc' AS metric,
+              round(sum(pos * (nb + neg / {D(2)})) / nullif({D('sum(pos)')} * {D('sum(neg)')}, 0), 6) AS value
+       FROM lc GROUP BY model
+       UNION ALL
+       SELECT model, 'accuracy', round(avg(CASE WHEN label = CAST(score >= {D(0.5)} AS INTEGER)
+                                                THEN {D(1)} ELSE {D(0)} END), 6) FROM tl GROUP BY model)
+SELECT model, metric, value, rank() OVER (PARTITION BY metric ORDER BY value DESC) AS rank FROM mv"""
+    q["two_source_eval"] = f"""WITH {DQ},
+ab AS (SELECT min(uniq_ratio) lo_u, max(uniq_ratio) hi_u, min(nonalpha_ratio) lo_n, max(nonalpha_ratio) hi_n
+       FROM dq WHERE origin = 'a'),
+tb AS (SELECT dq.*, {width_bin('uniq_ratio', 'lo_u', 'hi_u', 16)} AS bu,
+              {width_bin('nonalpha_ratio', 'lo_n', 'hi_n', 16)} AS bn FROM dq, ab),
+mu AS (SELECT bu, (CAST(sum(label) AS DOUBLE) + {D(1)}) / (CAST(count(*) AS DOUBLE) + {D(2)}) AS r
+       FROM tb WHERE origin = 'a' GROUP BY bu),
+mn AS (SELECT bn, (CAST(sum(label) AS DOUBLE) + {D(1)}) / (CAST(count(*) AS DOUBLE) + {D(2)}) AS r
+       FROM tb WHERE origin = 'a' GROUP BY bn),
+ev AS (SELECT tb.label, coalesce(mu.r, {D(0.5)}) AS pu, coalesce(mn.r, {D(0.5)}) AS pn
+       FROM tb LEFT JOIN mu ON mu.bu = tb.bu LEFT JOIN mn ON mn.bn = tb.bn WHERE tb.origin = 'b'),
+el AS (SELECT 'p_uniq' AS model, label, pu AS score FROM ev UNION ALL SELECT 'p_nonalpha', label, pn FROM ev
+       UNION ALL SELECT 'blend', label, (pu + pn) / {D(2)} FROM ev)""" + metric_rows_by("el")
     return q
