@@ -122,6 +122,16 @@ class BoostSlot:
     row_fraction: float = 1.0      # fixed nested subset of the training rows (learning curves)
 
 
+def newton_leaf(G: float, H: float, lam: float) -> float:
+    """Second-order leaf weight −G / (H + λ) (before the learning rate)."""
+    return -G / (H + lam) if (H + lam) > 0 else 0.0
+
+
+def residual_leaf(G: float, H: float) -> float:
+    """Log-loss gradient-boosting leaf: Σ residual / Σ p(1−p)."""
+    return G / H if abs(H) > 1e-150 else 0.0
+
+
 def _init_scores(prep: DataFrame, holdouts: list[int]) -> list[float]:
     """logit of the positive rate on each slot's training rows (one small aggregation)."""
     per = {r["fold"]: (float(r["pos"]), float(r["n"])) for r in
@@ -173,9 +183,7 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
         grown, nodes = grow(st.df, S, static, ["F"], gh, p, active, [s.max_depth for s in slots], d)
 
         def value(n: Node) -> float:
-            if newton:
-                return -n.G / (n.H + p.lam) if (n.H + p.lam) > 0 else 0.0
-            return n.G / n.H if abs(n.H) > 1e-150 else 0.0
+            return newton_leaf(n.G, n.H, p.lam) if newton else residual_leaf(n.G, n.H)
 
         for n in nodes:
             trees.append((n.slot, t, n.node, n.feature, n.cut,
