@@ -261,7 +261,7 @@ def grow(state: DataFrame, n_slots: int, static: dict[str, list], arrays: list[s
     with ``_node`` = each row's leaf per slot, and every node of every slot
     (a node with ``feature is None`` is a leaf).
     """
-    keep = [c for c in ("row_id", "label", "split", "fold", "bins") if c in state.columns]
+    keep = [c for c in ("row_id", "label", "split", "fold", "inner", "bins") if c in state.columns]
     depth_cap = max_depth or [p.max_depth] * n_slots
     act = active or [True] * n_slots
     state = state.withColumn("_node", F.array_repeat(F.lit(1).cast("long"), n_slots))

@@ -28,6 +28,11 @@ from metablend.operators.grow import Node, TreeParams, grow, leaf_values, p_feat
 KEEP = ["row_id", "label", "split", "fold", "bins"]
 
 
+def keep_cols(df: DataFrame) -> list[str]:
+    """Row columns carried through a fit (``inner`` exists for nested search)."""
+    return KEEP + (["inner"] if "inner" in df.columns else [])
+
+
 def uniform(row_id: Column, *salt) -> Column:
     """Deterministic U[0,1) from the row key and salts."""
     h = F.xxhash64(row_id.cast("string"), *[F.lit(s) if not isinstance(s, Column) else s for s in salt])
@@ -120,6 +125,7 @@ class BoostSlot:
     max_depth: int = 3
     subsample: float = 1.0
     row_fraction: float = 1.0      # fixed nested subset of the training rows (learning curves)
+    inner_holdout: int = -1        # nested search: also hold out this inner fold
 
 
 def newton_leaf(G: float, H: float, lam: float) -> float:
@@ -159,9 +165,11 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
     holds = [s.holdout for s in slots]
     f0 = _init_scores(prep, holds)
     d = p_features(prep)
-    st = _State(prep.select(*KEEP).withColumn("F", arr(f0)), checkpoint_every)
+    nested = "inner" in prep.columns and any(s.inner_holdout >= 0 for s in slots)
+    st = _State(prep.select(*keep_cols(prep)).withColumn("F", arr(f0)), checkpoint_every)
     static = {"hold": holds, "ss": [float(s.subsample) for s in slots],
-              "rf": [float(s.row_fraction) for s in slots]}
+              "rf": [float(s.row_fraction) for s in slots],
+              "ihold": [int(s.inner_holdout) for s in slots]}
     lrs = [float(s.lr) for s in slots]
     trees: list[tuple] = []
     newton = p.criterion == "newton"
@@ -176,6 +184,8 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
             y = F.col("label").cast("double")
             m = (train_mask(F.col("hold")) & (uniform(F.col("row_id"), t, seed) < F.col("ss"))
                  & (uniform(F.col("row_id"), "subset", seed) < F.col("rf")))
+            if nested:
+                m = m & ((F.col("ihold") < 0) | (F.coalesce(F.col("inner"), F.lit(-1)) != F.col("ihold")))
             g = (prob - y) if newton else (y - prob)
             return ex.select("*", g.alias("g"), (prob * (1.0 - prob)).alias("h"),
                              F.lit(1.0).alias("c"), m.alias("m"))

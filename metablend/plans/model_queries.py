@@ -99,6 +99,48 @@ def q_learning_curve(spark, d):
     return rnd(learning_curve(prep, S["gbm"], [0.25, 0.5, 1.0]))
 
 
+TUNE_GRID = {"learning_rate": [0.1, 0.3], "max_depth": [2, 3], "n_estimators": [5]}
+
+
+def q_nested_cv(spark, d):
+    """H4: per outer fold, 3-fold inner AUC search (one fused run)."""
+    from metablend.plans.search import nested_search
+    prep = E.prepare_trees(spark, d, k=K)
+    table, _ = nested_search(prep, "gbm", TUNE_GRID, K)
+    return rnd(table.select("outer_fold", "config_ordinal", "learning_rate", "max_depth", "n_estimators",
+                            "mean_score", "rank", "selected"))
+
+
+def q_blend_tuned(spark, d):
+    """K8/K9: blending whose boosting bases are tuned by nested search per
+    outer fold; ada, lgb and rf keep their fixed settings."""
+    from metablend.operators.meta import base_table, fold_columns, meta_logistic
+    from metablend.plans.search import nested_search, tuned_fold_scores
+    prep = E.prepare_trees(spark, d, k=K)
+    parts = []
+    for kind in ("gbm", "xgb"):
+        _, chosen = nested_search(prep, kind, TUNE_GRID, K)
+        parts.append(tuned_fold_scores(prep, kind, chosen, K, kind))
+    for kind in ("ada", "lgb", "rf"):
+        parts.append(fold_columns(E.fit_learner(prep, B[kind], list(range(K))), K, kind, "average"))
+    table = base_table(parts)
+    names = ["gbm", "xgb", "ada", "lgb", "rf"]
+    scored = meta_logistic(table, names).withColumnRenamed("score", "meta")
+    return E.evaluate(scored, names + ["meta"], "test")
+
+
+def q_bagging_model(spark, d):
+    """N5: bagged trees = a forest whose nodes try every feature."""
+    from metablend.operators.learners import ForestSpec, fit_forest
+    prep = E.prepare_trees(spark, d, k=K)
+    fit = fit_forest(prep, list(range(K)) + [-1], ForestSpec(10, 4, feature_k=len(E.FEATURES)), len(E.FEATURES))
+    P = F.col("P")
+    return rnd(fit.scores.select(
+        "row_id", "label", "split", "fold",
+        F.when(F.col("split") == "train", F.element_at(P, F.coalesce(F.col("fold"), F.lit(0)) + 1)).alias("p_oof"),
+        F.element_at(P, F.lit(K + 1)).alias("p_full")))
+
+
 MODEL_QUERIES = {
     "ada_model": _learner("ada"),
     "gbm_model": _learner("gbm"),
@@ -121,4 +163,7 @@ MODEL_QUERIES = {
     "external_eval": q_external_eval,
     "tree_grid_search": q_tree_grid_search,
     "learning_curve": q_learning_curve,
+    "nested_cv": q_nested_cv,
+    "blend_tuned": q_blend_tuned,
+    "bagging_model": q_bagging_model,
 }

@@ -86,3 +86,69 @@ def learning_curve(prep: DataFrame, spec, fractions: list[float], seed: int = 42
     n_lit = F.lit([int(sizes[f"n{i}"] or 0) for i in range(len(fractions))])
     res = accuracy(tst, by=["fraction", "s"]).join(auc(tst, by=["fraction", "s"]), ["fraction", "s"])
     return res.select("fraction", F.element_at(n_lit, F.col("s") + 1).alias("n_train"), "accuracy", "auc")
+
+
+def add_inner_folds(prep: DataFrame, k_inner: int = 3, seed: int = 43) -> DataFrame:
+    """Inner folds for nested search: exact stratified folds of the training
+    rows under a second seed (the outer folds stay untouched)."""
+    from metablend.operators.keys import exact_split_folds
+    tr = prep.where(F.col("split") == "train").withColumnRenamed("fold", "_outer")
+    tr = exact_split_folds(tr.drop("split"), seed=seed, test_frac=None, k=k_inner) \
+        .withColumnRenamed("fold", "inner").withColumnRenamed("_outer", "fold")
+    rest = prep.where(F.col("split") != "train").withColumn("inner", F.lit(None).cast("int"))
+    return tr.unionByName(rest, allowMissingColumns=True)
+
+
+def nested_search(prep: DataFrame, kind: str, grid: dict, k: int, k_inner: int = 3,
+                  seed: int = 42) -> tuple[DataFrame, dict[int, dict]]:
+    """Per outer fold, k_inner-fold AUC search over ``grid`` on that fold's
+    training rows — all (outer, config, inner) fits in one fused run.
+    Returns the score table and the chosen config per outer fold."""
+    from metablend.functions.metrics import auc as auc_fn
+    from metablend.operators.grow import TreeParams
+    configs = expand_grid(grid)
+    nested = add_inner_folds(prep, k_inner)
+    slots, meta = [], []
+    for o in range(k):
+        for ci, c in enumerate(configs):
+            for j in range(k_inner):
+                slots.append(BoostSlot(o, c["n_estimators"], c["learning_rate"], c["max_depth"],
+                                       inner_holdout=j))
+                meta.append((o, ci, j))
+    params = None if kind == "gbm" else TreeParams("newton", max_depth=max(c["max_depth"] for c in configs),
+                                                   lam=1.0, min_hess=1.0)
+    fit = fit_boost(nested, "gbm" if kind == "gbm" else "newton", slots, seed=seed, params=params)
+    lo, lc, lj = (F.lit([m[0] for m in meta]), F.lit([m[1] for m in meta]), F.lit([m[2] for m in meta]))
+    tr = fit.scores.where(F.col("split") == "train").select(
+        "label", "fold", "inner", F.posexplode("P").alias("s", "score"))
+    own = tr.where((F.element_at(lo, F.col("s") + 1) != F.col("fold"))
+                   & (F.element_at(lj, F.col("s") + 1) == F.col("inner")))
+    own = own.select("label", "score", F.element_at(lo, F.col("s") + 1).alias("outer_fold"),
+                     F.element_at(lc, F.col("s") + 1).alias("config_ordinal"),
+                     F.element_at(lj, F.col("s") + 1).alias("inner_fold"))
+    per = auc_fn(own, by=["outer_fold", "config_ordinal", "inner_fold"])
+    mean = per.groupBy("outer_fold", "config_ordinal").agg(F.avg("auc").alias("mean_score"))
+    w = Window.partitionBy("outer_fold").orderBy(F.col("mean_score").desc(), F.col("config_ordinal"))
+    ranked = mean.withColumn("rank", F.row_number().over(w)).withColumn("selected", F.col("rank") == 1)
+    rows = ranked.collect()
+    chosen = {int(r["outer_fold"]): configs[int(r["config_ordinal"])] for r in rows if r["selected"]}
+    cfg_cols = sorted(grid)
+    table = ranked
+    for key in cfg_cols:
+        vals = [c[key] for c in configs]
+        table = table.withColumn(key, F.element_at(F.lit(vals), F.col("config_ordinal") + 1))
+    return table, chosen
+
+
+def tuned_fold_scores(prep: DataFrame, kind: str, chosen: dict[int, dict], k: int, name: str,
+                      seed: int = 42) -> DataFrame:
+    """Fold models with the config chosen for each outer fold (no refit):
+    out-of-fold on training rows, mean of the k fold models elsewhere."""
+    from metablend.operators.grow import TreeParams
+    from metablend.operators.meta import fold_columns
+    slots = [BoostSlot(o, chosen[o]["n_estimators"], chosen[o]["learning_rate"], chosen[o]["max_depth"])
+             for o in range(k)]
+    params = None if kind == "gbm" else TreeParams("newton", max_depth=max(s.max_depth for s in slots),
+                                                   lam=1.0, min_hess=1.0)
+    fit = fit_boost(prep, "gbm" if kind == "gbm" else "newton", slots, seed=seed, params=params)
+    return fold_columns(fit, k, name, "average")
