@@ -36,17 +36,54 @@ def bin_rate_models(prepared: DataFrame, bin_col: str, k: int, prior: float = 1.
     return per.unionByName(avg)
 
 
+def bin_rate_tables(prepared: DataFrame, bases: list[tuple[str, str]], k: int, prior: float = 1.0,
+                    label: str = "label") -> dict[str, list[tuple[int, int, float]]]:
+    """All fold models of all bases from ONE aggregation pass.
+
+    ``groupBy(base, fold, bin)`` over the training rows returns at most
+    bases x k x n_bins rows (a bound fixed by the parameters); the fold
+    models (totals minus the held-out fold) and the fold average are derived
+    from those counts.  Returns base -> [(fold or -1, bin, rate)]."""
+    train = prepared.where(F.col("split") == "train")
+    pairs = F.array(*[F.struct(F.lit(name).alias("base"), F.col(b).cast("int").alias("bin"))
+                      for name, b in bases])
+    counts = (train.select("fold", F.col(label).alias("_y"), F.inline(pairs))
+              .groupBy("base", "fold", "bin")
+              .agg(F.sum("_y").cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
+              .collect())
+    out: dict[str, list] = {}
+    for name, _ in bases:
+        cnt = {(int(r["fold"]), int(r["bin"])): (float(r["pos"]), float(r["n"]))
+               for r in counts if r["base"] == name}
+        bins = sorted({b for _, b in cnt})
+        rows = []
+        for b in bins:
+            tpos = sum(v[0] for (f, bb), v in cnt.items() if bb == b)
+            tn = sum(v[1] for (f, bb), v in cnt.items() if bb == b)
+            rates = []
+            for f in range(k):
+                pos, n = cnt.get((f, b), (0.0, 0.0))
+                r = (tpos - pos + prior) / (tn - n + 2.0 * prior)
+                rates.append(r)
+                rows.append((f, b, r))
+            rows.append((-1, b, sum(rates) / k))
+        out[name] = rows
+    return out
+
+
 def bin_rate_scores(prepared: DataFrame, bases: list[tuple[str, str]], k: int,
                     prior: float = 1.0, label: str = "label",
                     target: DataFrame | None = None) -> DataFrame:
     """Adds one probability column per ``(name, bin_col)`` base to ``target``
     (default: ``prepared``): out-of-fold on training rows, fold average
-    elsewhere.  Models are always counted on ``prepared``; broadcast joins only."""
+    elsewhere.  One aggregation pass for all bases, then broadcast joins of
+    the (k + 1) x n_bins model tables."""
+    spark = prepared.sparkSession
+    tables = bin_rate_tables(prepared, bases, k, prior, label)
     out = (prepared if target is None else target).withColumn("_mk", F.coalesce(F.col("fold"), F.lit(-1)))
     default = prior / (2.0 * prior)
     for name, bin_col in bases:
-        model = bin_rate_models(prepared, bin_col, k, prior, label).select(
-            F.col("fold").alias("_mk"), F.col("bin").alias(bin_col), F.col("rate").alias(name))
+        model = spark.createDataFrame(tables[name], f"_mk int, {bin_col} int, {name} double")
         out = (out.join(F.broadcast(model), ["_mk", bin_col], "left")
                .withColumn(name, F.coalesce(F.col(name), F.lit(default))))
     return out.drop("_mk")

@@ -66,6 +66,18 @@ ENSEMBLE_SPECS = {
 }
 
 
+ROWS_PER_PARTITION = 1_000_000
+
+
+def _partitions_for(spark: SparkSession, df: DataFrame) -> int:
+    """~1M prepared rows per partition (a few tens of MB of bins), never more
+    than the cluster can run in a few waves; one count pass."""
+    n = df.count()
+    waves = 4 * max(spark.sparkContext.defaultParallelism,
+                    int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return int(min(max(1, -(-n // ROWS_PER_PARTITION)), waves))
+
+
 def prepare_trees(spark: SparkSession, sf_dir: str, k: int = 3, seed: int = 42,
                   n_bins: int = 32, external: bool = False) -> DataFrame:
     """row_id, label, split, fold, bins — hash partitioned by row_id, checkpointed.
@@ -81,8 +93,7 @@ def prepare_trees(spark: SparkSession, sf_dir: str, k: int = 3, seed: int = 42,
     else:
         df = exact_split_folds(dq, seed=seed, test_frac=0.2, k=k)
     ensure_checkpoint_dir(spark)
-    n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = df.repartition(n_part, "row_id").checkpoint(eager=True)
+    df = df.repartition(_partitions_for(spark, df), "row_id").checkpoint(eager=True)
     specs = fit_bins(df.where(F.col("split") == "train"), DOC_CONTINUOUS, DOC_CATEGORICAL, n_bins, "quantile")
     return apply_bins(df, specs).select("row_id", "label", "split", "fold", "bins")
 

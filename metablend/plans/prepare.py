@@ -37,15 +37,19 @@ def prepared_doc(spark: SparkSession, sf_dir: str, seed: int = 42, test_frac: fl
 
 
 def split_lineitem(spark: SparkSession, sf_dir: str, seed: int = 42, test_frac: float | None = 0.2,
-                   k: int | None = 3, stratify: bool = True) -> DataFrame:
-    return exact_split_folds(lineitem_return(spark, sf_dir), seed=seed, test_frac=test_frac,
-                             k=k, stratify=stratify)
+                   k: int | None = 3, stratify: bool = True, checkpoint: bool = False) -> DataFrame:
+    """lineitem_return + exact split/folds; ``checkpoint`` materialises it once
+    when both a fit (scaler, bins) and an apply read it."""
+    df = exact_split_folds(lineitem_return(spark, sf_dir), seed=seed, test_frac=test_frac,
+                           k=k, stratify=stratify)
+    if checkpoint:
+        ensure_checkpoint_dir(spark)
+        df = df.checkpoint(eager=True)
+    return df
 
 
 def prepared_lineitem(spark: SparkSession, sf_dir: str, n_bins: int = 16, kind: str = "width",
                       seed: int = 42) -> tuple[DataFrame, list[BinSpec]]:
-    df = split_lineitem(spark, sf_dir, seed)
-    ensure_checkpoint_dir(spark)
-    df = df.checkpoint(eager=True)
+    df = split_lineitem(spark, sf_dir, seed, checkpoint=True)
     specs = fit_bins(df.where(F.col("split") == "train"), LINE_CONTINUOUS, [], n_bins, kind)
     return bin_columns(df, specs), specs

@@ -114,14 +114,14 @@ def q_scale_fit_transform(spark, d):
 
 
 def q_scale_train_apply_test(spark, d):
-    li = split_lineitem(spark, d, SEED)
+    li = split_lineitem(spark, d, SEED, checkpoint=True)
     params = fit_scaler(li, LINE_CONTINUOUS, where=F.col("split") == "train")
     return rnd(apply_scaler(li.where(F.col("split") == "test"), params)
                .select("row_id", *LINE_CONTINUOUS))
 
 
 def q_bin_features(spark, d):
-    li = split_lineitem(spark, d, SEED)
+    li = split_lineitem(spark, d, SEED, checkpoint=True)
     specs = fit_bins(li.where(F.col("split") == "train"), LINE_CONTINUOUS, [], 16, "width")
     return bin_columns(li, specs).select("row_id", *[f"b_{c}" for c in LINE_CONTINUOUS])
 
@@ -267,8 +267,9 @@ def grid_configs():
 def _grid_long(spark, d):
     prepared, _ = prepared_doc(spark, d, seed=SEED, k=K_DOC, n_bins=16, kind="width")
     out = prepared
-    for i, feat, prior in grid_configs():
-        out = bin_rate_scores(prepared, [(f"c{i}", f"b_{feat}")], K_DOC, prior, target=out)
+    for prior in GRID_PRIORS:
+        cfg = [(f"c{i}", f"b_{feat}") for i, feat, a in grid_configs() if a == prior]
+        out = bin_rate_scores(prepared, cfg, K_DOC, prior, target=out)
     cfg = grid_configs()
     st = F.expr("stack({}, {}) as (config_id, feature, prior, score)".format(
         len(cfg), ", ".join(f"{i}, '{f}', CAST({a} AS DOUBLE), c{i}" for i, f, a in cfg)))
