@@ -4,10 +4,10 @@ For the model that holds out fold k:
 
     rate_k(b) = (pos(b) - pos_k(b) + a) / (n(b) - n_k(b) + 2a)
 
-where ``pos_k, n_k`` are the counts of fold k.  One ``groupBy(fold, bin)``
-over the training rows gives every fold model at once (the totals minus the
-held-out fold), so the whole out-of-fold chain is pure aggregation and has an
-exact SQL form.  The model table has at most (k + 1) x n_bins rows — a proven
+where ``pos_k, n_k`` are the counts of fold k.  One ``groupBy(base, fold, bin)``
+over the training rows gives every fold model of every base at once (the
+totals minus the held-out fold), so the whole out-of-fold chain is pure
+aggregation and has an exact SQL form.  The model table has at most (k + 1) x n_bins rows — a proven
 bound — and is broadcast to score rows:
 
 * a training row is scored by the model of its own fold (out-of-fold),

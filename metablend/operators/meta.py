@@ -16,6 +16,7 @@ so those joins need no shuffle.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -41,11 +42,13 @@ def fold_columns(fit: Fitted, k: int, name: str, test_mode: str = "average") ->
 
 
 def base_table(parts: list[DataFrame]) -> DataFrame:
-    """Join per-learner columns on the row key (co-partitioned: no shuffle)."""
+    """Join per-learner columns on the row key (co-partitioned: no shuffle).
+    The meta-feature table is read by the meta fit, its scoring and the
+    evaluation, so it is persisted (rows x learners doubles)."""
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p.drop("label", "split", "fold"), "row_id")
-    return out
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def logreg(train: DataFrame, cols: list[str], C: float = 1.0, max_iter: int = 100,

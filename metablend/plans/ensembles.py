@@ -162,7 +162,7 @@ def blend(prep: DataFrame, bases: list[LearnerSpec], k: int = 3, rows: str = "te
 
 
 def stack(prep: DataFrame, bases: list[LearnerSpec], k: int, meta: str, rows: str = "test",
-          meta_trees_n: int = 10) -> DataFrame:
+          meta_trees_n: int = 5) -> DataFrame:
     """Stacking: out-of-fold base probabilities train the meta-learner; bases
     refitted on all training rows feed it at scoring time.  ``meta``:
     ``logreg`` (standardised, C = 1, 500 iterations), ``hist`` or ``newton``."""

@@ -67,3 +67,15 @@ def test_forest_and_partitioning_invariance(spark, prep):
     b = _p(fit_forest(prep.repartition(3), [-1], ForestSpec(4, 3), 6), 0)
     assert a == pytest.approx(b)
     assert all(0.0 <= v <= 1.0 for v in a.values())
+
+
+def test_spark_split_search_equals_driver_scan(spark, prep):
+    """Large histograms pick splits in Spark; small ones on the driver — same trees."""
+    from metablend.operators.grow import TreeParams
+    from metablend.operators.learners import BoostSlot, ForestSpec, fit_boost, fit_forest
+    slots = [BoostSlot(h, 2, 0.1, 3) for h in (0, -1)]
+    local = fit_boost(prep, "gbm", slots, params=TreeParams("variance", max_depth=3))
+    remote = fit_boost(prep, "gbm", slots, params=TreeParams("variance", max_depth=3, collect_limit=0))
+    assert sorted(local.trees, key=str) == sorted(remote.trees, key=str)
+    for s in (0, 1):
+        assert _p(local, s) == pytest.approx(_p(remote, s))
