@@ -166,6 +166,8 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
     f0 = _init_scores(prep, holds)
     d = p_features(prep)
     nested = "inner" in prep.columns and any(s.inner_holdout >= 0 for s in slots)
+    sampled = any(s.subsample < 1.0 for s in slots)
+    subset = any(s.row_fraction < 1.0 for s in slots)
     st = _State(prep.select(*keep_cols(prep)).withColumn("F", arr(f0)), checkpoint_every)
     static = {"hold": holds, "ss": [float(s.subsample) for s in slots],
               "rf": [float(s.row_fraction) for s in slots],
@@ -182,8 +184,11 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
         def gh(ex, t=t):
             prob = 1.0 / (1.0 + F.exp(-F.col("F")))
             y = F.col("label").cast("double")
-            m = (train_mask(F.col("hold")) & (uniform(F.col("row_id"), t, seed) < F.col("ss"))
-                 & (uniform(F.col("row_id"), "subset", seed) < F.col("rf")))
+            m = train_mask(F.col("hold"))
+            if sampled:                   # hash only when some slot subsamples
+                m = m & (uniform(F.col("row_id"), t, seed) < F.col("ss"))
+            if subset:
+                m = m & (uniform(F.col("row_id"), "subset", seed) < F.col("rf"))
             if nested:
                 m = m & ((F.col("ihold") < 0) | (F.coalesce(F.col("inner"), F.lit(-1)) != F.col("ihold")))
             g = (prob - y) if newton else (y - prob)

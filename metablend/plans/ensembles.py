@@ -66,16 +66,17 @@ ENSEMBLE_SPECS = {
 }
 
 
-ROWS_PER_PARTITION = 1_000_000
+ROWS_PER_PARTITION = 2_000_000      # large tables: ~2M prepared rows (tens of MB) per partition
+MIN_ROWS_PER_TASK = 20_000          # small tables: spread over the cores, never below this
 
 
 def _partitions_for(spark: SparkSession, df: DataFrame) -> int:
-    """~1M prepared rows per partition (a few tens of MB of bins), never more
-    than the cluster can run in a few waves; one count pass."""
+    """Partition count of a prepared table (one count pass): every core busy
+    for mid-size tables, ~2M rows per partition for large ones, and a single
+    partition for tiny ones (task overhead would dominate)."""
     n = df.count()
-    waves = 4 * max(spark.sparkContext.defaultParallelism,
-                    int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return int(min(max(1, -(-n // ROWS_PER_PARTITION)), waves))
+    cores = spark.sparkContext.defaultParallelism
+    return int(max(-(-n // ROWS_PER_PARTITION), min(cores, -(-n // MIN_ROWS_PER_TASK)), 1))
 
 
 def prepare_trees(spark: SparkSession, sf_dir: str, k: int = 3, seed: int = 42,
@@ -98,6 +99,17 @@ def prepare_trees(spark: SparkSession, sf_dir: str, k: int = 3, seed: int = 42,
     return apply_bins(df, specs).select("row_id", "label", "split", "fold", "bins")
 
 
+def prepare_lineitem_trees(spark: SparkSession, sf_dir: str, k: int = 3, seed: int = 42,
+                           n_bins: int = 32) -> DataFrame:
+    """lineitem_return prepared like ``prepare_trees`` (scale carrier, no signal)."""
+    from metablend.sources.carriers import LINE_CONTINUOUS, lineitem_return
+    df = exact_split_folds(lineitem_return(spark, sf_dir), seed=seed, test_frac=0.2, k=k)
+    ensure_checkpoint_dir(spark)
+    df = df.repartition(_partitions_for(spark, df), "row_id").checkpoint(eager=True)
+    specs = fit_bins(df.where(F.col("split") == "train"), LINE_CONTINUOUS, [], n_bins, "quantile")
+    return apply_bins(df, specs).select("row_id", "label", "split", "fold", "bins")
+
+
 def fit_learner(prep: DataFrame, spec: LearnerSpec, holdouts: list[int], seed: int = 42,
                 n_features: int = len(FEATURES)) -> Fitted:
     kind = spec.kind

@@ -141,6 +141,20 @@ def q_bagging_model(spark, d):
         F.element_at(P, F.lit(K + 1)).alias("p_full")))
 
 
+def q_gbm_lineitem(spark, d):
+    """Fused gradient boosting at size: 3 fold models + refit over every
+    lineitem row (10 trees, depth 3) — the scale carrier of the learners."""
+    from metablend.plans.ensembles import prepare_lineitem_trees
+    prep = prepare_lineitem_trees(spark, d, k=K)
+    return rnd(E.learner_scores(prep, S["gbm"], K))
+
+
+def q_stack_resubstitution(spark, d):
+    """M6: the logistic stack scored on its own training rows."""
+    prep = E.prepare_trees(spark, d, k=2)
+    return E.stack(prep, [B[n] for n in FULL], 2, "logreg", rows="train")
+
+
 MODEL_QUERIES = {
     "ada_model": _learner("ada"),
     "gbm_model": _learner("gbm"),
@@ -166,4 +180,6 @@ MODEL_QUERIES = {
     "nested_cv": q_nested_cv,
     "blend_tuned": q_blend_tuned,
     "bagging_model": q_bagging_model,
+    "gbm_lineitem": q_gbm_lineitem,
+    "stack_resubstitution": q_stack_resubstitution,
 }
