@@ -188,7 +188,25 @@ def _best_splits(rows: DataFrame, p: TreeParams, depth_ok: Column | None,
 
 def _best_splits_local(rows: DataFrame, p: TreeParams, masks: dict | None) -> list:
     """Same selection as the Spark path over a collected (bounded) histogram."""
-    pdf = _histogram(rows).toPandas()
+    return _scan_hist(_histogram(rows).toPandas(), p, masks)
+
+
+def _sibling_hist(parent: pd.DataFrame, small: pd.DataFrame, pairs: dict) -> pd.DataFrame:
+    """Histogram subtraction: sibling = parent − smaller child, per (slot, f, b).
+    ``pairs``: (slot, parent) → (small child, sibling)."""
+    if parent.empty:
+        return parent
+    par = parent.copy()
+    par["small"] = [pairs[(int(s), int(n))][0] for s, n in zip(par["slot"], par["node"])]
+    par["sib"] = [pairs[(int(s), int(n))][1] for s, n in zip(par["slot"], par["node"])]
+    sm = small.rename(columns={"node": "small", "G": "Gs", "H": "Hs", "C": "Cs"})
+    m = par.merge(sm, on=["slot", "small", "f", "b"], how="left").fillna({"Gs": 0.0, "Hs": 0.0, "Cs": 0.0})
+    out = pd.DataFrame({"slot": m["slot"], "node": m["sib"], "f": m["f"], "b": m["b"],
+                        "G": m["G"] - m["Gs"], "H": m["H"] - m["Hs"], "C": m["C"] - m["Cs"]})
+    return out[out["C"] > 0]
+
+
+def _scan_hist(pdf: pd.DataFrame, p: TreeParams, masks: dict | None) -> list:
     if pdf.empty:
         return []
     pdf = pdf.sort_values(["slot", "node", "f", "b"], kind="mergesort").reset_index(drop=True)
@@ -284,12 +302,44 @@ def grow(state: DataFrame, n_slots: int, static: dict[str, list], arrays: list[s
         return _best_splits(ex, p, node_depth < F.element_at(depth_lit, F.col("slot") + 1),
                             eval_keys, n_features)
 
+    def rows_for(st: DataFrame, keys: list[int]) -> DataFrame:
+        ex = gh(explode_slots(st, n_slots, static, arrays, keep))
+        ex = ex.where(F.col("m") & F.element_at(act_lit, F.col("slot") + 1))
+        return ex.where((F.col("node") * n_slots + F.col("slot")).isin(keys))
+
+    def local_ok(n_nodes: int) -> bool:
+        return n_nodes * n_features * p.max_bins <= p.collect_limit
+
+    masks_for = (lambda ks: allowed_features(p, ks, n_features)) if p.feature_k is not None \
+        else (lambda ks: None)
+
     if not best_first:
         done: list[Node] = []
         level = 0
         eval_keys = [(s, 1) for s in range(n_slots) if act[s]]
+        prev_hist = None          # collected histogram of the previous level
+        split_prev: list[Node] = []
         while True:
-            nodes = evaluate(state, level, None, eval_keys)
+            if prev_hist is not None and split_prev and local_ok(len(eval_keys)):
+                # Histogram subtraction: aggregate only the smaller child of
+                # each split; its sibling is the parent minus it.
+                pairs, small_keys = {}, []
+                for n in split_prev:
+                    lc, rc = 2 * n.node, 2 * n.node + 1
+                    sm, sib = (lc, rc) if n.left[2] <= n.right[2] else (rc, lc)
+                    pairs[(n.slot, n.node)] = (sm, sib)
+                    small_keys.append(sm * n_slots + n.slot)
+                small = _histogram(rows_for(state, sorted(small_keys))).toPandas()
+                parents = prev_hist[[(int(a), int(b)) in pairs for a, b in
+                                     zip(prev_hist["slot"], prev_hist["node"])]]
+                hist = pd.concat([small, _sibling_hist(parents, small, pairs)], ignore_index=True)
+                nodes = _scan_hist(hist, p, masks_for(eval_keys))
+            elif local_ok(len(eval_keys)):
+                hist = _histogram(rows_for(state, sorted(nd * n_slots + sl for sl, nd in eval_keys))).toPandas()
+                nodes = _scan_hist(hist, p, masks_for(eval_keys))
+            else:
+                hist = None
+                nodes = evaluate(state, level, None, eval_keys)
             done.extend(nodes)
             splits = [n for n in nodes if n.feature is not None]
             if not splits:
@@ -298,6 +348,7 @@ def grow(state: DataFrame, n_slots: int, static: dict[str, list], arrays: list[s
             level += 1
             deeper = False
             eval_keys = []
+            split_prev = []
             for n in splits:
                 if level >= depth_cap[n.slot]:
                     # children sit at the depth cap: leaves, totals known from the split
@@ -306,6 +357,8 @@ def grow(state: DataFrame, n_slots: int, static: dict[str, list], arrays: list[s
                 else:
                     deeper = True
                     eval_keys += [(n.slot, 2 * n.node), (n.slot, 2 * n.node + 1)]
+                    split_prev.append(n)
+            prev_hist = hist
             if not deeper:
                 break
         return state, done
