@@ -124,22 +124,11 @@ def _histogram(rows: DataFrame) -> DataFrame:
             .agg(F.sum("g").alias("G"), F.sum("h").alias("H"), F.sum("c").alias("C")))
 
 
-def _best_splits(rows: DataFrame, p: TreeParams, depth_ok: Column | None,
-                 eval_keys: list[tuple] | None = None, n_features: int | None = None) -> list:
-    """Best split per (slot, node).  The histogram is always built by Spark.
-    When its size bound (nodes x features x bins) is small it is collected
-    and scanned with numpy; otherwise the prefix sums and the arg-max run in
-    Spark and only one row per (slot, node, feature) comes back."""
-    masks = None
-    if p.feature_k is not None and eval_keys is not None and n_features:
-        masks = allowed_features(p, eval_keys, n_features)
-    if eval_keys is not None and n_features and len(eval_keys) * n_features * p.max_bins <= p.collect_limit:
-        return _best_splits_local(rows, p, masks)
-    hist = _histogram(rows)
-    if masks is not None:
-        mk = lookup_map([n * MASK_MUL + s for s, n in masks], list(masks.values()), "bigint")
-        bits = F.element_at(mk, F.col("node") * MASK_MUL + F.col("slot"))
-        hist = hist.where(F.call_function("shiftright", bits, F.col("f")) % 2 == 1)
+def split_candidates(hist: DataFrame, p: TreeParams, depth_ok: Column | None = None) -> DataFrame:
+    """Spark-side split search over a histogram ``(slot, node, f, b, G, H, C)``:
+    prefix sums per (slot, node, feature) by a window, the learner's gain, and
+    the best admissible cut per (slot, node, feature) as a struct ``best``
+    (ties: rounded gain, then lowest feature, then lowest bin)."""
     wcum = Window.partitionBy("slot", "node", "f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     wall = Window.partitionBy("slot", "node", "f")
     h2 = hist.select(
@@ -161,11 +150,29 @@ def _best_splits(rows: DataFrame, p: TreeParams, depth_ok: Column | None,
         F.round(gain, 9).alias("rg"), (-F.col("f")).alias("nf"), (-F.col("b")).alias("nb"),
         gain.alias("gain"), GL.alias("GL"), HL.alias("HL"), CL.alias("CL"),
         GR.alias("GR"), HR.alias("HR"), CR.alias("CR")))
-    # grouping by the window's own partition keys adds no exchange; only the
-    # best cut per (slot, node, feature) comes back to the driver
-    per_feature = h2.groupBy("slot", "node", "f").agg(
+    # grouping by the window's own partition keys adds no exchange
+    return h2.groupBy("slot", "node", "f").agg(
         F.first("Gt").alias("G"), F.first("Ht").alias("H"), F.first("Ct").alias("C"),
         F.max(cand).alias("best"))
+
+
+def _best_splits(rows: DataFrame, p: TreeParams, depth_ok: Column | None,
+                 eval_keys: list[tuple] | None = None, n_features: int | None = None) -> list:
+    """Best split per (slot, node).  The histogram is always built by Spark.
+    When its size bound (nodes x features x bins) is small it is collected
+    and scanned with numpy; otherwise the prefix sums and the arg-max run in
+    Spark and only one row per (slot, node, feature) comes back."""
+    masks = None
+    if p.feature_k is not None and eval_keys is not None and n_features:
+        masks = allowed_features(p, eval_keys, n_features)
+    if eval_keys is not None and n_features and len(eval_keys) * n_features * p.max_bins <= p.collect_limit:
+        return _best_splits_local(rows, p, masks)
+    hist = _histogram(rows)
+    if masks is not None:
+        mk = lookup_map([n * MASK_MUL + s for s, n in masks], list(masks.values()), "bigint")
+        bits = F.element_at(mk, F.col("node") * MASK_MUL + F.col("slot"))
+        hist = hist.where(F.call_function("shiftright", bits, F.col("f")) % 2 == 1)
+    per_feature = split_candidates(hist, p, depth_ok)
     by_node: dict[tuple, Node] = {}
     best_key: dict[tuple, tuple] = {}
     for r in per_feature.collect():

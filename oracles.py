@@ -231,6 +231,51 @@ of AS (SELECT model, fold, avg(CASE WHEN label = CAST(p >= {D(0.5)} AS INTEGER)
        FROM ol GROUP BY model, fold)"""
 
 
+# first boosting round at the root (width-16 bins, feature order as the engine's bins array)
+ROOT = PREP + f""",
+nb AS (SELECT greatest(max(lang_code) + 1, 2) AS nl, greatest(max(toxic) + 1, 2) AS nt FROM p WHERE split = 'train'),
+tr AS (SELECT p.*, least(greatest(lang_code, 0), nl - 1) AS bl, least(greatest(toxic, 0), nt - 1) AS bt
+       FROM p, nb WHERE split = 'train'),
+p0 AS (SELECT avg(label) AS r FROM tr)"""
+
+ROOT_FEATURES = ["bc", "bw", "bu", "bn", "bl", "bt"]
+
+
+def root_hist_cte(g: str, h: str) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT {i} AS f, {b} AS b, {g} AS g, {h} AS h FROM tr, p0" for i, b in enumerate(ROOT_FEATURES))
+    return f""",
+gr AS ({parts}),
+hist AS (SELECT f, b, sum(g) AS G, sum(h) AS H, CAST(count(*) AS DOUBLE) AS C FROM gr GROUP BY f, b),
+cum AS (SELECT f, b, sum(G) OVER (PARTITION BY f ORDER BY b ROWS UNBOUNDED PRECEDING) AS GL,
+               sum(H) OVER (PARTITION BY f ORDER BY b ROWS UNBOUNDED PRECEDING) AS HL,
+               sum(C) OVER (PARTITION BY f ORDER BY b ROWS UNBOUNDED PRECEDING) AS CL,
+               sum(G) OVER (PARTITION BY f) AS Gt, sum(H) OVER (PARTITION BY f) AS Ht,
+               sum(C) OVER (PARTITION BY f) AS Ct FROM hist),
+lr AS (SELECT *, Gt - GL AS GR, Ht - HL AS HR, Ct - CL AS CR FROM cum)"""
+
+
+NEWTON_G = f"(r - CAST(label AS DOUBLE))"
+GBM_G = f"(CAST(label AS DOUBLE) - r)"
+PH = f"(r * ({D(1)} - r))"
+GAIN = {
+    "newton": f"{D(0.5)} * (GL * GL / (HL + {D(1)}) + GR * GR / (HR + {D(1)}) - Gt * Gt / (Ht + {D(1)}))",
+    "variance": "GL * GL / CL + GR * GR / CR - Gt * Gt / Ct",
+    "gini": f"{D(2)} * Gt * (Ht - Gt) / Ht - {D(2)} * GL * (HL - GL) / HL - {D(2)} * GR * (HR - GR) / HR",
+}
+VALID = {
+    "newton": f"CL >= 1 AND CR >= 1 AND Ct >= 2 AND HL >= {D(1)} AND HR >= {D(1)}",
+    "variance": "CL >= 1 AND CR >= 1 AND Ct >= 2",
+    "gini": "CL >= 1 AND CR >= 1 AND Ct >= 2 AND HL > 0 AND HR > 0",
+}
+
+
+def root_split_sql(kind: str, g: str, h: str) -> str:
+    return f"""WITH {ROOT}{root_hist_cte(g, h)},
+cand AS (SELECT *, {GAIN[kind]} AS gain FROM lr WHERE {VALID[kind]}),
+best AS (SELECT * FROM cand WHERE gain > {D(1e-12)} ORDER BY round(gain, 9) DESC, f ASC, b ASC LIMIT 1)"""
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_typed"] = f"""WITH {DQ}
@@ -439,4 +484,15 @@ ev AS (SELECT tb.label, coalesce(mu.r, {D(0.5)}) AS pu, coalesce(mn.r, {D(0.5)})
        FROM tb LEFT JOIN mu ON mu.bu = tb.bu LEFT JOIN mn ON mn.bn = tb.bn WHERE tb.origin = 'b'),
 el AS (SELECT 'p_uniq' AS model, label, pu AS score FROM ev UNION ALL SELECT 'p_nonalpha', label, pn FROM ev
        UNION ALL SELECT 'blend', label, (pu + pn) / {D(2)} FROM ev)""" + metric_rows_by("el")
+    q["newton_hist"] = f"""WITH {ROOT}{root_hist_cte(NEWTON_G, PH)}
+SELECT f AS feature, b AS bin, round(G, 6) AS g_sum, round(H, 6) AS h_sum, CAST(C AS BIGINT) AS rows FROM hist"""
+    cols = """f AS feature, b AS cut, round(gain, 6) AS gain, round(GL, 6) AS g_left, round(HL, 6) AS h_left,
+       CAST(CL AS BIGINT) AS n_left, round(GR, 6) AS g_right, round(HR, 6) AS h_right, CAST(CR AS BIGINT) AS n_right"""
+    q["newton_round"] = root_split_sql("newton", NEWTON_G, PH) + f"\nSELECT {cols} FROM best"
+    q["gbm_round"] = root_split_sql("variance", GBM_G, PH) + f"\nSELECT {cols} FROM best"
+    q["ada_stump_round"] = root_split_sql("gini", "CAST(label AS DOUBLE)", D(1)) + f""",
+e AS (SELECT *, (least(round(GL, 6), round(HL, 6) - round(GL, 6)) + least(round(GR, 6), round(HR, 6) - round(GR, 6)))
+               / (round(HL, 6) + round(HR, 6)) AS err FROM best)
+SELECT f AS feature, b AS cut, round(gain, 6) AS gain, CAST(CL AS BIGINT) AS n_left, CAST(CR AS BIGINT) AS n_right,
+       round(err, 6) AS err, round(ln(({D(1)} - err) / err), 6) AS alpha FROM e"""
     return q
