@@ -65,7 +65,21 @@ def root_split(spark: SparkSession, d: str, criterion: str) -> DataFrame:
                       F.round(err, 6).alias("err"), F.round(F.log((1.0 - err) / err), 6).alias("alpha"))
 
 
+def newton_tree_depth2(spark: SparkSession, d: str) -> DataFrame:
+    """The first Newton tree grown to depth 2 by the fused grower itself
+    (rows moved by the split map, level 1 by histogram subtraction, leaf
+    weights −lr·G/(H+λ)), as its tree table."""
+    from metablend.operators.learners import BoostSlot, fit_boost
+    prep, _ = prepared_doc(spark, d, seed=42, test_frac=0.2, k=3, n_bins=16, kind="width", as_array=True)
+    p = TreeParams("newton", max_depth=2, lam=1.0, min_hess=1.0)
+    fit = fit_boost(prep.select("row_id", "label", "split", "fold", "bins"), "newton",
+                    [BoostSlot(-1, 1, 0.3, 2)], params=p)
+    return fit.trees_df(spark, "newton").select(
+        "node", "feature", "cut", F.round("leaf", 6).alias("leaf"))
+
+
 ROUND_QUERIES = {
+    "newton_tree_depth2": newton_tree_depth2,
     "newton_hist": lambda s, d: root_histogram(s, d, "newton"),
     "newton_round": lambda s, d: root_split(s, d, "newton"),
     "gbm_round": lambda s, d: root_split(s, d, "variance"),

@@ -495,4 +495,29 @@ e AS (SELECT *, (least(round(GL, 6), round(HL, 6) - round(GL, 6)) + least(round(
                / (round(HL, 6) + round(HR, 6)) AS err FROM best)
 SELECT f AS feature, b AS cut, round(gain, 6) AS gain, CAST(CL AS BIGINT) AS n_left, CAST(CR AS BIGINT) AS n_right,
        round(err, 6) AS err, round(ln(({D(1)} - err) / err), 6) AS alpha FROM e"""
+    feat_case = "CASE best.f " + " ".join(
+        f"WHEN {i} THEN CAST({b} > best.b AS INTEGER)" for i, b in enumerate(ROOT_FEATURES)) + " END"
+    parts1 = " UNION ALL ".join(
+        f"SELECT node, {i} AS f, {b} AS b, {NEWTON_G} AS g, {PH} AS h FROM l1, p0" for i, b in enumerate(ROOT_FEATURES))
+    lr = D(0.3)
+    q["newton_tree_depth2"] = root_split_sql("newton", NEWTON_G, PH) + f""",
+l1 AS (SELECT tr.*, 2 + {feat_case} AS node FROM tr, best),
+g1 AS ({parts1}),
+h1 AS (SELECT node, f, b, sum(g) AS G, sum(h) AS H, CAST(count(*) AS DOUBLE) AS C FROM g1 GROUP BY node, f, b),
+c1 AS (SELECT node, f, b, sum(G) OVER (PARTITION BY node, f ORDER BY b ROWS UNBOUNDED PRECEDING) AS GL,
+              sum(H) OVER (PARTITION BY node, f ORDER BY b ROWS UNBOUNDED PRECEDING) AS HL,
+              sum(C) OVER (PARTITION BY node, f ORDER BY b ROWS UNBOUNDED PRECEDING) AS CL,
+              sum(G) OVER (PARTITION BY node, f) AS Gt, sum(H) OVER (PARTITION BY node, f) AS Ht,
+              sum(C) OVER (PARTITION BY node, f) AS Ct FROM h1),
+r1 AS (SELECT *, Gt - GL AS GR, Ht - HL AS HR, Ct - CL AS CR FROM c1),
+k1 AS (SELECT *, {GAIN['newton']} AS gain FROM r1 WHERE {VALID['newton']}),
+b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, f ASC, b ASC) AS rn
+                      FROM k1 WHERE gain > {D(1e-12)}) WHERE rn = 1),
+t1 AS (SELECT node, sum(G) AS G, sum(H) AS H FROM h1 WHERE f = 0 GROUP BY node)
+SELECT CAST(1 AS BIGINT) AS node, f AS feature, b AS cut, CAST(NULL AS DOUBLE) AS leaf FROM best
+UNION ALL SELECT CAST(node AS BIGINT), f, b, NULL FROM b1
+UNION ALL SELECT CAST(t1.node AS BIGINT), NULL, NULL, round({lr} * (-t1.G / (t1.H + {D(1)})), 6)
+          FROM t1 WHERE t1.node NOT IN (SELECT node FROM b1)
+UNION ALL SELECT CAST(2 * node AS BIGINT), NULL, NULL, round({lr} * (-GL / (HL + {D(1)})), 6) FROM b1
+UNION ALL SELECT CAST(2 * node + 1 AS BIGINT), NULL, NULL, round({lr} * (-GR / (HR + {D(1)})), 6) FROM b1"""
     return q
