@@ -102,13 +102,13 @@ class _State:
 
 # ------------------------------------------------------------------ boosting
 BOOST_PRESETS = {
-    # gradient boosting on residuals with Newton leaf values (sklearn-style)
+    # first-order gradient boosting on residuals, Newton-step leaf values
     "gbm": dict(params=TreeParams("variance", max_depth=3, min_rows_leaf=1, min_rows_split=2),
                 lr=0.1, n_trees=100),
-    # second-order, depth-wise, lambda = 1 (xgboost-style)
+    # second-order, depth-wise, lambda = 1, min child hessian 1
     "newton": dict(params=TreeParams("newton", max_depth=6, lam=1.0, min_hess=1.0),
                    lr=0.3, n_trees=100),
-    # second-order, best-first with a 31-leaf budget, 20 rows per leaf (lightgbm-style)
+    # second-order, best-first with a 31-leaf budget, 20 rows per leaf
     "leafwise": dict(params=TreeParams("newton", max_depth=30, lam=0.0, min_hess=1e-3,
                                        min_rows_leaf=20, max_leaves=31), lr=0.1, n_trees=100),
     # histogram gradient boosting meta-learner defaults (31 leaves, 20 rows/leaf)
