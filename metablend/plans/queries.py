@@ -50,6 +50,15 @@ def q_feature_projection(spark, d):
     return lineitem_return(spark, d).select("row_id", "label", *LINE_CONTINUOUS)
 
 
+def q_rename_columns(spark, d):
+    """S2: a source whose header uses spaces ('l quantity') gets identifier
+    names ('l_quantity'), the same rule the typed CSV reader applies."""
+    from metablend.sources.tables import normalise_names, read_table
+    cols = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    spaced = read_table(spark, d, "lineitem").select(*cols).toDF(*[c.replace("_", " ") for c in cols])
+    return normalise_names(spaced)
+
+
 def q_table_info(spark, d):
     roles = {c: "continuous" for c in DOC_CONTINUOUS}
     roles.update({c: "categorical" for c in DOC_CATEGORICAL})
@@ -339,6 +348,7 @@ def q_two_source_eval(spark, d):
 QUERIES = {
     "scan_typed": q_scan_typed,
     "feature_projection": q_feature_projection,
+    "rename_columns": q_rename_columns,
     "table_info": q_table_info,
     "preview_topk": q_preview_topk,
     "split_counts": q_split_counts,

@@ -281,6 +281,7 @@ def build() -> dict[str, str]:
     q["scan_typed"] = f"""WITH {DQ}
 SELECT row_id, label, origin, {R('n_chars', 'n_chars')}, {R('n_words', 'n_words')},
        {R('uniq_ratio', 'uniq_ratio')}, {R('nonalpha_ratio', 'nonalpha_ratio')}, toxic, lang_code FROM dq"""
+    q["rename_columns"] = "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem"
     q["feature_projection"] = f"WITH {LI} SELECT row_id, label, {', '.join(LINE_COLS)} FROM li"
     roles = [("row_id", "bigint", "key"), ("label", "int", "label"), ("origin", "string", "other"),
              ("n_chars", "double", "continuous"), ("n_words", "double", "continuous"),
