@@ -56,6 +56,7 @@ class TreeParams:
     max_bins: int = 256            # bound on bins per feature (histogram size bound)
     collect_limit: int = 200_000   # histograms up to this many rows are scanned on the driver
     depth_caps: list | None = None # per-slot depth caps (set by grow)
+    slot_tags: list | None = None  # stable per-slot ids for feature hashing (chunked forests)
 
 
 @dataclass
@@ -112,8 +113,9 @@ def allowed_features(p: TreeParams, keys: list[tuple], n_features: int) -> dict[
     wherever and however often it is computed."""
     out = {}
     for slot, node in keys:
+        tag = p.slot_tags[slot] if p.slot_tags is not None else slot
         ranked = sorted(range(n_features), key=lambda f: hashlib.blake2b(
-            f"{p.seed}|{slot}|{node}|{f}".encode(), digest_size=8).digest())
+            f"{p.seed}|{tag}|{node}|{f}".encode(), digest_size=8).digest())
         out[(slot, node)] = sum(1 << f for f in ranked[:p.feature_k])
     return out
 

@@ -319,14 +319,22 @@ class ForestSpec:
 
 
 def _forest_round(prep_state: DataFrame, holds: list[int], spec: ForestSpec, n_features: int,
-                  seed: int, weight: str | None, round_id: int) -> tuple[DataFrame, list[Node], Column]:
-    T = spec.n_trees
+                  seed: int, weight: str | None, round_id: int,
+                  tree_ids: list[int] | None = None) -> tuple[DataFrame, list[Node], Column]:
+    """Grow the trees ``tree_ids`` of every model in one fused run; returns the
+    grown state (``_lv`` = leaf value per slot) and per-model leaf-value sums.
+    Bootstrap and feature choice hash (model, tree), never the slot number, so
+    a forest grown in chunks equals one grown at once."""
+    T_all = spec.n_trees
+    trees = tree_ids if tree_ids is not None else list(range(T_all))
+    T = len(trees)
     S = len(holds) * T
     k = spec.feature_k or max(1, int(math.isqrt(n_features)))
     p = TreeParams("gini", max_depth=spec.max_depth or 30, min_rows_leaf=spec.min_rows_leaf,
                    min_rows_split=spec.min_rows_split, feature_k=k if k < n_features else None,
-                   seed=seed + 7919 * round_id)
-    static = {"hold": [holds[s // T] for s in range(S)], "tree": [s % T for s in range(S)]}
+                   seed=seed + 7919 * round_id,
+                   slot_tags=[(s // T) * T_all + trees[s % T] for s in range(S)])
+    static = {"hold": [holds[s // T] for s in range(S)], "tree": [trees[s % T] for s in range(S)]}
     arrays = [weight] if weight else []
 
     def gh(ex):
@@ -343,22 +351,33 @@ def _forest_round(prep_state: DataFrame, holds: list[int], spec: ForestSpec, n_f
             F.col(weight), lambda x: F.array_repeat(x, T))))
     grown, nodes = grow(prep_state, S, static, arrays, gh, p, None, None, n_features)
     lv = leaf_values(nodes, S, lambda n: n.G / n.H if n.H > 0 else 0.0)
-    per_model = F.transform(F.sequence(F.lit(0), F.lit(len(holds) - 1)), lambda m: F.aggregate(
-        F.slice(F.col("_lv"), m * T + 1, T), F.lit(0.0), lambda a, b: a + b) / float(T))
-    return grown.withColumn("_lv", lv), nodes, per_model
+    per_model_sum = F.transform(F.sequence(F.lit(0), F.lit(len(holds) - 1)), lambda m: F.aggregate(
+        F.slice(F.col("_lv"), m * T + 1, T), F.lit(0.0), lambda a, b: a + b))
+    return grown.withColumn("_lv", lv), nodes, per_model_sum
 
 
 def fit_forest(prep: DataFrame, holdouts: list[int], spec: ForestSpec, n_features: int,
-               seed: int = 42) -> Fitted:
-    """Random forest: all trees of all fold models grow in the same passes.
+               seed: int = 42, max_slots: int = 256) -> Fitted:
+    """Random forest: trees of all fold models grow in the same passes, at most
+    ``max_slots`` (model, tree) pairs per run so the per-task histogram map
+    stays bounded; larger forests run in chunks and sum their leaf values.
     p₁ = mean over trees of the leaf's (bootstrap-weighted) class-1 share."""
-    base = prep.select(*KEEP)
-    grown, nodes, per_model = _forest_round(base, holdouts, spec, n_features, seed, None, 0)
-    out = grown.withColumn("P", per_model).drop("_lv", "_node")
-    T = spec.n_trees
-    trees = [(n.slot // T, n.slot % T, n.node, n.feature, n.cut,
-              (n.G / n.H if n.H > 0 else 0.0) if n.feature is None else None, 1.0 / T) for n in nodes]
-    return Fitted(out.persist(StorageLevel.MEMORY_AND_DISK), len(holdouts), holdouts, trees, "forest")
+    M, T = len(holdouts), spec.n_trees
+    per_run = max(1, max_slots // M)
+    state = prep.select(*KEEP).withColumn("_acc", F.array_repeat(F.lit(0.0), M))
+    trees: list[tuple] = []
+    cached: list[DataFrame] = []
+    for start in range(0, T, per_run):
+        chunk = list(range(start, min(T, start + per_run)))
+        grown, nodes, sums = _forest_round(state, holdouts, spec, n_features, seed, None, 0, chunk)
+        state = (grown.withColumn("_acc", F.zip_with("_acc", sums, lambda a, b: a + b))
+                 .drop("_lv", "_node").persist(StorageLevel.MEMORY_AND_DISK))
+        cached.append(state)
+        C = len(chunk)
+        trees += [(n.slot // C, chunk[n.slot % C], n.node, n.feature, n.cut,
+                   (n.G / n.H if n.H > 0 else 0.0) if n.feature is None else None, 1.0 / T) for n in nodes]
+    out = state.withColumn("P", F.transform("_acc", lambda x: x / float(T))).drop("_acc")
+    return Fitted(out, M, holdouts, trees, "forest")
 
 
 @dataclass
@@ -384,7 +403,7 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
         grown, _, per_model = _forest_round(st.df, holdouts, spec.forest, n_features, seed, "w", r)
         # restore the per-model weight array (the round repeated it per tree)
         T = spec.forest.n_trees
-        cur = grown.withColumn("_p", per_model).withColumn(
+        cur = grown.withColumn("_p", F.transform(per_model, lambda x: x / float(T))).withColumn(
             "w", F.transform(F.sequence(F.lit(0), F.lit(M - 1)), lambda m: F.element_at(F.col("w"), m * T + 1)))
         cur = cur.withColumn("_h", F.transform("_p", lambda x: F.when(x > 0.5, 1.0).otherwise(0.0)))
         cur = cur.drop("_lv", "_node", "_p").persist(StorageLevel.MEMORY_AND_DISK)

@@ -82,3 +82,14 @@ def test_spark_split_search_equals_driver_scan(spark, prep):
     assert [t[5] for t in a] == pytest.approx([t[5] for t in b], abs=1e-12)
     for s in (0, 1):
         assert _p(local, s) == pytest.approx(_p(remote, s))
+
+
+def test_chunked_forest_equals_single_run(spark, prep):
+    from metablend.operators.learners import ForestSpec, fit_forest
+    spec = ForestSpec(6, 3)
+    one = fit_forest(prep, [0, -1], spec, 6, max_slots=64)
+    chunked = fit_forest(prep, [0, -1], spec, 6, max_slots=4)      # 2 trees per run, 3 runs
+    for s in (0, 1):
+        assert _p(one, s) == pytest.approx(_p(chunked, s), abs=1e-12)
+    key = lambda t: tuple(-1 if v is None else v for v in t[:5])
+    assert sorted(map(key, one.trees)) == sorted(map(key, chunked.trees))
