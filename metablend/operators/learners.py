@@ -216,6 +216,29 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
     return Fitted(out, S, holds, trees, kind, {"init": f0})
 
 
+def fit_boost_chunked(prep: DataFrame, kind: str, slots: list[BoostSlot], max_slots: int = 64,
+                      **kw) -> Fitted:
+    """``fit_boost`` over at most ``max_slots`` slots per run (bounded
+    histogram map per task); chunks are joined on ``row_id`` — every fitted
+    state keeps the prepared table's partitioning, so the join does not
+    shuffle — and their probability arrays concatenated in slot order."""
+    if len(slots) <= max_slots:
+        return fit_boost(prep, kind, slots, **kw)
+    fits = [fit_boost(prep, kind, slots[i:i + max_slots], **kw) for i in range(0, len(slots), max_slots)]
+    pcols = [c for c in fits[0].scores.columns if c == "P" or c.startswith("P_")]
+    base = fits[0].scores.select(*keep_cols(prep), *[F.col(c).alias(f"{c}__0") for c in pcols])
+    for j, f in enumerate(fits[1:], start=1):
+        base = base.join(f.scores.select("row_id", *[F.col(c).alias(f"{c}__{j}") for c in pcols]), "row_id")
+    out = base.select(*keep_cols(prep), *[F.concat(*[F.col(f"{c}__{j}") for j in range(len(fits))]).alias(c)
+                                          for c in pcols])
+    trees, off = [], 0
+    for f in fits:
+        trees += [(t[0] + off,) + tuple(t[1:]) for t in f.trees]
+        off += f.n_slots
+    init = [v for f in fits for v in f.extra.get("init", [])]
+    return Fitted(out, len(slots), [s.holdout for s in slots], trees, kind, {"init": init})
+
+
 # ------------------------------------------------------------------ AdaBoost (SAMME)
 @dataclass
 class AdaSlot:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metablend.functions.metrics import accuracy, auc, threshold
-from metablend.operators.learners import BoostSlot, fit_boost
+from metablend.operators.learners import BoostSlot, fit_boost, fit_boost_chunked
 
 
 def expand_grid(grid: dict[str, list]) -> list[dict]:
@@ -32,7 +32,8 @@ def select_best(scores: DataFrame, score: str = "mean_score", ordinal: str = "co
     return scores.withColumn("rank", F.row_number().over(w)).withColumn("selected", F.col("rank") == 1)
 
 
-def tree_grid_search(prep: DataFrame, k: int = 3, grid: dict | None = None, seed: int = 42) -> DataFrame:
+def tree_grid_search(prep: DataFrame, k: int = 3, grid: dict | None = None, seed: int = 42,
+                     max_slots: int = 64) -> DataFrame:
     """Fused CV grid search for gradient boosting (accuracy scorer)."""
     grid = grid or {"learning_rate": [0.1, 0.3], "max_depth": [2, 3], "n_estimators": [5, 10]}
     configs = expand_grid(grid)
@@ -43,7 +44,7 @@ def tree_grid_search(prep: DataFrame, k: int = 3, grid: dict | None = None, seed
         for fold in range(k):
             slots.append(BoostSlot(fold, max(stages), lr, depth))
             meta.append((lr, depth, fold))
-    fit = fit_boost(prep, "gbm", slots, seed=seed, stages=stages)
+    fit = fit_boost_chunked(prep, "gbm", slots, max_slots, seed=seed, stages=stages)
     S = len(slots)
     lit_lr = F.lit([m[0] for m in meta])
     lit_d = F.lit([m[1] for m in meta])
@@ -100,7 +101,7 @@ def add_inner_folds(prep: DataFrame, k_inner: int = 3, seed: int = 43) -> DataFr
 
 
 def nested_search(prep: DataFrame, kind: str, grid: dict, k: int, k_inner: int = 3,
-                  seed: int = 42) -> tuple[DataFrame, dict[int, dict]]:
+                  seed: int = 42, max_slots: int = 64) -> tuple[DataFrame, dict[int, dict]]:
     """Per outer fold, k_inner-fold AUC search over ``grid`` on that fold's
     training rows — all (outer, config, inner) fits in one fused run.
     Returns the score table and the chosen config per outer fold."""
@@ -117,7 +118,8 @@ def nested_search(prep: DataFrame, kind: str, grid: dict, k: int, k_inner: int =
                 meta.append((o, ci, j))
     params = None if kind == "gbm" else TreeParams("newton", max_depth=max(c["max_depth"] for c in configs),
                                                    lam=1.0, min_hess=1.0)
-    fit = fit_boost(nested, "gbm" if kind == "gbm" else "newton", slots, seed=seed, params=params)
+    fit = fit_boost_chunked(nested, "gbm" if kind == "gbm" else "newton", slots, max_slots,
+                            seed=seed, params=params)
     lo, lc, lj = (F.lit([m[0] for m in meta]), F.lit([m[1] for m in meta]), F.lit([m[2] for m in meta]))
     tr = fit.scores.where(F.col("split") == "train").select(
         "label", "fold", "inner", F.posexplode("P").alias("s", "score"))

@@ -93,3 +93,14 @@ def test_chunked_forest_equals_single_run(spark, prep):
         assert _p(one, s) == pytest.approx(_p(chunked, s), abs=1e-12)
     key = lambda t: tuple(-1 if v is None else v for v in t[:5])
     assert sorted(map(key, one.trees)) == sorted(map(key, chunked.trees))
+
+
+def test_chunked_grid_equals_single_run(spark, prep):
+    from metablend.plans.search import tree_grid_search
+    grid = {"learning_rate": [0.1, 0.3], "max_depth": [2], "n_estimators": [2, 3]}
+    cols = ["learning_rate", "max_depth", "n_estimators", "mean_score", "std_score", "config_ordinal", "rank"]
+    one = sorted(tuple(r) for r in tree_grid_search(prep, 3, grid, max_slots=64).select(*cols).collect())
+    chunked = sorted(tuple(r) for r in tree_grid_search(prep, 3, grid, max_slots=2).select(*cols).collect())
+    assert len(one) == len(chunked) == 4
+    for a, b in zip(one, chunked):
+        assert a == pytest.approx(b)
