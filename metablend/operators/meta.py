@@ -45,10 +45,15 @@ def base_table(parts: list[DataFrame]) -> DataFrame:
     """Join per-learner columns on the row key (co-partitioned: no shuffle).
     The meta-feature table is read by the meta fit, its scoring and the
     evaluation, so it is persisted (rows x learners doubles)."""
+    n_part = parts[0].rdd.getNumPartitions()
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p.drop("label", "split", "fold"), "row_id")
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+    # Spark keeps the co-partitioning only when it has at least
+    # spark.sql.shuffle.partitions partitions (the large-table case); a small
+    # table is re-shuffled, so bring it back to its own size before the
+    # meta-learner iterates over it.
+    return out.coalesce(n_part).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def logreg(train: DataFrame, cols: list[str], C: float = 1.0, max_iter: int = 100,
