@@ -100,6 +100,12 @@ def q_split_stratified(spark, d):
         .select("row_id", "label", "split")
 
 
+def q_kfold_hash(spark, d):
+    """D3 narrow mode: fold = h % k (stream-safe, approximately balanced)."""
+    from metablend.operators.keys import hash_folds
+    return hash_folds(orders_status(spark, d), K_ORDERS, SEED).select("row_id", "fold")
+
+
 def q_kfold_assign(spark, d):
     return exact_split_folds(orders_status(spark, d), SEED, None, K_ORDERS, stratify=False) \
         .select("row_id", "fold")
@@ -218,6 +224,11 @@ def q_describe_lineitem(spark, d):
     return rnd(G.describe_by_source(lineitem_return(spark, d), LINE_CONTINUOUS))
 
 
+def q_quartiles_by_source(spark, d):
+    """G1 quartiles from a mergeable sketch (approximate: no SQL oracle)."""
+    return rnd(G.quartiles_by_source(doc_quality(spark, d), DOC_CONTINUOUS))
+
+
 def q_category_tvd(spark, d):
     return rnd(G.category_tvd(doc_quality(spark, d), DOC_CATEGORICAL + ["label"], "a", "b"))
 
@@ -357,6 +368,7 @@ QUERIES = {
     "split_hash": q_split_hash,
     "split_exact": q_split_exact,
     "split_stratified": q_split_stratified,
+    "kfold_hash": q_kfold_hash,
     "kfold_assign": q_kfold_assign,
     "kfold_stratified": q_kfold_stratified,
     "fold_balance": q_fold_balance,
@@ -377,6 +389,7 @@ QUERIES = {
     "metric_ap": q_metric_ap,
     "describe_by_source": q_describe_by_source,
     "describe_lineitem": q_describe_lineitem,
+    "quartiles_by_source": q_quartiles_by_source,
     "category_tvd": q_category_tvd,
     "ks_two_sample": q_ks_two_sample,
     "ks_lineitem": q_ks_lineitem,

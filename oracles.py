@@ -302,6 +302,7 @@ FROM dq ORDER BY row_id LIMIT 5"""
 SELECT row_id, CASE WHEN {HASH('row_id')} % 100 < 20 THEN 'test' ELSE 'train' END AS split FROM ord"""
     q["split_exact"] = f"WITH {ORD}, {split_cte('s', 'ord', 0.2, None, False)} SELECT row_id, split FROM s"
     q["split_stratified"] = f"WITH {ORD}, {split_cte('s', 'ord', 0.2, None, True)} SELECT row_id, label, split FROM s"
+    q["kfold_hash"] = f"WITH {ORD} SELECT row_id, CAST({HASH('row_id')} % 5 AS INTEGER) AS fold FROM ord"
     q["kfold_assign"] = f"WITH {ORD}, {split_cte('s', 'ord', None, 5, False)} SELECT row_id, fold FROM s"
     q["kfold_stratified"] = f"WITH {ORD}, {split_cte('s', 'ord', None, 5, True)} SELECT row_id, label, fold FROM s"
     q["fold_balance"] = f"""WITH {split3}
