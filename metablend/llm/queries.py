@@ -5,16 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, prefix_tokens
+from . import decontaminate, exact_dedup, line_chunks, mixing, prefix_tokens, url_graph, warc
 from .common import read_table, work_path
 
 
+def op1_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl, deduplicated = work_path(spark, "warc-crawl"), work_path(spark, "warc-dedup")
+    warc.write_archives(warc.page_records(read_table(spark, sf_dir, "pages")), crawl)
+    warc.deduplicate_archives(spark, crawl, deduplicated)
+    return warc.read_records(spark, deduplicated, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def op5_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = prefix_tokens.count_tokens(read_table(spark, sf_dir, "documents"))
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
                          (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_chunks.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cleaned.select(F.col("row.doc_id").alias("doc_id"), "dedup.n_lines", "dedup.n_removed",
+                          F.sha2(F.col("row.text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op8_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents"),
+                                             read_table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(F.array_sort("item_ids"), ",").cast("binary"), 256).alias("items_sha256"),
+                        decontaminate.is_contaminated().alias("contaminated"))
+
+
+def op9_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_graph.judge_urls(read_table(spark, sf_dir, "pages"))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.dedup(read_table(spark, sf_dir, "documents"), work_path(spark, "digest-index"))
     return rows.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept",
@@ -22,11 +54,44 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_warc_revisit": op1_warc_revisit,
+    "op2_entropy_mix": op2_entropy_mix,
     "op5_prefix_tokens": op5_prefix_tokens,
+    "op7_line_chunks": op7_line_chunks,
+    "op8_fm_decontaminate": op8_fm_decontaminate,
+    "op9_url_graph": op9_url_graph,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 LLM_ORACLES = {
+    "op1_warc_revisit": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+             f AS (SELECT payload_digest, min(page_id) AS first_page FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_page IS NULL OR first_page IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first_page IS DISTINCT FROM page_id THEN first_page END AS refers_to
+        FROM d LEFT JOIN f USING (payload_digest)""",
+    "op8_fm_decontaminate": """
+        WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+             bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+             win AS (SELECT DISTINCT item_id, l, list_slice(w, i, i + l - 1) AS g
+                     FROM (SELECT item_id, w, least(13, len(w)) AS l, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i
+                           FROM bw WHERE len(w) > 0)),
+             dg AS (SELECT doc_id, l, i, list_slice(w, i, i + l - 1) AS g
+                    FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i
+                          FROM dw, (SELECT DISTINCT l FROM win) WHERE len(w) >= l)),
+             m AS (SELECT doc_id, dg.l, i, item_id FROM dg JOIN win ON dg.l = win.l AND dg.g = win.g),
+             hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                     FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM m) GROUP BY doc_id),
+             it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+                    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op10_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                                    'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
