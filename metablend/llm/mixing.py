@@ -142,7 +142,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     def copies_at(phase):
         return (F.floor(F.col("run") + phase) - F.floor(F.col("run_before") + phase)).cast("long")
 
-    tried = rates.withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(PHASES - 1))) / F.lit(float(PHASES)))
+    tried = rates.withColumn("phase", F.explode(F.array(*[F.lit(k / PHASES) for k in range(PHASES)])))
     totals = tried.groupBy("source", "phase").agg(
         F.sum(copies_at(F.col("phase")) * F.col("size")).alias("words"), F.max("target").alias("target"))
     phases = totals.groupBy("source").agg(
