@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_chunks, mixing, prefix_tokens, url_graph, warc
+from . import decontaminate, exact_dedup, line_chunks, mixing, prefix_tokens, toxicity, url_graph, warc
 from .common import read_table, work_path
 
 
@@ -28,6 +28,13 @@ def op5_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), toxicity.is_held_out(F.col("id")).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_chunks.remove_repeats(read_table(spark, sf_dir, "documents"))
     return cleaned.select(F.col("row.doc_id").alias("doc_id"), "dedup.n_lines", "dedup.n_removed",
@@ -57,6 +64,7 @@ LLM_QUERIES = {
     "op1_warc_revisit": op1_warc_revisit,
     "op2_entropy_mix": op2_entropy_mix,
     "op5_prefix_tokens": op5_prefix_tokens,
+    "op6_toxicity": op6_toxicity,
     "op7_line_chunks": op7_line_chunks,
     "op8_fm_decontaminate": op8_fm_decontaminate,
     "op9_url_graph": op9_url_graph,
