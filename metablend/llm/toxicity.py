@@ -54,7 +54,7 @@ CLASS[0x80:] = 28 + np.arange(128)
 # --- channel: what a disguised character may stand for, and costs in nats (fixed values) ---
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
          "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "abcdefghijklmnopqrstuvwxyz"}
-SUBSTITUTE, DROP_REPEAT, DROP_MARK, WORD_BREAK = 1.0, 0.3, 0.7, 2.0
+SUBSTITUTE, KEEP_DIGIT, DROP_REPEAT, DROP_MARK, WORD_BREAK = 1.0, 2.5, 0.3, 0.7, 2.0
 
 
 class CharModel:
@@ -102,7 +102,7 @@ class CharModel:
 
             for (a, b), (cost, byte, back) in states.items():
                 if own:
-                    put((b if a or b else 0, own), cost + self.cost(a, b, own), ch, (ch, back))
+                    put((b if a or b else 0, own), cost + self.cost(a, b, own) + KEEP_DIGIT * (own == DIGIT), ch, (ch, back))
                     if byte == ch and own != DIGIT:
                         put((a, b), cost + DROP_REPEAT, ch, back)
                 else:
@@ -376,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = train.mapInArrow(features, "label double, x array<double>")
     rows = stored(rows, "toxic-evidence").select("label", array_to_vector("x").alias("features"))
-    lr = LogisticRegression(regParam=1e-3, maxIter=50, standardization=True).fit(rows)
+    lr = LogisticRegression(regParam=1e-5, maxIter=100, standardization=True).fit(rows)
     return ToxicityModel(chars, evidence, lr.coefficients.toArray(), float(lr.intercept))
 
 
