@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_chunks, mixing, prefix_tokens, toxicity, url_graph, warc
+from . import bagminhash, decontaminate, exact_dedup, line_chunks, mixing, prefix_tokens, toxicity, url_graph, warc
 from .common import read_table, work_path
 
 
@@ -22,6 +22,11 @@ def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = bagminhash.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+    return classes.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
 def op5_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = prefix_tokens.count_tokens(read_table(spark, sf_dir, "documents"))
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
@@ -63,6 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_warc_revisit": op1_warc_revisit,
     "op2_entropy_mix": op2_entropy_mix,
+    "op3_bagminhash": op3_bagminhash,
     "op5_prefix_tokens": op5_prefix_tokens,
     "op6_toxicity": op6_toxicity,
     "op7_line_chunks": op7_line_chunks,
