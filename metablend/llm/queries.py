@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, decontaminate, exact_dedup, line_chunks, mixing, prefix_tokens, toxicity, url_graph, warc
+from . import backoff_lm, bagminhash, decontaminate, exact_dedup, line_chunks, mixing, prefix_tokens, toxicity, url_graph, warc
 from .common import read_table, work_path
 
 
@@ -27,6 +27,11 @@ def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("id").alias("doc_id"), "class_id", "class_size")
 
 
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff_lm.backoff_scores(read_table(spark, sf_dir, "documents"))
+    return scored.select(F.col("id").alias("doc_id"), "n_words", "n_trigrams", F.round("score", 4).alias("score"))
+
+
 def op5_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = prefix_tokens.count_tokens(read_table(spark, sf_dir, "documents"))
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
@@ -69,6 +74,7 @@ LLM_QUERIES = {
     "op1_warc_revisit": op1_warc_revisit,
     "op2_entropy_mix": op2_entropy_mix,
     "op3_bagminhash": op3_bagminhash,
+    "op4_stupid_backoff": op4_stupid_backoff,
     "op5_prefix_tokens": op5_prefix_tokens,
     "op6_toxicity": op6_toxicity,
     "op7_line_chunks": op7_line_chunks,
@@ -86,6 +92,27 @@ LLM_ORACLES = {
                CASE WHEN first_page IS NULL OR first_page IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first_page IS DISTINCT FROM page_id THEN first_page END AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)""",
+    "op4_stupid_backoff": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+             e AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
+                   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+             c1 AS (SELECT c, count(*) AS n FROM e GROUP BY c),
+             c2 AS (SELECT b, c, count(*) AS n FROM e WHERE i > 1 GROUP BY b, c),
+             c3 AS (SELECT a, b, c, count(*) AS n FROM e WHERE i > 2 GROUP BY a, b, c),
+             s AS (SELECT e.doc_id, e.i, c3.n AS n3, x.n AS n2, y.n AS n2before, u.n AS n1, v.n AS n1before,
+                          (SELECT count(*) FROM e) AS total
+                   FROM e JOIN c1 u ON u.c = e.c LEFT JOIN c1 v ON v.c = e.b
+                   LEFT JOIN c2 x ON x.b = e.b AND x.c = e.c LEFT JOIN c2 y ON y.b = e.a AND y.c = e.b
+                   LEFT JOIN c3 ON c3.a = e.a AND c3.b = e.b AND c3.c = e.c),
+             l AS (SELECT doc_id, CASE WHEN i > 2 AND n3 >= 2 THEN 1 ELSE 0 END AS tri,
+                          CASE WHEN i > 2 AND n3 >= 2 THEN ln(n3 / n2before)
+                               ELSE CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+                                    + CASE WHEN i > 1 AND n2 >= 2 THEN ln(n2 / n1before)
+                                           ELSE CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END + ln(n1 / total) END END AS v FROM s)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(tri, 0) AS BIGINT) AS n_trigrams,
+               round(coalesce(v, 0.0), 4) AS score
+        FROM d LEFT JOIN (SELECT doc_id, sum(tri) AS tri, sum(v) AS v FROM l GROUP BY doc_id) USING (doc_id)""",
     "op8_fm_decontaminate": """
         WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                         'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
