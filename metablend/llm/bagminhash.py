@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import stored
 from .components import components
@@ -167,8 +168,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[own].ravel().view(np.int64)))],
                     ["id", "th", "node", "bands"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, th bigint, node binary, bands array<bigint>")
+    return rows.mapInArrow(run, StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL(
+        "th bigint, node binary, bands array<bigint>").fields]))
 
 
 def node_shingles(docs: DataFrame, text_col: str) -> DataFrame:

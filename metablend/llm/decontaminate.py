@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .fm_index import FMIndex
 from .words import TO_LOWER, Words, count_by_row, word_slices
@@ -37,8 +38,7 @@ from .words import TO_LOWER, Words, count_by_row, word_slices
 WINDOW = 13
 BLOCK_BYTES = 64 << 20
 SHARD_BYTES = 4 << 20
-RESULT = ("id {id}, n_words bigint, n_hit bigint, item_ids array<string>, "
-          "spans array<struct<start:bigint,end:bigint>>")
+RESULT = "n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
 class Windows:
@@ -185,11 +185,14 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                        block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document ``id, n_words, n_hit, item_ids, spans`` (byte ranges of the text to remove)."""
+    """Per document ``id, n_words, n_hit, item_ids, spans`` (byte ranges of the text to remove).
+
+    The id may be of any type, also a struct of a whole row, which then comes back with its judgement.
+    """
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(Windows(t, window))
               for t in _blocks(benchmark, item_id_col, item_text_col, block_bytes)]
-    id_type = docs.schema[id_col].dataType.simpleString()
+    result = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL(RESULT).fields])
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +220,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 ["id", "n_words", "n_hit", "item_ids", "spans"])
 
-    return rows.mapInArrow(run, RESULT.format(id=id_type))
+    return rows.mapInArrow(run, result)
 
 
 def is_contaminated(n_words="n_words", n_hit="n_hit"):

@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MODEL_NAME = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -263,7 +264,6 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     they are; an empty table gives an empty result; columns other than the id and
     the text are not read.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,4 +275,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), nbytes, pa.array(total, pa.int64())],
                                              ["id", "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(run, f"id {id_type}, n_bytes bigint, n_tokens bigint")
+    return rows.mapInArrow(run, StructType([rows.schema["id"], *StructType.fromDDL("n_bytes bigint, n_tokens bigint").fields]))

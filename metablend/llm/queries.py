@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import backoff_lm, bagminhash, decontaminate, exact_dedup, line_chunks, mixing, prefix_tokens, toxicity, url_graph, warc
 from .common import read_table, work_path
 
@@ -70,7 +72,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("digest").alias("text_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 LLM_QUERIES = {
+    "pipeline": pipeline,
     "op1_warc_revisit": op1_warc_revisit,
     "op2_entropy_mix": op2_entropy_mix,
     "op3_bagminhash": op3_bagminhash,

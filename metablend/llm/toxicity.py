@@ -33,6 +33,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import stored
 from .words import IS_WORD, TO_LOWER, slices, text_buffers
@@ -381,13 +382,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text",
-          keep: list[str] | None = None) -> DataFrame:
-    """``id, score`` of every row (or the columns ``keep`` of ``docs`` and ``score``); narrow."""
+          keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """``id, score`` of every row (or the columns ``keep`` of ``docs`` and ``score_col``); narrow."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = keep or [id_col]
     rows = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"),
                        docs[text_col].alias("text"))
-    row_type = rows.schema["row"].dataType.simpleString()
+    result = StructType([rows.schema["row"], StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
@@ -396,6 +397,6 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fitted.scores(restorer, batch.column(1)))],
                                              ["row", "score"])
 
-    scored = rows.mapInArrow(run, f"row {row_type}, score double")
     names = columns if keep else ["id"]
-    return scored.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)], "score")
+    return rows.mapInArrow(run, result).select(
+        *[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)], F.col("score").alias(score_col))
