@@ -2,50 +2,49 @@
 
 Many trees ("slots": fold models, grid configs, forest members) grow in the
 same Spark job.  Each row of the state table carries its binned features
-(``bins ARRAY<INT>``) and one node id per slot (``_node ARRAY<BIGINT>``, heap
-numbering: children of n are 2n and 2n+1).  One pass per tree level:
-
-1. explode the slots (``inline(arrays_zip(...))``), let the learner attach a
-   gradient ``g``, hessian/weight ``h``, count ``c`` and a training mask,
-2. explode the bins and ``groupBy(slot, node, feature, bin).sum(g, h, c)`` —
-   partial aggregation runs map-side, so the shuffle carries at most
-   slots x nodes x features x bins rows per task whatever the row count,
-3. prefix-sum the bins per (slot, node, feature) with a window over that
-   small histogram, score every cut with the learner's gain, and keep the
-   best per (slot, node) with ``max(struct(gain, -feature, -bin, ...))``
-   (ties → lowest feature, then lowest bin; gains rounded to 1e-9),
-4. collect only the chosen splits (O(slots x nodes) rows) and move rows to
-   their children with one literal-map lookup per slot — a narrow projection.
+(``bins ARRAY<INT>``) and one node number per slot (``_node ARRAY<INT>``;
+nodes are numbered per slot in the order they are made, the two children of a
+split next to each other).  One pass per tree level:
+
+1. explode the slots (``inline(arrays_zip(...))``), keep the rows whose node is
+   on the frontier, let the learner attach a gradient ``g``, hessian/weight
+   ``h``, count ``c`` and a training mask,
+2. explode the bins (forests: only the features a node may try) and sum
+   g, h, c per (frontier node, feature, bin) — one packed key, partial
+   aggregation map-side, so the shuffle carries at most nodes x features x bins
+   rows per task whatever the row count,
+3. prefix-sum the bins with a window over that small histogram, score every
+   cut with the learner's gain, and keep the best per node (ties → rounded
+   gain, then lowest feature, then lowest bin); all of it in Spark, whatever
+   the size of the histogram,
+4. bring back only the chosen splits (one row per node) and move rows to their
+   children: the splits are literal arrays indexed by slot and node number,
+   so a row costs the same whatever the number of nodes.
 
 Depth-wise growth splits every admissible node per level.  Best-first growth
-(a leaf budget) is exact: while the budget cannot bind (2^depth <= leaves) it
-is the same tree as depth-wise; otherwise one split per slot per pass, always
-the highest-gain open leaf.
+(a leaf budget) is exact: children of every open candidate are evaluated, the
+best-first order is replayed on the (model-sized) node table, and the number
+of passes is the depth of the tree.
 """
 
 from __future__ import annotations
 
-import dataclasses
 import hashlib
+import json
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metablend.operators.literals import arr, lookup_map
+from metablend.operators.literals import arr
 
-CODE = 65536          # split code = feature * CODE + bin
 EPS_GAIN = 1e-12
-MASK_MUL = 1 << 20    # (slot, node) key for feature masks: node * MASK_MUL + slot
 
 
 @dataclass
 class TreeParams:
     criterion: str                 # newton | variance | gini
-    max_depth: int = 3
+    max_depth: int | None = 3      # None: no limit (pure or small nodes stop)
     lam: float = 0.0               # L2 on leaf weights (newton)
     min_hess: float = 0.0          # minimum hessian sum per child (newton)
     min_rows_leaf: int = 1
@@ -53,24 +52,28 @@ class TreeParams:
     max_leaves: int | None = None  # best-first budget
     feature_k: int | None = None   # features tried per node (forests)
     seed: int = 42
-    max_bins: int = 256            # bound on bins per feature (histogram size bound)
-    collect_limit: int = 200_000   # histograms up to this many rows are scanned on the driver
-    depth_caps: list | None = None # per-slot depth caps (set by grow)
     slot_tags: list | None = None  # stable per-slot ids for feature hashing (chunked forests)
 
 
 @dataclass
 class Node:
     slot: int
-    node: int
-    G: float
-    H: float
-    C: float
+    node: int                      # heap number (children 2n, 2n + 1): identity for hashing and ties
+    G: float = 0.0
+    H: float = 0.0
+    C: float = 0.0
     feature: int | None = None
     cut: int | None = None
     gain: float = 0.0
     left: tuple | None = None      # (G, H, C) of the left child
     right: tuple | None = None
+    index: int = 0                 # number within the slot
+    left_index: int | None = None  # the left child's number; the right child's is one more
+    known: bool = False            # its own best split has been searched
+
+    @property
+    def depth(self) -> int:
+        return self.node.bit_length() - 1
 
 
 def _gain(p: TreeParams, GL: Column, HL: Column, CL: Column, GR: Column, HR: Column,
@@ -107,17 +110,19 @@ def explode_slots(state: DataFrame, n_slots: int, static: dict[str, list],
     return state.select(*keep, F.inline(F.arrays_zip(*cols)))
 
 
-def allowed_features(p: TreeParams, keys: list[tuple], n_features: int) -> dict[tuple, int]:
-    """Per (slot, node): bitmask of the ``feature_k`` features a forest node
-    may try — a fixed hash of (seed, slot, node, feature), so it is the same
-    wherever and however often it is computed."""
-    out = {}
-    for slot, node in keys:
-        tag = p.slot_tags[slot] if p.slot_tags is not None else slot
-        ranked = sorted(range(n_features), key=lambda f: hashlib.blake2b(
-            f"{p.seed}|{tag}|{node}|{f}".encode(), digest_size=8).digest())
-        out[(slot, node)] = sum(1 << f for f in ranked[:p.feature_k])
-    return out
+def tried_features(p: TreeParams, slot: int, node: int, n_features: int) -> list[int]:
+    """The ``feature_k`` features a forest node may try — a fixed hash of
+    (seed, slot, node, feature), so it is the same wherever and however often
+    it is computed."""
+    tag = p.slot_tags[slot] if p.slot_tags is not None else slot
+    ranked = sorted(range(n_features), key=lambda f: hashlib.blake2b(
+        f"{p.seed}|{tag}|{node}|{f}".encode(), digest_size=8).digest())
+    return sorted(ranked[:p.feature_k])
+
+
+def nested(values: list[list], t: str) -> Column:
+    """Literal ``ARRAY<ARRAY<t>>``, parsed once from one string and folded to a constant."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<array<{t}>>")
 
 
 def _histogram(rows: DataFrame) -> DataFrame:
@@ -126,15 +131,15 @@ def _histogram(rows: DataFrame) -> DataFrame:
             .agg(F.sum("g").alias("G"), F.sum("h").alias("H"), F.sum("c").alias("C")))
 
 
-def split_candidates(hist: DataFrame, p: TreeParams, depth_ok: Column | None = None) -> DataFrame:
-    """Spark-side split search over a histogram ``(slot, node, f, b, G, H, C)``:
-    prefix sums per (slot, node, feature) by a window, the learner's gain, and
-    the best admissible cut per (slot, node, feature) as a struct ``best``
-    (ties: rounded gain, then lowest feature, then lowest bin)."""
-    wcum = Window.partitionBy("slot", "node", "f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy("slot", "node", "f")
+def split_candidates(hist: DataFrame, p: TreeParams, keys: tuple = ("slot", "node")) -> DataFrame:
+    """Split search over a histogram ``(*keys, f, b, G, H, C)``: prefix sums per
+    (node, feature) by a window, the learner's gain, and the best admissible
+    cut per (node, feature) as a struct ``best`` (ties: rounded gain, then
+    lowest feature, then lowest bin)."""
+    wcum = Window.partitionBy(*keys, "f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    wall = Window.partitionBy(*keys, "f")
     h2 = hist.select(
-        "slot", "node", "f", "b",
+        *keys, "f", "b",
         F.sum("G").over(wcum).alias("GL"), F.sum("H").over(wcum).alias("HL"), F.sum("C").over(wcum).alias("CL"),
         F.sum("G").over(wall).alias("Gt"), F.sum("H").over(wall).alias("Ht"), F.sum("C").over(wall).alias("Ct"))
     GL, HL, CL = F.col("GL"), F.col("HL"), F.col("CL")
@@ -145,141 +150,69 @@ def split_candidates(hist: DataFrame, p: TreeParams, depth_ok: Column | None = N
         valid = valid & (HL >= p.min_hess) & (HR >= p.min_hess)
     if p.criterion == "gini":
         valid = valid & (HL > 0) & (HR > 0)
-    if depth_ok is not None:
-        valid = valid & depth_ok
     gain = _gain(p, GL, HL, CL, GR, HR, CR, Gt, Ht, Ct)
     cand = F.when(valid & (gain > EPS_GAIN), F.struct(
         F.round(gain, 9).alias("rg"), (-F.col("f")).alias("nf"), (-F.col("b")).alias("nb"),
         gain.alias("gain"), GL.alias("GL"), HL.alias("HL"), CL.alias("CL"),
         GR.alias("GR"), HR.alias("HR"), CR.alias("CR")))
     # grouping by the window's own partition keys adds no exchange
-    return h2.groupBy("slot", "node", "f").agg(
+    return h2.groupBy(*keys, "f").agg(
         F.first("Gt").alias("G"), F.first("Ht").alias("H"), F.first("Ct").alias("C"),
         F.max(cand).alias("best"))
 
 
-def _best_splits(rows: DataFrame, p: TreeParams, depth_ok: Column | None,
-                 eval_keys: list[tuple] | None = None, n_features: int | None = None) -> list:
-    """Best split per (slot, node).  The histogram is always built by Spark.
-    When its size bound (nodes x features x bins) is small it is collected
-    and scanned with numpy; otherwise the prefix sums and the arg-max run in
-    Spark and only one row per (slot, node, feature) comes back."""
-    masks = None
-    if p.feature_k is not None and eval_keys is not None and n_features:
-        masks = allowed_features(p, eval_keys, n_features)
-    if eval_keys is not None and n_features and len(eval_keys) * n_features * p.max_bins <= p.collect_limit:
-        return _best_splits_local(rows, p, masks)
-    hist = _histogram(rows)
-    if masks is not None:
-        mk = lookup_map([n * MASK_MUL + s for s, n in masks], list(masks.values()), "bigint")
-        bits = F.element_at(mk, F.col("node") * MASK_MUL + F.col("slot"))
-        hist = hist.where(F.call_function("shiftright", bits, F.col("f")) % 2 == 1)
-    per_feature = split_candidates(hist, p, depth_ok)
-    by_node: dict[tuple, Node] = {}
-    best_key: dict[tuple, tuple] = {}
-    for r in per_feature.collect():
-        key = (int(r["slot"]), int(r["node"]))
-        if key not in by_node:
-            by_node[key] = Node(key[0], key[1], float(r["G"]), float(r["H"]), float(r["C"]))
-        bst = r["best"]
-        if bst is None:
-            continue
-        rank = (float(bst["rg"]), int(bst["nf"]), int(bst["nb"]))
-        if key in best_key and best_key[key] >= rank:
-            continue
-        best_key[key] = rank
-        n = by_node[key]
-        n.feature, n.cut, n.gain = -int(bst["nf"]), -int(bst["nb"]), float(bst["gain"])
-        n.left = (float(bst["GL"]), float(bst["HL"]), float(bst["CL"]))
-        n.right = (float(bst["GR"]), float(bst["HR"]), float(bst["CR"]))
-    return list(by_node.values())
-
-
-def _best_splits_local(rows: DataFrame, p: TreeParams, masks: dict | None) -> list:
-    """Same selection as the Spark path over a collected (bounded) histogram."""
-    return _scan_hist(_histogram(rows).toPandas(), p, masks)
-
-
-def _sibling_hist(parent: pd.DataFrame, small: pd.DataFrame, pairs: dict) -> pd.DataFrame:
-    """Histogram subtraction: sibling = parent − smaller child, per (slot, f, b).
-    ``pairs``: (slot, parent) → (small child, sibling)."""
-    if parent.empty:
-        return parent
-    par = parent.copy()
-    par["small"] = [pairs[(int(s), int(n))][0] for s, n in zip(par["slot"], par["node"])]
-    par["sib"] = [pairs[(int(s), int(n))][1] for s, n in zip(par["slot"], par["node"])]
-    sm = small.rename(columns={"node": "small", "G": "Gs", "H": "Hs", "C": "Cs"})
-    m = par.merge(sm, on=["slot", "small", "f", "b"], how="left").fillna({"Gs": 0.0, "Hs": 0.0, "Cs": 0.0})
-    out = pd.DataFrame({"slot": m["slot"], "node": m["sib"], "f": m["f"], "b": m["b"],
-                        "G": m["G"] - m["Gs"], "H": m["H"] - m["Hs"], "C": m["C"] - m["Cs"]})
-    return out[out["C"] > 0]
-
-
-def _scan_hist(pdf: pd.DataFrame, p: TreeParams, masks: dict | None) -> list:
-    if pdf.empty:
-        return []
-    pdf = pdf.sort_values(["slot", "node", "f", "b"], kind="mergesort").reset_index(drop=True)
-    grp = pdf.groupby(["slot", "node", "f"], sort=False)
-    GL, HL, CL = grp["G"].cumsum().to_numpy(), grp["H"].cumsum().to_numpy(), grp["C"].cumsum().to_numpy()
-    Gt, Ht, Ct = (grp["G"].transform("sum").to_numpy(), grp["H"].transform("sum").to_numpy(),
-                  grp["C"].transform("sum").to_numpy())
-    GR, HR, CR = Gt - GL, Ht - HL, Ct - CL
-    slot, node, f, b = (pdf["slot"].to_numpy(), pdf["node"].to_numpy(), pdf["f"].to_numpy(), pdf["b"].to_numpy())
-    depth = np.floor(np.log2(node.astype(float))).astype(int)
-    caps = np.array(p.depth_caps) if p.depth_caps is not None else None
-    with np.errstate(divide="ignore", invalid="ignore"):
-        if p.criterion == "newton":
-            gain = 0.5 * (GL * GL / (HL + p.lam) + GR * GR / (HR + p.lam) - Gt * Gt / (Ht + p.lam))
-        elif p.criterion == "variance":
-            gain = GL * GL / CL + GR * GR / CR - Gt * Gt / Ct
-        else:
-            gain = 2.0 * Gt * (Ht - Gt) / Ht - 2.0 * GL * (HL - GL) / HL - 2.0 * GR * (HR - GR) / HR
-    valid = (CL >= p.min_rows_leaf) & (CR >= p.min_rows_leaf) & (Ct >= p.min_rows_split)
-    if p.criterion == "newton":
-        valid &= (HL >= p.min_hess) & (HR >= p.min_hess)
-    if p.criterion == "gini":
-        valid &= (HL > 0) & (HR > 0)
-    if caps is not None:
-        valid &= depth < caps[slot]
-    if masks is not None:
-        bits = np.array([masks.get((int(s), int(n)), 0) for s, n in zip(slot, node)], dtype=np.int64)
-        valid &= ((bits >> f) & 1) == 1
-    valid &= np.isfinite(gain) & (gain > EPS_GAIN)
-    out: dict[tuple, Node] = {}
-    first = ~pd.Series(list(zip(slot, node))).duplicated().to_numpy()
-    for i in np.nonzero(first)[0]:
-        out[(int(slot[i]), int(node[i]))] = Node(int(slot[i]), int(node[i]), float(Gt[i]), float(Ht[i]), float(Ct[i]))
-    if valid.any():
-        cand = pd.DataFrame({"slot": slot[valid], "node": node[valid], "rg": np.round(gain[valid], 9),
-                             "f": f[valid], "b": b[valid], "i": np.nonzero(valid)[0]})
-        cand = cand.sort_values(["slot", "node", "rg", "f", "b"], ascending=[True, True, False, True, True],
-                                kind="mergesort").drop_duplicates(["slot", "node"])
-        for r in cand.itertuples(index=False):
-            i = int(r.i)
-            n = out[(int(r.slot), int(r.node))]
-            n.feature, n.cut, n.gain = int(r.f), int(r.b), float(gain[i])
-            n.left = (float(GL[i]), float(HL[i]), float(CL[i]))
-            n.right = (float(GR[i]), float(HR[i]), float(CR[i]))
-    return list(out.values())
-
-
-def _move(state: DataFrame, n_slots: int, splits: list[Node]) -> DataFrame:
+def _search(rows: DataFrame, p: TreeParams, n_features: int, tried: list | None, first: list[int]) -> list:
+    """Best split of every frontier node; ``rows`` carry ``slot, place`` (its
+    place on the slot's frontier), ``bins, g, h, c``.  One row per node comes back."""
+    k = F.element_at(arr(first, "bigint"), F.col("slot") + 1) + F.col("place")
+    if tried is None:
+        one = rows.select(k.alias("k"), F.posexplode("bins").alias("f", "b"), "g", "h", "c")
+    else:
+        lists = nested(tried, "int")
+        one = rows.select(k.alias("k"), "bins", "g", "h", "c").select(
+            "k", "bins", "g", "h", "c", F.explode(F.get(lists, F.col("k").cast("int"))).alias("f")).select(
+            "k", "f", F.get("bins", F.col("f")).alias("b"), "g", "h", "c")
+    d = F.lit(n_features).cast("long")
+    # node and feature in one long (exact: fewer than 2^63 pairs fit any table), the bin as it is
+    hist = one.select((F.col("k") * d + F.col("f")).alias("kf"), "b", "g", "h", "c").groupBy("kf", "b").agg(
+        F.sum("g").alias("G"), F.sum("h").alias("H"), F.sum("c").alias("C"))
+    hist = hist.select(F.expr(f"kf div {n_features}").alias("k"), (F.col("kf") % d).cast("int").alias("f"),
+                       "b", "G", "H", "C").repartition("k")
+    best = split_candidates(hist, p, keys=("k",)).groupBy("k").agg(
+        F.first("G").alias("G"), F.first("H").alias("H"), F.first("C").alias("C"), F.max("best").alias("best"))
+    return best.collect()
+
+
+def _move(state: DataFrame, splits: list[Node], n_slots: int) -> DataFrame:
+    """Rows of split nodes go to their children: look-ups by slot and node number."""
     if not splits:
         return state
-    keys = [s.node * n_slots + s.slot for s in splits]
-    codes = [s.feature * CODE + s.cut for s in splits]
-    m = lookup_map(keys, codes, "int")
+    lo = [0] * n_slots
+    feature, cut, left = ([[] for _ in range(n_slots)] for _ in range(3))
+    by_slot: dict[int, dict[int, Node]] = {}
+    for n in splits:
+        by_slot.setdefault(n.slot, {})[n.index] = n
+    for s, own in by_slot.items():
+        lo[s] = min(own)
+        for i in range(min(own), max(own) + 1):
+            n = own.get(i)
+            feature[s].append(n.feature if n else None)
+            cut[s].append(n.cut if n else None)
+            left[s].append(n.left_index if n else None)
+    lo_lit = arr(lo, "int")
+    fl, cl, ll = nested(feature, "int"), nested(cut, "int"), nested(left, "int")
 
     def step(n, i):
-        code = F.element_at(m, n * n_slots + i)
-        go_right = (F.element_at(F.col("bins"), (code / CODE).cast("int") + 1) > code % CODE).cast("long")
-        return F.when(code.isNull(), n).otherwise(n * 2 + go_right)
+        j = n - F.get(lo_lit, i)
+        f = F.get(F.get(fl, i), j)
+        right = (F.get(F.col("bins"), f) > F.get(F.get(cl, i), j)).cast("int")
+        return F.when(f.isNull(), n).otherwise(F.get(F.get(ll, i), j) + right)
     return state.withColumn("_node", F.transform("_node", step))
 
 
 def grow(state: DataFrame, n_slots: int, static: dict[str, list], arrays: list[str],
          gh, p: TreeParams, active: list[bool] | None = None,
-         max_depth: list[int] | None = None,
+         max_depth: list[int | None] | None = None,
          n_features: int | None = None) -> tuple[DataFrame, list[Node]]:
     """Grow one tree per slot.
 
@@ -289,163 +222,120 @@ def grow(state: DataFrame, n_slots: int, static: dict[str, list], arrays: list[s
     (a node with ``feature is None`` is a leaf).
     """
     keep = [c for c in ("row_id", "label", "split", "fold", "inner", "bins") if c in state.columns]
-    depth_cap = max_depth or [p.max_depth] * n_slots
+    caps = max_depth or [p.max_depth] * n_slots
     act = active or [True] * n_slots
-    state = state.withColumn("_node", F.array_repeat(F.lit(1).cast("long"), n_slots))
-    depth_lit, act_lit = arr(depth_cap, "int"), arr(act, "boolean")
-    best_first = p.max_leaves is not None and any(2 ** d > p.max_leaves for d in depth_cap)
-
+    state = state.withColumn("_node", F.array_repeat(F.lit(0), n_slots))
     n_features = n_features or p_features(state)
-    p = dataclasses.replace(p, depth_caps=list(depth_cap))
-
-    def evaluate(st: DataFrame, level: int | None, keys: list[int] | None,
-                 eval_keys: list[tuple]) -> list[Node]:
-        ex = gh(explode_slots(st, n_slots, static, arrays, keep))
-        ex = ex.where(F.col("m") & F.element_at(act_lit, F.col("slot") + 1))
-        if keys is not None:
-            ex = ex.where((F.col("node") * n_slots + F.col("slot")).isin(keys))
-        else:
-            ex = ex.where((F.col("node") >= F.lit(2 ** level))
-                          & (F.lit(level) < F.element_at(depth_lit, F.col("slot") + 1)))
-        node_depth = F.floor(F.log2(F.col("node").cast("double"))).cast("int")
-        return _best_splits(ex, p, node_depth < F.element_at(depth_lit, F.col("slot") + 1),
-                            eval_keys, n_features)
-
-    def rows_for(st: DataFrame, keys: list[int]) -> DataFrame:
-        ex = gh(explode_slots(st, n_slots, static, arrays, keep))
-        ex = ex.where(F.col("m") & F.element_at(act_lit, F.col("slot") + 1))
-        return ex.where((F.col("node") * n_slots + F.col("slot")).isin(keys))
-
-    def local_ok(n_nodes: int) -> bool:
-        return n_nodes * n_features * p.max_bins <= p.collect_limit
-
-    masks_for = (lambda ks: allowed_features(p, ks, n_features)) if p.feature_k is not None \
-        else (lambda ks: None)
-
-    if not best_first:
-        done: list[Node] = []
-        level = 0
-        eval_keys = [(s, 1) for s in range(n_slots) if act[s]]
-        prev_hist = None          # collected histogram of the previous level
-        split_prev: list[Node] = []
-        while True:
-            if prev_hist is not None and split_prev and local_ok(len(eval_keys)):
-                # Histogram subtraction: aggregate only the smaller child of
-                # each split; its sibling is the parent minus it.
-                pairs, small_keys = {}, []
-                for n in split_prev:
-                    lc, rc = 2 * n.node, 2 * n.node + 1
-                    sm, sib = (lc, rc) if n.left[2] <= n.right[2] else (rc, lc)
-                    pairs[(n.slot, n.node)] = (sm, sib)
-                    small_keys.append(sm * n_slots + n.slot)
-                small = _histogram(rows_for(state, sorted(small_keys))).toPandas()
-                parents = prev_hist[[(int(a), int(b)) in pairs for a, b in
-                                     zip(prev_hist["slot"], prev_hist["node"])]]
-                hist = pd.concat([small, _sibling_hist(parents, small, pairs)], ignore_index=True)
-                nodes = _scan_hist(hist, p, masks_for(eval_keys))
-            elif local_ok(len(eval_keys)):
-                hist = _histogram(rows_for(state, sorted(nd * n_slots + sl for sl, nd in eval_keys))).toPandas()
-                nodes = _scan_hist(hist, p, masks_for(eval_keys))
-            else:
-                hist = None
-                nodes = evaluate(state, level, None, eval_keys)
-            done.extend(nodes)
-            splits = [n for n in nodes if n.feature is not None]
-            if not splits:
-                break
-            state = _move(state, n_slots, splits)
-            level += 1
-            deeper = False
-            eval_keys = []
-            split_prev = []
-            for n in splits:
-                if level >= depth_cap[n.slot]:
-                    # children sit at the depth cap: leaves, totals known from the split
-                    done.append(Node(n.slot, 2 * n.node, *n.left))
-                    done.append(Node(n.slot, 2 * n.node + 1, *n.right))
-                else:
-                    deeper = True
-                    eval_keys += [(n.slot, 2 * n.node), (n.slot, 2 * n.node + 1)]
-                    split_prev.append(n)
-            prev_hist = hist
-            if not deeper:
-                break
-        return state, done
-
-    # Best-first with a leaf budget, exact and batched: a node's best split
-    # depends only on its own rows, so children are evaluated speculatively for
-    # every open candidate the best-first order could still pick; the order is
-    # replayed on the driver and only the chosen splits form the tree.  Passes
-    # = depth of the final tree, not one per split.
-    known: dict[tuple, Node] = {}
-    pending = {(s, 1) for s in range(n_slots) if act[s]}
-    final: dict[int, tuple] = {}
-    while pending:
-        for n in evaluate(state, None, sorted(nd * n_slots + sl for sl, nd in pending), sorted(pending)):
-            known[(n.slot, n.node)] = n
-        for sl, nd in pending:                      # nodes without training rows
-            known.setdefault((sl, nd), Node(sl, nd, 0.0, 0.0, 0.0))
-        pending, moves = set(), []
+    trees: list[list[Node]] = [[Node(s, 1)] if act[s] else [] for s in range(n_slots)]
+
+    def may_split(n: Node) -> bool:
+        return caps[n.slot] is None or n.depth < caps[n.slot]
+
+    def search(frontier: list[list[Node]]) -> None:
+        """Fill in totals and best splits of the frontier's nodes."""
+        off = [f[0].index if f else 0 for f in frontier]
+        count = [len(f) for f in frontier]
+        first = [sum(count[:s]) for s in range(n_slots)]
+        order = [n for f in frontier for n in f]
+        tried = None
+        if p.feature_k is not None:
+            tried = [tried_features(p, n.slot, n.node, n_features) for n in order]
+        ex = explode_slots(state, n_slots, {**static, "_off": off, "_count": count}, arrays, keep)
+        ex = ex.withColumn("place", F.col("node") - F.col("_off")).where("place >= 0 AND place < _count")
+        for r in _search(gh(ex).where("m"), p, n_features, tried, first):
+            n = order[int(r["k"])]
+            n.G, n.H, n.C = float(r["G"]), float(r["H"]), float(r["C"])
+            b = r["best"]
+            if b is not None:
+                n.feature, n.cut, n.gain = -int(b["nf"]), -int(b["nb"]), float(b["gain"])
+                n.left = (float(b["GL"]), float(b["HL"]), float(b["CL"]))
+                n.right = (float(b["GR"]), float(b["HR"]), float(b["CR"]))
+        for n in order:
+            n.known = True
+
+    def split(nodes: list[Node]) -> list[list[Node]]:
+        """Make the children; returns them by slot (numbered in a row)."""
+        made: list[list[Node]] = [[] for _ in range(n_slots)]
+        for n in sorted(nodes, key=lambda n: (n.slot, n.index)):
+            own = trees[n.slot]
+            n.left_index = len(own)
+            for side, stats in ((0, n.left), (1, n.right)):
+                child = Node(n.slot, 2 * n.node + side, *stats, index=len(own))
+                own.append(child)
+                made[n.slot].append(child)
+        return made
+
+    frontier = [list(t) for t in trees]
+    if p.max_leaves is None:
+        while any(frontier):
+            search(frontier)
+            splits = [n for f in frontier for n in f if n.feature is not None]
+            children = split(splits)
+            state = _move(state, splits, n_slots)
+            # children at the depth cap are leaves; their totals are known from the split
+            frontier = [c if c and may_split(c[0]) else [] for c in children]
+        return state, [n for t in trees for n in t]
+
+    chosen: list[set[int]] = [set() for _ in range(n_slots)]
+    while any(frontier):
+        search(frontier)
+        for f in frontier:
+            for n in f:
+                if not may_split(n):
+                    n.feature = None
+        blocked = []
         for s in range(n_slots):
-            if not act[s]:
-                continue
-            chosen, open_, blocked = _replay(known, s, p.max_leaves)
-            final[s] = (chosen, open_)
-            for b in blocked:
-                moves.append(b)
-                pending |= {(s, 2 * b.node), (s, 2 * b.node + 1)}
-        state = _move(state, n_slots, moves)
+            chosen[s], wait = _replay(trees[s], p.max_leaves)
+            blocked += wait
+        children = split(blocked)
+        state = _move(state, blocked, n_slots)
+        frontier = children
     out: list[Node] = []
-    leaf_keys = []
-    for s, (chosen, open_) in final.items():
-        out.extend(chosen)
-        for nd in open_:
-            k = known[(s, nd)]
-            out.append(Node(s, nd, k.G, k.H, k.C))
-            leaf_keys.append(nd * n_slots + s)
-    # rows may sit below their final leaf (speculative moves): walk up to it
-    lk = lookup_map(leaf_keys, [True] * len(leaf_keys), "boolean")
-
-    def up(n, i):
-        return F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(None).cast("long"),
-                           lambda acc, k: F.coalesce(acc, F.when(
-                               F.element_at(lk, F.call_function("shiftright", n, k) * n_slots + i).isNotNull(),
-                               F.call_function("shiftright", n, k))))
-    state = state.withColumn("_node", F.transform("_node", lambda n, i: F.coalesce(up(n, i), n)))
+    leaf_of: list[list[int]] = []
+    for s in range(n_slots):
+        # rows may sit below their final leaf (speculative splits): each node's final leaf
+        final = [n.index for n in trees[s]]
+        for n in trees[s]:
+            if n.index in chosen[s]:
+                out.append(n)
+                continue
+            if n.index == 0 or n.index == final[n.index]:
+                n.feature = None
+                out.append(n)
+            if n.left_index is not None:
+                final[n.left_index] = final[n.left_index + 1] = final[n.index]
+        leaf_of.append(final)
+    own_leaf = nested(leaf_of, "int")
+    state = state.withColumn("_node", F.transform("_node", lambda n, i: F.coalesce(F.get(F.get(own_leaf, i), n), n)))
     return state, out
 
 
-def _replay(known: dict, s: int, budget: int):
-    """Best-first order over evaluated nodes of slot ``s``.  Returns chosen
-    splits, open leaves, and the candidates whose children must be evaluated
-    before the order can continue."""
-    open_ = {1}
-    chosen = []
+def _replay(tree: list[Node], budget: int) -> tuple[set[int], list[Node]]:
+    """Best-first order over one slot's evaluated nodes: the splits chosen so far, and the
+    candidates whose children must be evaluated before the order can go on."""
+    open_ = [tree[0]] if tree else []
+    chosen: set[int] = set()
     leaves = 1
     while leaves < budget:
-        cands = [known[(s, n)] for n in open_ if known[(s, n)].feature is not None]
+        cands = [n for n in open_ if n.feature is not None]
         if not cands:
             break
         b = max(cands, key=lambda n: (round(n.gain, 9), -n.node))
-        if (s, 2 * b.node) not in known:
-            blocked = [n for n in cands if (s, 2 * n.node) not in known]
-            return chosen, open_, blocked
-        open_.remove(b.node)
-        open_ |= {2 * b.node, 2 * b.node + 1}
-        chosen.append(b)
+        if b.left_index is None:
+            return chosen, [n for n in cands if n.left_index is None]
+        open_.remove(b)
+        open_ += [tree[b.left_index], tree[b.left_index + 1]]
+        chosen.add(b.index)
         leaves += 1
-    return chosen, open_, []
-
-
-def leaf_map(nodes: list[Node], n_slots: int, value) -> Column:
-    """Literal map ``node * n_slots + slot -> value(leaf)`` over the leaves."""
-    leaves = [n for n in nodes if n.feature is None]
-    keys = [n.node * n_slots + n.slot for n in leaves]
-    vals = [float(value(n)) for n in leaves]
-    return lookup_map(keys, vals, "double")
+    return chosen, []
 
 
 def leaf_values(nodes: list[Node], n_slots: int, value) -> Column:
     """Per-row array (one entry per slot) of the value of the row's leaf."""
-    m = leaf_map(nodes, n_slots, value)
-    return F.transform("_node", lambda n, i: F.coalesce(F.element_at(m, n * n_slots + i), F.lit(0.0)))
+    table: list[list] = [[] for _ in range(n_slots)]
+    for n in sorted((n for n in nodes if n.feature is None), key=lambda n: n.index):
+        own = table[n.slot]
+        own += [None] * (n.index - len(own))
+        own.append(float(value(n)))
+    lit = nested(table, "double")
+    return F.transform("_node", lambda n, i: F.coalesce(F.get(F.get(lit, i), n), F.lit(0.0)))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metablend.operators.literals import arr
+from metablend.session import ensure_checkpoint_dir
 from metablend.operators.grow import Node, TreeParams, grow, leaf_values, p_features
 
 KEEP = ["row_id", "label", "split", "fold", "bins"]
@@ -39,13 +40,17 @@ def uniform(row_id: Column, *salt) -> Column:
     return F.pmod(h, F.lit(2 ** 31)).cast("double") / float(2 ** 31)
 
 
-def poisson1(u: Column, kmax: int = 12) -> Column:
-    """Poisson(1) draw by inverse CDF (bootstrap count of a row in one tree)."""
-    cdf, term, acc = [], math.exp(-1.0), 0.0
-    for k in range(kmax):
+def poisson1(u: Column) -> Column:
+    """Poisson(1) draw by inverse CDF (bootstrap count of a row in one tree).
+
+    ``u`` has 31 bits; the steps go on until the CDF passes its largest value,
+    so every draw the uniform can produce is covered."""
+    cdf, term, acc, k = [], math.exp(-1.0), 0.0, 0
+    while acc <= 1.0 - 2.0 ** -31:
         acc += term
         cdf.append(acc)
-        term /= (k + 1)
+        k += 1
+        term /= k
     out = F.lit(0.0)
     for c in cdf:
         out = out + F.when(u > F.lit(c), 1.0).otherwise(0.0)
@@ -63,20 +68,33 @@ class Fitted:
     scores: DataFrame                 # KEEP columns + P ARRAY<DOUBLE> (one per slot)
     n_slots: int
     holdouts: list[int]
-    trees: list[tuple] = field(default_factory=list)   # (slot, tree, node, feature, cut, value, weight)
+    trees: list[tuple] = field(default_factory=list)   # rows of tree_row()
     kind: str = ""
     extra: dict = field(default_factory=dict)
 
     def trees_df(self, spark: SparkSession, model: str) -> DataFrame:
+        """The ensemble as a table.  ``index``/``left`` number the nodes of a tree and point to
+        the left child (the right one is next); ``node`` is the heap number, null beyond depth 61."""
         return spark.createDataFrame(
-            [(model, s, t, n, f, c, v, w) for (s, t, n, f, c, v, w) in self.trees],
-            "model string, slot int, tree int, node bigint, feature int, cut int, leaf double, tree_weight double")
+            [(model, s, t, n if n < 1 << 62 else None, f, c, v, w, i, left, r)
+             for (s, t, n, f, c, v, w, i, left, r) in self.trees],
+            "model string, slot int, tree int, node bigint, feature int, cut int, leaf double, tree_weight double, "
+            "index int, left int, rounds int")
+
+
+def tree_row(n: Node, tree: int, leaf: float, weight: float, slot: int | None = None,
+             rounds: int | None = None) -> tuple:
+    """(slot, tree, node, feature, cut, leaf value or None, tree weight, index, left child, boosting round)."""
+    is_leaf = n.feature is None
+    return (n.slot if slot is None else slot, tree, n.node, n.feature, n.cut, leaf if is_leaf else None, weight,
+            n.index, None if is_leaf else n.left_index, tree if rounds is None else rounds)
 
 
 class _State:
     """Persisted state with lineage cut every few trees."""
 
     def __init__(self, df: DataFrame, checkpoint_every: int):
+        ensure_checkpoint_dir(df.sparkSession)
         self.every = checkpoint_every
         self.n = 0
         self.df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -109,10 +127,10 @@ BOOST_PRESETS = {
     "newton": dict(params=TreeParams("newton", max_depth=6, lam=1.0, min_hess=1.0),
                    lr=0.3, n_trees=100),
     # second-order, best-first with a 31-leaf budget, 20 rows per leaf
-    "leafwise": dict(params=TreeParams("newton", max_depth=30, lam=0.0, min_hess=1e-3,
+    "leafwise": dict(params=TreeParams("newton", max_depth=None, lam=0.0, min_hess=1e-3,
                                        min_rows_leaf=20, max_leaves=31), lr=0.1, n_trees=100),
     # histogram gradient boosting meta-learner defaults (31 leaves, 20 rows/leaf)
-    "hist": dict(params=TreeParams("newton", max_depth=30, lam=0.0, min_hess=1e-3,
+    "hist": dict(params=TreeParams("newton", max_depth=None, lam=0.0, min_hess=1e-3,
                                    min_rows_leaf=20, max_leaves=31), lr=0.1, n_trees=100),
 }
 
@@ -122,7 +140,7 @@ class BoostSlot:
     holdout: int = -1
     n_trees: int = 100
     lr: float = 0.1
-    max_depth: int = 3
+    max_depth: int | None = 3
     subsample: float = 1.0
     row_fraction: float = 1.0      # fixed nested subset of the training rows (learning curves)
     inner_holdout: int = -1        # nested search: also hold out this inner fold
@@ -138,18 +156,36 @@ def residual_leaf(G: float, H: float) -> float:
     return G / H if abs(H) > 1e-150 else 0.0
 
 
-def _init_scores(prep: DataFrame, holdouts: list[int]) -> list[float]:
-    """logit of the positive rate on each slot's training rows (one small aggregation)."""
-    per = {r["fold"]: (float(r["pos"]), float(r["n"])) for r in
-           prep.where(F.col("split") == "train").groupBy("fold")
-           .agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).collect()}
-    tp = sum(v[0] for v in per.values())
-    tn = sum(v[1] for v in per.values())
+def _row_mask(hold: Column, inner_hold: Column | None, fraction: Column | None, seed: int) -> Column:
+    """Training rows of a slot: not held out, not in its inner fold, inside its fixed fraction."""
+    m = train_mask(hold)
+    if inner_hold is not None:
+        m = m & ((inner_hold < 0) | (F.coalesce(F.col("inner"), F.lit(-1)) != inner_hold))
+    if fraction is not None:
+        m = m & (uniform(F.col("row_id"), "subset", seed) < fraction)
+    return m
+
+
+def _init_scores(prep: DataFrame, slots: list[BoostSlot], seed: int) -> list[float]:
+    """logit of the positive rate on each slot's own training rows (one aggregation for all slots).
+
+    A slot whose rows have one class starts at a rate half a row away from 0 or 1, so its
+    score stays finite whatever the number of rows."""
+    inner = "inner" in prep.columns
+    keys = sorted({(s.holdout, s.inner_holdout if inner else -1, float(s.row_fraction)) for s in slots})
+    aggs = []
+    for i, (h, ih, frac) in enumerate(keys):
+        m = _row_mask(F.lit(h), F.lit(ih) if ih >= 0 else None, F.lit(frac) if frac < 1.0 else None, seed)
+        aggs += [F.sum(F.when(m, F.col("label"))).alias(f"p{i}"), F.sum(m.cast("long")).alias(f"n{i}")]
+    row = prep.agg(*aggs).first()
+    rate = {}
+    for i, k in enumerate(keys):
+        pos, n = float(row[f"p{i}"] or 0), float(row[f"n{i}"] or 0)
+        rate[k] = min(max(pos, 0.5), n - 0.5) / n if n > 1 else 0.5
     out = []
-    for h in holdouts:
-        pos, n = (tp, tn) if h < 0 else (tp - per.get(h, (0, 0))[0], tn - per.get(h, (0, 0))[1])
-        rate = min(max(pos / n if n else 0.5, 1e-6), 1 - 1e-6)
-        out.append(math.log(rate / (1 - rate)))
+    for s in slots:
+        r = rate[(s.holdout, s.inner_holdout if inner else -1, float(s.row_fraction))]
+        out.append(math.log(r / (1 - r)))
     return out
 
 
@@ -163,7 +199,7 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
     p = params or BOOST_PRESETS[kind]["params"]
     S = len(slots)
     holds = [s.holdout for s in slots]
-    f0 = _init_scores(prep, holds)
+    f0 = _init_scores(prep, slots, seed)
     d = p_features(prep)
     nested = "inner" in prep.columns and any(s.inner_holdout >= 0 for s in slots)
     sampled = any(s.subsample < 1.0 for s in slots)
@@ -184,13 +220,9 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
         def gh(ex, t=t):
             prob = 1.0 / (1.0 + F.exp(-F.col("F")))
             y = F.col("label").cast("double")
-            m = train_mask(F.col("hold"))
+            m = _row_mask(F.col("hold"), F.col("ihold") if nested else None, F.col("rf") if subset else None, seed)
             if sampled:                   # hash only when some slot subsamples
                 m = m & (uniform(F.col("row_id"), t, seed) < F.col("ss"))
-            if subset:
-                m = m & (uniform(F.col("row_id"), "subset", seed) < F.col("rf"))
-            if nested:
-                m = m & ((F.col("ihold") < 0) | (F.coalesce(F.col("inner"), F.lit(-1)) != F.col("ihold")))
             g = (prob - y) if newton else (y - prob)
             return ex.select("*", g.alias("g"), (prob * (1.0 - prob)).alias("h"),
                              F.lit(1.0).alias("c"), m.alias("m"))
@@ -201,8 +233,7 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
             return newton_leaf(n.G, n.H, p.lam) if newton else residual_leaf(n.G, n.H)
 
         for n in nodes:
-            trees.append((n.slot, t, n.node, n.feature, n.cut,
-                          lrs[n.slot] * value(n) if n.feature is None else None, 1.0))
+            trees.append(tree_row(n, t, lrs[n.slot] * value(n), 1.0))
         lv = leaf_values(nodes, S, lambda n: lrs[n.slot] * value(n))
         new = grown.withColumn("_lv", lv).withColumn(
             "F", F.zip_with("F", "_lv", lambda a, b: a + b)).drop("_lv", "_node")
@@ -240,6 +271,10 @@ def fit_boost_chunked(prep: DataFrame, kind: str, slots: list[BoostSlot], max_sl
 
 
 # ------------------------------------------------------------------ AdaBoost (SAMME)
+class WorseThanChance(ValueError):
+    """The first weak learner of a boosted ensemble has a weighted error of 0.5 or more."""
+
+
 @dataclass
 class AdaSlot:
     holdout: int = -1
@@ -252,8 +287,9 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
 
     err = misclassified weight / weight; α = lr·ln((1-err)/err);
     w ← w·exp(α·[y ≠ h]) / Z.  err = 0 keeps the stump with α = 1 and stops the
-    slot; err ≥ 0.5 discards it and stops.  d = Σ α(2h-1) / Σ α and
-    p₁ = 1 / (1 + exp(-d)).  The weighted errors and normalisers come from the
+    slot; err ≥ 0.5 discards it and stops (in the first round that is an
+    error: the learner is no better than chance).  d = Σ α(2h-1) / Σ α and
+    p₁ = 1 / (1 + exp(-2d)).  The weighted errors and normalisers come from the
     stump's own leaf sums, so a round is a single pass.
     """
     S = len(slots)
@@ -293,6 +329,8 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
             if err <= 0:
                 alpha[s], keep_slot[s], alive[s] = 1.0, True, False
             elif err >= 0.5:
+                if t == 0:
+                    raise WorseThanChance(f"slot {s}: first-round error {err:.3f}")
                 alive[s] = False
                 continue
             else:
@@ -304,9 +342,7 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
         kept = [n for n in leaves if keep_slot[n.slot]]
         for n in nodes:
             if keep_slot[n.slot]:
-                trees.append((n.slot, t, n.node, n.feature, n.cut,
-                              (1.0 if n.G > n.H - n.G else 0.0) if n.feature is None else None,
-                              alpha[n.slot]))
+                trees.append(tree_row(n, t, 1.0 if n.G > n.H - n.G else 0.0, alpha[n.slot]))
         if not kept:
             continue
         hv = leaf_values(kept, S, lambda n: 1.0 if n.G > n.H - n.G else 0.0)
@@ -326,7 +362,7 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
     fitted_any = arr([a > 0 for a in alpha_sum], "boolean")
     out = st.df.withColumn("P", F.transform("D", lambda d, i: F.when(
         F.element_at(fitted_any, i + 1),
-        1.0 / (1.0 + F.exp(-(d / F.element_at(asum, i + 1))))).otherwise(0.5)))
+        1.0 / (1.0 + F.exp(-2.0 * (d / F.element_at(asum, i + 1))))).otherwise(0.5)))
     return Fitted(out, S, holds, trees, "ada", {"alpha_sum": alpha_sum})
 
 
@@ -334,7 +370,7 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
 @dataclass
 class ForestSpec:
     n_trees: int = 100
-    max_depth: int | None = None        # None → 30 (Spark's depth cap)
+    max_depth: int | None = None        # None: no limit
     min_rows_split: int = 2
     min_rows_leaf: int = 1
     feature_k: int | None = None        # None → floor(sqrt(d))
@@ -353,7 +389,7 @@ def _forest_round(prep_state: DataFrame, holds: list[int], spec: ForestSpec, n_f
     T = len(trees)
     S = len(holds) * T
     k = spec.feature_k or max(1, int(math.isqrt(n_features)))
-    p = TreeParams("gini", max_depth=spec.max_depth or 30, min_rows_leaf=spec.min_rows_leaf,
+    p = TreeParams("gini", max_depth=spec.max_depth, min_rows_leaf=spec.min_rows_leaf,
                    min_rows_split=spec.min_rows_split, feature_k=k if k < n_features else None,
                    seed=seed + 7919 * round_id,
                    slot_tags=[(s // T) * T_all + trees[s % T] for s in range(S)])
@@ -387,18 +423,23 @@ def fit_forest(prep: DataFrame, holdouts: list[int], spec: ForestSpec, n_feature
     p₁ = mean over trees of the leaf's (bootstrap-weighted) class-1 share."""
     M, T = len(holdouts), spec.n_trees
     per_run = max(1, max_slots // M)
+    ensure_checkpoint_dir(prep.sparkSession)
     state = prep.select(*KEEP).withColumn("_acc", F.array_repeat(F.lit(0.0), M))
     trees: list[tuple] = []
-    cached: list[DataFrame] = []
+    held: list[DataFrame] = []
     for start in range(0, T, per_run):
         chunk = list(range(start, min(T, start + per_run)))
         grown, nodes, sums = _forest_round(state, holdouts, spec, n_features, seed, None, 0, chunk)
         state = (grown.withColumn("_acc", F.zip_with("_acc", sums, lambda a, b: a + b))
-                 .drop("_lv", "_node").persist(StorageLevel.MEMORY_AND_DISK))
-        cached.append(state)
+                 .drop("_lv", "_node"))
+        if start + per_run < T:
+            # lineage is cut between chunks; the chunk before is released once this one is written
+            state = state.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+            for old in held:
+                old.unpersist()
+            held = [state]
         C = len(chunk)
-        trees += [(n.slot // C, chunk[n.slot % C], n.node, n.feature, n.cut,
-                   (n.G / n.H if n.H > 0 else 0.0) if n.feature is None else None, 1.0 / T) for n in nodes]
+        trees += [tree_row(n, chunk[n.slot % C], n.G / n.H if n.H > 0 else 0.0, 1.0 / T, n.slot // C) for n in nodes]
     out = state.withColumn("P", F.transform("_acc", lambda x: x / float(T))).drop("_acc")
     return Fitted(out, M, holdouts, trees, "forest")
 
@@ -420,10 +461,11 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
                 .withColumn("D", F.array_repeat(F.lit(0.0), M)), checkpoint_every)
     alive = [True] * M
     alpha_sum = [0.0] * M
+    trees: list[tuple] = []
     for r in range(spec.n_rounds):
         if not any(alive):
             break
-        grown, _, per_model = _forest_round(st.df, holdouts, spec.forest, n_features, seed, "w", r)
+        grown, nodes, per_model = _forest_round(st.df, holdouts, spec.forest, n_features, seed, "w", r)
         # restore the per-model weight array (the round repeated it per tree)
         T = spec.forest.n_trees
         cur = grown.withColumn("_p", F.transform(per_model, lambda x: x / float(T))).withColumn(
@@ -446,12 +488,16 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
             if err <= 0:
                 alpha[m], keep[m], alive[m] = 1.0, True, False
             elif err >= 0.5:
+                if r == 0:
+                    raise WorseThanChance(f"model {m}: first-round error {err:.3f}")
                 alive[m] = False
                 continue
             else:
                 alpha[m], keep[m] = spec.lr * math.log((1 - err) / err), True
             z[m] = (tot - wrong) + wrong * math.exp(alpha[m])
             alpha_sum[m] += alpha[m]
+        trees += [tree_row(n, r * T + n.slot % T, n.G / n.H if n.H > 0 else 0.0, alpha[n.slot // T], n.slot // T, r)
+                  for n in nodes if keep[n.slot // T]]
         al, zl, kl = arr(alpha), arr(z), arr(keep, "boolean")
         nxt = cur.withColumn("D", F.transform("D", lambda d, i: F.when(
             F.element_at(kl, i + 1), d + F.element_at(al, i + 1) * (2.0 * F.element_at(F.col("_h"), i + 1) - 1.0))
@@ -467,5 +513,5 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
     fitted_any = arr([a > 0 for a in alpha_sum], "boolean")
     out = st.df.withColumn("P", F.transform("D", lambda d, i: F.when(
         F.element_at(fitted_any, i + 1),
-        1.0 / (1.0 + F.exp(-(d / F.element_at(asum, i + 1))))).otherwise(0.5)))
-    return Fitted(out, M, holdouts, [], "ada_forest", {"alpha_sum": alpha_sum})
+        1.0 / (1.0 + F.exp(-2.0 * (d / F.element_at(asum, i + 1))))).otherwise(0.5)))
+    return Fitted(out, M, holdouts, trees, "ada_forest", {"alpha_sum": alpha_sum})

@@ -1,8 +1,7 @@
-"""Array/map literals built in one JVM call.
+"""Array literals built in one JVM call.
 
-``F.lit([...])`` makes one gateway call per element; model-sized literals
-(split maps, leaf maps, per-slot parameters) are instead written as one SQL
-expression that the JVM parses once.
+``F.lit([...])`` makes one gateway call per element; per-slot parameters
+are instead written as one SQL expression that the JVM parses once.
 """
 
 from __future__ import annotations
@@ -28,8 +27,3 @@ def arr(values, t: str = "double") -> Column:
     if not vals:
         return F.expr(f"CAST(array() AS ARRAY<{t}>)")
     return F.expr(f"CAST(array({','.join(_fmt(v, t) for v in vals)}) AS ARRAY<{t}>)")
-
-
-def lookup_map(keys, values, vt: str = "double") -> Column:
-    """MAP<BIGINT, vt> literal."""
-    return F.map_from_arrays(arr(keys, "bigint"), arr(values, vt))

@@ -1,37 +1,21 @@
-"""Apply a stored tree table to rows (L11) — a narrow projection.
+"""Apply a stored tree table to rows (L11).
 
-The tree table ``(slot, tree, node, feature, cut, leaf, tree_weight)`` is
-model-sized (trees x nodes), never data-sized; it is read once and turned
-into literal maps.  Rows walk all trees at once: ``depth`` rounds of
-``node = 2·node + (bins[feature] > cut)`` over an array with one node per
-tree, then the leaf values are combined.  No join, no shuffle, so the same
-function scores a batch table or a stream.
+The tree table ``(slot, tree, node, feature, cut, leaf, tree_weight, index, left)``
+is model-sized (trees x nodes), never data-sized.  Rows walk all trees at once:
+``depth`` rounds of ``index = left + (bins[feature] > cut)`` over an array with one
+node number per tree, by look-ups in arrays indexed by (tree, node number) — the
+same cost whatever the number of nodes.  The arrays travel as one broadcast row, so
+no size is baked into the plan's text; no shuffle, so the same function scores a
+batch table or a stream.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metablend.operators.literals import arr, lookup_map
-
-CODE = 65536
-MAX_TREE_ROWS = 5_000_000
-
-
-def _walk(trees: list, n_trees: int, depth: int) -> Column:
-    internal = [r for r in trees if r["feature"] is not None]
-    keys = [int(r["node"]) * n_trees + int(r["tree"]) for r in internal]
-    codes = [int(r["feature"]) * CODE + int(r["cut"]) for r in internal]
-    smap = lookup_map(keys, codes, "int")
-    nodes = F.array_repeat(F.lit(1).cast("long"), n_trees)
-    for _ in range(depth):
-        def step(n, t):
-            code = F.element_at(smap, n * n_trees + t)
-            right = (F.element_at(F.col("bins"), (code / CODE).cast("int") + 1) > code % CODE).cast("long")
-            return F.when(code.isNull(), n).otherwise(n * 2 + right)
-        nodes = F.transform(nodes, step)
-    return nodes
+from metablend.operators.grow import nested
+from metablend.operators.literals import arr
 
 
 def score_trees(df: DataFrame, trees: DataFrame, slot: int, combine: str = "sum",
@@ -39,33 +23,64 @@ def score_trees(df: DataFrame, trees: DataFrame, slot: int, combine: str = "sum"
     """Adds ``score`` for the trees of one slot of a fitted ensemble.
 
     ``combine``: ``sum`` (boosting: sigmoid(init + Σ leaf)), ``mean`` (forest:
-    mean class-1 share) or ``samme`` (AdaBoost: sigmoid(Σ α(2h-1) / Σ α))."""
-    sel = trees.where(F.col("slot") == slot)
-    n_rows = sel.count()
-    if n_rows > MAX_TREE_ROWS:
-        raise ValueError(f"tree table too large to inline ({n_rows} nodes)")
-    rows = sel.collect()
-    tree_ids = sorted({int(r["tree"]) for r in rows})
-    remap = {t: i for i, t in enumerate(tree_ids)}
-    rows = [dict(r.asDict(), tree=remap[int(r["tree"])]) for r in rows]
-    T = len(tree_ids)
-    depth = max((int(r["node"]).bit_length() - 1 for r in rows), default=0)
-    leaves = [r for r in rows if r["feature"] is None]
-    lkeys = [int(r["node"]) * T + int(r["tree"]) for r in leaves]
-    lmap = lookup_map(lkeys, [float(r["leaf"]) for r in leaves], "double")
-    weights = [1.0] * T
+    mean class-1 share), ``samme`` (AdaBoost: 1 / (1 + exp(-2 Σ α(2h-1) / Σ α)))
+    or ``samme_forest`` (boosted forest: ``tree`` numbers are round * forest size
+    + member, ``tree_weight`` is the round's α on every member; h = mean share > 0.5)."""
+    rows = trees.where(F.col("slot") == slot).select(
+        "tree", "index", "left", "feature", "cut", "leaf", "tree_weight", "rounds").collect() \
+        if "rounds" in trees.columns else trees.where(F.col("slot") == slot).select(
+        "tree", "index", "left", "feature", "cut", "leaf", "tree_weight", F.col("tree").alias("rounds")).collect()
+    place = {t: i for i, t in enumerate(sorted({int(r["tree"]) for r in rows}))}
+    T = len(place)
+    size = [0] * T
+    for r in rows:
+        size[place[int(r["tree"])]] = max(size[place[int(r["tree"])]], int(r["index"]) + 1)
+    feature, cut, left, leaf = ([[None] * n for n in size] for _ in range(4))
+    weights, rounds = [1.0] * T, [0] * T
     for r in rows:
-        weights[r["tree"]] = float(r["tree_weight"])
-    nodes = _walk(rows, T, depth)
-    vals = F.transform(nodes, lambda n, t: F.coalesce(F.element_at(lmap, n * T + t), F.lit(0.0)))
+        t, i = place[int(r["tree"])], int(r["index"])
+        feature[t][i], cut[t][i], left[t][i], leaf[t][i] = r["feature"], r["cut"], r["left"], r["leaf"]
+        weights[t], rounds[t] = float(r["tree_weight"]), int(r["rounds"])
+    depth = max((_depth(lf) for lf in left), default=0)
+    fl, cl, ll, vl = nested(feature, "int"), nested(cut, "int"), nested(left, "int"), nested(leaf, "double")
+    nodes = F.array_repeat(F.lit(0), T)
+    for _ in range(depth):
+        def step(n, t):
+            f = F.get(F.get(fl, t), n)
+            right = (F.get(F.col("bins"), f) > F.get(F.get(cl, t), n)).cast("int")
+            return F.when(f.isNull(), n).otherwise(F.get(F.get(ll, t), n) + right)
+        nodes = F.transform(nodes, step)
+    vals = F.transform(nodes, lambda n, t: F.coalesce(F.get(F.get(vl, t), n), F.lit(0.0)))
     total = F.aggregate(vals, F.lit(0.0), lambda a, b: a + b)
     if combine == "sum":
         score = 1.0 / (1.0 + F.exp(-(F.lit(init) + total)))
     elif combine == "mean":
         score = total / float(max(T, 1))
-    else:
+    elif combine == "samme":
         wl = arr(weights)
-        d = F.aggregate(F.transform(vals, lambda v, t: F.element_at(wl, t + 1) * (2.0 * v - 1.0)),
+        d = F.aggregate(F.transform(vals, lambda v, t: F.get(wl, t) * (2.0 * v - 1.0)),
                         F.lit(0.0), lambda a, b: a + b) / float(sum(weights) or 1.0)
-        score = 1.0 / (1.0 + F.exp(-d))
+        score = 1.0 / (1.0 + F.exp(-2.0 * d))
+    elif combine == "samme_forest":
+        df = df.withColumn("_vals", vals)
+        d, alphas = F.lit(0.0), 0.0
+        for r in sorted(set(rounds)):
+            own = [t for t in range(T) if rounds[t] == r]
+            share = F.aggregate(F.slice("_vals", own[0] + 1, len(own)), F.lit(0.0), lambda a, b: a + b) / float(len(own))
+            d = d + weights[own[0]] * F.when(share > 0.5, 1.0).otherwise(-1.0)
+            alphas += weights[own[0]]
+        return df.withColumn("score", 1.0 / (1.0 + F.exp(-2.0 * d / float(alphas or 1.0)))).drop("_vals")
+    else:
+        raise ValueError(f"unknown combination {combine}")
     return df.withColumn("score", score)
+
+
+def _depth(left: list) -> int:
+    """Depth of a tree given each node's left child."""
+    depth = [0] * len(left)
+    for i, child in enumerate(left):
+        if child is not None and child < len(left):
+            depth[child] = depth[i] + 1
+            if child + 1 < len(left):
+                depth[child + 1] = depth[i] + 1
+    return max(depth, default=0)

@@ -67,7 +67,7 @@ def root_split(spark: SparkSession, d: str, criterion: str) -> DataFrame:
 
 def newton_tree_depth2(spark: SparkSession, d: str) -> DataFrame:
     """The first Newton tree grown to depth 2 by the fused grower itself
-    (rows moved by the split map, level 1 by histogram subtraction, leaf
+    (rows moved by look-ups of node numbers, leaf
     weights −lr·G/(H+λ)), as its tree table."""
     from metablend.operators.learners import BoostSlot, fit_boost
     prep, _ = prepared_doc(spark, d, seed=42, test_frac=0.2, k=3, n_bins=16, kind="width", as_array=True)

