@@ -57,9 +57,18 @@ def poisson1(u: Column) -> Column:
     return out
 
 
-def train_mask(hold: Column) -> Column:
-    """Training rows of a slot: split = 'train' and not in the slot's held-out fold."""
-    return (F.col("split") == "train") & ((hold < 0) | (F.coalesce(F.col("fold"), F.lit(-1)) != hold))
+def train_mask(hold: Column, inner_hold: Column | None = None) -> Column:
+    """Training rows of a slot: split = 'train' and neither in its held-out fold nor in its inner one."""
+    m = (F.col("split") == "train") & ((hold < 0) | (F.coalesce(F.col("fold"), F.lit(-1)) != hold))
+    if inner_hold is not None:
+        m = m & ((inner_hold < 0) | (F.coalesce(F.col("inner"), F.lit(-1)) != inner_hold))
+    return m
+
+
+def outer_inner(holdouts: list) -> tuple[list[int], list[int]]:
+    """Holdouts given as a fold or as (fold, inner fold) → two lists (-1: none)."""
+    pairs = [h if isinstance(h, tuple) else (h, -1) for h in holdouts]
+    return [int(o) for o, _ in pairs], [int(i) for _, i in pairs]
 
 
 @dataclass
@@ -158,9 +167,7 @@ def residual_leaf(G: float, H: float) -> float:
 
 def _row_mask(hold: Column, inner_hold: Column | None, fraction: Column | None, seed: int) -> Column:
     """Training rows of a slot: not held out, not in its inner fold, inside its fixed fraction."""
-    m = train_mask(hold)
-    if inner_hold is not None:
-        m = m & ((inner_hold < 0) | (F.coalesce(F.col("inner"), F.lit(-1)) != inner_hold))
+    m = train_mask(hold, inner_hold)
     if fraction is not None:
         m = m & (uniform(F.col("row_id"), "subset", seed) < fraction)
     return m
@@ -280,6 +287,7 @@ class AdaSlot:
     holdout: int = -1
     n_trees: int = 50
     lr: float = 1.0
+    inner_holdout: int = -1
 
 
 def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -> Fitted:
@@ -294,7 +302,9 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
     """
     S = len(slots)
     holds = [s.holdout for s in slots]
-    st = _State(prep.select(*KEEP)
+    inner = [int(s.inner_holdout) for s in slots]
+    nested = "inner" in prep.columns and any(i >= 0 for i in inner)
+    st = _State(prep.select(*keep_cols(prep))
                 .withColumn("w", F.array_repeat(F.lit(1.0), S))
                 .withColumn("D", F.array_repeat(F.lit(0.0), S)), checkpoint_every)
     p = TreeParams("gini", max_depth=1)
@@ -310,9 +320,10 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
         def gh(ex):
             w = F.col("w")
             return ex.select("*", (w * F.col("label")).alias("g"), w.alias("h"),
-                             F.lit(1.0).alias("c"), train_mask(F.col("hold")).alias("m"))
+                             F.lit(1.0).alias("c"),
+                             train_mask(F.col("hold"), F.col("ihold") if nested else None).alias("m"))
 
-        grown, nodes = grow(st.df, S, {"hold": holds}, ["w"], gh, p, active, None, d)
+        grown, nodes = grow(st.df, S, {"hold": holds, "ihold": inner}, ["w"], gh, p, active, None, d)
         leaves = [n for n in nodes if n.feature is None]
         alpha = [0.0] * S
         z = [1.0] * S
@@ -393,7 +404,9 @@ def _forest_round(prep_state: DataFrame, holds: list[int], spec: ForestSpec, n_f
                    min_rows_split=spec.min_rows_split, feature_k=k if k < n_features else None,
                    seed=seed + 7919 * round_id,
                    slot_tags=[(s // T) * T_all + trees[s % T] for s in range(S)])
-    static = {"hold": [holds[s // T] for s in range(S)], "tree": [trees[s % T] for s in range(S)]}
+    holds, inner = outer_inner(holds)
+    nested = "inner" in prep_state.columns and any(i >= 0 for i in inner)
+    static = {"hold": [holds[s // T] for s in range(S)], "ihold": [inner[s // T] for s in range(S)], "tree": [trees[s % T] for s in range(S)]}
     arrays = [weight] if weight else []
 
     def gh(ex):
@@ -402,7 +415,7 @@ def _forest_round(prep_state: DataFrame, holds: list[int], spec: ForestSpec, n_f
         w = bw * (F.col(weight) if weight else F.lit(1.0))
         return ex.select("*", (w * F.col("label")).alias("g"), w.alias("h"),
                          F.when(bw > 0, 1.0).otherwise(0.0).alias("c"),
-                         (train_mask(F.col("hold")) & (bw > 0)).alias("m"))
+                         (train_mask(F.col("hold"), F.col("ihold") if nested else None) & (bw > 0)).alias("m"))
 
     if weight:
         # weights are per model; repeat them per tree so each slot sees its model's weight
@@ -424,7 +437,7 @@ def fit_forest(prep: DataFrame, holdouts: list[int], spec: ForestSpec, n_feature
     M, T = len(holdouts), spec.n_trees
     per_run = max(1, max_slots // M)
     ensure_checkpoint_dir(prep.sparkSession)
-    state = prep.select(*KEEP).withColumn("_acc", F.array_repeat(F.lit(0.0), M))
+    state = prep.select(*keep_cols(prep)).withColumn("_acc", F.array_repeat(F.lit(0.0), M))
     trees: list[tuple] = []
     held: list[DataFrame] = []
     for start in range(0, T, per_run):
@@ -457,7 +470,9 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
     mean class-1 share > 0.5).  One grower pass per level per round plus one
     aggregation for the weighted errors."""
     M = len(holdouts)
-    st = _State(prep.select(*KEEP).withColumn("w", F.array_repeat(F.lit(1.0), M))
+    outer, inner = outer_inner(holdouts)
+    nested = "inner" in prep.columns and any(i >= 0 for i in inner)
+    st = _State(prep.select(*keep_cols(prep)).withColumn("w", F.array_repeat(F.lit(1.0), M))
                 .withColumn("D", F.array_repeat(F.lit(0.0), M)), checkpoint_every)
     alive = [True] * M
     alpha_sum = [0.0] * M
@@ -472,10 +487,11 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
             "w", F.transform(F.sequence(F.lit(0), F.lit(M - 1)), lambda m: F.element_at(F.col("w"), m * T + 1)))
         cur = cur.withColumn("_h", F.transform("_p", lambda x: F.when(x > 0.5, 1.0).otherwise(0.0)))
         cur = cur.drop("_lv", "_node", "_p").persist(StorageLevel.MEMORY_AND_DISK)
-        ex = cur.select("label", "split", "fold", F.posexplode(F.arrays_zip("w", "_h")).alias("m", "z"))
-        hl = arr(holdouts, "int")
+        ex = cur.select("label", "split", "fold", *(["inner"] if nested else []),
+                        F.posexplode(F.arrays_zip("w", "_h")).alias("m", "z"))
+        hl, il = arr(outer, "int"), arr(inner, "int")
         errs = {int(x["m"]): (float(x["wrong"] or 0.0), float(x["tot"] or 0.0)) for x in
-                ex.where(train_mask(F.element_at(hl, F.col("m") + 1)))
+                ex.where(train_mask(F.get(hl, F.col("m")), F.get(il, F.col("m")) if nested else None))
                 .groupBy("m").agg(F.sum(F.when(F.col("z._h") != F.col("label"), F.col("z.w"))).alias("wrong"),
                                   F.sum("z.w").alias("tot")).collect()}
         alpha, z, keep = [0.0] * M, [1.0] * M, [False] * M

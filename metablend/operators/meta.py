@@ -30,8 +30,11 @@ from metablend.operators.scale import apply_scaler, fit_scaler
 
 def fold_columns(fit: Fitted, k: int, name: str, test_mode: str = "average") -> DataFrame:
     """``row_id, label, split, fold, <name>``: out-of-fold on training rows,
-    fold average (``average``) or refit model (``refit``) elsewhere."""
+    fold average (``average``) or refit model (``refit``) elsewhere;
+    ``refit_all``: the refit model on every row."""
     P = F.col("P")
+    if test_mode == "refit_all":
+        return fit.scores.select("row_id", "label", "split", "fold", F.element_at(P, F.lit(k + 1)).alias(name))
     oof = F.element_at(P, F.coalesce(F.col("fold"), F.lit(0)) + 1)
     if test_mode == "refit":
         other = F.element_at(P, F.lit(k + 1))
@@ -76,19 +79,20 @@ def logreg_scores(df: DataFrame, va, model, out: str = "score") -> DataFrame:
 
 
 def meta_logistic(table: DataFrame, cols: list[str], C: float = 1.0, max_iter: int = 100,
-                  scale: bool = False) -> DataFrame:
-    """Fit on training rows (out-of-fold features), score every row → ``score``."""
-    src = table
+                  scale: bool = False, score_on: DataFrame | None = None) -> DataFrame:
+    """Fit on training rows (out-of-fold features), score every row → ``score``
+    (of ``score_on``, where other columns feed the model at scoring time)."""
+    src, target = table, score_on if score_on is not None else table
     if scale:
         params = fit_scaler(table, cols, where=F.col("split") == "train")
-        src = apply_scaler(table, params)
+        src, target = apply_scaler(table, params), apply_scaler(target, params)
     va, model = logreg(src.where(F.col("split") == "train"), cols, C, max_iter)
-    return logreg_scores(src, va, model)
+    return logreg_scores(target, va, model)
 
 
 def meta_trees(table: DataFrame, cols: list[str], kind: str = "hist", n_trees: int | None = None,
                lr: float | None = None, max_depth: int | None = None, n_bins: int = 32,
-               params=None) -> DataFrame:
+               params=None, keep_split: bool = False) -> DataFrame:
     """Boosted-tree meta-learner over the meta-feature columns (bins fitted on
     the training rows); one slot trained on all training rows."""
     preset = BOOST_PRESETS[kind]
@@ -96,6 +100,6 @@ def meta_trees(table: DataFrame, cols: list[str], kind: str = "hist", n_trees: i
     prep = apply_bins(table, specs)
     p = params or preset["params"]
     slot = BoostSlot(-1, n_trees or preset["n_trees"], lr if lr is not None else preset["lr"],
-                     max_depth if max_depth is not None else p.max_depth)
+                     max_depth if max_depth is not None else p.max_depth)  # None: the preset's depth
     fit = fit_boost(prep, kind, [slot], params=p)
-    return fit.scores.select("row_id", F.element_at("P", 1).alias("score"))
+    return fit.scores.select("row_id", *(["split"] if keep_split else []), F.element_at("P", 1).alias("score"))

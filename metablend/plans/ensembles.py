@@ -19,7 +19,7 @@ from metablend.operators.grow import TreeParams
 from metablend.operators.keys import exact_split_folds
 from metablend.operators.learners import (
     AdaForestSpec, AdaSlot, BoostSlot, Fitted, ForestSpec, fit_ada, fit_ada_forest,
-    fit_boost, fit_forest,
+    fit_boost, fit_forest, outer_inner,
 )
 from metablend.operators.meta import base_table, fold_columns, meta_logistic, meta_trees
 from metablend.session import ensure_checkpoint_dir
@@ -31,24 +31,36 @@ FEATURES = DOC_CONTINUOUS + DOC_CATEGORICAL
 @dataclass
 class LearnerSpec:
     kind: str                          # ada gbm sgb xgb lgb rf ada_rf
-    n_trees: int = 10
+    n_trees: int = 100
     lr: float = 0.1
-    max_depth: int = 3
+    max_depth: int | None = 3          # None: no limit
     subsample: float = 1.0
     max_leaves: int | None = None
     min_rows_leaf: int = 1
     min_rows_split: int = 2
-    forest_trees: int = 5
+    forest_trees: int = 100
     extra: dict = field(default_factory=dict)
 
 
+#: the study's settings of each learner, used where nothing else is asked for
+DEFAULT_SPECS = {
+    "ada": LearnerSpec("ada", n_trees=50, lr=1.0),
+    "gbm": LearnerSpec("gbm", n_trees=100, lr=0.1, max_depth=3),
+    "sgb": LearnerSpec("sgb", n_trees=100, lr=0.1, max_depth=3, subsample=0.8),
+    "xgb": LearnerSpec("xgb", n_trees=100, lr=0.3, max_depth=6),
+    "lgb": LearnerSpec("lgb", n_trees=100, lr=0.1, max_depth=None, max_leaves=31, min_rows_leaf=20),
+    "rf": LearnerSpec("rf", n_trees=100, max_depth=None),
+    "ada_rf": LearnerSpec("ada_rf", n_trees=50, lr=1.0, max_depth=None, forest_trees=100),
+}
+
+
 # small settings for the registered queries (kind → spec)
 QUERY_SPECS = {
     "ada": LearnerSpec("ada", n_trees=10, lr=1.0),
     "gbm": LearnerSpec("gbm", n_trees=10, lr=0.1, max_depth=3),
     "sgb": LearnerSpec("sgb", n_trees=10, lr=0.1, max_depth=3, subsample=0.8),
     "xgb": LearnerSpec("xgb", n_trees=10, lr=0.3, max_depth=3),
-    "lgb": LearnerSpec("lgb", n_trees=5, lr=0.1, max_depth=30, max_leaves=8, min_rows_leaf=20),
+    "lgb": LearnerSpec("lgb", n_trees=5, lr=0.1, max_depth=None, max_leaves=8, min_rows_leaf=20),
     "rf": LearnerSpec("rf", n_trees=10, max_depth=4),
     "ada_rf": LearnerSpec("ada_rf", n_trees=3, lr=1.0, max_depth=3, forest_trees=5),
 }
@@ -60,7 +72,7 @@ ENSEMBLE_SPECS = {
     "gbm": LearnerSpec("gbm", n_trees=5, lr=0.1, max_depth=3),
     "sgb": LearnerSpec("sgb", n_trees=5, lr=0.1, max_depth=3, subsample=0.8),
     "xgb": LearnerSpec("xgb", n_trees=5, lr=0.3, max_depth=3),
-    "lgb": LearnerSpec("lgb", n_trees=3, lr=0.1, max_depth=30, max_leaves=8, min_rows_leaf=20),
+    "lgb": LearnerSpec("lgb", n_trees=3, lr=0.1, max_depth=None, max_leaves=8, min_rows_leaf=20),
     "rf": LearnerSpec("rf", n_trees=10, max_depth=3),
     "ada_rf": LearnerSpec("ada_rf", n_trees=2, lr=1.0, max_depth=2, forest_trees=3),
 }
@@ -110,28 +122,41 @@ def prepare_lineitem_trees(spark: SparkSession, sf_dir: str, k: int = 3, seed: i
     return apply_bins(df, specs).select("row_id", "label", "split", "fold", "bins")
 
 
-def fit_learner(prep: DataFrame, spec: LearnerSpec, holdouts: list[int], seed: int = 42,
+def tree_params(spec: LearnerSpec) -> TreeParams:
+    """Growth settings of a boosting learner."""
+    if spec.kind in ("gbm", "sgb"):
+        return TreeParams("variance", max_depth=spec.max_depth, min_rows_leaf=spec.min_rows_leaf,
+                          min_rows_split=spec.min_rows_split)
+    xgb = spec.kind == "xgb"
+    return TreeParams("newton", max_depth=spec.max_depth, lam=1.0 if xgb else 0.0, min_hess=1.0 if xgb else 1e-3,
+                      min_rows_leaf=spec.min_rows_leaf, max_leaves=None if xgb else spec.max_leaves)
+
+
+PRESET = {"gbm": "gbm", "sgb": "gbm", "xgb": "newton", "lgb": "leafwise", "hist": "leafwise"}
+
+
+def boost_slot(spec: LearnerSpec, holdout) -> BoostSlot:
+    (outer,), (inner,) = outer_inner([holdout])
+    return BoostSlot(outer, spec.n_trees, spec.lr, spec.max_depth, spec.subsample, inner_holdout=inner)
+
+
+def forest_spec(spec: LearnerSpec, n_trees: int) -> ForestSpec:
+    return ForestSpec(n_trees, spec.max_depth, spec.min_rows_split, spec.min_rows_leaf)
+
+
+def fit_learner(prep: DataFrame, spec: LearnerSpec, holdouts: list, seed: int = 42,
                 n_features: int = len(FEATURES)) -> Fitted:
+    """One model per holdout: a fold, -1 (none) or (fold, inner fold)."""
     kind = spec.kind
     if kind == "ada":
-        return fit_ada(prep, [AdaSlot(h, spec.n_trees, spec.lr) for h in holdouts])
-    if kind in ("gbm", "sgb"):
-        return fit_boost(prep, "gbm", [BoostSlot(h, spec.n_trees, spec.lr, spec.max_depth, spec.subsample)
-                                       for h in holdouts], seed=seed)
-    if kind in ("xgb", "lgb", "hist"):
-        preset = "newton" if kind == "xgb" else "leafwise"
-        p = TreeParams("newton", max_depth=spec.max_depth, lam=1.0 if kind == "xgb" else 0.0,
-                       min_hess=1.0 if kind == "xgb" else 1e-3,
-                       min_rows_leaf=spec.min_rows_leaf if kind == "xgb" else max(spec.min_rows_leaf, 20),
-                       max_leaves=spec.max_leaves if kind != "xgb" else None)
-        return fit_boost(prep, preset, [BoostSlot(h, spec.n_trees, spec.lr, spec.max_depth, spec.subsample)
-                                        for h in holdouts], seed=seed, params=p)
+        return fit_ada(prep, [AdaSlot(o, spec.n_trees, spec.lr, i) for o, i in zip(*outer_inner(holdouts))])
+    if kind in PRESET:
+        return fit_boost(prep, PRESET[kind], [boost_slot(spec, h) for h in holdouts], seed=seed, params=tree_params(spec))
     if kind == "rf":
-        return fit_forest(prep, holdouts, ForestSpec(spec.n_trees, spec.max_depth, spec.min_rows_split,
-                                                     spec.min_rows_leaf), n_features, seed)
+        return fit_forest(prep, holdouts, forest_spec(spec, spec.n_trees), n_features, seed)
     if kind == "ada_rf":
-        fs = ForestSpec(spec.forest_trees, spec.max_depth, spec.min_rows_split, spec.min_rows_leaf)
-        return fit_ada_forest(prep, holdouts, AdaForestSpec(fs, spec.n_trees, spec.lr), n_features, seed)
+        return fit_ada_forest(prep, holdouts, AdaForestSpec(forest_spec(spec, spec.forest_trees), spec.n_trees, spec.lr),
+                              n_features, seed)
     raise ValueError(f"unknown learner {kind}")
 
 
@@ -174,20 +199,33 @@ def blend(prep: DataFrame, bases: list[LearnerSpec], k: int = 3, rows: str = "te
 
 
 def stack(prep: DataFrame, bases: list[LearnerSpec], k: int, meta: str, rows: str = "test",
-          meta_trees_n: int = 5) -> DataFrame:
+          meta_trees_n: int = 100, resubstitute: bool = False) -> DataFrame:
     """Stacking: out-of-fold base probabilities train the meta-learner; bases
     refitted on all training rows feed it at scoring time.  ``meta``:
-    ``logreg`` (standardised, C = 1, 500 iterations), ``hist`` or ``newton``."""
-    parts = [fold_columns(fit_learner(prep, s, list(range(k)) + [-1]), k, s.kind, "refit") for s in bases]
-    table = base_table(parts)
+    ``logreg`` (standardised, C = 1 on the column pair, 500 iterations), ``hist``
+    or ``newton``.  ``resubstitute``: training rows, too, are scored through the
+    refitted bases (the meta-learner still trains on out-of-fold columns)."""
+    fits = [fit_learner(prep, s, list(range(k)) + [-1]) for s in bases]
+    table = base_table([fold_columns(f, k, s.kind, "refit") for f, s in zip(fits, bases)])
     names = [s.kind for s in bases]
+    at_scoring = None
+    if resubstitute:
+        at_scoring = base_table([fold_columns(f, k, s.kind, "refit_all") for f, s in zip(fits, bases)])
     if meta == "logreg":
-        scored = meta_logistic(table, names, C=1.0, max_iter=500, scale=True)
+        # the study feeds both class columns of each base; on the halved, standardised set its
+        # penalty is half as strong
+        scored = meta_logistic(table, names, C=2.0, max_iter=500, scale=True, score_on=at_scoring)
     else:
-        ms = meta_trees(table, names, kind="hist" if meta == "hist" else "newton",
-                        n_trees=meta_trees_n, lr=0.1 if meta == "hist" else 0.3,
-                        max_depth=None if meta == "hist" else 3)
-        scored = table.join(ms, "row_id")
+        kind = "hist" if meta == "hist" else "newton"
+        fit_on = table if at_scoring is None else table.unionByName(
+            at_scoring.where(F.col("split") == "train").withColumn("split", F.lit("again")))
+        ms = meta_trees(fit_on, names, kind=kind, n_trees=meta_trees_n, lr=0.1 if kind == "hist" else 0.3,
+                        max_depth=None if kind == "hist" else 6, keep_split=at_scoring is not None)
+        if at_scoring is None:
+            scored = table.join(ms, "row_id")
+        else:
+            again = ms.where(F.col("split") != "train").drop("split")
+            scored = at_scoring.join(again, "row_id")
     return evaluate(scored.withColumnRenamed("score", "meta"), names + ["meta"], rows)
 
 

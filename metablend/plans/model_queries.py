@@ -15,7 +15,7 @@ from metablend.operators.meta import meta_logistic
 from metablend.operators.score import score_trees
 from metablend.plans import ensembles as E
 from metablend.plans.queries import rnd
-from metablend.plans.search import learning_curve, tree_grid_search
+from metablend.plans.search import blend_tuned, learner_search, learning_curve, nested_search, tree_grid_search
 from metablend.sources.carriers import DOC_CONTINUOUS
 
 K = 3
@@ -74,7 +74,7 @@ def _blend(names, external=False):
 def _stack(meta, k, external=False):
     def q(spark, d):
         prep = E.prepare_trees(spark, d, k=k, external=external)
-        return E.stack(prep, [B[n] for n in FULL], k, meta, rows="eval" if external else "test")
+        return E.stack(prep, [B[n] for n in FULL], k, meta, rows="eval" if external else "test", meta_trees_n=5)
     return q
 
 
@@ -99,34 +99,70 @@ def q_learning_curve(spark, d):
     return rnd(learning_curve(prep, S["gbm"], [0.25, 0.5, 1.0]))
 
 
-TUNE_GRID = {"learning_rate": [0.1, 0.3], "max_depth": [2, 3], "n_estimators": [5]}
+#: small grids of the registered searches, one per learner
+TUNE_GRIDS = {
+    "ada": {"learning_rate": [0.5, 1.0], "n_estimators": [2]},
+    "gbm": {"learning_rate": [0.1, 0.3], "max_depth": [2], "n_estimators": [2, 4], "subsample": [0.5, 1.0]},
+    "xgb": {"learning_rate": [0.1, 0.3], "max_depth": [2], "n_estimators": [2, 4]},
+    "lgb": {"learning_rate": [0.1, 0.3], "n_estimators": [2, 3], "num_leaves": [4]},
+    "rf": {"max_depth": [2, 3], "min_samples_leaf": [1, 5], "n_estimators": [5]},
+    "sgb": {"n_estimators": [2, 4], "subsample": [0.5, 0.8]},
+    "ada_rf": {"estimator__max_depth": [1, 2], "estimator__n_estimators": [3], "n_estimators": [2]},
+}
+NEST_GRID = {"learning_rate": [0.1, 0.3], "max_depth": [2, 3], "n_estimators": [5]}
 
 
 def q_nested_cv(spark, d):
-    """H4: per outer fold, 3-fold inner AUC search (one fused run)."""
-    from metablend.plans.search import nested_search
+    """H4: per outer fold, 3-fold inner AUC search."""
     prep = E.prepare_trees(spark, d, k=K)
-    table, _ = nested_search(prep, "gbm", TUNE_GRID, K)
+    table, _ = nested_search(prep, "gbm", NEST_GRID, K)
     return rnd(table.select("outer_fold", "config_ordinal", "learning_rate", "max_depth", "n_estimators",
                             "mean_score", "rank", "selected"))
 
 
-def q_blend_tuned(spark, d):
-    """K8/K9: blending whose boosting bases are tuned by nested search per
-    outer fold; ada, lgb and rf keep their fixed settings."""
-    from metablend.operators.meta import base_table, fold_columns, meta_logistic
-    from metablend.plans.search import nested_search, tuned_fold_scores
+def q_nested_folds(spark, d):
+    """D5: inner folds of the training rows under their own seed."""
+    from metablend.plans.search import add_inner_folds
+    return add_inner_folds(E.prepare_trees(spark, d, k=K), 3).select("row_id", "split", "fold", "inner")
+
+
+def q_sgb_sample(spark, d):
+    """L3: the rows that each of the first three trees of a stochastic boosting run samples at 0.8."""
+    from metablend.operators.learners import uniform
+    prep = E.prepare_trees(spark, d, k=K).where(F.col("split") == "train")
+    draws = [(uniform(F.col("row_id"), t, 42) < 0.8).alias(f"tree_{t}") for t in range(3)]
+    return prep.select("row_id", *draws)
+
+
+def q_learner_search(spark, d):
+    """H2/H3/H6/H8: search each of the seven learners, refit the winner, score the test rows."""
     prep = E.prepare_trees(spark, d, k=K)
-    parts = []
-    for kind in ("gbm", "xgb"):
-        _, chosen = nested_search(prep, kind, TUNE_GRID, K)
-        parts.append(tuned_fold_scores(prep, kind, chosen, K, kind))
-    for kind in ("ada", "lgb", "rf"):
-        parts.append(fold_columns(E.fit_learner(prep, B[kind], list(range(K))), K, kind, "average"))
-    table = base_table(parts)
-    names = ["gbm", "xgb", "ada", "lgb", "rf"]
-    scored = meta_logistic(table, names).withColumnRenamed("score", "meta")
-    return E.evaluate(scored, names + ["meta"], "test")
+    return rnd(learner_search(prep, TUNE_GRIDS, K, bases=B)[0])
+
+
+def q_stack_tuned(spark, d):
+    """E2: search the learners, then stack the winners."""
+    prep = E.prepare_trees(spark, d, k=2)
+    _, chosen = learner_search(prep, {n: TUNE_GRIDS[n] for n in ("gbm", "xgb", "rf")}, 2, bases=B)
+    return E.stack(prep, list(chosen.values()), 2, "logreg")
+
+
+def _blend_tuned(names):
+    """K8/K9: blending whose bases are all tuned by nested search per outer fold."""
+    def q(spark, d):
+        prep = E.prepare_trees(spark, d, k=2)
+        return blend_tuned(prep, {n: TUNE_GRIDS[n] for n in names}, 2, 2, bases=B)
+    return q
+
+
+def q_score_ada_rf(spark, d):
+    """L7/L11: the boosted forest stored as a tree table and scored from it alone."""
+    prep = E.prepare_trees(spark, d, k=K)
+    fit = E.fit_learner(prep, B["ada_rf"], [-1])
+    test = fit.scores.where(F.col("split") == "test").select(
+        "row_id", "label", "bins", F.element_at("P", 1).alias("in_fit"))
+    out = score_trees(test, fit.trees_df(spark, "ada_rf"), 0, "samme_forest")
+    return rnd(out.select("row_id", "label", "score", "in_fit"))
 
 
 def q_bagging_model(spark, d):
@@ -150,9 +186,9 @@ def q_gbm_lineitem(spark, d):
 
 
 def q_stack_resubstitution(spark, d):
-    """M6: the logistic stack scored on its own training rows."""
+    """M6: the logistic stack scored on its own training rows, through the refitted bases."""
     prep = E.prepare_trees(spark, d, k=2)
-    return E.stack(prep, [B[n] for n in FULL], 2, "logreg", rows="train")
+    return E.stack(prep, [B[n] for n in FULL], 2, "logreg", rows="train", resubstitute=True)
 
 
 MODEL_QUERIES = {
@@ -178,7 +214,15 @@ MODEL_QUERIES = {
     "tree_grid_search": q_tree_grid_search,
     "learning_curve": q_learning_curve,
     "nested_cv": q_nested_cv,
-    "blend_tuned": q_blend_tuned,
+    "nested_folds": q_nested_folds,
+    "sgb_sample": q_sgb_sample,
+    "learner_search": q_learner_search,
+    "stack_tuned": q_stack_tuned,
+    "blend_tuned": _blend_tuned(LIGHT),
+    "blend_tuned_full": _blend_tuned(FULL),
+    "stack_external_hist": _stack("hist", 5, external=True),
+    "stack_external_newton": _stack("newton", 5, external=True),
+    "score_ada_rf": q_score_ada_rf,
     "bagging_model": q_bagging_model,
     "gbm_lineitem": q_gbm_lineitem,
     "stack_resubstitution": q_stack_resubstitution,

@@ -1,22 +1,112 @@
-"""Hyper-parameter search, CV summaries and learning curves.
-
-Grid search is fused: every (config, fold) pair is one slot of the same
-training run, and ``n_estimators`` values that are prefixes of each other
-come from one run (staged scores), so a grid costs one fit of its deepest,
-longest member instead of |grid| x k fits.  Selection is the best mean
-fold score; ties go to the first config in grid order (keys sorted, last
-key varying fastest).
+"""Hyper-parameter search over every learner, CV summaries and learning curves.
+
+A grid is fused: every (config, fold) pair of a learner is one slot of as few
+training runs as its growth settings allow, and ``n_estimators`` values of boosting
+configs that agree otherwise come from one run (staged scores).  Configs are complete:
+each key of a grid is a setting of that learner, and an unknown key is an error.
+Selection is the best mean fold score; ties go to the first config in grid order
+(keys sorted, last key varying fastest).
 """
 
 from __future__ import annotations
 
+import dataclasses
 import itertools
+import json
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metablend.functions.metrics import accuracy, auc, threshold
-from metablend.operators.learners import BoostSlot, fit_boost, fit_boost_chunked
+from metablend.operators.grow import p_features
+from metablend.operators.learners import BoostSlot, fit_boost, fit_boost_chunked, uniform
+from metablend.plans import ensembles as E
+
+_BOOST = {"n_estimators": "n_trees", "learning_rate": "lr", "max_depth": "max_depth", "subsample": "subsample"}
+_SIZES = {"min_samples_split": "min_rows_split", "min_samples_leaf": "min_rows_leaf"}
+#: per learner: grid key -> field of its spec
+KEYS = {
+    "ada": {"n_estimators": "n_trees", "learning_rate": "lr"},
+    "gbm": {**_BOOST, **_SIZES},
+    "sgb": {**_BOOST, **_SIZES},
+    "xgb": _BOOST,
+    "lgb": {**_BOOST, "num_leaves": "max_leaves", "min_child_samples": "min_rows_leaf"},
+    "rf": {"n_estimators": "n_trees", "max_depth": "max_depth", **_SIZES},
+    "ada_rf": {"n_estimators": "n_trees", "learning_rate": "lr", "estimator__n_estimators": "forest_trees",
+               "estimator__max_depth": "max_depth",
+               **{f"estimator__{k}": v for k, v in _SIZES.items()}},
+}
+
+
+def spec_of(kind: str, config: dict, base: E.LearnerSpec | None = None) -> E.LearnerSpec:
+    """The learner's spec with a config's settings (others from ``base`` or the study's defaults)."""
+    if kind not in KEYS:
+        raise ValueError(f"unknown learner {kind}")
+    unknown = sorted(set(config) - set(KEYS[kind]))
+    if unknown:
+        raise ValueError(f"{kind} has no settings {unknown}")
+    values = {KEYS[kind][k]: v for k, v in config.items()}
+    if values.get("max_depth", 1) is not None and values.get("max_depth", 1) < 0:
+        values["max_depth"] = None
+    return dataclasses.replace(base or E.DEFAULT_SPECS[kind], **values)
+
+
+def fit_tasks(prep: DataFrame, tasks: list[tuple[E.LearnerSpec, object]], seed: int = 42,
+              max_slots: int = 64) -> DataFrame:
+    """Train every (spec, holdout) task; returns the rows with ``P``: one probability per task, in order.
+
+    Tasks that can grow in one run do: boosting configs with equal growth settings (a task whose
+    ``n_trees`` is smaller reads the staged score of the longer run), AdaBoost configs, and all
+    holdouts of one forest config."""
+    n_features = p_features(prep)
+    runs: dict[tuple, list[int]] = {}
+    for i, (spec, _) in enumerate(tasks):
+        if spec.kind in E.PRESET:
+            p = E.tree_params(spec)
+            key = (spec.kind, *dataclasses.astuple(dataclasses.replace(p, max_depth=0 if p.max_leaves is None else p.max_depth)))
+        elif spec.kind == "ada":
+            key = ("ada",)
+        else:
+            key = (spec.kind, json.dumps(dataclasses.asdict(spec), sort_keys=True))
+        runs.setdefault(tuple(map(str, key)), []).append(i)
+    out, where = None, {}
+    for g, own in enumerate(runs.values()):
+        specs, holds = [tasks[i][0] for i in own], [tasks[i][1] for i in own]
+        if specs[0].kind in E.PRESET:
+            stages = sorted({s.n_trees for s in specs})
+            slots, place = [], {}
+            for s, h in zip(specs, holds):
+                key = (s.lr, s.max_depth, s.subsample, h)
+                if key not in place:
+                    place[key] = len(slots)
+                    slots.append(E.boost_slot(dataclasses.replace(s, n_trees=stages[-1]), h))
+            fit = fit_boost_chunked(prep, E.PRESET[specs[0].kind], slots, max_slots, seed=seed, stages=stages,
+                                    params=E.tree_params(specs[0]))
+            p = F.array(*[F.get(F.col(f"P_{s.n_trees}"), F.lit(place[s.lr, s.max_depth, s.subsample, h]))
+                          for s, h in zip(specs, holds)])
+            scores = fit.scores
+        elif specs[0].kind == "ada":
+            from metablend.operators.learners import AdaSlot, fit_ada, outer_inner
+            scores = fit_ada(prep, [AdaSlot(o, s.n_trees, s.lr, i) for s, o, i in zip(specs, *outer_inner(holds))]).scores
+            p = F.col("P")
+        else:
+            scores, p = E.fit_learner(prep, specs[0], holds, seed, n_features).scores, F.col("P")
+        cols = [c for c in ("label", "split", "fold", "inner") if c in prep.columns] if out is None else []
+        part = scores.select("row_id", *cols, p.alias(f"_g{g}"))
+        out = part if out is None else out.join(part, "row_id")
+        where.update({i: (g, j) for j, i in enumerate(own)})
+    P = F.array(*[F.get(F.col(f"_g{where[i][0]}"), F.lit(where[i][1])) for i in range(len(tasks))])
+    return out.withColumn("P", P).drop(*[f"_g{g}" for g in range(len(runs))])
+
+
+def _with_config(table: DataFrame, configs: list[dict]) -> DataFrame:
+    """One column per grid key, read by ``config_ordinal``."""
+    for key in sorted({k for c in configs for k in c}):
+        vals = [c[key] for c in configs]
+        whole = all(v is None or (isinstance(v, int) and not isinstance(v, bool)) for v in vals)
+        lit = F.from_json(F.lit(json.dumps(vals)), "array<int>" if whole else "array<double>")
+        table = table.withColumn(key, F.get(lit, F.col("config_ordinal")))
+    return table
 
 
 def expand_grid(grid: dict[str, list]) -> list[dict]:
@@ -32,42 +122,59 @@ def select_best(scores: DataFrame, score: str = "mean_score", ordinal: str = "co
     return scores.withColumn("rank", F.row_number().over(w)).withColumn("selected", F.col("rank") == 1)
 
 
+def grid_search(prep: DataFrame, kind: str, grid: dict, k: int, scorer: str = "accuracy", seed: int = 42,
+                max_slots: int = 64, base: E.LearnerSpec | None = None) -> DataFrame:
+    """k-fold search of one learner over a grid: a row per config with its settings, ``mean_score``,
+    ``std_score``, ``config_ordinal``, ``rank`` and ``selected``.  ``scorer``: accuracy (each of the
+    learners' default scorer) or auc."""
+    configs = expand_grid(grid)
+    tasks = [(spec_of(kind, c, base), f) for c in configs for f in range(k)]
+    rows = fit_tasks(prep, tasks, seed, max_slots).where(F.col("split") == "train")
+    own = rows.select("label", "fold", F.posexplode("P").alias("s", "score")) \
+        .where(F.col("s") % k == F.col("fold")).withColumn("config_ordinal", F.expr(f"int(s div {k})"))
+    if scorer == "auc":
+        per_fold = auc(own, by=["config_ordinal", "fold"]).withColumnRenamed("auc", "value")
+    else:
+        per_fold = accuracy(own.withColumn("pred", threshold("score")), by=["config_ordinal", "fold"]) \
+            .withColumnRenamed("accuracy", "value")
+    summary = per_fold.groupBy("config_ordinal").agg(F.avg("value").alias("mean_score"),
+                                                     F.stddev_pop("value").alias("std_score"))
+    return _with_config(select_best(summary), configs)
+
+
+def best_spec(prep: DataFrame, kind: str, grid: dict, k: int, scorer: str = "accuracy", seed: int = 42,
+              base: E.LearnerSpec | None = None) -> tuple[E.LearnerSpec, dict, float]:
+    """The selected config's spec, its settings and its mean score (one row comes back)."""
+    row = grid_search(prep, kind, grid, k, scorer, seed, base=base).where("selected").first()
+    config = expand_grid(grid)[row["config_ordinal"]]
+    return spec_of(kind, config, base), config, float(row["mean_score"])
+
+
+def learner_search(prep: DataFrame, grids: dict[str, dict], k: int, rows: str = "test", scorer: str = "accuracy",
+                   bases: dict[str, E.LearnerSpec] | None = None) -> tuple[DataFrame, dict[str, E.LearnerSpec]]:
+    """Search each learner, refit its winner on all training rows, score the other rows.
+
+    model, params, cv_score, accuracy, auc (of the refitted winner); and the winners' specs."""
+    spark = prep.sparkSession
+    found, parts, chosen = [], [], {}
+    for kind, grid in grids.items():
+        spec, config, score = best_spec(prep, kind, grid, k, scorer, base=(bases or {}).get(kind))
+        chosen[kind] = spec
+        found.append((kind, json.dumps(config, sort_keys=True), score))
+        fit = E.fit_learner(prep, spec, [-1])
+        parts.append(fit.scores.select("row_id", "label", "split", "fold", F.element_at("P", 1).alias(kind)))
+    from metablend.operators.meta import base_table
+    long = E.long_scores(base_table(parts), list(grids), rows)
+    scored = accuracy(long, by=["model"]).join(auc(long, by=["model"]), "model")
+    head = spark.createDataFrame(found, "model string, params string, cv_score double")  # one row per learner
+    return head.join(scored, "model").select("model", "params", "cv_score", "accuracy", "auc"), chosen
+
+
 def tree_grid_search(prep: DataFrame, k: int = 3, grid: dict | None = None, seed: int = 42,
                      max_slots: int = 64) -> DataFrame:
-    """Fused CV grid search for gradient boosting (accuracy scorer)."""
+    """Search for gradient boosting (accuracy scorer)."""
     grid = grid or {"learning_rate": [0.1, 0.3], "max_depth": [2, 3], "n_estimators": [5, 10]}
-    configs = expand_grid(grid)
-    base = sorted({(c["learning_rate"], c["max_depth"]) for c in configs})
-    stages = sorted({c["n_estimators"] for c in configs})
-    slots, meta = [], []
-    for lr, depth in base:
-        for fold in range(k):
-            slots.append(BoostSlot(fold, max(stages), lr, depth))
-            meta.append((lr, depth, fold))
-    fit = fit_boost_chunked(prep, "gbm", slots, max_slots, seed=seed, stages=stages)
-    S = len(slots)
-    lit_lr = F.lit([m[0] for m in meta])
-    lit_d = F.lit([m[1] for m in meta])
-    lit_f = F.lit([m[2] for m in meta])
-    tr = fit.scores.where(F.col("split") == "train")
-    exploded = tr.select("label", "fold", F.posexplode(F.arrays_zip(*[F.col(f"P_{n}").alias(f"p{n}")
-                                                                          for n in stages])).alias("s", "z"))
-    own = exploded.where(F.element_at(lit_f, F.col("s") + 1) == F.col("fold"))
-    long = own.select(
-        F.element_at(lit_lr, F.col("s") + 1).alias("learning_rate"),
-        F.element_at(lit_d, F.col("s") + 1).alias("max_depth"), "fold", "label",
-        F.expr("stack({}, {}) as (n_estimators, score)".format(
-            len(stages), ", ".join(f"{n}, z.p{n}" for n in stages))))
-    per_fold = accuracy(long.withColumn("pred", threshold("score")),
-                        by=["learning_rate", "max_depth", "n_estimators", "fold"])
-    summary = per_fold.groupBy("learning_rate", "max_depth", "n_estimators").agg(
-        F.avg("accuracy").alias("mean_score"), F.stddev_pop("accuracy").alias("std_score"))
-    order = {(c["learning_rate"], c["max_depth"], c["n_estimators"]): i for i, c in enumerate(configs)}
-    ordinal = F.lit(None).cast("int")
-    for (lr, d, n), i in order.items():
-        ordinal = F.when((F.col("learning_rate") == lr) & (F.col("max_depth") == d)
-                         & (F.col("n_estimators") == n), F.lit(i)).otherwise(ordinal)
-    return select_best(summary.withColumn("config_ordinal", ordinal))
+    return grid_search(prep, "gbm", grid, k, "accuracy", seed, max_slots)
 
 
 def learning_curve(prep: DataFrame, spec, fractions: list[float], seed: int = 42) -> DataFrame:
@@ -75,7 +182,6 @@ def learning_curve(prep: DataFrame, spec, fractions: list[float], seed: int = 42
     score the test rows: fraction, n_train, accuracy, auc."""
     slots = [BoostSlot(-1, spec.n_trees, spec.lr, spec.max_depth, spec.subsample, f) for f in fractions]
     fit = fit_boost(prep, "gbm", slots, seed=seed)
-    from metablend.operators.learners import uniform
     lit_fr = F.lit([float(f) for f in fractions])
     tst = fit.scores.where(F.col("split") == "test").select(
         "label", F.posexplode("P").alias("s", "score")).withColumn("pred", threshold("score"))
@@ -101,56 +207,54 @@ def add_inner_folds(prep: DataFrame, k_inner: int = 3, seed: int = 43) -> DataFr
 
 
 def nested_search(prep: DataFrame, kind: str, grid: dict, k: int, k_inner: int = 3,
-                  seed: int = 42, max_slots: int = 64) -> tuple[DataFrame, dict[int, dict]]:
+                  seed: int = 42, max_slots: int = 64,
+                  base: E.LearnerSpec | None = None) -> tuple[DataFrame, dict[int, E.LearnerSpec]]:
     """Per outer fold, k_inner-fold AUC search over ``grid`` on that fold's
-    training rows — all (outer, config, inner) fits in one fused run.
-    Returns the score table and the chosen config per outer fold."""
-    from metablend.functions.metrics import auc as auc_fn
-    from metablend.operators.grow import TreeParams
+    training rows — all (outer, config, inner) fits fused, longer runs reused for
+    smaller ``n_estimators``.  Returns the score table and the chosen spec per outer fold."""
     configs = expand_grid(grid)
     nested = add_inner_folds(prep, k_inner)
-    slots, meta = [], []
+    tasks, meta = [], []
     for o in range(k):
         for ci, c in enumerate(configs):
             for j in range(k_inner):
-                slots.append(BoostSlot(o, c["n_estimators"], c["learning_rate"], c["max_depth"],
-                                       inner_holdout=j))
+                tasks.append((spec_of(kind, c, base), (o, j)))
                 meta.append((o, ci, j))
-    params = None if kind == "gbm" else TreeParams("newton", max_depth=max(c["max_depth"] for c in configs),
-                                                   lam=1.0, min_hess=1.0)
-    fit = fit_boost_chunked(nested, "gbm" if kind == "gbm" else "newton", slots, max_slots,
-                            seed=seed, params=params)
-    lo, lc, lj = (F.lit([m[0] for m in meta]), F.lit([m[1] for m in meta]), F.lit([m[2] for m in meta]))
-    tr = fit.scores.where(F.col("split") == "train").select(
-        "label", "fold", "inner", F.posexplode("P").alias("s", "score"))
-    own = tr.where((F.element_at(lo, F.col("s") + 1) != F.col("fold"))
-                   & (F.element_at(lj, F.col("s") + 1) == F.col("inner")))
-    own = own.select("label", "score", F.element_at(lo, F.col("s") + 1).alias("outer_fold"),
-                     F.element_at(lc, F.col("s") + 1).alias("config_ordinal"),
-                     F.element_at(lj, F.col("s") + 1).alias("inner_fold"))
-    per = auc_fn(own, by=["outer_fold", "config_ordinal", "inner_fold"])
+    rows = fit_tasks(nested, tasks, seed, max_slots).where(F.col("split") == "train")
+    lo, lc, lj = (F.from_json(F.lit(json.dumps([m[x] for m in meta])), "array<int>") for x in range(3))
+    own = rows.select("label", "fold", "inner", F.posexplode("P").alias("s", "score")).where(
+        (F.get(lo, F.col("s")) != F.col("fold")) & (F.get(lj, F.col("s")) == F.col("inner"))).select(
+        "label", "score", F.get(lo, F.col("s")).alias("outer_fold"), F.get(lc, F.col("s")).alias("config_ordinal"),
+        F.get(lj, F.col("s")).alias("inner_fold"))
+    per = auc(own, by=["outer_fold", "config_ordinal", "inner_fold"])
     mean = per.groupBy("outer_fold", "config_ordinal").agg(F.avg("auc").alias("mean_score"))
     w = Window.partitionBy("outer_fold").orderBy(F.col("mean_score").desc(), F.col("config_ordinal"))
     ranked = mean.withColumn("rank", F.row_number().over(w)).withColumn("selected", F.col("rank") == 1)
-    rows = ranked.collect()
-    chosen = {int(r["outer_fold"]): configs[int(r["config_ordinal"])] for r in rows if r["selected"]}
-    cfg_cols = sorted(grid)
-    table = ranked
-    for key in cfg_cols:
-        vals = [c[key] for c in configs]
-        table = table.withColumn(key, F.element_at(F.lit(vals), F.col("config_ordinal") + 1))
-    return table, chosen
+    chosen = {int(r["outer_fold"]): spec_of(kind, configs[int(r["config_ordinal"])], base)
+              for r in ranked.where("selected").collect()}  # one row per outer fold
+    return _with_config(ranked, configs), chosen
 
 
-def tuned_fold_scores(prep: DataFrame, kind: str, chosen: dict[int, dict], k: int, name: str,
+def tuned_fold_scores(prep: DataFrame, chosen: dict[int, E.LearnerSpec], k: int, name: str,
                       seed: int = 42) -> DataFrame:
-    """Fold models with the config chosen for each outer fold (no refit):
+    """Fold models with the spec chosen for each outer fold (no refit):
     out-of-fold on training rows, mean of the k fold models elsewhere."""
-    from metablend.operators.grow import TreeParams
-    from metablend.operators.meta import fold_columns
-    slots = [BoostSlot(o, chosen[o]["n_estimators"], chosen[o]["learning_rate"], chosen[o]["max_depth"])
-             for o in range(k)]
-    params = None if kind == "gbm" else TreeParams("newton", max_depth=max(s.max_depth for s in slots),
-                                                   lam=1.0, min_hess=1.0)
-    fit = fit_boost(prep, "gbm" if kind == "gbm" else "newton", slots, seed=seed, params=params)
-    return fold_columns(fit, k, name, "average")
+    rows = fit_tasks(prep, [(chosen[o], o) for o in range(k)], seed)
+    P = F.col("P")
+    oof = F.element_at(P, F.coalesce(F.col("fold"), F.lit(0)) + 1)
+    other = F.aggregate(P, F.lit(0.0), lambda a, b: a + b) / float(k)
+    return rows.select("row_id", "label", "split", "fold",
+                       F.when(F.col("split") == "train", oof).otherwise(other).alias(name))
+
+
+def blend_tuned(prep: DataFrame, grids: dict[str, dict], k: int, k_inner: int = 3, rows: str = "test",
+                bases: dict[str, E.LearnerSpec] | None = None) -> DataFrame:
+    """Blending whose every base is tuned by nested search per outer fold."""
+    from metablend.operators.meta import base_table, meta_logistic
+    parts = []
+    for kind, grid in grids.items():
+        _, chosen = nested_search(prep, kind, grid, k, k_inner, base=(bases or {}).get(kind))
+        parts.append(tuned_fold_scores(prep, chosen, k, kind))
+    names = list(grids)
+    scored = meta_logistic(base_table(parts), names).withColumnRenamed("score", "meta")
+    return E.evaluate(scored, names + ["meta"], rows)
