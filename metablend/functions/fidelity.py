@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from metablend.functions.metrics import safe_div
 from metablend.operators.binning import width_bin
-from metablend.operators.prefix import below_sums
+from metablend.operators.prefix import N_BUCKETS, attach, below_sums
 
 
 def _long(df: DataFrame, cols: list[str], origin: str) -> DataFrame:
@@ -60,11 +60,17 @@ def category_shares(df: DataFrame, cols: list[str], a: str, b: str,
     """feature, value, share_a, share_b (shares of non-null values per source)."""
     lg = _long(df, cols, origin).where(F.col("value").isNotNull())
     cnt = _two_counts(lg, ["feature", "value"], a, b)
-    w = Window.partitionBy("feature")
-    return cnt.select(
+    return _with_feature_totals(cnt).select(
         "feature", "value",
-        F.coalesce(safe_div(F.col("ca").cast("double"), F.sum("ca").over(w).cast("double")), F.lit(0.0)).alias("share_a"),
-        F.coalesce(safe_div(F.col("cb").cast("double"), F.sum("cb").over(w).cast("double")), F.lit(0.0)).alias("share_b"))
+        F.coalesce(safe_div(F.col("ca").cast("double"), F.col("ta").cast("double")), F.lit(0.0)).alias("share_a"),
+        F.coalesce(safe_div(F.col("cb").cast("double"), F.col("tb").cast("double")), F.lit(0.0)).alias("share_b"))
+
+
+def _with_feature_totals(cnt: DataFrame) -> DataFrame:
+    """Adds ``ta, tb``: totals per feature — a row per named feature, broadcast, so no task gets
+    all values of a feature."""
+    tot = cnt.groupBy("feature").agg(F.sum("ca").alias("ta"), F.sum("cb").alias("tb"))
+    return attach(cnt, tot, ["feature"], few=True)
 
 
 def category_tvd(df: DataFrame, cols: list[str], a: str, b: str, origin: str = "origin") -> DataFrame:
@@ -76,15 +82,13 @@ def category_tvd(df: DataFrame, cols: list[str], a: str, b: str, origin: str = "
 
 
 def ks_two_sample(df: DataFrame, cols: list[str], a: str, b: str, origin: str = "origin",
-                  n_buckets: int = 4096) -> DataFrame:
+                  n_buckets: int = N_BUCKETS) -> DataFrame:
     """feature, ks = max_x |F_a(x) − F_b(x)|, n_a, n_b (empirical CDFs)."""
     lg = _long(df, cols, origin).where(F.col("value").isNotNull())
     cnt = _two_counts(lg, ["feature", "value"], a, b)
-    cum = below_sums(cnt, ["feature"], "value", ["ca", "cb"], n_buckets=n_buckets,
-                     lo=None, hi=None, broadcast_buckets=True)
-    w = Window.partitionBy("feature")
-    fa = safe_div((F.col("ca_below") + F.col("ca")).cast("double"), F.sum("ca").over(w).cast("double"))
-    fb = safe_div((F.col("cb_below") + F.col("cb")).cast("double"), F.sum("cb").over(w).cast("double"))
+    cum = _with_feature_totals(below_sums(cnt, ["feature"], "value", ["ca", "cb"], n_buckets=n_buckets, few_groups=True))
+    fa = safe_div((F.col("ca_below") + F.col("ca")).cast("double"), F.col("ta").cast("double"))
+    fb = safe_div((F.col("cb_below") + F.col("cb")).cast("double"), F.col("tb").cast("double"))
     return (cum.select("feature", F.abs(fa - fb).alias("d"), "ca", "cb")
             .groupBy("feature").agg(F.max("d").alias("ks"), F.sum("ca").alias("n_a"),
                                    F.sum("cb").alias("n_b")))
@@ -96,8 +100,8 @@ def psi_js(df: DataFrame, cols: list[str], a: str, b: str, origin: str = "origin
     row = df.agg(*[F.min(c).alias(f"lo_{c}") for c in cols],
                  *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
     binned = df.select(F.col(origin).alias("origin"), *[
-        width_bin(F.col(c).cast("double"), float(row[f"lo_{c}"] or 0.0),
-                  float(row[f"hi_{c}"] or 0.0), n_bins).alias(c) for c in cols])
+        F.when(F.col(c).isNotNull(), width_bin(F.col(c).cast("double"), float(row[f"lo_{c}"] or 0.0),
+                                               float(row[f"hi_{c}"] or 0.0), n_bins)).alias(c) for c in cols])
     lg = binned.unpivot(["origin"], cols, "feature", "bin").where(F.col("bin").isNotNull())
     cnt = _two_counts(lg, ["feature", "bin"], a, b)
     w = Window.partitionBy("feature")
@@ -168,24 +172,20 @@ def label_association(df: DataFrame, categorical: list[str], continuous: list[st
           .unpivot(["origin", "label"], categorical, "feature", "value")
           .where(F.col("value").isNotNull()))
     cell = lg.groupBy("origin", "feature", "value", "label").agg(F.count(F.lit(1)).alias("o"))
-    wt = Window.partitionBy("origin", "feature")
+    # column totals: a row per (source, feature, label); row totals: windows of one value's labels
+    ct = cell.groupBy("origin", "feature", "label").agg(F.sum("o").alias("ct"))
+    nt = ct.groupBy("origin", "feature").agg(F.sum("ct").alias("n"), F.count(F.lit(1)).alias("labs"))
     wr = Window.partitionBy("origin", "feature", "value")
-    wc = Window.partitionBy("origin", "feature", "label")
-    e = cell.select("origin", "feature", "value", "label", "o",
-                    F.sum("o").over(wt).alias("n"), F.sum("o").over(wr).alias("rt"),
-                    F.sum("o").over(wc).alias("ct"))
-    # expected counts for every (value, label) pair: zero cells contribute E
-    ex = e.select("origin", "feature", "value", "label", "o", "n", "rt", "ct")
-    per_col = ex.groupBy("origin", "feature").agg(
-        F.first("n").alias("n"),
-        F.collect_set("value").alias("vals"), F.collect_set("label").alias("labs"),
-        F.sum(F.pow(F.col("o") - F.col("rt") * F.col("ct") / F.col("n"), 2)
-              / (F.col("rt") * F.col("ct") / F.col("n"))).alias("chi_obs"),
-        F.sum(F.col("rt") * F.col("ct") / F.col("n")).alias("e_obs"),
-    )
+    e = cell.withColumn("rt", F.sum("o").over(wr)).withColumn(
+        "one", F.when(F.row_number().over(wr.orderBy("label")) == 1, 1).otherwise(0))
+    e = attach(attach(e, ct, ["origin", "feature", "label"], few=True), nt, ["origin", "feature"], few=True)
+    expected = F.col("rt") * F.col("ct") / F.col("n")
+    per_col = e.groupBy("origin", "feature").agg(
+        F.first("n").alias("n"), F.sum("one").alias("vals"), F.first("labs").alias("labs"),
+        F.sum(F.pow(F.col("o") - expected, 2) / expected).alias("chi_obs"), F.sum(expected).alias("e_obs"))
     # Σ over all cells of (O−E)²/E = Σ_obs (O−E)²/E + Σ_missing E, and Σ_all E = n
     chi2 = F.col("chi_obs") + (F.col("n") - F.col("e_obs"))
-    k = F.least(F.size("vals"), F.size("labs")) - 1
+    k = F.least(F.col("vals"), F.col("labs")) - 1
     cat = per_col.select("origin", "feature", chi2.alias("chi2"),
                          F.sqrt(safe_div(chi2, F.col("n") * k)).alias("cramers_v"))
     cat_long = cat.select("origin", "feature", F.expr(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metablend.operators.prefix import below_sums
+from metablend.operators.prefix import N_BUCKETS, attach, below_sums
 
 
 def safe_div(a: Column, b: Column) -> Column:
@@ -33,34 +33,32 @@ def accuracy(scored: DataFrame, label: str = "label", pred: str = "pred",
 
 
 def _score_counts(scored: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
-    return scored.groupBy(*by, score).agg(
+    """One row per distinct score; rows without a score are not ranked."""
+    return scored.where(F.col(score).isNotNull()).groupBy(*by, score).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"),
         F.sum((F.col(label) != 1).cast("long")).alias("neg"))
 
 
 def auc(scored: DataFrame, label: str = "label", score: str = "score",
-        by: list[str] | None = None, lo: float | None = 0.0, hi: float | None = 1.0,
-        n_buckets: int = 4096) -> DataFrame:
-    """Exact Mann-Whitney AUC; null when a group has only one class."""
+        by: list[str] | None = None, n_buckets: int = N_BUCKETS, few_groups: bool = True) -> DataFrame:
+    """Exact Mann-Whitney AUC; null when a group has only one class.  ``few_groups``: the groups
+    are models, folds or configs, so a row per group is broadcast; say False for data-sized groups."""
     by = by or []
     g = _score_counts(scored, label, score, by)
-    g = below_sums(g, by, score, ["neg"], n_buckets=n_buckets, lo=lo, hi=hi,
-                   broadcast_buckets=not by)
+    g = below_sums(g, by, score, ["neg"], n_buckets=n_buckets, few_groups=few_groups)
     return g.groupBy(*by).agg(
         safe_div(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)),
                  F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
 
 
 def curve_points(scored: DataFrame, label: str = "label", score: str = "score",
-                 by: list[str] | None = None, lo: float | None = 0.0, hi: float | None = 1.0,
-                 n_buckets: int = 4096) -> DataFrame:
+                 by: list[str] | None = None, n_buckets: int = N_BUCKETS, few_groups: bool = True) -> DataFrame:
     """One row per distinct score t: counts with score >= t (ROC and PR curves)."""
     by = by or []
     g = _score_counts(scored, label, score, by)
-    g = below_sums(g, by, score, ["pos", "neg"], n_buckets=n_buckets, lo=lo, hi=hi,
-                   broadcast_buckets=not by)
     tot = g.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    g = g.join(F.broadcast(tot), by) if by else _with_totals(g, tot)
+    g = below_sums(g, by, score, ["pos", "neg"], n_buckets=n_buckets, few_groups=few_groups)
+    g = attach(g, tot, by, few_groups)
     tp = F.col("P") - F.col("pos_below")
     fp = F.col("N") - F.col("neg_below")
     return g.select(
@@ -72,13 +70,6 @@ def curve_points(scored: DataFrame, label: str = "label", score: str = "score",
     )
 
 
-def _with_totals(g: DataFrame, tot: DataFrame) -> DataFrame:
-    row = tot.first()
-    P = int(row["P"] or 0) if row is not None else 0
-    N = int(row["N"] or 0) if row is not None else 0
-    return g.withColumn("P", F.lit(P).cast("long")).withColumn("N", F.lit(N).cast("long"))
-
-
 def roc_points(scored: DataFrame, **kw) -> DataFrame:
     by = kw.get("by") or []
     return curve_points(scored, **kw).select(*by, "threshold", "fpr", "tpr")
@@ -185,13 +176,7 @@ def metric_table(scored: DataFrame, label: str = "label", score: str = "score",
     by = by or []
     a = auc(scored, label, score, by)
     p = prf(scored, label, pred, by)
-    wide = p.join(a, by) if by else _join_one_row(p, a)
+    wide = attach(p, a, by, few=True)
     return wide.select(*by, F.expr(
         "stack(5, 'auc', auc, 'accuracy', accuracy, 'precision', precision, "
         "'recall', recall, 'f1', f1) as (metric, value)"))
-
-
-def _join_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Attach the single row of ``b`` to the single row of ``a`` (both one-row aggregates)."""
-    row = b.first()
-    return a.withColumns({c: F.lit(row[c]).cast("double") for c in b.columns})

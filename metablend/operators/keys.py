@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metablend.operators.prefix import attach
+
 
 def key_hash(row_id: str | Column, seed: int) -> Column:
     """32-bit unsigned hash of the key, identical to DuckDB's
@@ -49,7 +51,7 @@ def two_level_rank(df: DataFrame, order_col: str, tie_col: str,
     shift = 32 - bits
     with_b = df.withColumn("_bucket", F.shiftright(F.col(order_col), shift).cast("int"))
     counts = with_b.groupBy(*partition_cols, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    # the bucket table has at most (#partitions) x 2^bits rows: broadcast is bounded
+    # the bucket table has at most (#labels) x 2^bits rows; a null label is a label of its own
     w_before = (Window.partitionBy(*partition_cols).orderBy("_bucket")
                 .rowsBetween(Window.unboundedPreceding, -1))
     w_all = Window.partitionBy(*partition_cols)
@@ -58,7 +60,7 @@ def two_level_rank(df: DataFrame, order_col: str, tie_col: str,
         F.coalesce(F.sum("_cnt").over(w_before), F.lit(0)).alias("_offset"),
         F.sum("_cnt").over(w_all).alias("_n"),
     )
-    joined = with_b.join(F.broadcast(offsets), [*partition_cols, "_bucket"])
+    joined = attach(with_b, offsets, [*partition_cols, "_bucket"], few=True)
     w_in = Window.partitionBy(*partition_cols, "_bucket").orderBy(order_col, tie_col)
     return (joined
             .withColumn("_rank", F.col("_offset") + F.row_number().over(w_in) - 1)

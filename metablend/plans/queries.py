@@ -167,7 +167,7 @@ def _line_scored(spark, d):
 
 
 def q_metric_auc(spark, d):
-    return rnd(M.auc(_line_scored(spark, d), by=["origin"], lo=None, hi=None))
+    return rnd(M.auc(_line_scored(spark, d), by=["origin"]))
 
 
 def q_metric_auc_doc(spark, d):

@@ -29,7 +29,7 @@ def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = docs.join(labels, "doc_id").select(
         F.col("doc_id").alias("row_id"),
         F.col("quality").cast("int").alias("label"),
-        F.when(F.substring("source", 4, 100).cast("int") % 2 == 0, F.lit("a"))
+        F.when(F.expr("substring(source, 4)").cast("int") % 2 == 0, F.lit("a"))
          .otherwise(F.lit("b")).alias("origin"),
         F.col("n_chars").cast("double").alias("n_chars"),
         F.size(words).cast("double").alias("n_words"),

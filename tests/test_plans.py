@@ -57,3 +57,13 @@ def test_training_path_has_no_python_evaluation(spark):
     plan = _plan(fit.scores.select("row_id", F.element_at("P", 1)))
     for marker in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas"):
         assert marker not in plan
+
+
+@pytest.mark.parametrize("name", ["ks_lineitem", "category_tvd", "ks_two_sample"])
+def test_no_window_keyed_by_the_group_alone(spark, name):
+    """A window over a feature's values would bring all of them to one task; only bucket totals may."""
+    import __spark_entry__ as E
+    for line in _plan(E.queries()[name](spark, SF_SMALL)).splitlines():
+        m = re.search(r"\bWindow \[.*\], \[([^\]]*)\], \[([^\]]*)\]", line)
+        if m and re.fullmatch(r"feature#\d+", m.group(1)):
+            assert m.group(2).startswith("_bk#"), line

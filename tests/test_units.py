@@ -51,7 +51,7 @@ def test_auc_matches_pairwise_bruteforce(spark):
     brute = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     df = spark.createDataFrame(rows, "label int, score double")
     assert M.auc(df, n_buckets=7).first()["auc"] == pytest.approx(brute, abs=1e-12)
-    assert M.auc(df, lo=None, hi=None, n_buckets=3).first()["auc"] == pytest.approx(brute, abs=1e-12)
+    assert M.auc(df, n_buckets=3, few_groups=False).first()["auc"] == pytest.approx(brute, abs=1e-12)
 
 
 def test_report_with_empty_predicted_class(spark):
@@ -151,3 +151,29 @@ def test_samme_round_fixture(spark):
     assert fit.extra["alpha_sum"][0] == pytest.approx(math.log(3))
     w = sorted(r.w[0] for r in fit.scores.select("w").collect())
     assert w == pytest.approx([1 / 6, 1 / 6, 1 / 6, 1 / 2])
+
+
+def test_auc_leaves_out_rows_without_a_score(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, None)], "label int, score double")
+    assert M.auc(df).first()["auc"] == pytest.approx(1.0)
+
+
+def test_skewed_scores_spread_over_buckets(spark):
+    """One outlier does not put all other values into one bucket."""
+    from metablend.operators.prefix import N_BUCKETS, count_below
+    df = spark.range(20000).select((F.col("id") / 1e9).alias("x")).union(spark.sql("select double(1e12)"))
+    cuts = df.agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 1000).alias("c"))
+    sizes = df.crossJoin(F.broadcast(cuts)).groupBy(count_below(F.col("c"), F.col("x"), 64).alias("b")).count().collect()
+    assert len(sizes) >= 60 and max(r["count"] for r in sizes) < 2000 and N_BUCKETS >= 64
+
+
+def test_psi_ignores_nulls(spark):
+    rows = [("a", float(i)) for i in range(10)] + [("b", float(i)) for i in range(10)] + [("b", None)] * 20
+    df = spark.createDataFrame(rows, "origin string, v double")
+    r = G.psi_js(df, ["v"], "a", "b").first()
+    assert r["psi"] == pytest.approx(0.0) and r["js"] == pytest.approx(0.0)
+
+
+def test_rows_with_a_null_label_are_kept(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "row_id long, label int")
+    assert exact_split_folds(df, k=2, test_frac=None).count() == 3
