@@ -82,12 +82,16 @@ def meta_logistic(table: DataFrame, cols: list[str], C: float = 1.0, max_iter: i
                   scale: bool = False, score_on: DataFrame | None = None) -> DataFrame:
     """Fit on training rows (out-of-fold features), score every row → ``score``
     (of ``score_on``, where other columns feed the model at scoring time)."""
-    src, target = table, score_on if score_on is not None else table
+    src, target, used = table, score_on if score_on is not None else table, cols
     if scale:
-        params = fit_scaler(table, cols, where=F.col("split") == "train")
-        src, target = apply_scaler(table, params), apply_scaler(target, params)
-    va, model = logreg(src.where(F.col("split") == "train"), cols, C, max_iter)
-    return logreg_scores(target, va, model)
+        # scaled copies: the base columns themselves stay probabilities
+        used = [f"_z_{c}" for c in cols]
+        copies = {z: F.col(c) for z, c in zip(used, cols)}
+        src, target = src.withColumns(copies), target.withColumns(copies)
+        params = fit_scaler(src, used, where=F.col("split") == "train")
+        src, target = apply_scaler(src, params), apply_scaler(target, params)
+    va, model = logreg(src.where(F.col("split") == "train"), used, C, max_iter)
+    return logreg_scores(target, va, model).drop(*(used if scale else []))
 
 
 def meta_trees(table: DataFrame, cols: list[str], kind: str = "hist", n_trees: int | None = None,

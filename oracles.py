@@ -502,6 +502,11 @@ SELECT f AS feature, b AS cut, round(gain, 6) AS gain, CAST(CL AS BIGINT) AS n_l
     parts1 = " UNION ALL ".join(
         f"SELECT node, {i} AS f, {b} AS b, {NEWTON_G} AS g, {PH} AS h FROM l1, p0" for i, b in enumerate(ROOT_FEATURES))
     lr = D(0.3)
+    # inner folds: the training rows ranked again under the second seed, per label
+    q["nested_folds"] = f"""WITH {DQ}, {split_cte('s', 'dq', 0.2, 3)},
+i_r AS (SELECT row_id, row_number() OVER (PARTITION BY label ORDER BY h, row_id) - 1 AS rk
+        FROM (SELECT row_id, label, {HASH('row_id', 43)} AS h FROM s WHERE split = 'train'))
+SELECT s.row_id, s.split, s.fold, CAST(i_r.rk % 3 AS INTEGER) AS inner FROM s LEFT JOIN i_r ON i_r.row_id = s.row_id"""
     q["newton_tree_depth2"] = root_split_sql("newton", NEWTON_G, PH) + f""",
 l1 AS (SELECT tr.*, 2 + {feat_case} AS node FROM tr, best),
 g1 AS ({parts1}),

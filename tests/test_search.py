@@ -96,3 +96,14 @@ def test_boosted_forest_tree_table(spark, prep):
     rows = fit.scores.select("row_id", "bins", F.element_at("P", 2).alias("in_fit"))
     for r in score_trees(rows, fit.trees_df(spark, "x"), 1, "samme_forest").collect():
         assert r.score == pytest.approx(r.in_fit)
+
+
+def test_stack_reports_base_probabilities(spark, prep):
+    """Scaling inside the meta-learner leaves the base columns as they are; resubstitution uses refitted bases."""
+    from metablend.functions.metrics import accuracy, threshold
+    from metablend.plans import ensembles as E
+    base = E.LearnerSpec("gbm", n_trees=2, max_depth=1)
+    got = {(r.model, r.metric): r.value for r in E.stack(prep, [base], 2, "logreg", rows="train", resubstitute=True).collect()}
+    fit = E.fit_learner(prep, base, [-1])
+    own = fit.scores.where("split = 'train'").select("label", F.element_at("P", 1).alias("score"))
+    assert got["gbm", "accuracy"] == pytest.approx(accuracy(own.withColumn("pred", threshold("score"))).first()[0], abs=1e-6)
