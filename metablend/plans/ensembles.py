@@ -24,6 +24,7 @@ from metablend.operators.learners import (
 from metablend.operators.meta import base_table, fold_columns, meta_logistic, meta_trees
 from metablend.session import ensure_checkpoint_dir
 from metablend.sources.carriers import DOC_CATEGORICAL, DOC_CONTINUOUS, doc_quality
+from metablend.sources.tables import read_table
 
 FEATURES = DOC_CONTINUOUS + DOC_CATEGORICAL
 
@@ -82,11 +83,12 @@ ROWS_PER_PARTITION = 2_000_000      # large tables: ~2M prepared rows (tens of M
 MIN_ROWS_PER_TASK = 20_000          # small tables: spread over the cores, never below this
 
 
-def _partitions_for(spark: SparkSession, df: DataFrame) -> int:
-    """Partition count of a prepared table (one count pass): every core busy
-    for mid-size tables, ~2M rows per partition for large ones, and a single
-    partition for tiny ones (task overhead would dominate)."""
-    n = df.count()
+def _partitions_for(spark: SparkSession, source: DataFrame) -> int:
+    """Partition count of a prepared table, from the row count of the table it
+    comes from (Parquet footers only, no pass over the prepared rows): every
+    core busy for mid-size tables, ~2M rows per partition for large ones, and a
+    single partition for tiny ones (task overhead would dominate)."""
+    n = source.count()
     cores = spark.sparkContext.defaultParallelism
     return int(max(-(-n // ROWS_PER_PARTITION), min(cores, -(-n // MIN_ROWS_PER_TASK)), 1))
 
@@ -106,7 +108,8 @@ def prepare_trees(spark: SparkSession, sf_dir: str, k: int = 3, seed: int = 42,
     else:
         df = exact_split_folds(dq, seed=seed, test_frac=0.2, k=k)
     ensure_checkpoint_dir(spark)
-    df = df.repartition(_partitions_for(spark, df), "row_id").checkpoint(eager=True)
+    rows = read_table(spark, sf_dir, "labels")  # one prepared row per label at most
+    df = df.repartition(_partitions_for(spark, rows), "row_id").checkpoint(eager=True)
     specs = fit_bins(df.where(F.col("split") == "train"), DOC_CONTINUOUS, DOC_CATEGORICAL, n_bins, "quantile")
     return apply_bins(df, specs).select("row_id", "label", "split", "fold", "bins")
 
@@ -117,7 +120,7 @@ def prepare_lineitem_trees(spark: SparkSession, sf_dir: str, k: int = 3, seed: i
     from metablend.sources.carriers import LINE_CONTINUOUS, lineitem_return
     df = exact_split_folds(lineitem_return(spark, sf_dir), seed=seed, test_frac=0.2, k=k)
     ensure_checkpoint_dir(spark)
-    df = df.repartition(_partitions_for(spark, df), "row_id").checkpoint(eager=True)
+    df = df.repartition(_partitions_for(spark, read_table(spark, sf_dir, "lineitem")), "row_id").checkpoint(eager=True)
     specs = fit_bins(df.where(F.col("split") == "train"), LINE_CONTINUOUS, [], n_bins, "quantile")
     return apply_bins(df, specs).select("row_id", "label", "split", "fold", "bins")
 
