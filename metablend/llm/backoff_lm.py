@@ -7,7 +7,7 @@ The second word of a text starts at the bigram level, the first at c(w) / N (no
 score is the sum of log S over its words.  Counts are over the whole table, the document itself included.
 
 Rows are packed: a block is a few million words of whole documents, and all n-grams a block asks
-one hash partition about are one row (sorted 64-bit hashes as differences, with their counts in the block).
+one hash partition about are one row (sorted hashes of ``HASH_BITS`` bits as differences, with their counts in the block).
 
 1. ``blocks``: documents as local word ids and a dictionary of word hashes, written once.
 2. ``asked``: the distinct n-grams (n = 1, 2, 3) of a block, one row per block and hash partition.  An n-gram
@@ -39,8 +39,9 @@ from .words import count_by_row, mix64, word_slices
 
 BACKOFF = 0.4
 MIN_COUNT = 2
-BLOCK_WORDS = 3_000_000
-PARTITION_NGRAMS = 2_000_000
+BLOCK_WORDS = 2_000_000
+PARTITION_NGRAMS = 1_500_000
+HASH_BITS = 56  # of an n-gram: two of N distinct ones are equal about N^2 / 2^57 times (0.1 at 10^8)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -63,17 +64,20 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw), dtype=np.uint64)
 
 
-def grams(h: np.ndarray, lens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1, 2, 3: (hash of the n-gram ending at each place that has one, those places)."""
+def grams(h: np.ndarray, lens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1, 2, 3: (hash of the n-gram ending at each place that has one, those places), one at a time."""
     place = np.arange(len(h)) - np.repeat(np.cumsum(lens) - lens, lens)
-    at2, at3 = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-    return [(h, np.arange(len(h))), (mix64(h[at2 - 1] * _A + h[at2] * _B), at2),
-            (mix64(h[at3 - 2] * _C + h[at3 - 1] * _A + h[at3] * _B), at3)]
+    cut = np.uint64(64 - HASH_BITS)
+    yield h >> cut, np.arange(len(h))
+    at = np.flatnonzero(place >= 1)
+    yield mix64(h[at - 1] * _A + h[at] * _B) >> cut, at
+    at = np.flatnonzero(place >= 2)
+    yield mix64(h[at - 2] * _C + h[at - 1] * _A + h[at] * _B) >> cut, at
 
 
 def partition_bounds(sorted_hash: np.ndarray, n: int) -> np.ndarray:
     """Where each of ``n`` equal hash ranges starts in a sorted list of hashes."""
-    limits = np.array([(k << 64) // n for k in range(1, n)], np.uint64)
+    limits = np.array([(k << HASH_BITS) // n for k in range(1, n)], np.uint64)
     return np.concatenate([[0], np.searchsorted(sorted_hash, limits), [len(sorted_hash)]])
 
 
@@ -183,8 +187,7 @@ def block_scores(h: np.ndarray, lens: np.ndarray, totals: dict[int, np.ndarray],
     for n, (g, at) in enumerate(grams(h, lens), 1):
         c = np.zeros(len(h))
         if len(g):
-            _, inv = np.unique(g, return_inverse=True)
-            c[at] = totals[n][inv]
+            c[at] = totals.pop(n)[np.searchsorted(np.unique(g), g)]
         count[n] = c
     place = np.arange(len(h)) - np.repeat(np.cumsum(lens) - lens, lens)
     before1 = np.concatenate([[1.0], count[1][:-1]]) if len(h) else count[1]
