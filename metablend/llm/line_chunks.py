@@ -8,14 +8,13 @@ inserting or deleting lines shifts no boundary further off.  Several
 caught whatever stands before it.
 
 A chunk of at least ``min_lines`` lines, or of one line of at least ``min_words`` words, that
-occurs again anywhere is removed after its bytes are compared with those of its
-first occurrence (smallest id, then line).  The first occurrence stays, so every
+occurs again anywhere is removed after its bytes are compared (through their SHA-256) with those of
+its first occurrence (smallest id, then line).  The first occurrence stays, so every
 removed line still exists in an earlier document.
 
-Scale: the pass that finds repeats shuffles one small row (hash, id, line) per chunk,
-summed up before the exchange; texts move only for chunks that repeat, and once to put
-documents together again.  A chunk in a third of all documents is one row in the aggregation and
-a splittable side in the joins.
+Scale: the pass that finds repeats shuffles one small row (digest, id, line) per chunk,
+summed up before the exchange; texts move once, to meet the lines to remove.  A chunk in a
+third of all documents is one row in the aggregation and a splittable side in the join.
 
 Edge cases: null texts stay null, empty texts stay empty, with nothing removed; a text with
 nothing left becomes empty; a null id is smaller than any id; rows that repeat
@@ -51,21 +50,25 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scales=SCALES,
            min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``id, th, first, len, hash`` of every chunk long enough to be removed, over all scales."""
+    """``id, th, first, len, bytes`` of every chunk long enough to be removed, over all scales.
+
+    ``bytes`` is the SHA-256 of all the chunk's bytes: bytes are compared through it, so texts
+    of chunks need not travel.
+    """
     rows = _lines(docs.where(docs[text_col].isNotNull()), id_col, text_col)
-    rows = rows.select("id", "th", F.expr("transform(lines, x -> xxhash64(x))").alias("h"),
-                       F.expr(r"transform(lines, x -> regexp_count(x, '\\S+'))").alias("words"),
+    rows = rows.select("id", "th", "lines", F.expr("transform(lines, x -> xxhash64(x))").alias("h"),
                        F.size("lines").alias("n"))
-    cut = rows.select("id", "th", "h", "words", F.explode(F.array(*[
-        F.expr(_chunk_ends(k, w, d)) for k, (w, d) in enumerate(scales)])).alias("ends"))
-    cut = cut.select("id", "th", "h", "words", F.explode(F.expr(
-        "transform(ends, (e, j) -> named_struct('first', if(j = 0, 1, get(ends, j - 1) + 1), 'last', e))")).alias("c"))
-    size = F.expr("c.last - c.first + 1")
-    return (cut.select("id", "th", F.col("c.first").alias("first"), size.alias("len"), "h", "words")
-            .where((F.col("len") >= min_lines)
-                   | ((F.col("len") == 1) & (F.expr("get(words, first - 1)") >= min_words)))
-            .select("id", "th", "first", "len", F.expr("xxhash64(slice(h, first, len), len)").alias("hash"))
-            .distinct())
+    cut = rows.select("id", "th", "lines", *[F.expr(_chunk_ends(k, w, d)).alias(f"e{k}")
+                                            for k, (w, d) in enumerate(scales)])
+    spans = [F.expr(f"transform(e{k}, (e, j) -> named_struct('first', if(j = 0, 1, get(e{k}, j - 1) + 1), 'last', e))")
+             for k in range(len(scales))]
+    text = "array_join(slice(lines, c.first, c.last - c.first + 1), '\n')"
+    # digests are taken before the explosion, so a row carries a chunk's digest and never its document
+    small = cut.select("id", "th", "lines", F.array_distinct(F.flatten(F.array(*spans))).alias("cs")).select("id", "th", F.expr(
+        f"transform(filter(cs, c -> c.last - c.first + 1 >= {min_lines} OR regexp_count({text}, '\\\\S+') >= {min_words}), "
+        f"c -> named_struct('first', c.first, 'len', c.last - c.first + 1, 'bytes', unhex(sha2({text}, 256))))").alias("cs"))
+    # inline_outer: from a plain inline Spark infers a filter on the array and evaluates its whole expression again
+    return small.select("id", "th", F.inline_outer("cs")).where("first IS NOT NULL")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scales=SCALES,
@@ -73,23 +76,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sca
     """``id, th, first, len`` of the chunk occurrences to remove: equal bytes exist in an earlier place."""
     found = chunks(docs, id_col, text_col, scales, min_lines, min_words)
     place = F.struct("id", "first", "th")
-    heads = (found.groupBy("hash").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("times"))
-             .where("times > 1").select(F.col("hash").alias("hh"), F.col("head")))
-    own = found.join(heads, found["hash"] == F.col("hh")).select(
-        "id", "th", "first", "len", "hash", "head")
-    # texts of the repeated chunks, one row per document with any
-    wanted = own.groupBy("id", "th").agg(F.collect_set(F.struct("first", "len", "hash", "head")).alias("cs"))
-    lines = _lines(docs.where(docs[text_col].isNotNull()), id_col, text_col).dropDuplicates(["id", "th"])
-    lines = lines.select(F.col("id").alias("lid"), F.col("th").alias("lth"), "lines")
-    texts = wanted.join(lines, F.col("id").eqNullSafe(F.col("lid")) & (F.col("th") == F.col("lth"))).select(
-        "id", "th", F.explode("cs").alias("c"), "lines")
-    texts = texts.select("id", "th", F.col("c.first").alias("first"), F.col("c.len").alias("len"),
-                         F.col("c.hash").alias("hash"), F.col("c.head").alias("head"),
-                         F.sha2(F.expr("array_join(slice(lines, c.first, c.len), '\n')").cast("binary"), 256).alias("bytes"))
-    is_head = place.eqNullSafe(F.col("head"))
-    firsts = texts.where(is_head).select(F.col("hash").alias("fh"), F.col("bytes").alias("fb")).distinct()
-    return (texts.where(~is_head).join(firsts, (F.col("hash") == F.col("fh")) & (F.col("bytes") == F.col("fb")))
-            .select("id", "th", "first", "len"))
+    heads = (found.groupBy("bytes", "len").agg(F.min(place).alias("head"), F.max(place).alias("last"))
+             .where("head <> last").select(F.col("bytes").alias("hb"), F.col("len").alias("hl"), "head"))
+    return (found.join(heads, (F.col("bytes") == F.col("hb")) & (F.col("len") == F.col("hl")))
+            .where(~place.eqNullSafe(F.col("head"))).select("id", "th", "first", "len"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scales=SCALES,
@@ -106,9 +96,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"))
     joined = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
     text = F.col("row")[text_col]
-    left = F.expr(f"filter(split(row.`{text_col}`, '\n'), (x, i) -> NOT array_contains(lines_gone, i + 1))")
-    cleaned = F.when(F.col("lines_gone").isNull(), text).otherwise(F.array_join(left, "\n"))
-    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n")))
+    # the lines are split once per row, before the look-ups
+    joined = joined.select("row", "lines_gone", F.split(text, "\n").alias("ls"), F.size(F.split(text, "\n")).alias("n"))
+    left = F.expr("transform(array_except(sequence(1, n), lines_gone), i -> get(ls, i - 1))")
+    cleaned = F.when(F.col("lines_gone").isNull() | (F.size("ls") < 1), text).otherwise(F.array_join(left, "\n"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.col("n"))
     return joined.select(F.col("row").withField(f"`{text_col}`", cleaned).alias("row"),
                          F.struct(n_lines.alias("n_lines"),
                                   F.coalesce(F.size("lines_gone"), F.lit(0)).alias("n_removed")).alias("dedup"))
