@@ -9,11 +9,13 @@ processes, and each process stops as soon as its value exceeds the document's la
 Equal registers have the probability of the weighted Jaccard similarity.
 
 Steps: texts with equal word sequences are one node (128-bit key); bands of registers
-give buckets; in a bucket all nodes are compared with a leader, not with each other;
-links are pairs whose multiset overlap, recomputed from the shingles, is at least ``threshold``.
-Connected nodes need no more comparing; buckets that still hold several components get another leader, and
-what is still apart after ``ROUNDS`` leaders is compared pair by pair, so no candidate pair between
-different components is left out.  Classes are the components.
+give buckets; in a bucket all nodes are compared with a leader (the node that meets most others over
+all its buckets, so the one nearest to what a family shares), not with each other.  Links are pairs whose
+multiset overlap, recomputed from the shingles, is at least ``threshold``.  Connected nodes need no more
+comparing; a leader that has met its bucket leaves it; buckets that still hold several components get another
+one.  What is still apart after ``ROUNDS`` leaders is compared between components wherever a longer signature
+(``FINE_REGISTERS``) agrees as often as a link's does less four standard deviations (a link fails that once
+in 30,000 times).  Classes are the components.
 
 Scale: passes over the texts are narrow; a task emits a node once, however many copies it
 holds; what is shuffled are bands, and the shingles of nodes that share a bucket.
@@ -34,14 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import stored
+from .common import checkpointed, stored
 from .components import components
 from .words import Words, mix64, range_hash, word_slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, BAND_ROWS = 32, 5
-ROUNDS = 3
+ROUNDS = 2
+FINE_REGISTERS = 640
 POINTS_AT_ONCE = 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -131,6 +134,26 @@ def band_keys(ident: np.ndarray, bands: int = BANDS, band_rows: int = BAND_ROWS)
     return mix64((part * odd).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)[None, :] * _GOLD)
 
 
+def register_codes(ident: np.ndarray) -> np.ndarray:
+    """4 bits of every register, 16 registers to a 64-bit number."""
+    nibble = (ident >> np.uint64(40)) & np.uint64(15)
+    shift = (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, None, :]
+    return (nibble.reshape(len(ident), -1, 16) << shift).sum(axis=2, dtype=np.uint64)
+
+
+def alike(a: str, b: str, threshold: float, m: int) -> str:
+    """SQL: whether the register codes of two nodes agree as often as those of a pair at the threshold
+    do, less four standard deviations (chance agreement of 4 bits included)."""
+    p = threshold + (1 - threshold) / 16
+    least = m * p - 4 * (m * p * (1 - p)) ** 0.5
+    differ = []
+    for k in range(m // 16):
+        x = f"({a}[{k}] ^ {b}[{k}])"
+        spread = " | ".join([x, *(f"shiftrightunsigned({x}, {i})" for i in (1, 2, 3))])
+        differ.append(f"bit_count(({spread}) & {0x1111111111111111}L)")
+    return f"({' + '.join(differ)}) <= {int(m - least)}"
+
+
 def node_keys(part: Words) -> np.ndarray:
     """16-byte keys, equal for equal word sequences; of the raw bytes for texts without words."""
     bounds = _row_bounds(part)
@@ -151,6 +174,12 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([raw[k:k + size] for k in range(0, len(raw), size)], pa.binary())
 
 
+def _lists(rows: np.ndarray, own: np.ndarray) -> pa.Array:
+    """One list per row, empty where ``own`` is false."""
+    offsets = np.concatenate([[0], np.cumsum(own * rows.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows[own]).ravel().view(np.int64)))
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, th, node, bands`` of every document (bands empty for texts without words)."""
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -159,13 +188,11 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in word_slices(batch.column(2)):
-                keys = band_keys(signatures(*shingles(part), part.n_rows))
+                ident = signatures(*shingles(part), part.n_rows)
                 own = np.diff(_row_bounds(part)) > 0
-                offsets = np.concatenate([[0], np.cumsum(own * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.row0, part.n_rows), batch.column(1).slice(part.row0, part.n_rows),
-                     _binary(node_keys(part)),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[own].ravel().view(np.int64)))],
+                     _binary(node_keys(part)), _lists(band_keys(ident), own)],
                     ["id", "th", "node", "bands"])
 
     return rows.mapInArrow(run, StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL(
@@ -212,6 +239,23 @@ def unpack_codes(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def fine_signatures(codes: DataFrame) -> DataFrame:
+    """``sn, sig``: register codes of a longer signature of each node, from its shingle codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                lists = [unpack_codes(x.as_py()) for x in part.column(1)]
+                row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                code = mix64(np.concatenate(lists))  # occurrences are told apart, so every weight is 1
+                ident = signatures(row, code, np.ones(len(code), np.int64), len(lists), FINE_REGISTERS)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(register_codes(ident), np.ones(len(lists), bool))],
+                                                 ["sn", "sig"])
+
+    return codes.select("node", "codes").mapInArrow(run, "sn binary, sig array<bigint>")
+
+
 def overlap(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity: shared over all occurrences of shingles."""
     x, y = unpack_codes(a), unpack_codes(b)
@@ -226,15 +270,15 @@ def overlap(a: bytes, b: bytes) -> float:
 
 
 def verified(pairs: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multiset overlap reaches the threshold."""
-    left, right = codes.select(F.col("node").alias("na"), F.col("codes").alias("ca")), \
-        codes.select(F.col("node").alias("nb"), F.col("codes").alias("cb"))
-    both = pairs.join(right, pairs["b"] == right["nb"]).join(left, pairs["a"] == left["na"]).select("a", "b", "ca", "cb")
+    """Of the pairs (a, b, ca, cb) the components (ca, cb) of those whose multiset overlap reaches the threshold."""
+    left, right = codes.select(F.col("node").alias("na"), F.col("codes").alias("xa")), \
+        codes.select(F.col("node").alias("nb"), F.col("codes").alias("xb"))
+    both = pairs.join(right, pairs["b"] == right["nb"]).join(left, pairs["a"] == left["na"]).select("ca", "cb", "xa", "xb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ca, cb = batch.column(2), batch.column(3)
-            keep = pa.array([overlap(x.as_py(), y.as_py()) >= threshold for x, y in zip(ca, cb)], pa.bool_())
+            keep = pa.array([overlap(x.as_py(), y.as_py()) >= threshold for x, y in zip(batch.column(2), batch.column(3))],
+                            pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
     return both.mapInArrow(run, "a binary, b binary")
@@ -250,40 +294,60 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # one row per (bucket, node); a node's copies have the same bands
     members = rows.select("node", F.posexplode("bands").alias("band", "key")).distinct()
     crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        F.col("band").alias("cb"), F.col("key").alias("ck"))
+        F.col("band").alias("cb"), F.col("key").alias("ck"), "n")
     members = stored(members.join(crowded, (F.col("band") == F.col("cb")) & (F.col("key") == F.col("ck")))
-                     .select("band", "key", "node"), "bucket-members")
-    wanted = members.select(F.col("node").alias("wn")).distinct()
+                     .select("band", "key", "node", "n"), "bucket-members")
+    # centrality: how many others a node meets over all its buckets
+    wanted = stored(members.groupBy("node").agg(F.sum("n").alias("met")), "bucket-nodes")
+    members = members.join(wanted.withColumnRenamed("node", "in"), members["node"] == F.col("in")).select(
+        "band", "key", "node", F.col("node").alias("comp"), "met")
     codes = node_shingles(docs, text_col)
-    codes = stored(codes.join(wanted, codes["node"] == F.col("wn")).groupBy("node")
+    wn = wanted.select(F.col("node").alias("wn"))
+    codes = stored(codes.join(wn, codes["node"] == F.col("wn")).groupBy("node")
                    .agg(F.first("codes").alias("codes")), "shingle-codes")
-    links, comps = None, None
+    labels = wn.select(F.col("wn").alias("node"), F.col("wn").alias("comp"))
     for r in range(rounds + 1):
-        if comps is None:
-            placed = members.withColumn("comp", F.col("node"))
-        else:
-            placed = members.join(comps.withColumnRenamed("node", "pn"), members["node"] == F.col("pn"), "left").select(
-                "band", "key", "node", F.coalesce("comp", "node").alias("comp"))
-        mark = F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node", "comp")
-        leaders = placed.groupBy("band", "key").agg(F.min(mark).alias("lead"), F.min("comp").alias("c0"),
-                                                    F.max("comp").alias("c1")).where("c0 <> c1")
+        mark = F.struct("met", "node", "comp")
+        leaders = members.groupBy("band", "key").agg(F.max(mark).alias("lead"), F.min("comp").alias("c0"),
+                                                     F.max("comp").alias("c1")).where("c0 <> c1")
         leaders = leaders.select(F.col("band").alias("lb"), F.col("key").alias("lk"), "lead")
+        met = members.join(leaders, (F.col("band") == F.col("lb")) & (F.col("key") == F.col("lk")))
         if r < rounds:
-            pairs = placed.join(leaders, (F.col("band") == F.col("lb")) & (F.col("key") == F.col("lk"))) \
-                .where(F.col("lead.comp") != F.col("comp")) \
-                .select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+            # the leader meets all of its bucket now, so it leaves it; settled buckets are gone
+            rest = stored(met.where(F.col("node") != F.col("lead.node")).select(
+                "band", "key", "node", "comp", "met", F.col("lead.node").alias("ln"), F.col("lead.comp").alias("lc")), "bucket-rest")
+            pairs = rest.where("comp <> lc").select(
+                F.col("ln").alias("a"), F.col("node").alias("b"), F.col("lc").alias("ca"), F.col("comp").alias("cb")).distinct()
+            members = rest.select("band", "key", "node", "comp", "met")
         else:
-            apart = placed.join(leaders.drop("lead"), (F.col("band") == F.col("lb")) & (F.col("key") == F.col("lk"))) \
-                .select("band", "key", "node", "comp")
-            other = apart.select(F.col("band").alias("ob"), F.col("key").alias("ok"), F.col("node").alias("b"),
-                                 F.col("comp").alias("oc"))
-            # only between components that are still apart; nodes of one component need no more links
+            met = stored(met.select("band", "key", "node", "comp"), "bucket-apart")
+            left = met.select(F.col("node").alias("an")).distinct()
+            fine = fine_signatures(codes.join(left, codes["node"] == F.col("an")))
+            bands = rows.select(F.col("node").alias("bn"), "bands").join(left, F.col("bn") == F.col("an"), "left_semi") \
+                .groupBy("bn").agg(F.first("bands").alias("bands"))
+            info = stored(fine.join(bands, F.col("sn") == F.col("bn")).select("sn", "sig", "bands"), "fine-signatures")
+            met = met.join(info, met["node"] == F.col("sn"))
+            apart = met.select("band", "key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"),
+                               F.col("bands").alias("ba"))
+            other = met.select(F.col("band").alias("ob"), F.col("key").alias("ok"), F.col("node").alias("b"),
+                               F.col("comp").alias("cb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"))
+            # only between components that are still apart (nodes of one component need no more links), where
+            # the fine signatures leave a link possible, and in the first band that the two share
             pairs = apart.join(other, (F.col("band") == F.col("ob")) & (F.col("key") == F.col("ok"))
-                               & (F.col("comp") < F.col("oc"))).select(F.col("node").alias("a"), "b").distinct()
-        found = stored(verified(pairs, codes, threshold), "links")
-        links = found if links is None else links.union(found)
-        comps = components(links)
-    named = rows.join(comps.withColumnRenamed("node", "cn"), rows["node"] == F.col("cn"), "left").select(
+                               & (F.col("ca") < F.col("cb")) & F.expr(alike("sa", "sb", threshold, FINE_REGISTERS))
+                               & F.expr("NOT exists(arrays_zip(slice(ba, 1, band), slice(bb, 1, band)), z -> z['0'] = z['1'])")) \
+                .select("a", "b", "ca", "cb").distinct()
+        links = stored(verified(pairs, codes, threshold).distinct(), "links")
+        if not links.isEmpty():
+            moved = components(links).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+            members = members.join(moved, members["comp"] == moved["old"], "left").select(
+                "band", "key", "node", F.coalesce("new", "comp").alias("comp"), "met")
+            labels = checkpointed(labels.join(moved, labels["comp"] == moved["old"], "left").select(
+                "node", F.coalesce("new", "comp").alias("comp")))
+        if r < rounds and members.isEmpty():
+            break
+    labels = labels.withColumnRenamed("node", "cn")
+    named = rows.join(labels, rows["node"] == F.col("cn"), "left").select(
         "id", "th", F.coalesce("comp", "node").alias("comp"))
     classes = named.groupBy("comp").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.hint("merge").join(classes.withColumnRenamed("comp", "cc"), F.col("comp") == F.col("cc")).select(
