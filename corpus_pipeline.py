@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks go, each but its first occurrence; a document that loses all its lines goes too."""
-    cleaned = line_chunks.remove_repeats(docs)
+    """Repeated line chunks and passages go, each but its first occurrence; a document that loses all its lines goes too."""
+    cleaned = line_chunks.remove_repeats(docs, passages=True)
     changed = F.col("dedup.n_removed") > 0
     row = F.when(changed, F.col("row").withField("n_chars", F.char_length("row.text").cast(docs.schema["n_chars"].dataType))) \
         .otherwise(F.col("row"))

@@ -12,6 +12,11 @@ occurs again anywhere is removed after its bytes are compared (through their SHA
 its first occurrence (smallest id, then line).  The first occurrence stays, so every
 removed line still exists in an earlier document.
 
+Chunks alone miss passages whose ends are no boundaries.  With ``passages`` the shortest runs of lines that
+reach ``min_words`` words, from every line onwards and from every line backwards, count as chunks too.  In a
+passage of at least ``min_words`` words the last run onwards that still ends inside it is also the run backwards from its
+end, so these runs cover every repeated passage from its first to its last line that is not blank, whatever its chunks.
+
 Scale: the pass that finds repeats shuffles one small row (digest, id, line) per chunk,
 summed up before the exchange; texts move once, to meet the lines to remove.  A chunk in a
 third of all documents is one row in the aggregation and a splittable side in the join.
@@ -48,8 +53,26 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
 
 
+def _pack(first: str, last: str) -> str:
+    """SQL: a span as one bigint, so that array_distinct hashes it (structs are compared pair by pair)."""
+    return f"shiftleft(CAST({first} AS BIGINT), 32) + {last}"
+
+
+def _runs(min_words: int) -> list[str]:
+    """SQL: for each line of ``full`` (numbers of lines with words) the shortest run onwards and backwards that
+    reaches ``min_words``, given word counts ``w``; null where the text ends before.  Each line has a word
+    at least, so ``min_words`` lines are enough."""
+    def reach(lines: str, span: str) -> str:
+        return (f"transform(full, (i, k) -> if(get(w, i - 1) >= {min_words}, {_pack('i', 'i')}, aggregate({lines}, "
+                f"named_struct('s', 0, 'e', i), (a, j) -> if(a.s >= {min_words}, a, named_struct('s', a.s + get(w, j - 1), 'e', j)), "
+                f"a -> if(a.s >= {min_words}, {span}, NULL))))")
+
+    return [reach(f"slice(full, k + 1, {min_words})", _pack("i", "a.e")),
+            reach(f"reverse(slice(full, greatest(k + 2 - {min_words}, 1), least(k + 1, {min_words})))", _pack("a.e", "i"))]
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scales=SCALES,
-           min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+           min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
     """``id, th, first, len, bytes`` of every chunk long enough to be removed, over all scales.
 
     ``bytes`` is the SHA-256 of all the chunk's bytes: bytes are compared through it, so texts
@@ -58,23 +81,28 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scal
     rows = _lines(docs.where(docs[text_col].isNotNull()), id_col, text_col)
     rows = rows.select("id", "th", "lines", F.expr("transform(lines, x -> xxhash64(x))").alias("h"),
                        F.size("lines").alias("n"))
-    cut = rows.select("id", "th", "lines", *[F.expr(_chunk_ends(k, w, d)).alias(f"e{k}")
-                                            for k, (w, d) in enumerate(scales)])
-    spans = [F.expr(f"transform(e{k}, (e, j) -> named_struct('first', if(j = 0, 1, get(e{k}, j - 1) + 1), 'last', e))")
+    rows = rows.withColumn("w", F.expr("transform(lines, x -> regexp_count(x, '\\\\S+'))"))
+    rows = rows.withColumn("full", F.expr("filter(sequence(1, n), i -> get(w, i - 1) > 0)"))
+    cut = rows.select("id", "th", "lines", "w", "full", *[F.expr(_chunk_ends(k, w, d)).alias(f"e{k}")
+                                                          for k, (w, d) in enumerate(scales)])
+    spans = [F.expr(f"transform(e{k}, (e, j) -> {_pack(f'if(j = 0, 1, get(e{k}, j - 1) + 1)', 'e')})")
              for k in range(len(scales))]
-    text = "array_join(slice(lines, c.first, c.last - c.first + 1), '\n')"
+    if passages:
+        spans += [F.expr(f"filter({runs}, c -> c IS NOT NULL)") for runs in _runs(min_words)]
+    first, size = "CAST(shiftright(c, 32) AS INT)", "CAST((c & 4294967295) - shiftright(c, 32) + 1 AS INT)"
+    text = f"array_join(slice(lines, {first}, {size}), '\n')"
     # digests are taken before the explosion, so a row carries a chunk's digest and never its document
-    small = cut.select("id", "th", "lines", F.array_distinct(F.flatten(F.array(*spans))).alias("cs")).select("id", "th", F.expr(
-        f"transform(filter(cs, c -> c.last - c.first + 1 >= {min_lines} OR regexp_count({text}, '\\\\S+') >= {min_words}), "
-        f"c -> named_struct('first', c.first, 'len', c.last - c.first + 1, 'bytes', unhex(sha2({text}, 256))))").alias("cs"))
+    small = cut.select("id", "th", "lines", "w", F.array_distinct(F.flatten(F.array(*spans))).alias("cs")).select("id", "th", F.expr(
+        f"transform(filter(cs, c -> {size} >= {min_lines} OR aggregate(slice(w, {first}, {size}), 0, (s, x) -> s + x) >= {min_words}), "
+        f"c -> named_struct('first', {first}, 'len', {size}, 'bytes', unhex(sha2({text}, 256))))").alias("cs"))
     # inline_outer: from a plain inline Spark infers a filter on the array and evaluates its whole expression again
     return small.select("id", "th", F.inline_outer("cs")).where("first IS NOT NULL")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scales=SCALES,
-            min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+            min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
     """``id, th, first, len`` of the chunk occurrences to remove: equal bytes exist in an earlier place."""
-    found = chunks(docs, id_col, text_col, scales, min_lines, min_words)
+    found = chunks(docs, id_col, text_col, scales, min_lines, min_words, passages)
     place = F.struct("id", "first", "th")
     heads = (found.groupBy("bytes", "len").agg(F.min(place).alias("head"), F.max(place).alias("last"))
              .where("head <> last").select(F.col("bytes").alias("hb"), F.col("len").alias("hl"), "head"))
@@ -83,12 +111,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sca
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scales=SCALES,
-                   min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+                   min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
     """Every row of ``docs`` with its text cleaned, plus ``n_lines`` and ``n_removed`` in a struct ``dedup``.
 
     Returned columns: all of ``docs`` (the text column replaced) as struct ``row``, and ``dedup``.
     """
-    gone = repeats(docs, id_col, text_col, scales, min_lines, min_words)
+    gone = repeats(docs, id_col, text_col, scales, min_lines, min_words, passages)
     gone = gone.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_set(
         F.expr("sequence(first, first + len - 1)")))).alias("lines_gone"))
     gone = gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), "lines_gone")

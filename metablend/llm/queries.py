@@ -48,7 +48,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_chunks.remove_repeats(read_table(spark, sf_dir, "documents"))
+    cleaned = line_chunks.remove_repeats(read_table(spark, sf_dir, "documents"), passages=True)
     return cleaned.select(F.col("row.doc_id").alias("doc_id"), "dedup.n_lines", "dedup.n_removed",
                           F.sha2(F.col("row.text").cast("binary"), 256).alias("text_sha256"))
 

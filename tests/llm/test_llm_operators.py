@@ -317,6 +317,50 @@ def test_line_chunks_of_odd_rows(odd, nothing):
     assert line_chunks.remove_repeats(nothing).count() == 0
 
 
+def repeated_passages(docs, min_words):
+    """{id: line numbers} in later copies of any run of lines of min_words words or more, by comparing all pairs of lines."""
+    at, gone = {}, {i: set() for i in docs}
+    lines = {i: t.split("\n") for i, t in docs.items() if t is not None}
+    for i in sorted(lines):
+        for k, x in enumerate(lines[i]):
+            for j, m in at.get(x, []):
+                n, size = 0, 0  # the common run from here on
+                while k + n < len(lines[i]) and m + n < len(lines[j]) and lines[i][k + n] == lines[j][m + n]:
+                    size += len(lines[i][k + n].split())
+                    n += 1
+                while n and not lines[i][k + n - 1].strip():
+                    n -= 1
+                if size >= min_words and x.strip():
+                    gone[i].update(range(k, k + n))
+            at.setdefault(x, []).append((i, k))
+    return gone
+
+
+def test_repeated_passages_go_whatever_their_chunks(spark, small_docs):
+    rng = random.Random(7)
+    docs = {r.doc_id: r.text for r in small_docs.collect()}
+    for p in range(40):  # runs of two to eight lines, some blank, between foreign lines
+        sizes = [rng.choice((0, 1, 8, 20, 49)) for _ in range(rng.randint(2, 8))] + [26, 26]
+        passage = [" ".join(f"q{rng.randint(0, 9999)}" for _ in range(n)) for n in sizes]
+        for c in range(3):
+            docs[2000 + 3 * p + c] = "\n".join([f"before {p} {c} {k}" for k in range(rng.randint(0, 3))] + passage
+                                               + [f"after {p} {c} {k}" for k in range(rng.randint(0, 3))])
+    docs[3000] = "\n".join(["one"] * 120)  # a passage that overlaps itself
+    want = {i: n for i, n in repeated_passages(docs, line_chunks.MIN_WORDS).items() if n}
+    table = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+
+    def gone(**how):
+        out = {}
+        for r in line_chunks.repeats(table, **how).collect():
+            out.setdefault(r.id, set()).update(range(r.first - 1, r.first - 1 + r.len))
+        return out
+
+    chunked, both = gone(), gone(passages=True)
+    assert any(n - chunked.get(i, set()) for i, n in want.items())
+    assert all(n <= both[i] for i, n in want.items())
+    assert both == {i: chunked.get(i, set()) | want.get(i, set()) for i in chunked.keys() | want.keys()}
+
+
 # --- op8 --------------------------------------------------------------------------------
 def test_contamination_matches_brute_force(spark, small_docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
