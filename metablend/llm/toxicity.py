@@ -2,8 +2,9 @@
 
 1. Character language model: trigram counts of byte classes over all documents (one Spark
    aggregation; the table is bounded by the number of classes cubed).
-2. Restoration: spans that look disguised (leetspeak inside words, single letters in a row with
-   separators, letters repeated three times or more) become character lattices: each character may stand
+2. Restoration: spans that look disguised (tokens that mix letters and look-alikes in any place, three or more
+   single letters or look-alikes in a row, a letter among them, with separators of any ASCII punctuation or
+   blanks, letters repeated three times or more) become character lattices: each character may stand
    for itself or for look-alikes, repeats and separators may vanish.  A Viterbi search under the
    language model picks the likeliest letters; they replace the span.
 3. Evidence: byte 4-grams and 6-grams inside the words of the restored text that are much more
@@ -56,6 +57,10 @@ CLASS[0x80:] = 28 + np.arange(128)
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
          "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "abcdefghijklmnopqrstuvwxyz"}
 SUBSTITUTE, KEEP_DIGIT, DROP_REPEAT, DROP_MARK, WORD_BREAK = 1.0, 2.5, 0.3, 0.7, 2.0
+#: what a byte costs at least, however it is read (language model costs are not negative), and states of the first search
+LEAST = [0.0 if CLASS[c] and CLASS[c] != DIGIT else DROP_REPEAT if c != 42 and chr(c) in LOOKS else
+         KEEP_DIGIT if CLASS[c] == DIGIT else DROP_MARK for c in range(256)]
+BEAM = 12
 
 
 class CharModel:
@@ -88,10 +93,21 @@ class CharModel:
         return got
 
     def restore(self, span: bytes) -> bytes:
-        """The likeliest reading of a disguised span: Viterbi over (last two classes), ties to the first found."""
+        """The likeliest reading of a disguised span: Viterbi over (last two classes), ties to the first found.
+
+        Wildcards in a row have hundreds of states, so a search over few states goes first: its cost bounds the best
+        one, and as no step costs less than ``rest`` counts, states beyond that bound lead to no better reading."""
+        limit, read, whole = self._search(span, math.inf, BEAM)
+        return read if whole else self._search(span, limit + 1e-9, None)[1]
+
+    def _search(self, span: bytes, limit: float, beam: int | None) -> tuple[float, bytes, bool]:
+        """(cost, reading, whether no state was left out for the beam); states that must end above ``limit`` go."""
+        span, whole = span.lower(), True
+        rest = sum(map(LEAST.__getitem__, span))
         # state -> (cost, last input byte that was read as itself or dropped as its repeat, back pointer)
         states: dict[tuple[int, int], tuple[float, int, tuple | None]] = {(0, 0): (0.0, -1, None)}
-        for ch in span.lower():
+        for ch in span:
+            rest -= LEAST[ch]
             own = int(CLASS[ch])
             looks = LOOKS.get(chr(ch), "")
             out: dict[tuple[int, int], tuple[float, int, tuple | None]] = {}
@@ -113,13 +129,23 @@ class CharModel:
                 for x in looks:
                     c = ord(x)
                     put((b if a or b else 0, c - 96), cost + SUBSTITUTE + self.cost(a, b, c - 96), c, (c, back))
+                    if byte == c and ch != 42:  # a wildcard repeats nothing
+                        put((a, b), cost + DROP_REPEAT, c, back)
+            if beam is not None and len(out) > beam:
+                out, whole = dict(sorted(out.items(), key=lambda s: s[1][0])[:beam]), False
+            elif limit < math.inf:
+                out = {k: v for k, v in out.items() if v[0] + rest <= limit}
             states = out
-        best = min(states.items(), key=lambda s: s[1][0] + (self.cost(*s[0], 0) if s[0][1] else 0.0))
+
+        def total(s):
+            return s[1][0] + (self.cost(*s[0], 0) if s[0][1] else 0.0)
+
+        best = min(states.items(), key=total)
         back, letters = best[1][2], []
         while back is not None:
             letters.append(back[0])
             back = back[1]
-        return bytes(reversed(letters))
+        return total(best), bytes(reversed(letters)), whole
 
 
 def _lm_counts(docs: DataFrame, text_col: str) -> CharModel:
@@ -155,8 +181,8 @@ _HIGH = np.zeros(256, bool)
 _HIGH[0x80:] = True
 _LEET = np.zeros(256, bool)
 _LEET[[ord(c) for c in LOOKS]] = True
-_SEP = np.zeros(256, bool)
-_SEP[[ord(c) for c in " .-_*"]] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[ord("0"):ord("9") + 1] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -169,20 +195,31 @@ def disguised_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     pad = np.concatenate([buf, np.full(6, 10, np.uint8)])
     letter, low = _LETTER[pad], TO_LOWER[pad]
     spoken = letter | _HIGH[pad]
-    leet = _LEET[buf] & spoken[1:n + 1]
     triple = letter[:n] & (low[:n] == low[1:n + 1]) & (low[:n] == low[2:n + 2])
     blank = np.flatnonzero(_BLANK[buf])
     ends = np.union1d(blank, offsets[1:])            # a token ends at a blank or with its text
     starts = np.union1d(blank + 1, offsets[:-1])
-    at = np.flatnonzero(leet | triple)
+    at = np.flatnonzero(_LEET[buf] | triple)
     a1 = starts[np.searchsorted(starts, at, side="right") - 1]
     b1 = ends[np.searchsorted(ends, at, side="right")] if len(at) else at
-    sep = _SEP[pad]
-    single = letter & ~np.concatenate([[False], spoken[:-1]]) & ~np.concatenate([spoken[1:], [False]])
-    row = single[:n] & sep[1:n + 1] & single[2:n + 2] & sep[3:n + 3] & single[4:n + 4]
-    a2 = np.flatnonzero(row)
-    a2 = a2[np.searchsorted(offsets, a2, side="right") == np.searchsorted(offsets, a2 + 4, side="right")]
-    a, b = np.concatenate([a1, a2]), np.concatenate([b1, a2 + 5])
+    spoken_before = np.concatenate([[0], np.cumsum(spoken[:n], dtype=np.int32)])
+    mixed = spoken_before[b1] > spoken_before[a1]    # look-alikes alone are numbers or marks
+    a1, b1 = a1[mixed], b1[mixed]
+    # single letters and look-alikes: no letter, digit or high byte of the same text beside them
+    word = spoken[:n] | _DIGIT[buf]
+    left, right = np.concatenate([[False], word[:-1]]), np.concatenate([word[1:], [False]])
+    inner = offsets[(offsets > 0) & (offsets < n)]
+    left[inner] = right[inner - 1] = False
+    single = (letter[:n] | _LEET[buf]) & ~left & ~right
+    at = np.flatnonzero(single)
+    other = np.cumsum(word & ~single, dtype=np.int32)[at]
+    text = np.searchsorted(offsets, at, side="right")
+    begin = np.flatnonzero(np.concatenate([[True], (other[1:] > other[:-1]) | (text[1:] > text[:-1])])) if len(at) else at
+    last = np.concatenate([begin[1:], [len(at)]])[:len(begin)] - 1
+    letters = np.concatenate([[0], np.cumsum(letter[at])])
+    row = (last - begin >= 2) & (letters[last + 1] > letters[begin])
+    a2, b2 = at[begin[row]], at[last[row]] + 1
+    a, b = np.concatenate([a1, a2]), np.concatenate([b1, b2])
     if not len(a):
         return a, b
     order = np.argsort(a, kind="stable")

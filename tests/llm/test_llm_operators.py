@@ -285,6 +285,29 @@ def test_disguised_words_count_like_plain_ones(spark, toxic_model):
     assert s[1] >= 0.7 and s[2] >= 0.7 and s[3] < 0.5 and s[4] == s[5] < 0.5
 
 
+MIXED = {"idiot": ["1 d 1 0 t", "idi0+", "i  d  i  o  t", "i/d/i/o/t", "i\td,i - o\nt", "1_d_1_0_t", "idi000t", "1 d d 1 0 0 0 t"],
+         "loser": ["l o $ e r", "l  0  s  e  r", "l;o;$;3;r", "l0ooo$er"]}
+
+
+def test_mixed_disguises_are_scored_like_plain_words(spark, toxic_model):
+    docs, model = toxic_model
+    say = "The thing is that he is the {} of the things in the place."
+    forms = [(plain, seen) for plain, all_seen in MIXED.items() for seen in [plain, "", *all_seen]]
+    rows = spark.createDataFrame([(k, say.format(seen)) for k, (_, seen) in enumerate(forms)], "doc_id int, text string")
+    got = {forms[r.id]: r.score for r in toxicity.score(rows, model).collect()}
+    for plain, all_seen in MIXED.items():
+        assert got[plain, plain] > got[plain, ""]
+        assert {seen: got[plain, seen] for seen in all_seen} == {seen: pytest.approx(got[plain, plain]) for seen in all_seen}
+
+
+def test_spans_stay_within_their_texts_and_leave_numbers_alone():
+    texts = ["a b", "c d", "1 0 7 4", "* * *", "x", "", "call 4711 or 10.5 now", "i d", "i o t", "end!"]
+    raw = "".join(texts).encode()
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    a, b = toxicity.disguised_spans(np.frombuffer(raw, np.uint8), offsets)
+    assert [raw[x:y] for x, y in zip(a, b)] == [b"i o t", b"end!"]
+
+
 def test_toxicity_of_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(4, 1), (5, 0), (8, None), (None, 1), (4, 0)], "doc_id bigint, toxic int")
     for lab in (labels, labels.limit(0)):
