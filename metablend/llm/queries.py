@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import backoff_lm, bagminhash, decontaminate, exact_dedup, line_chunks, mixing, prefix_tokens, toxicity, url_graph, warc
+from . import (backoff_lm, bagminhash, decontaminate, exact_dedup, fill_middle, hard_negatives, line_chunks, mixing, prefix_tokens,
+               secret_links, toxicity, url_graph, warc)
 from .common import read_table, work_path
 
 
@@ -72,6 +73,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("digest").alias("text_sha256"))
 
 
+def op11_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10)
+                                                                 .otherwise(F.col("label")))
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_fim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = fill_middle.fill_middle(fill_middle.frame_texts(read_table(spark, sf_dir, "documents")))
+    return fill_middle.digests(outputs).select(
+        F.col("id").alias("doc_id"), "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        "output_sha256", "restored_sha256")
+
+
+def op13_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_links.find_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex",
+                        F.sha2(secret_links.spans_text("base").cast("binary"), 256).alias("base_sha256"),
+                        secret_links.spans_text("spans").alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -88,6 +110,9 @@ LLM_QUERIES = {
     "op8_fm_decontaminate": op8_fm_decontaminate,
     "op9_url_graph": op9_url_graph,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_threshold_negatives": op11_threshold_negatives,
+    "op12_fim_frames": op12_fim_frames,
+    "op13_secret_links": op13_secret_links,
 }
 
 LLM_ORACLES = {
@@ -146,4 +171,32 @@ LLM_ORACLES = {
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM t JOIN g USING (text_sha256)""",
+    "op11_threshold_negatives": """
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id, a.label = b.label AS same,
+                          CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+                   FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+             p AS (SELECT ar, anchor_id, br, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+                   QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST, br) <= 5)
+        SELECT p.anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY p.ar, p.br ORDER BY score DESC, vec_id NULLS LAST, s.br) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10""",
+    "op12_fim_frames": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+             h AS (SELECT doc_id, x, len(x) AS n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+                          CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM t),
+             c AS (SELECT doc_id, x, n, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+                          CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                               WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN x
+                           WHEN 'psm' THEN '<P>' || substring(x, 1, i) || '<S>' || substring(x, j + 1) || '<M>' || substring(x, i + 1, j - i)
+                           ELSE '<S>' || substring(x, j + 1) || '<P>' || substring(x, 1, i) || '<M>' || substring(x, i + 1, j - i) END)
+                   AS output_sha256,
+               sha256(x) AS restored_sha256 FROM c""",
 }
