@@ -1,10 +1,11 @@
 """Fused histogram tree grower.
 
 Many trees ("slots": fold models, grid configs, forest members) grow in the
-same Spark job.  Each row of the state table carries its binned features
-(``bins ARRAY<INT>``) and one node number per slot (``_node ARRAY<INT>``;
-nodes are numbered per slot in the order they are made, the two children of a
-split next to each other).  One pass per tree level:
+same Spark job.  Each row of the state table carries its features
+(``bins ARRAY<INT>``: binned; or ``ARRAY<DOUBLE>``: the raw values, cut exactly)
+and one node number per slot (``_node ARRAY<INT>``; nodes are numbered per slot
+in the order they are made, the two children of a split next to each other).
+One pass per tree level:
 
 1. explode the slots (``inline(arrays_zip(...))``), keep the rows whose node is
    on the frontier, let the learner attach a gradient ``g``, hessian/weight
@@ -16,11 +17,20 @@ split next to each other).  One pass per tree level:
 3. prefix-sum the bins with a window over that small histogram, score every
    cut with the learner's gain, and keep the best per node (ties → rounded
    gain, then lowest feature, then lowest bin); all of it in Spark, whatever
-   the size of the histogram,
+   the size of the histogram.  Missing values (null entries of ``bins``) are
+   tried on both sides of every cut (a two-way scan) and of the cut between all
+   known values and them; the better side is part of the split,
 4. bring back only the chosen splits (one row per node) and move rows to their
    children: the splits are literal arrays indexed by slot and node number,
    so a row costs the same whatever the number of nodes.
 
+Raw values have no bins: the table of step 2 has a row per (node, feature,
+distinct value), which may be as long as the data.  Its prefix sums run in two
+levels: values are dealt to cells at approximate quantiles of the feature (fixed
+for the fit; they only balance the work), cell totals are summed up over at most
+``N_CELLS`` rows per (node, feature), and the running sum stays within a cell.
+The cut lies halfway between the two values of the node that it parts.
+
 Depth-wise growth splits every admissible node per level.  Best-first growth
 (a leaf budget) is exact: children of every open candidate are evaluated, the
 best-first order is replayed on the (model-sized) node table, and the number
@@ -37,8 +47,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metablend.operators.literals import arr
+from metablend.operators.prefix import count_below
 
 EPS_GAIN = 1e-12
+N_CELLS = 1024
 
 
 @dataclass
@@ -53,6 +65,7 @@ class TreeParams:
     feature_k: int | None = None   # features tried per node (forests)
     seed: int = 42
     slot_tags: list | None = None  # stable per-slot ids for feature hashing (chunked forests)
+    cells: list | None = None      # raw values: ascending cell bounds per feature (``value_cells``)
 
 
 @dataclass
@@ -63,7 +76,8 @@ class Node:
     H: float = 0.0
     C: float = 0.0
     feature: int | None = None
-    cut: int | None = None
+    cut: float | None = None       # a bin, or a raw value; known values above it go right
+    missing_left: bool = False
     gain: float = 0.0
     left: tuple | None = None      # (G, H, C) of the left child
     right: tuple | None = None
@@ -131,34 +145,96 @@ def _histogram(rows: DataFrame) -> DataFrame:
             .agg(F.sum("g").alias("G"), F.sum("h").alias("H"), F.sum("c").alias("C")))
 
 
+def is_raw(state: DataFrame) -> bool:
+    """Do the rows carry raw values (doubles) rather than bins?"""
+    return state.schema["bins"].dataType.elementType.typeName() == "double"
+
+
+def value_cells(state: DataFrame, n_cells: int = N_CELLS) -> list[list[float]] | None:
+    """Cell bounds per feature for the exact search (None for binned rows): approximate quantiles
+    from a mergeable sketch, at most ``n_cells`` per feature.  They do not influence any result."""
+    if not is_raw(state):
+        return None
+    probs = [i / n_cells for i in range(1, n_cells)]
+    rows = state.select(F.posexplode("bins").alias("f", "x")).where(F.col("x").isNotNull()).groupBy("f").agg(
+        F.percentile_approx("x", probs, 10 * n_cells).alias("q")).collect()
+    bounds: list[list[float]] = [[] for _ in range(p_features(state))]
+    for r in rows:
+        bounds[r["f"]] = sorted(set(r["q"]))
+    return bounds
+
+
+SUMS = ("G", "H", "C")
+
+
+def _prefix_binned(hist: DataFrame, keys: tuple) -> DataFrame:
+    """Per bin: sums up to it (``GL HL CL``), of the missing values (``Gm Hm Cm``) and of all (``Gt Ht Ct``)."""
+    upto = Window.partitionBy(*keys, "f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    all_ = Window.partitionBy(*keys, "f")
+    has = F.col("b").isNotNull()
+    return hist.select(
+        *keys, "f", "b", F.col("b").alias("cut"), *[F.sum(F.when(has, F.col(s))).over(upto).alias(f"{s}L") for s in SUMS],
+        *[F.coalesce(F.sum(F.when(~has, F.col(s))).over(all_), F.lit(0.0)).alias(f"{s}m") for s in SUMS],
+        *[F.sum(s).over(all_).alias(f"{s}t") for s in SUMS])
+
+
+def _prefix_raw(hist: DataFrame, keys: tuple, cells: list[list[float]]) -> DataFrame:
+    """The same per distinct raw value, in two levels; ``cut`` lies halfway to the node's next value."""
+    group = [*keys, "f"]
+    bounds = F.get(nested(cells, "double"), F.col("f"))
+    dealt = hist.withColumn("cell", F.when(F.col("b").isNotNull(), count_below(bounds, F.col("b"), max(map(len, cells), default=1))))
+    totals = dealt.groupBy(*group, "cell").agg(*[F.sum(s).alias(f"{s}c") for s in SUMS], F.min("b").alias("first"))
+    by_cell = Window.partitionBy(*group).orderBy("cell")  # the missing values (null cell) come first
+    before = by_cell.rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy(*group)
+    has = F.col("cell").isNotNull()
+    offsets = totals.select(
+        *group, "cell", *[F.coalesce(F.sum(F.when(has, F.col(f"{s}c"))).over(before), F.lit(0.0)).alias(f"{s}o") for s in SUMS],
+        *[F.coalesce(F.sum(F.when(~has, F.col(f"{s}c"))).over(all_), F.lit(0.0)).alias(f"{s}m") for s in SUMS],
+        *[F.sum(f"{s}c").over(all_).alias(f"{s}t") for s in SUMS], F.lead("first").over(by_cell).alias("later"))
+    in_cell = Window.partitionBy(*group, "cell").orderBy("b")
+    upto = in_cell.rowsBetween(Window.unboundedPreceding, 0)
+    # the missing values' own row only carries totals: a node whose known values are all in no cell still has them
+    running = dealt.withColumns({f"{s}r": F.sum(s).over(upto) for s in SUMS}).withColumn("next", F.lead("b").over(in_cell))
+    o = offsets.select(*[F.col(c).alias(f"o_{c}") for c in (*group, "cell")], *[c for c in offsets.columns if c not in (*group, "cell")])
+    on = [F.col(c).eqNullSafe(F.col(f"o_{c}")) if c == "cell" else F.col(c) == F.col(f"o_{c}") for c in (*group, "cell")]
+    nxt = F.coalesce("next", "later")
+    half = F.col("b") / 2 + nxt / 2
+    return running.join(o, on).select(
+        *group, "b", F.when(nxt.isNull() | (half >= nxt), F.col("b")).otherwise(half).alias("cut"),
+        *[F.when(F.col("b").isNotNull(), F.col(f"{s}o") + F.col(f"{s}r")).alias(f"{s}L") for s in SUMS],
+        *[f"{s}m" for s in SUMS], *[f"{s}t" for s in SUMS])
+
+
 def split_candidates(hist: DataFrame, p: TreeParams, keys: tuple = ("slot", "node")) -> DataFrame:
-    """Split search over a histogram ``(*keys, f, b, G, H, C)``: prefix sums per
-    (node, feature) by a window, the learner's gain, and the best admissible
-    cut per (node, feature) as a struct ``best`` (ties: rounded gain, then
-    lowest feature, then lowest bin)."""
-    wcum = Window.partitionBy(*keys, "f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy(*keys, "f")
-    h2 = hist.select(
-        *keys, "f", "b",
-        F.sum("G").over(wcum).alias("GL"), F.sum("H").over(wcum).alias("HL"), F.sum("C").over(wcum).alias("CL"),
-        F.sum("G").over(wall).alias("Gt"), F.sum("H").over(wall).alias("Ht"), F.sum("C").over(wall).alias("Ct"))
-    GL, HL, CL = F.col("GL"), F.col("HL"), F.col("CL")
+    """Split search over a histogram ``(*keys, f, b, G, H, C)`` (b: bin, or raw value if
+    ``p.cells`` is given; null: missing): prefix sums per (node, feature), the learner's
+    gain with the missing values on either side, and the best admissible cut per (node,
+    feature) as a struct ``best`` (ties: rounded gain, then lowest feature, lowest bin,
+    missing values to the right).  A split without missing values in its node sends them
+    to the child with more rows (to the left if equal)."""
+    h2 = _prefix_binned(hist, keys) if p.cells is None else _prefix_raw(hist, keys, p.cells)
     Gt, Ht, Ct = F.col("Gt"), F.col("Ht"), F.col("Ct")
-    GR, HR, CR = Gt - GL, Ht - HL, Ct - CL
-    valid = ((CL >= p.min_rows_leaf) & (CR >= p.min_rows_leaf) & (Ct >= p.min_rows_split))
-    if p.criterion == "newton":
-        valid = valid & (HL >= p.min_hess) & (HR >= p.min_hess)
-    if p.criterion == "gini":
-        valid = valid & (HL > 0) & (HR > 0)
-    gain = _gain(p, GL, HL, CL, GR, HR, CR, Gt, Ht, Ct)
-    cand = F.when(valid & (gain > EPS_GAIN), F.struct(
-        F.round(gain, 9).alias("rg"), (-F.col("f")).alias("nf"), (-F.col("b")).alias("nb"),
-        gain.alias("gain"), GL.alias("GL"), HL.alias("HL"), CL.alias("CL"),
-        GR.alias("GR"), HR.alias("HR"), CR.alias("CR")))
-    # grouping by the window's own partition keys adds no exchange
-    return h2.groupBy(*keys, "f").agg(
-        F.first("Gt").alias("G"), F.first("Ht").alias("H"), F.first("Ct").alias("C"),
-        F.max(cand).alias("best"))
+
+    def cand(GL, HL, CL, left):
+        GR, HR, CR = Gt - GL, Ht - HL, Ct - CL
+        valid = ((CL >= p.min_rows_leaf) & (CR >= p.min_rows_leaf) & (Ct >= p.min_rows_split))
+        if p.criterion == "newton":
+            valid = valid & (HL >= p.min_hess) & (HR >= p.min_hess)
+        if p.criterion == "gini":
+            valid = valid & (HL > 0) & (HR > 0)
+        gain = _gain(p, GL, HL, CL, GR, HR, CR, Gt, Ht, Ct)
+        return F.when(valid & (gain > EPS_GAIN), F.struct(
+            F.round(gain, 9).alias("rg"), (-F.col("f")).alias("nf"), (-F.col("b")).alias("nb"), (~left).alias("to_right"),
+            F.col("cut").alias("cut"), left.alias("missing_left"), gain.alias("gain"), GL.alias("GL"), HL.alias("HL"), CL.alias("CL"),
+            GR.alias("GR"), HR.alias("HR"), CR.alias("CR")))
+
+    none = F.col("Cm") <= 0
+    right = cand(F.col("GL"), F.col("HL"), F.col("CL"), none & (F.col("CL") * 2 >= Ct))
+    left = F.when(~none, cand(F.col("GL") + F.col("Gm"), F.col("HL") + F.col("Hm"), F.col("CL") + F.col("Cm"), F.lit(True)))
+    best = h2.groupBy(*keys, "f").agg(  # grouping by the window's own partition keys adds no exchange
+        F.first("Gt").alias("G"), F.first("Ht").alias("H"), F.first("Ct").alias("C"), F.max(right).alias("r"), F.max(left).alias("l"))
+    return best.select(*keys, "f", "G", "H", "C", F.greatest("l", "r").alias("best"))
 
 
 def _search(rows: DataFrame, p: TreeParams, n_features: int, tried: list | None, first: list[int]) -> list:
@@ -177,7 +253,9 @@ def _search(rows: DataFrame, p: TreeParams, n_features: int, tried: list | None,
     hist = one.select((F.col("k") * d + F.col("f")).alias("kf"), "b", "g", "h", "c").groupBy("kf", "b").agg(
         F.sum("g").alias("G"), F.sum("h").alias("H"), F.sum("c").alias("C"))
     hist = hist.select(F.expr(f"kf div {n_features}").alias("k"), (F.col("kf") % d).cast("int").alias("f"),
-                       "b", "G", "H", "C").repartition("k")
+                       "b", "G", "H", "C")
+    if p.cells is None:
+        hist = hist.repartition("k")
     best = split_candidates(hist, p, keys=("k",)).groupBy("k").agg(
         F.first("G").alias("G"), F.first("H").alias("H"), F.first("C").alias("C"), F.max("best").alias("best"))
     return best.collect()
@@ -188,7 +266,7 @@ def _move(state: DataFrame, splits: list[Node], n_slots: int) -> DataFrame:
     if not splits:
         return state
     lo = [0] * n_slots
-    feature, cut, left = ([[] for _ in range(n_slots)] for _ in range(3))
+    feature, cut, left, missing = ([[] for _ in range(n_slots)] for _ in range(4))
     by_slot: dict[int, dict[int, Node]] = {}
     for n in splits:
         by_slot.setdefault(n.slot, {})[n.index] = n
@@ -199,13 +277,15 @@ def _move(state: DataFrame, splits: list[Node], n_slots: int) -> DataFrame:
             feature[s].append(n.feature if n else None)
             cut[s].append(n.cut if n else None)
             left[s].append(n.left_index if n else None)
+            missing[s].append(n.missing_left if n else None)
     lo_lit = arr(lo, "int")
-    fl, cl, ll = nested(feature, "int"), nested(cut, "int"), nested(left, "int")
+    fl, cl, ll = nested(feature, "int"), nested(cut, "double" if is_raw(state) else "int"), nested(left, "int")
+    ml = nested(missing, "boolean")
 
     def step(n, i):
         j = n - F.get(lo_lit, i)
         f = F.get(F.get(fl, i), j)
-        right = (F.get(F.col("bins"), f) > F.get(F.get(cl, i), j)).cast("int")
+        right = F.coalesce(F.get(F.col("bins"), f) > F.get(F.get(cl, i), j), ~F.get(F.get(ml, i), j)).cast("int")
         return F.when(f.isNull(), n).otherwise(F.get(F.get(ll, i), j) + right)
     return state.withColumn("_node", F.transform("_node", step))
 
@@ -247,7 +327,8 @@ def grow(state: DataFrame, n_slots: int, static: dict[str, list], arrays: list[s
             n.G, n.H, n.C = float(r["G"]), float(r["H"]), float(r["C"])
             b = r["best"]
             if b is not None:
-                n.feature, n.cut, n.gain = -int(b["nf"]), -int(b["nb"]), float(b["gain"])
+                n.feature, n.cut, n.gain = -int(b["nf"]), b["cut"], float(b["gain"])
+                n.missing_left = bool(b["missing_left"])
                 n.left = (float(b["GL"]), float(b["HL"]), float(b["CL"]))
                 n.right = (float(b["GR"]), float(b["HR"]), float(b["CR"]))
         for n in order:

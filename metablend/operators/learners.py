@@ -16,7 +16,7 @@ seed), so results do not depend on partitioning and survive recomputation.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from metablend.operators.literals import arr
 from metablend.session import ensure_checkpoint_dir
-from metablend.operators.grow import Node, TreeParams, grow, leaf_values, p_features
+from metablend.operators.grow import Node, TreeParams, grow, is_raw, leaf_values, p_features, value_cells
 
 KEEP = ["row_id", "label", "split", "fold", "bins"]
 
@@ -85,18 +85,19 @@ class Fitted:
         """The ensemble as a table.  ``index``/``left`` number the nodes of a tree and point to
         the left child (the right one is next); ``node`` is the heap number, null beyond depth 61."""
         return spark.createDataFrame(
-            [(model, s, t, n if n < 1 << 62 else None, f, c, v, w, i, left, r)
-             for (s, t, n, f, c, v, w, i, left, r) in self.trees],
-            "model string, slot int, tree int, node bigint, feature int, cut int, leaf double, tree_weight double, "
-            "index int, left int, rounds int")
+            [(model, s, t, n if n < 1 << 62 else None, f, c, v, w, i, left, r, m)
+             for (s, t, n, f, c, v, w, i, left, r, m) in self.trees],
+            f"model string, slot int, tree int, node bigint, feature int, cut {'double' if is_raw(self.scores) else 'int'}, "
+            "leaf double, tree_weight double, index int, left int, rounds int, missing_left boolean")
 
 
 def tree_row(n: Node, tree: int, leaf: float, weight: float, slot: int | None = None,
              rounds: int | None = None) -> tuple:
-    """(slot, tree, node, feature, cut, leaf value or None, tree weight, index, left child, boosting round)."""
+    """(slot, tree, node, feature, cut, leaf value or None, tree weight, index, left child, boosting round,
+    missing values go left)."""
     is_leaf = n.feature is None
     return (n.slot if slot is None else slot, tree, n.node, n.feature, n.cut, leaf if is_leaf else None, weight,
-            n.index, None if is_leaf else n.left_index, tree if rounds is None else rounds)
+            n.index, None if is_leaf else n.left_index, tree if rounds is None else rounds, None if is_leaf else n.missing_left)
 
 
 class _State:
@@ -203,7 +204,7 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
     one ensemble per slot.  ``stages``: also keep each slot's probability after
     that many trees (columns ``P_<n>``) — the staged-prefix reuse for grids
     whose ``n_estimators`` values are prefixes of each other."""
-    p = params or BOOST_PRESETS[kind]["params"]
+    p = replace(params or BOOST_PRESETS[kind]["params"], cells=value_cells(prep))
     S = len(slots)
     holds = [s.holdout for s in slots]
     f0 = _init_scores(prep, slots, seed)
@@ -307,7 +308,7 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
     st = _State(prep.select(*keep_cols(prep))
                 .withColumn("w", F.array_repeat(F.lit(1.0), S))
                 .withColumn("D", F.array_repeat(F.lit(0.0), S)), checkpoint_every)
-    p = TreeParams("gini", max_depth=1)
+    p = TreeParams("gini", max_depth=1, cells=value_cells(prep))
     d = p_features(prep)
     alive = [True] * S
     alpha_sum = [0.0] * S
@@ -390,7 +391,7 @@ class ForestSpec:
 
 def _forest_round(prep_state: DataFrame, holds: list[int], spec: ForestSpec, n_features: int,
                   seed: int, weight: str | None, round_id: int,
-                  tree_ids: list[int] | None = None) -> tuple[DataFrame, list[Node], Column]:
+                  tree_ids: list[int] | None = None, cells: list | None = None) -> tuple[DataFrame, list[Node], Column]:
     """Grow the trees ``tree_ids`` of every model in one fused run; returns the
     grown state (``_lv`` = leaf value per slot) and per-model leaf-value sums.
     Bootstrap and feature choice hash (model, tree), never the slot number, so
@@ -403,7 +404,7 @@ def _forest_round(prep_state: DataFrame, holds: list[int], spec: ForestSpec, n_f
     p = TreeParams("gini", max_depth=spec.max_depth, min_rows_leaf=spec.min_rows_leaf,
                    min_rows_split=spec.min_rows_split, feature_k=k if k < n_features else None,
                    seed=seed + 7919 * round_id,
-                   slot_tags=[(s // T) * T_all + trees[s % T] for s in range(S)])
+                   slot_tags=[(s // T) * T_all + trees[s % T] for s in range(S)], cells=cells)
     holds, inner = outer_inner(holds)
     nested = "inner" in prep_state.columns and any(i >= 0 for i in inner)
     static = {"hold": [holds[s // T] for s in range(S)], "ihold": [inner[s // T] for s in range(S)], "tree": [trees[s % T] for s in range(S)]}
@@ -436,13 +437,14 @@ def fit_forest(prep: DataFrame, holdouts: list[int], spec: ForestSpec, n_feature
     p₁ = mean over trees of the leaf's (bootstrap-weighted) class-1 share."""
     M, T = len(holdouts), spec.n_trees
     per_run = max(1, max_slots // M)
+    cells = value_cells(prep)
     ensure_checkpoint_dir(prep.sparkSession)
     state = prep.select(*keep_cols(prep)).withColumn("_acc", F.array_repeat(F.lit(0.0), M))
     trees: list[tuple] = []
     held: list[DataFrame] = []
     for start in range(0, T, per_run):
         chunk = list(range(start, min(T, start + per_run)))
-        grown, nodes, sums = _forest_round(state, holdouts, spec, n_features, seed, None, 0, chunk)
+        grown, nodes, sums = _forest_round(state, holdouts, spec, n_features, seed, None, 0, chunk, cells)
         state = (grown.withColumn("_acc", F.zip_with("_acc", sums, lambda a, b: a + b))
                  .drop("_lv", "_node"))
         if start + per_run < T:
@@ -477,10 +479,11 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
     alive = [True] * M
     alpha_sum = [0.0] * M
     trees: list[tuple] = []
+    cells = value_cells(prep)
     for r in range(spec.n_rounds):
         if not any(alive):
             break
-        grown, nodes, per_model = _forest_round(st.df, holdouts, spec.forest, n_features, seed, "w", r)
+        grown, nodes, per_model = _forest_round(st.df, holdouts, spec.forest, n_features, seed, "w", r, cells=cells)
         # restore the per-model weight array (the round repeated it per tree)
         T = spec.forest.n_trees
         cur = grown.withColumn("_p", F.transform(per_model, lambda x: x / float(T))).withColumn(

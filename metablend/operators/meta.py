@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metablend.operators.binning import apply_bins, fit_bins
+from metablend.operators.binning import N_BINS, apply_bins, fit_bins
 from metablend.operators.learners import BOOST_PRESETS, BoostSlot, Fitted, fit_boost
 from metablend.operators.scale import apply_scaler, fit_scaler
 
@@ -95,7 +95,7 @@ def meta_logistic(table: DataFrame, cols: list[str], C: float = 1.0, max_iter: i
 
 
 def meta_trees(table: DataFrame, cols: list[str], kind: str = "hist", n_trees: int | None = None,
-               lr: float | None = None, max_depth: int | None = None, n_bins: int = 32,
+               lr: float | None = None, max_depth: int | None = None, n_bins: int = N_BINS,
                params=None, keep_split: bool = False) -> DataFrame:
     """Boosted-tree meta-learner over the meta-feature columns (bins fitted on
     the training rows); one slot trained on all training rows."""

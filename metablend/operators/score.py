@@ -1,8 +1,8 @@
 """Apply a stored tree table to rows (L11).
 
-The tree table ``(slot, tree, node, feature, cut, leaf, tree_weight, index, left)``
+The tree table ``(slot, tree, node, feature, cut, leaf, tree_weight, index, left, missing_left)``
 is model-sized (trees x nodes), never data-sized.  Rows walk all trees at once:
-``depth`` rounds of ``index = left + (bins[feature] > cut)`` over an array with one
+``depth`` rounds of ``index = left + (bins[feature] > cut)`` (a missing value: by ``missing_left``) over an array with one
 node number per tree, by look-ups in arrays indexed by (tree, node number) — the
 same cost whatever the number of nodes.  The arrays travel as one broadcast row, so
 no size is baked into the plan's text; no shuffle, so the same function scores a
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metablend.operators.grow import nested
+from metablend.operators.grow import is_raw, nested
 from metablend.operators.literals import arr
 
 
@@ -26,28 +26,30 @@ def score_trees(df: DataFrame, trees: DataFrame, slot: int, combine: str = "sum"
     mean class-1 share), ``samme`` (AdaBoost: 1 / (1 + exp(-2 Σ α(2h-1) / Σ α)))
     or ``samme_forest`` (boosted forest: ``tree`` numbers are round * forest size
     + member, ``tree_weight`` is the round's α on every member; h = mean share > 0.5)."""
+    cols = [c if c in trees.columns else F.lit(None).alias(c) for c in
+            ("tree", "index", "left", "feature", "cut", "leaf", "tree_weight", "missing_left")]
     rows = trees.where(F.col("slot") == slot).select(
-        "tree", "index", "left", "feature", "cut", "leaf", "tree_weight", "rounds").collect() \
-        if "rounds" in trees.columns else trees.where(F.col("slot") == slot).select(
-        "tree", "index", "left", "feature", "cut", "leaf", "tree_weight", F.col("tree").alias("rounds")).collect()
+        *cols, F.col("rounds" if "rounds" in trees.columns else "tree").alias("rounds")).collect()
     place = {t: i for i, t in enumerate(sorted({int(r["tree"]) for r in rows}))}
     T = len(place)
     size = [0] * T
     for r in rows:
         size[place[int(r["tree"])]] = max(size[place[int(r["tree"])]], int(r["index"]) + 1)
-    feature, cut, left, leaf = ([[None] * n for n in size] for _ in range(4))
+    feature, cut, left, leaf, missing = ([[None] * n for n in size] for _ in range(5))
     weights, rounds = [1.0] * T, [0] * T
     for r in rows:
         t, i = place[int(r["tree"])], int(r["index"])
         feature[t][i], cut[t][i], left[t][i], leaf[t][i] = r["feature"], r["cut"], r["left"], r["leaf"]
+        missing[t][i] = bool(r["missing_left"])
         weights[t], rounds[t] = float(r["tree_weight"]), int(r["rounds"])
     depth = max((_depth(lf) for lf in left), default=0)
-    fl, cl, ll, vl = nested(feature, "int"), nested(cut, "int"), nested(left, "int"), nested(leaf, "double")
+    fl, ll, vl, ml = nested(feature, "int"), nested(left, "int"), nested(leaf, "double"), nested(missing, "boolean")
+    cl = nested(cut, "double" if is_raw(df) else "int")
     nodes = F.array_repeat(F.lit(0), T)
     for _ in range(depth):
         def step(n, t):
             f = F.get(F.get(fl, t), n)
-            right = (F.get(F.col("bins"), f) > F.get(F.get(cl, t), n)).cast("int")
+            right = F.coalesce(F.get(F.col("bins"), f) > F.get(F.get(cl, t), n), ~F.get(F.get(ml, t), n)).cast("int")
             return F.when(f.isNull(), n).otherwise(F.get(F.get(ll, t), n) + right)
         nodes = F.transform(nodes, step)
     vals = F.transform(nodes, lambda n, t: F.coalesce(F.get(F.get(vl, t), n), F.lit(0.0)))

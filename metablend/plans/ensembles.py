@@ -4,6 +4,11 @@ scores, blending, stacking and train-on-one-source / score-on-the-other.
 Settings are parameters; the registered queries use small ones (≤ 10 trees,
 depth ≤ 4, 3 folds) — the grids of the study are driver-side lists of the
 same parameters.
+
+The study's AdaBoost, gradient boosting and forests cut raw values (``split =
+"exact"``); its Newton and histogram learners cut at most 255 bins.  Exact fits
+read the prepared table's ``values``, the others its ``bins``; ``auto`` (the five
+learners' default) cuts raw values wherever the prepared table has them.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metablend.functions.metrics import metric_table, threshold
-from metablend.operators.binning import apply_bins, fit_bins
+from metablend.operators.binning import N_BINS, apply_bins, fit_bins, raw_values
 from metablend.operators.grow import TreeParams
 from metablend.operators.keys import exact_split_folds
 from metablend.operators.learners import (
@@ -41,17 +46,18 @@ class LearnerSpec:
     min_rows_split: int = 2
     forest_trees: int = 100
     extra: dict = field(default_factory=dict)
+    split: str = "hist"                # hist: bins; exact: raw values; auto: raw values if prepared
 
 
 #: the study's settings of each learner, used where nothing else is asked for
 DEFAULT_SPECS = {
-    "ada": LearnerSpec("ada", n_trees=50, lr=1.0),
-    "gbm": LearnerSpec("gbm", n_trees=100, lr=0.1, max_depth=3),
-    "sgb": LearnerSpec("sgb", n_trees=100, lr=0.1, max_depth=3, subsample=0.8),
+    "ada": LearnerSpec("ada", n_trees=50, lr=1.0, split="auto"),
+    "gbm": LearnerSpec("gbm", n_trees=100, lr=0.1, max_depth=3, split="auto"),
+    "sgb": LearnerSpec("sgb", n_trees=100, lr=0.1, max_depth=3, subsample=0.8, split="auto"),
     "xgb": LearnerSpec("xgb", n_trees=100, lr=0.3, max_depth=6),
     "lgb": LearnerSpec("lgb", n_trees=100, lr=0.1, max_depth=None, max_leaves=31, min_rows_leaf=20),
-    "rf": LearnerSpec("rf", n_trees=100, max_depth=None),
-    "ada_rf": LearnerSpec("ada_rf", n_trees=50, lr=1.0, max_depth=None, forest_trees=100),
+    "rf": LearnerSpec("rf", n_trees=100, max_depth=None, split="auto"),
+    "ada_rf": LearnerSpec("ada_rf", n_trees=50, lr=1.0, max_depth=None, forest_trees=100, split="auto"),
 }
 
 
@@ -94,8 +100,9 @@ def _partitions_for(spark: SparkSession, source: DataFrame) -> int:
 
 
 def prepare_trees(spark: SparkSession, sf_dir: str, k: int = 3, seed: int = 42,
-                  n_bins: int = 32, external: bool = False) -> DataFrame:
+                  n_bins: int = N_BINS, external: bool = False, values: bool = False) -> DataFrame:
     """row_id, label, split, fold, bins — hash partitioned by row_id, checkpointed.
+    ``values``: the raw features, too, for learners with exact cuts.
 
     ``external``: origin 'a' rows are the training source (folds among them),
     origin 'b' rows are held out as split 'eval'."""
@@ -110,19 +117,25 @@ def prepare_trees(spark: SparkSession, sf_dir: str, k: int = 3, seed: int = 42,
     ensure_checkpoint_dir(spark)
     rows = read_table(spark, sf_dir, "labels")  # one prepared row per label at most
     df = df.repartition(_partitions_for(spark, rows), "row_id").checkpoint(eager=True)
-    specs = fit_bins(df.where(F.col("split") == "train"), DOC_CONTINUOUS, DOC_CATEGORICAL, n_bins, "quantile")
-    return apply_bins(df, specs).select("row_id", "label", "split", "fold", "bins")
+    return _with_features(df, DOC_CONTINUOUS, DOC_CATEGORICAL, n_bins, values)
+
+
+def _with_features(df: DataFrame, continuous: list[str], categorical: list[str], n_bins: int, values: bool) -> DataFrame:
+    specs = fit_bins(df.where(F.col("split") == "train"), continuous, categorical, n_bins, "quantile")
+    out = apply_bins(df, specs)
+    if values:
+        out = raw_values(out, continuous + categorical, "values")
+    return out.select("row_id", "label", "split", "fold", "bins", *(["values"] if values else []))
 
 
 def prepare_lineitem_trees(spark: SparkSession, sf_dir: str, k: int = 3, seed: int = 42,
-                           n_bins: int = 32) -> DataFrame:
+                           n_bins: int = N_BINS, values: bool = False) -> DataFrame:
     """lineitem_return prepared like ``prepare_trees`` (scale carrier, no signal)."""
     from metablend.sources.carriers import LINE_CONTINUOUS, lineitem_return
     df = exact_split_folds(lineitem_return(spark, sf_dir), seed=seed, test_frac=0.2, k=k)
     ensure_checkpoint_dir(spark)
     df = df.repartition(_partitions_for(spark, read_table(spark, sf_dir, "lineitem")), "row_id").checkpoint(eager=True)
-    specs = fit_bins(df.where(F.col("split") == "train"), LINE_CONTINUOUS, [], n_bins, "quantile")
-    return apply_bins(df, specs).select("row_id", "label", "split", "fold", "bins")
+    return _with_features(df, LINE_CONTINUOUS, [], n_bins, values)
 
 
 def tree_params(spec: LearnerSpec) -> TreeParams:
@@ -147,10 +160,20 @@ def forest_spec(spec: LearnerSpec, n_trees: int) -> ForestSpec:
     return ForestSpec(n_trees, spec.max_depth, spec.min_rows_split, spec.min_rows_leaf)
 
 
+def features_of(prep: DataFrame, spec: LearnerSpec) -> DataFrame:
+    """The prepared table with the features that the learner cuts as ``bins``."""
+    if spec.split not in ("hist", "exact", "auto"):
+        raise ValueError(f"unknown split search {spec.split}")
+    if spec.split == "exact" and "values" not in prep.columns:
+        raise ValueError("exact cuts need the prepared table's raw values (values=True)")
+    return prep if spec.split == "hist" or "values" not in prep.columns else prep.withColumn("bins", F.col("values"))
+
+
 def fit_learner(prep: DataFrame, spec: LearnerSpec, holdouts: list, seed: int = 42,
                 n_features: int = len(FEATURES)) -> Fitted:
     """One model per holdout: a fold, -1 (none) or (fold, inner fold)."""
     kind = spec.kind
+    prep = features_of(prep, spec)
     if kind == "ada":
         return fit_ada(prep, [AdaSlot(o, spec.n_trees, spec.lr, i) for o, i in zip(*outer_inner(holdouts))])
     if kind in PRESET:

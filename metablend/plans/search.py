@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from metablend.functions.metrics import accuracy, auc, threshold
 from metablend.operators.grow import p_features
-from metablend.operators.learners import BoostSlot, fit_boost, fit_boost_chunked, uniform
+from metablend.operators.learners import fit_boost_chunked, uniform
 from metablend.plans import ensembles as E
 
 _BOOST = {"n_estimators": "n_trees", "learning_rate": "lr", "max_depth": "max_depth", "subsample": "subsample"}
@@ -63,9 +63,9 @@ def fit_tasks(prep: DataFrame, tasks: list[tuple[E.LearnerSpec, object]], seed:
     for i, (spec, _) in enumerate(tasks):
         if spec.kind in E.PRESET:
             p = E.tree_params(spec)
-            key = (spec.kind, *dataclasses.astuple(dataclasses.replace(p, max_depth=0 if p.max_leaves is None else p.max_depth)))
+            key = (spec.kind, spec.split, *dataclasses.astuple(dataclasses.replace(p, max_depth=0 if p.max_leaves is None else p.max_depth)))
         elif spec.kind == "ada":
-            key = ("ada",)
+            key = ("ada", spec.split)
         else:
             key = (spec.kind, json.dumps(dataclasses.asdict(spec), sort_keys=True))
         runs.setdefault(tuple(map(str, key)), []).append(i)
@@ -80,14 +80,14 @@ def fit_tasks(prep: DataFrame, tasks: list[tuple[E.LearnerSpec, object]], seed:
                 if key not in place:
                     place[key] = len(slots)
                     slots.append(E.boost_slot(dataclasses.replace(s, n_trees=stages[-1]), h))
-            fit = fit_boost_chunked(prep, E.PRESET[specs[0].kind], slots, max_slots, seed=seed, stages=stages,
+            fit = fit_boost_chunked(E.features_of(prep, specs[0]), E.PRESET[specs[0].kind], slots, max_slots, seed=seed, stages=stages,
                                     params=E.tree_params(specs[0]))
             p = F.array(*[F.get(F.col(f"P_{s.n_trees}"), F.lit(place[s.lr, s.max_depth, s.subsample, h]))
                           for s, h in zip(specs, holds)])
             scores = fit.scores
         elif specs[0].kind == "ada":
             from metablend.operators.learners import AdaSlot, fit_ada, outer_inner
-            scores = fit_ada(prep, [AdaSlot(o, s.n_trees, s.lr, i) for s, o, i in zip(specs, *outer_inner(holds))]).scores
+            scores = fit_ada(E.features_of(prep, specs[0]), [AdaSlot(o, s.n_trees, s.lr, i) for s, o, i in zip(specs, *outer_inner(holds))]).scores
             p = F.col("P")
         else:
             scores, p = E.fit_learner(prep, specs[0], holds, seed, n_features).scores, F.col("P")
@@ -177,24 +177,63 @@ def tree_grid_search(prep: DataFrame, k: int = 3, grid: dict | None = None, seed
     return grid_search(prep, "gbm", grid, k, "accuracy", seed, max_slots)
 
 
-def learning_curve(prep: DataFrame, spec, fractions: list[float], seed: int = 42) -> DataFrame:
-    """Train on nested hashed fractions of the training rows (one fused run),
-    score the test rows: fraction, n_train, accuracy, auc."""
-    slots = [BoostSlot(-1, spec.n_trees, spec.lr, spec.max_depth, spec.subsample, f) for f in fractions]
-    fit = fit_boost(prep, "gbm", slots, seed=seed)
-    lit_fr = F.lit([float(f) for f in fractions])
-    tst = fit.scores.where(F.col("split") == "test").select(
-        "label", F.posexplode("P").alias("s", "score")).withColumn("pred", threshold("score"))
-    tst = tst.withColumn("fraction", F.element_at(lit_fr, F.col("s") + 1))
-    sizes = (fit.scores.where(F.col("split") == "train")
-             .select(uniform(F.col("row_id"), "subset", seed).alias("u"))
-             .agg(*[F.sum((F.col("u") < f).cast("long")).alias(f"n{i}") for i, f in enumerate(fractions)])
-             .first())
-    n_lit = F.lit([int(sizes[f"n{i}"] or 0) for i in range(len(fractions))])
+def _fit_fractions(prep: DataFrame, spec: E.LearnerSpec, fractions: list[float], holdouts: list[int], seed: int) -> DataFrame:
+    """Scores of one model per (fraction, holdout), fraction first; each trains on the rows of its nested
+    hashed fraction that are not held out.  Boosting fits all of them in one fused run; the other
+    learners in one run per fraction."""
+    if spec.kind in E.PRESET:
+        slots = [dataclasses.replace(E.boost_slot(spec, h), row_fraction=float(f)) for f in fractions for h in holdouts]
+        return fit_boost_chunked(E.features_of(prep, spec), E.PRESET[spec.kind], slots, seed=seed, params=E.tree_params(spec)).scores
+    out = None
+    u = uniform(F.col("row_id"), "subset", seed)
+    for i, f in enumerate(fractions):
+        part = prep.withColumn("split", F.when((F.col("split") == "train") & (u >= float(f)), "unused").otherwise(F.col("split")))
+        scores = E.fit_learner(part, spec, holdouts, seed, p_features(prep)).scores
+        if out is None:
+            first = scores.select("row_id", "label", "fold", F.col("P").alias("_p0"), F.when(
+                F.col("split") == "unused", "train").otherwise(F.col("split")).alias("split"))
+            out = first
+        else:
+            out = out.join(scores.select("row_id", F.col("P").alias(f"_p{i}")), "row_id")
+    return out.withColumn("P", F.concat(*[F.col(f"_p{i}") for i in range(len(fractions))]))
+
+
+def _fraction_sizes(prep: DataFrame, fractions: list[float], seed: int, folds: int = 0) -> list[int]:
+    """Training rows per (fraction, holdout), in the order of ``_fit_fractions`` (one aggregation)."""
+    u = uniform(F.col("row_id"), "subset", seed)
+    masks = [(u < float(f)) & ((F.lit(h) < 0) | (F.col("fold") != h)) for f in fractions for h in (range(folds) if folds else [-1])]
+    row = prep.where(F.col("split") == "train").agg(*[F.sum(m.cast("long")).alias(f"n{i}") for i, m in enumerate(masks)]).first()
+    return [int(row[f"n{i}"] or 0) for i in range(len(masks))]
+
+
+def learning_curve(prep: DataFrame, spec: E.LearnerSpec, fractions: list[float], seed: int = 42) -> DataFrame:
+    """Any learner trained on nested hashed fractions of the training rows and scored on the
+    test rows: fraction, n_train, accuracy, auc."""
+    scores = _fit_fractions(prep, spec, fractions, [-1], seed)
+    tst = scores.where(F.col("split") == "test").select("label", F.posexplode("P").alias("s", "score")).withColumn("pred", threshold("score"))
+    tst = tst.withColumn("fraction", F.element_at(F.lit([float(f) for f in fractions]), F.col("s") + 1))
+    n_lit = F.lit(_fraction_sizes(prep, fractions, seed))
     res = accuracy(tst, by=["fraction", "s"]).join(auc(tst, by=["fraction", "s"]), ["fraction", "s"])
     return res.select("fraction", F.element_at(n_lit, F.col("s") + 1).alias("n_train"), "accuracy", "auc")
 
 
+def learning_curve_cv(prep: DataFrame, spec: E.LearnerSpec, fractions: list[float], k: int, seed: int = 42) -> DataFrame:
+    """The study's curve: per fraction, k models trained on the fraction's rows outside a fold; mean and
+    (population) deviation over the folds of the accuracy on their own training rows and on the fold."""
+    scores = _fit_fractions(prep, spec, fractions, list(range(k)), seed)
+    u = uniform(F.col("row_id"), "subset", seed)
+    one = scores.where(F.col("split") == "train").select("label", "fold", u.alias("u"), F.posexplode("P").alias("s", "score"))
+    one = one.withColumn("held", F.pmod(F.col("s"), F.lit(k))).withColumn("i", F.floor(F.col("s") / k).cast("int"))
+    fr = F.lit([float(f) for f in fractions])
+    one = one.withColumn("fraction", F.element_at(fr, F.col("i") + 1)).withColumn(
+        "part", F.when(F.col("fold") == F.col("held"), "cv").when(F.col("u") < F.col("fraction"), "train"))
+    hit = (F.col("label") == threshold("score")).cast("double")
+    by_fold = one.where(F.col("part").isNotNull()).groupBy("i", "fraction", "s", "part").agg(F.avg(hit).alias("acc"))
+    sizes = F.lit(_fraction_sizes(prep, fractions, seed, k))
+    stats = [f(F.when(F.col("part") == p, F.col("acc"))).alias(f"{p}_{n}") for p in ("train", "cv") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return by_fold.groupBy("i", "fraction").agg(F.avg(F.when(F.col("part") == "cv", F.element_at(sizes, F.col("s") + 1))).alias("n_train"), *stats).drop("i")
+
+
 def add_inner_folds(prep: DataFrame, k_inner: int = 3, seed: int = 43) -> DataFrame:
     """Inner folds for nested search: exact stratified folds of the training
     rows under a second seed (the outer folds stay untouched)."""

@@ -276,6 +276,75 @@ cand AS (SELECT *, {GAIN[kind]} AS gain FROM lr WHERE {VALID[kind]}),
 best AS (SELECT * FROM cand WHERE gain > {D(1e-12)} ORDER BY round(gain, 9) DESC, f ASC, b ASC LIMIT 1)"""
 
 
+# ---------------------------------------------------------------- whole rounds
+def xs_cte(src: str, exprs: list[str]) -> str:
+    """Features in long form: row_id, f, x (null: missing)."""
+    return "xs AS (" + " UNION ALL ".join(f"SELECT row_id, {i} AS f, {D(e)} AS x FROM {src}" for i, e in enumerate(exprs)) + ")"
+
+
+def tree_ctes(t: str, src: str, depth: int, kind: str, raw: bool) -> str:
+    """CTEs that grow one tree over ``src (row_id, g, h)``: splits {t}_b<level>, final nodes {t}_n<depth>."""
+    out = [f"{t}_n0 AS (SELECT row_id, g, h, 1 AS node FROM {src})"]
+    cut = "CASE WHEN nx IS NULL OR x / 2 + nx / 2 >= nx THEN x ELSE x / 2 + nx / 2 END" if raw else "x"
+    sums = lambda s: (f"sum(CASE WHEN x IS NOT NULL THEN {s} END) OVER o AS {s}x, "
+                      f"coalesce(sum(CASE WHEN x IS NULL THEN {s} END) OVER a, 0) AS {s}m, sum({s}) OVER a AS {s}t")
+    for i in range(depth):
+        out.append(f"""{t}_h{i} AS (SELECT node, f, x, sum(g) AS G, sum(h) AS H, CAST(count(*) AS DOUBLE) AS C
+    FROM {t}_n{i} JOIN xs USING (row_id) WHERE node >= {2 ** i} GROUP BY node, f, x),
+{t}_c{i} AS (SELECT node, f, x, lead(x) OVER (PARTITION BY node, f ORDER BY x NULLS FIRST) AS nx, {sums('G')}, {sums('H')}, {sums('C')}
+    FROM {t}_h{i} WINDOW o AS (PARTITION BY node, f ORDER BY x NULLS FIRST ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY node, f)),
+{t}_o{i} AS (SELECT node, f, x, nx, Gt, Ht, Ct, Gx AS GL, Hx AS HL, Cx AS CL, Cm <= 0 AND 2 * Cx >= Ct AS ml FROM {t}_c{i} WHERE x IS NOT NULL
+    UNION ALL SELECT node, f, x, nx, Gt, Ht, Ct, Gx + Gm, Hx + Hm, Cx + Cm, true FROM {t}_c{i} WHERE x IS NOT NULL AND Cm > 0),
+{t}_g{i} AS (SELECT *, {GAIN[kind]} AS gain FROM (SELECT *, Gt - GL AS GR, Ht - HL AS HR, Ct - CL AS CR FROM {t}_o{i}) WHERE {VALID[kind]}),
+{t}_b{i} AS (SELECT node, f, {cut} AS cut, ml, gain, GL, CL, GR, CR FROM {t}_g{i} WHERE gain > {D(1e-12)}
+    QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, f, x, ml) = 1),
+{t}_n{i + 1} AS (SELECT n.row_id, g, h, CASE WHEN b.node IS NULL THEN n.node
+        ELSE 2 * n.node + CASE WHEN v.x > b.cut OR (v.x IS NULL AND NOT b.ml) THEN 1 ELSE 0 END END AS node
+    FROM {t}_n{i} n LEFT JOIN {t}_b{i} b ON b.node = n.node LEFT JOIN xs v ON v.row_id = n.row_id AND v.f = b.f)""")
+    return ",\n".join(out)
+
+
+def tree_rows(t: str, number: int, depth: int, leaf: str, raw: bool, more: str = "", more_leaf: str = "") -> str:
+    """The tree's rows: splits, then leaves with the value ``leaf`` over sums of g and h."""
+    cut = "round(cut, 6)" if raw else "CAST(cut AS INTEGER)"
+    none = "CAST(NULL AS DOUBLE)" if raw else "CAST(NULL AS INTEGER)"
+    parts = [f"SELECT {number} AS tree, CAST(node AS BIGINT) AS node, f AS feature, {cut} AS cut, CAST(NULL AS DOUBLE) AS leaf{more} FROM {t}_b{i}"
+             for i in range(depth)]
+    parts.append(f"SELECT {number}, CAST(node AS BIGINT), CAST(NULL AS INTEGER), {none}, {leaf}{more_leaf} FROM {t}_n{depth} GROUP BY node")
+    return "\nUNION ALL ".join(parts)
+
+
+TRAIN = DQ + "," + split_cte("s", "dq", 0.2, 3) + ", tr AS (SELECT * FROM s WHERE split = 'train')"
+RAW = [*DOC_CONT, *DOC_CAT]
+
+
+def boost_ctes(rounds: int, depth: int, kind: str, lr: float, leaf: str, raw: bool) -> str:
+    """f0, then per round: gradients, a tree, new scores."""
+    g = "p - y" if kind == "newton" else "y - p"
+    out = ["f0 AS (SELECT row_id, CAST(label AS DOUBLE) AS y, ln(r / (1 - r)) AS s FROM tr, (SELECT avg(label) AS r FROM tr))"]
+    for i in range(rounds):
+        out += [f"gh{i} AS (SELECT row_id, {g} AS g, p * (1 - p) AS h FROM (SELECT row_id, y, 1 / (1 + exp(-s)) AS p FROM f{i}))",
+                tree_ctes(f"t{i}", f"gh{i}", depth, kind, raw),
+                f"v{i} AS (SELECT node, {D(lr)} * {leaf} AS v FROM t{i}_n{depth} GROUP BY node)",
+                f"f{i + 1} AS (SELECT f{i}.row_id, y, s + v AS s FROM f{i} JOIN t{i}_n{depth} USING (row_id) JOIN v{i} USING (node))"]
+    return ",\n".join(out)
+
+
+def quantile_ctes(long: str, n_bins: int) -> str:
+    """qc(f, b, hi): the bins' largest values; ``long (f, x)`` holds the training values."""
+    fits = f"w * ({n_bins} - r + 1) <= tot - above"
+    return f"""qd AS (SELECT f, x, count(*) AS w FROM {long} WHERE x IS NOT NULL GROUP BY f, x),
+qo AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY w DESC, x) AS r, sum(w) OVER (PARTITION BY f) AS tot, count(*) OVER (PARTITION BY f) AS n,
+              sum(w) OVER (PARTITION BY f ORDER BY w DESC, x ROWS UNBOUNDED PRECEDING) - w AS above FROM qd),
+ql AS (SELECT f, CASE WHEN max(n) <= {n_bins} THEN max(n) ELSE min(CASE WHEN {fits} THEN r END) - 1 END AS heavy,
+              CASE WHEN max(n) <= {n_bins} THEN 0 ELSE max(CASE WHEN {fits} THEN tot - above END) END AS light FROM qo GROUP BY f),
+qs AS (SELECT f, x, light, heavy, CASE WHEN light = 0 OR w * ({n_bins} - heavy) > light THEN 1 ELSE 0 END AS big, w FROM qd JOIN ql USING (f)),
+qb AS (SELECT f, x, coalesce(sum(big) OVER o, 0) + CASE WHEN light = 0 THEN 0
+                    ELSE coalesce(sum((1 - big) * w) OVER o, 0) * ({n_bins} - heavy) // light END AS b FROM qs
+       WINDOW o AS (PARTITION BY f ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+qc AS (SELECT f, CAST(b AS INTEGER) AS b, max(x) AS hi, CAST(max(max(b)) OVER (PARTITION BY f) AS INTEGER) AS last FROM qb GROUP BY f, b)"""
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_typed"] = f"""WITH {DQ}
@@ -527,4 +596,40 @@ UNION ALL SELECT CAST(t1.node AS BIGINT), NULL, NULL, round({lr} * (-t1.G / (t1.
           FROM t1 WHERE t1.node NOT IN (SELECT node FROM b1)
 UNION ALL SELECT CAST(2 * node AS BIGINT), NULL, NULL, round({lr} * (-GL / (HL + {D(1)})), 6) FROM b1
 UNION ALL SELECT CAST(2 * node + 1 AS BIGINT), NULL, NULL, round({lr} * (-GR / (HR + {D(1)})), 6) FROM b1"""
+    q["gbm_rounds_exact"] = f"""WITH {TRAIN}, {xs_cte('tr', RAW)},
+{boost_ctes(2, 2, 'variance', 0.1, 'sum(g) / sum(h)', True)}
+""" + "\nUNION ALL ".join(tree_rows(f"t{i}", i, 2, f"round({D(0.1)} * sum(g) / sum(h), 6)", True) for i in range(2))
+    for name, kind, g, h in (("gbm_round_exact", "variance", GBM_G, PH), ("ada_stump_exact", "gini", D("label"), D(1))):
+        q[name] = f"""WITH {TRAIN}, {xs_cte('tr', RAW)},
+gh AS (SELECT row_id, {g} AS g, {h} AS h FROM tr, (SELECT avg(label) AS r FROM tr)),
+{tree_ctes('t', 'gh', 1, kind, True)}
+SELECT f AS feature, round(cut, 6) AS cut, round(gain, 6) AS gain, round(GL, 6) AS g_left, CAST(CL AS BIGINT) AS n_left,
+       round(GR, 6) AS g_right, CAST(CR AS BIGINT) AS n_right FROM t_b0"""
+    ada, rows = ["w0 AS (SELECT row_id, label, CAST(1 AS DOUBLE) AS w FROM tr)"], []
+    for i in range(3):
+        ada += [f"gh{i} AS (SELECT row_id, w * label AS g, w AS h FROM w{i})", tree_ctes(f"t{i}", f"gh{i}", 1, "gini", True),
+                f"y{i} AS (SELECT node, CASE WHEN sum(g) > sum(h) - sum(g) THEN 1 ELSE 0 END AS y FROM t{i}_n1 GROUP BY node)",
+                f"e{i} AS (SELECT ln((1 - err) / err) AS alpha FROM (SELECT sum(CASE WHEN y <> label THEN w ELSE 0 END) / sum(w) AS err "
+                f"FROM w{i} JOIN t{i}_n1 USING (row_id) JOIN y{i} USING (node)))",
+                f"u{i} AS (SELECT row_id, label, w * exp(alpha * CASE WHEN y <> label THEN 1 ELSE 0 END) AS w "
+                f"FROM w{i} JOIN t{i}_n1 USING (row_id) JOIN y{i} USING (node), e{i})",
+                f"w{i + 1} AS (SELECT row_id, label, w / (SELECT sum(w) FROM u{i}) AS w FROM u{i})"]
+        alpha = f", (SELECT round(alpha, 6) FROM e{i}) AS alpha"
+        rows.append(tree_rows(f"t{i}", i, 1, "CASE WHEN sum(g) > sum(h) - sum(g) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END", True, alpha, alpha))
+    q["ada_rounds_exact"] = f"WITH {TRAIN}, {xs_cte('tr', RAW)},\n" + ",\n".join(ada) + "\n" + "\nUNION ALL ".join(rows)
+    holes = {"n_words": "CASE WHEN n_words % 5 <> 0 THEN n_words END", "uniq_ratio": "CASE WHEN toxic = 0 OR n_chars > 500 THEN uniq_ratio END"}
+    q["newton_rounds_missing"] = f"""WITH {TRAIN}, {xs_cte('tr', [holes.get(c, c) for c in DOC_CONT]).replace('xs AS', 'xv AS', 1)},
+{quantile_ctes('xv', 255)},
+xs AS (SELECT row_id, xv.f, CASE WHEN xv.x IS NOT NULL THEN CAST(least(coalesce(qc.b + 1, 0), qm.last) AS DOUBLE) END AS x
+       FROM xv ASOF LEFT JOIN qc ON xv.f = qc.f AND xv.x > qc.hi JOIN (SELECT DISTINCT f, last FROM qc) qm ON qm.f = xv.f
+       UNION ALL SELECT row_id, 4, CAST(lang_code AS DOUBLE) FROM tr UNION ALL SELECT row_id, 5, CAST(toxic AS DOUBLE) FROM tr),
+{boost_ctes(2, 2, 'newton', 0.3, f'(-sum(g) / (sum(h) + 1))', False)}
+""" + "\nUNION ALL ".join(tree_rows(f"t{i}", i, 2, f"round({D(0.3)} * (-sum(g) / (sum(h) + 1)), 6)", False, ", ml AS missing_left", ", NULL")
+                          for i in range(2))
+    lx = " UNION ALL ".join(f"SELECT row_id, split, {i} AS f, {c} AS x FROM s" for i, c in enumerate(LINE_COLS))
+    q["bin_quantile"] = f"""WITH {lsplit}, lx AS ({lx}), lt AS (SELECT f, x FROM lx WHERE split = 'train'),
+{quantile_ctes('lt', 255)},
+lb AS (SELECT row_id, lx.f, least(coalesce(qc.b + 1, 0), qm.last) AS b FROM lx ASOF LEFT JOIN qc ON lx.f = qc.f AND lx.x > qc.hi
+       JOIN (SELECT DISTINCT f, last FROM qc) qm ON qm.f = lx.f)
+SELECT row_id, {", ".join(f"CAST(max(CASE WHEN f = {i} THEN b END) AS INTEGER) AS b_{c}" for i, c in enumerate(LINE_COLS))} FROM lb GROUP BY row_id"""
     return q
