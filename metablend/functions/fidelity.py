@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from metablend.functions.metrics import safe_div
 from metablend.operators.binning import width_bin
-from metablend.operators.prefix import N_BUCKETS, attach, below_sums
+from metablend.operators.prefix import N_BUCKETS, attach, below_sums, count_below
 
 
 def _long(df: DataFrame, cols: list[str], origin: str) -> DataFrame:
@@ -39,14 +39,60 @@ def describe_by_source(df: DataFrame, cols: list[str], origin: str = "origin") -
     )
 
 
-def quartiles_by_source(df: DataFrame, cols: list[str], origin: str = "origin",
-                        accuracy: int = 10000) -> DataFrame:
-    """Approximate quartiles (mergeable sketch; exact percentiles do not scale)."""
-    lg = _long(df, cols, origin)
-    q = F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy)
-    return lg.groupBy("origin", "feature").agg(q.alias("q")).select(
-        "origin", "feature", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"),
-        F.col("q")[2].alias("q75"))
+def quartiles_by_source(df: DataFrame, cols: list[str], origin: str = "origin") -> DataFrame:
+    """Exact quartiles (linear interpolation) per source and column."""
+    q = exact_quantiles(_long(df, cols, origin), ["origin", "feature"], "value", [0.25, 0.5, 0.75])
+    return q.select("origin", "feature", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], n_buckets: int = N_BUCKETS) -> DataFrame:
+    """``*by, n, q``: exact quantiles of the known values of every group, linearly interpolated
+    between the values ranked floor(p (n - 1)) and ceil(p (n - 1)).
+
+    Rank selection in passes, none of which brings a group together: (1) approximate quantiles
+    (a mergeable sketch) cut each group into ``n_buckets`` buckets; (2) bucket counts say which
+    buckets hold the wanted ranks; (3) only the rows of those buckets are counted per distinct
+    value and ranked within the bucket.  The sketch decides how even the buckets are, not the
+    result; a value held by a third of all rows is one row after the count.  Groups are few
+    (sources x columns), so tables of a row per group and bucket are broadcast.
+    """
+    x = F.col(value).cast("double")
+    rows = df.select(*by, F.when(~F.isnan(x), x).alias("_x")).where(F.col("_x").isNotNull())
+    cuts = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = rows.groupBy(*by).agg(F.percentile_approx("_x", cuts, 10 * n_buckets).alias("_cuts"))
+    dealt = attach(rows, bounds, by, few=True).withColumn("_bk", count_below(F.col("_cuts"), F.col("_x"), n_buckets)).drop("_cuts")
+    counts = dealt.groupBy(*by, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.select(*by, "_bk", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), "_c",
+                           F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
+    wanted = placed.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
+        "_h", F.col("_p") * (F.col("_n") - 1)).withColumn("_side", F.explode(F.array(F.floor("_h"), F.ceil("_h")))).where(
+        (F.col("_side") >= F.col("_before")) & (F.col("_side") < F.col("_before") + F.col("_c"))).distinct()
+    few = wanted.select(*by, "_bk").distinct()
+    values = attach(dealt, few, [*by, "_bk"], few=True).groupBy(*by, "_bk", "_x").agg(F.count(F.lit(1)).alias("_w"))
+    in_bucket = Window.partitionBy(*by, "_bk").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("_to", F.sum("_w").over(in_bucket))
+    found = attach(ranked, wanted, [*by, "_bk"], few=True).where(
+        (F.col("_side") < F.col("_before") + F.col("_to")) & (F.col("_side") >= F.col("_before") + F.col("_to") - F.col("_w")))
+    at = found.groupBy(*by, "_n", "_p", "_h").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    one = at.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h")))
+    return one.groupBy(*by, F.col("_n").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("_p", "_q"))).alias("_m")).select(
+        *by, "n", F.array(*[F.element_at("_m", F.lit(float(p))) for p in probs]).alias("q"))
+
+
+def schema_match(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row per column of either source: its types, whether both have it with one type, and known values."""
+    types = {side: dict(df.dtypes) for side, df in (("a", a), ("b", b))}
+    spark = a.sparkSession
+    names = sorted(set(types["a"]) | set(types["b"]))
+    head = spark.createDataFrame([(n, types["a"].get(n), types["b"].get(n), types["a"].get(n) == types["b"].get(n)) for n in names],
+                                 "col_name string, type_a string, type_b string, matches boolean")
+    for side, df in (("a", a), ("b", b)):
+        counted = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])  # one pass, one row
+        pairs = counted.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), F.array(*[F.col(c) for c in df.columns]))).alias(
+            "col_name", f"known_{side}"))
+        head = head.join(F.broadcast(pairs), "col_name", "left")
+    return head
 
 
 def _two_counts(lg: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

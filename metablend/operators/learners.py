@@ -291,8 +291,25 @@ class AdaSlot:
     inner_holdout: int = -1
 
 
-def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -> Fitted:
-    """Discrete SAMME with depth-1 stumps (weighted Gini), two classes.
+def _samme_probability(votes: Column, alpha_sum: list[float]) -> Column:
+    """p₁ per slot from the votes Σ α(2h-1); 0.5 for a slot without a learner."""
+    total, any_ = arr([a if a > 0 else 1.0 for a in alpha_sum]), arr([a > 0 for a in alpha_sum], "boolean")
+    return F.transform(votes, lambda d, i: F.when(
+        F.element_at(any_, i + 1), 1.0 / (1.0 + F.exp(-2.0 * (d / F.element_at(total, i + 1))))).otherwise(0.5))
+
+
+def _samme_scores(state: DataFrame, alpha_sum: list[float], stages: list[int], sums: dict[int, list[float]]) -> DataFrame:
+    """``P``, and ``P_<n>`` for every stage.  ``sums``: Σ α of the stages kept on the way (columns ``D_<n>``); where
+    boosting ended before a stage, its votes are the last ones."""
+    out = state.withColumn("P", _samme_probability(F.col("D"), alpha_sum))
+    for n in stages:
+        out = out.withColumn(f"P_{n}", _samme_probability(F.col(f"D_{n}" if n in sums else "D"), sums.get(n, alpha_sum)))
+    return out
+
+
+def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10, stages: list[int] | None = None) -> Fitted:
+    """Discrete SAMME with depth-1 stumps (weighted Gini), two classes.  ``stages``: also keep each
+    slot's probability after that many stumps (``P_<n>``).
 
     err = misclassified weight / weight; α = lr·ln((1-err)/err);
     w ← w·exp(α·[y ≠ h]) / Z.  err = 0 keeps the stump with α = 1 and stops the
@@ -313,6 +330,8 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
     alive = [True] * S
     alpha_sum = [0.0] * S
     trees: list[tuple] = []
+    stages = sorted(set(stages or []))
+    sums: dict[int, list[float]] = {}
     for t in range(max(s.n_trees for s in slots)):
         active = [alive[i] and t < slots[i].n_trees for i in range(S)]
         if not any(active):
@@ -369,13 +388,10 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10) -
             w * F.exp(F.element_at(al, i + 1) * (F.element_at(F.col("_h"), i + 1)
                                                  != F.col("label").cast("double")).cast("double"))
             / F.element_at(zl, i + 1)).otherwise(w)))
+        if t + 1 in stages:
+            upd, sums[t + 1] = upd.withColumn(f"D_{t + 1}", F.col("D")), list(alpha_sum)
         st.replace(upd.drop("_h", "_node"))
-    asum = arr([a if a > 0 else 1.0 for a in alpha_sum])
-    fitted_any = arr([a > 0 for a in alpha_sum], "boolean")
-    out = st.df.withColumn("P", F.transform("D", lambda d, i: F.when(
-        F.element_at(fitted_any, i + 1),
-        1.0 / (1.0 + F.exp(-2.0 * (d / F.element_at(asum, i + 1))))).otherwise(0.5)))
-    return Fitted(out, S, holds, trees, "ada", {"alpha_sum": alpha_sum})
+    return Fitted(_samme_scores(st.df, alpha_sum, stages, sums), S, holds, trees, "ada", {"alpha_sum": alpha_sum})
 
 
 # ------------------------------------------------------------------ forests
@@ -394,17 +410,17 @@ def _forest_round(prep_state: DataFrame, holds: list[int], spec: ForestSpec, n_f
                   tree_ids: list[int] | None = None, cells: list | None = None) -> tuple[DataFrame, list[Node], Column]:
     """Grow the trees ``tree_ids`` of every model in one fused run; returns the
     grown state (``_lv`` = leaf value per slot) and per-model leaf-value sums.
-    Bootstrap and feature choice hash (model, tree), never the slot number, so
-    a forest grown in chunks equals one grown at once."""
-    T_all = spec.n_trees
-    trees = tree_ids if tree_ids is not None else list(range(T_all))
+    Bootstrap and feature choice hash (model, tree), never the slot number or the
+    size of the forest, so a forest grown in chunks equals one grown at once and a
+    smaller forest is the beginning of a larger one."""
+    trees = tree_ids if tree_ids is not None else list(range(spec.n_trees))
     T = len(trees)
     S = len(holds) * T
     k = spec.feature_k or max(1, int(math.isqrt(n_features)))
     p = TreeParams("gini", max_depth=spec.max_depth, min_rows_leaf=spec.min_rows_leaf,
                    min_rows_split=spec.min_rows_split, feature_k=k if k < n_features else None,
                    seed=seed + 7919 * round_id,
-                   slot_tags=[(s // T) * T_all + trees[s % T] for s in range(S)], cells=cells)
+                   slot_tags=[f"{s // T}|{trees[s % T]}" for s in range(S)], cells=cells)
     holds, inner = outer_inner(holds)
     nested = "inner" in prep_state.columns and any(i >= 0 for i in inner)
     static = {"hold": [holds[s // T] for s in range(S)], "ihold": [inner[s // T] for s in range(S)], "tree": [trees[s % T] for s in range(S)]}
@@ -424,39 +440,96 @@ def _forest_round(prep_state: DataFrame, holds: list[int], spec: ForestSpec, n_f
             F.col(weight), lambda x: F.array_repeat(x, T))))
     grown, nodes = grow(prep_state, S, static, arrays, gh, p, None, None, n_features)
     lv = leaf_values(nodes, S, lambda n: n.G / n.H if n.H > 0 else 0.0)
-    per_model_sum = F.transform(F.sequence(F.lit(0), F.lit(len(holds) - 1)), lambda m: F.aggregate(
-        F.slice(F.col("_lv"), m * T + 1, T), F.lit(0.0), lambda a, b: a + b))
-    return grown.withColumn("_lv", lv), nodes, per_model_sum
+    return grown.withColumn("_lv", lv), nodes, _model_sums("_lv", len(holds), T, T)
+
+
+def _model_sums(values: str, models: int, trees: int, first: int) -> Column:
+    """Per model, the sum over its first ``first`` trees; ``values`` holds models x trees entries."""
+    return F.transform(F.sequence(F.lit(0), F.lit(models - 1)), lambda m: F.aggregate(
+        F.slice(F.col(values), m * trees + 1, first), F.lit(0.0), lambda a, b: a + b))
+
+
+@dataclass(frozen=True)
+class ForestVariant:
+    """A forest contained in a larger run: fewer trees, less depth, a larger least size to split."""
+    n_trees: int
+    max_depth: int | None
+    min_rows_split: int
+
+
+def hull(spec: ForestSpec, variants: list[ForestVariant]) -> ForestSpec:
+    """The run that contains all variants: most trees, greatest depth, least size to split."""
+    deepest = None if any(v.max_depth is None for v in variants) else max(v.max_depth for v in variants)
+    return replace(spec, n_trees=max(v.n_trees for v in variants), max_depth=deepest, min_rows_split=min(v.min_rows_split for v in variants))
+
+
+def truncated(nodes: list[Node], max_depth: int | None, min_rows_split: int) -> list[Node]:
+    """For every leaf, itself or the first node above it where growth would have stopped.
+
+    A node's best split depends on its rows alone, so a tree grown with a smaller depth or a
+    larger least size to split is the deeper tree cut off at such nodes."""
+    by_index = {(n.slot, n.index): n for n in nodes}
+    stop: dict[tuple, Node] = {}
+    for n in sorted(nodes, key=lambda n: (n.slot, n.index)):  # parents come before their children
+        own = stop.get((n.slot, n.index))
+        if own is None and (n.feature is None or (max_depth is not None and n.depth >= max_depth) or n.C < min_rows_split):
+            own = n
+        if own is not None:
+            stop[n.slot, n.index] = own
+        if n.feature is not None and own is not None:
+            for child in (n.left_index, n.left_index + 1):
+                stop[n.slot, child] = own
+    return [replace(by_index[key], G=n.G, H=n.H) for key, n in stop.items() if by_index[key].feature is None]
 
 
 def fit_forest(prep: DataFrame, holdouts: list[int], spec: ForestSpec, n_features: int,
-               seed: int = 42, max_slots: int = 256) -> Fitted:
+               seed: int = 42, max_slots: int = 256, variants: list[ForestVariant] | None = None) -> Fitted:
     """Random forest: trees of all fold models grow in the same passes, at most
     ``max_slots`` (model, tree) pairs per run so the per-task histogram map
     stays bounded; larger forests run in chunks and sum their leaf values.
-    p₁ = mean over trees of the leaf's (bootstrap-weighted) class-1 share."""
+    p₁ = mean over trees of the leaf's (bootstrap-weighted) class-1 share.
+
+    ``variants``: forests to read off the same run (columns ``P_<i>``); the run grows
+    their hull once.  Fewer trees are a prefix of the running sums, less depth or a larger
+    least size to split are leaf values of the nodes where growth would have stopped."""
+    if variants:
+        spec = hull(spec, variants)
+    own = [ForestVariant(spec.n_trees, spec.max_depth, spec.min_rows_split), *(variants or [])]
     M, T = len(holdouts), spec.n_trees
     per_run = max(1, max_slots // M)
     cells = value_cells(prep)
     ensure_checkpoint_dir(prep.sparkSession)
-    state = prep.select(*keep_cols(prep)).withColumn("_acc", F.array_repeat(F.lit(0.0), M))
+    accs = [f"_acc{v}" for v in range(len(own))]
+    state = prep.select(*keep_cols(prep)).withColumns({a: F.array_repeat(F.lit(0.0), M) for a in accs})
     trees: list[tuple] = []
     held: list[DataFrame] = []
     for start in range(0, T, per_run):
         chunk = list(range(start, min(T, start + per_run)))
-        grown, nodes, sums = _forest_round(state, holdouts, spec, n_features, seed, None, 0, chunk, cells)
-        state = (grown.withColumn("_acc", F.zip_with("_acc", sums, lambda a, b: a + b))
-                 .drop("_lv", "_node"))
+        C = len(chunk)
+        grown, nodes, _ = _forest_round(state, holdouts, spec, n_features, seed, None, 0, chunk, cells)
+        shapes: dict[tuple, str] = {}
+        for v, variant in enumerate(own):
+            taken = min(C, variant.n_trees - start)
+            if taken <= 0:
+                continue
+            shape = (variant.max_depth, variant.min_rows_split)
+            if shape not in shapes:
+                shapes[shape] = f"_lv{len(shapes)}"
+                values = leaf_values(truncated(nodes, *shape), M * C, lambda n: n.G / n.H if n.H > 0 else 0.0)
+                grown = grown.withColumn(shapes[shape], values)
+            sums = _model_sums(shapes[shape], M, C, taken)
+            grown = grown.withColumn(accs[v], F.zip_with(accs[v], sums, lambda a, b: a + b))
+        state = grown.drop("_lv", "_node", *shapes.values())
         if start + per_run < T:
             # lineage is cut between chunks; the chunk before is released once this one is written
             state = state.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
             for old in held:
                 old.unpersist()
             held = [state]
-        C = len(chunk)
         trees += [tree_row(n, chunk[n.slot % C], n.G / n.H if n.H > 0 else 0.0, 1.0 / T, n.slot // C) for n in nodes]
-    out = state.withColumn("P", F.transform("_acc", lambda x: x / float(T))).drop("_acc")
-    return Fitted(out, M, holdouts, trees, "forest")
+    mean = lambda a, n: F.transform(a, lambda x: x / float(n))
+    out = state.withColumn("P", mean(accs[0], T)).withColumns({f"P_{v}": mean(accs[v + 1], x.n_trees) for v, x in enumerate(variants or [])})
+    return Fitted(out.drop(*accs), M, holdouts, trees, "forest")
 
 
 @dataclass
@@ -467,10 +540,11 @@ class AdaForestSpec:
 
 
 def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_features: int,
-                   seed: int = 42, checkpoint_every: int = 5) -> Fitted:
+                   seed: int = 42, checkpoint_every: int = 5, stages: list[int] | None = None) -> Fitted:
     """SAMME whose base learner is a weighted random forest (forest predict =
     mean class-1 share > 0.5).  One grower pass per level per round plus one
-    aggregation for the weighted errors."""
+    aggregation for the weighted errors.  ``stages``: also keep the probability
+    after that many rounds (``P_<n>``)."""
     M = len(holdouts)
     outer, inner = outer_inner(holdouts)
     nested = "inner" in prep.columns and any(i >= 0 for i in inner)
@@ -480,6 +554,8 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
     alpha_sum = [0.0] * M
     trees: list[tuple] = []
     cells = value_cells(prep)
+    stages = sorted(set(stages or []))
+    sums: dict[int, list[float]] = {}
     for r in range(spec.n_rounds):
         if not any(alive):
             break
@@ -526,11 +602,8 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
             w * F.exp(F.element_at(al, i + 1) * (F.element_at(F.col("_h"), i + 1)
                                                  != F.col("label").cast("double")).cast("double"))
             / F.element_at(zl, i + 1)).otherwise(w)))
+        if r + 1 in stages:
+            nxt, sums[r + 1] = nxt.withColumn(f"D_{r + 1}", F.col("D")), list(alpha_sum)
         st.replace(nxt.drop("_h"))
         cur.unpersist()
-    asum = arr([a if a > 0 else 1.0 for a in alpha_sum])
-    fitted_any = arr([a > 0 for a in alpha_sum], "boolean")
-    out = st.df.withColumn("P", F.transform("D", lambda d, i: F.when(
-        F.element_at(fitted_any, i + 1),
-        1.0 / (1.0 + F.exp(-2.0 * (d / F.element_at(asum, i + 1))))).otherwise(0.5)))
-    return Fitted(out, M, holdouts, trees, "ada_forest", {"alpha_sum": alpha_sum})
+    return Fitted(_samme_scores(st.df, alpha_sum, stages, sums), M, holdouts, trees, "ada_forest", {"alpha_sum": alpha_sum})

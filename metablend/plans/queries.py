@@ -7,6 +7,8 @@ Float outputs are rounded to 6 decimals.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,18 @@ from metablend.functions import metrics as M
 from metablend.functions.profile import preview, table_info
 from metablend.operators.binning import bin_columns, fit_bins
 from metablend.operators.closed_form import bin_rate_scores
+from metablend.operators.groups import grouped_folds
 from metablend.operators.keys import exact_split_folds, hash_split
 from metablend.operators.scale import apply_scaler, fit_scaler
 from metablend.plans.flagship import BASES, blend_metrics, blended_scores
 from metablend.plans.prepare import prepared_doc, split_doc, split_lineitem
+from metablend.session import ensure_checkpoint_dir
 from metablend.sources.carriers import (
     DOC_CATEGORICAL, DOC_CONTINUOUS, DOC_FEATURES, LINE_CONTINUOUS, doc_quality,
     lineitem_return, orders_status,
 )
+from metablend.sources.metric_store import read_metrics, write_metrics
+from metablend.sources.tables import read_table
 
 SEED = 42
 K_DOC = 3
@@ -225,7 +231,7 @@ def q_describe_lineitem(spark, d):
 
 
 def q_quartiles_by_source(spark, d):
-    """G1 quartiles from a mergeable sketch (approximate: no SQL oracle)."""
+    """G1 exact quartiles by rank selection."""
     return rnd(G.quartiles_by_source(doc_quality(spark, d), DOC_CONTINUOUS))
 
 
@@ -356,6 +362,36 @@ def q_two_source_eval(spark, d):
     return M.metric_table(lg, by=["model"]).select("model", "metric", F.round("value", 6).alias("value"))
 
 
+def q_quartiles_lineitem(spark, d):
+    """G1 over every line: exact quartiles of all numeric columns per line status."""
+    return rnd(G.quartiles_by_source(lineitem_return(spark, d), LINE_CONTINUOUS))
+
+
+def q_schema_match(spark, d):
+    """G6: do two sources have one schema?  (Two tables that share a column name, one with another type.)"""
+    return G.schema_match(read_table(spark, d, "documents").withColumn("doc_id", F.col("doc_id").cast("string")),
+                          read_table(spark, d, "labels").withColumn("text", F.lit(None).cast("string")))
+
+
+def q_metric_sink(spark, d):
+    """S6: metric tables of two studies written by run, one run repeated, all read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    scored = fixed_score(doc_quality(spark, d))
+    for origin in ("a", "b"):
+        own = rnd(M.metric_table(scored.where(F.col("origin") == origin)))
+        if origin == "a":  # an earlier attempt at this run, with other rows: replaced
+            write_metrics(rnd(M.metric_table(scored)), path, f"source-{origin}", "fixed")
+        write_metrics(own, path, f"source-{origin}", "fixed")
+    write_metrics(rnd(M.metric_table(scored)), path, "source-a", "all")
+    return read_metrics(spark, path)
+
+
+def q_kfold_grouped(spark, d):
+    """D1-D4 over groups: content keys and folds that no copy crosses (lines with equal quantity, discount and tax)."""
+    li = lineitem_return(spark, d).select("l_quantity", "l_discount", "l_tax", "label")
+    return grouped_folds(li, ["l_quantity", "l_discount", "l_tax"], K_ORDERS, SEED).select("row_id", "content", "label", "fold")
+
+
 QUERIES = {
     "scan_typed": q_scan_typed,
     "feature_projection": q_feature_projection,
@@ -406,4 +442,8 @@ QUERIES = {
     "fold_metric_mean": q_fold_metric_mean,
     "model_leaderboard": q_model_leaderboard,
     "two_source_eval": q_two_source_eval,
+    "quartiles_lineitem": q_quartiles_lineitem,
+    "schema_match": q_schema_match,
+    "metric_sink": q_metric_sink,
+    "kfold_grouped": q_kfold_grouped,
 }

@@ -1,8 +1,9 @@
 """Hyper-parameter search over every learner, CV summaries and learning curves.
 
 A grid is fused: every (config, fold) pair of a learner is one slot of as few
-training runs as its growth settings allow, and ``n_estimators`` values of boosting
-configs that agree otherwise come from one run (staged scores).  Configs are complete:
+training runs as its growth settings allow.  ``n_estimators`` values of configs that
+agree otherwise come from one run (staged scores), of every learner; a forest grid needs one
+run per least leaf size, whatever its depths and least sizes to split.  Configs are complete:
 each key of a grid is a setting of that learner, and an unknown key is an error.
 Selection is the best mean fold score; ties go to the first config in grid order
 (keys sorted, last key varying fastest).
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from metablend.functions.metrics import accuracy, auc, threshold
 from metablend.operators.grow import p_features
-from metablend.operators.learners import fit_boost_chunked, uniform
+from metablend.operators.learners import (AdaForestSpec, AdaSlot, ForestVariant, fit_ada, fit_ada_forest, fit_boost_chunked, fit_forest,
+                                         outer_inner, uniform)
 from metablend.plans import ensembles as E
 
 _BOOST = {"n_estimators": "n_trees", "learning_rate": "lr", "max_depth": "max_depth", "subsample": "subsample"}
@@ -56,8 +58,9 @@ def fit_tasks(prep: DataFrame, tasks: list[tuple[E.LearnerSpec, object]], seed:
     """Train every (spec, holdout) task; returns the rows with ``P``: one probability per task, in order.
 
     Tasks that can grow in one run do: boosting configs with equal growth settings (a task whose
-    ``n_trees`` is smaller reads the staged score of the longer run), AdaBoost configs, and all
-    holdouts of one forest config."""
+    ``n_trees`` is smaller reads the staged score of the longer run), AdaBoost configs (likewise),
+    forests with one least leaf size (fewer trees, less depth and a larger least size to split are
+    read off the largest forest), and boosted forests that differ in their rounds."""
     n_features = p_features(prep)
     runs: dict[tuple, list[int]] = {}
     for i, (spec, _) in enumerate(tasks):
@@ -66,8 +69,10 @@ def fit_tasks(prep: DataFrame, tasks: list[tuple[E.LearnerSpec, object]], seed:
             key = (spec.kind, spec.split, *dataclasses.astuple(dataclasses.replace(p, max_depth=0 if p.max_leaves is None else p.max_depth)))
         elif spec.kind == "ada":
             key = ("ada", spec.split)
+        elif spec.kind == "rf":
+            key = ("rf", spec.split, spec.min_rows_leaf)
         else:
-            key = (spec.kind, json.dumps(dataclasses.asdict(spec), sort_keys=True))
+            key = (spec.kind, json.dumps(dataclasses.asdict(dataclasses.replace(spec, n_trees=0)), sort_keys=True))
         runs.setdefault(tuple(map(str, key)), []).append(i)
     out, where = None, {}
     for g, own in enumerate(runs.values()):
@@ -85,12 +90,24 @@ def fit_tasks(prep: DataFrame, tasks: list[tuple[E.LearnerSpec, object]], seed:
             p = F.array(*[F.get(F.col(f"P_{s.n_trees}"), F.lit(place[s.lr, s.max_depth, s.subsample, h]))
                           for s, h in zip(specs, holds)])
             scores = fit.scores
-        elif specs[0].kind == "ada":
-            from metablend.operators.learners import AdaSlot, fit_ada, outer_inner
-            scores = fit_ada(E.features_of(prep, specs[0]), [AdaSlot(o, s.n_trees, s.lr, i) for s, o, i in zip(specs, *outer_inner(holds))]).scores
-            p = F.col("P")
+        elif specs[0].kind == "rf":
+            shapes = list(dict.fromkeys(ForestVariant(s.n_trees, s.max_depth, s.min_rows_split) for s in specs))
+            models = list(dict.fromkeys(holds))
+            scores = fit_forest(E.features_of(prep, specs[0]), models, E.forest_spec(specs[0], specs[0].n_trees), n_features, seed,
+                                variants=shapes).scores
+            p = F.array(*[F.get(F.col(f"P_{shapes.index(ForestVariant(s.n_trees, s.max_depth, s.min_rows_split))}"), F.lit(models.index(h)))
+                          for s, h in zip(specs, holds)])
         else:
-            scores, p = E.fit_learner(prep, specs[0], holds, seed, n_features).scores, F.col("P")
+            # AdaBoost over stumps or forests: the longest run of each setting, read after as many rounds as asked for
+            stages = sorted({s.n_trees for s in specs})
+            places = list(dict.fromkeys((s.lr, h) for s, h in zip(specs, holds)))
+            if specs[0].kind == "ada":
+                slots = [AdaSlot(o, stages[-1], lr, i) for (lr, _), o, i in zip(places, *outer_inner([h for _, h in places]))]
+                scores = fit_ada(E.features_of(prep, specs[0]), slots, stages=stages).scores
+            else:
+                scores = fit_ada_forest(E.features_of(prep, specs[0]), [h for _, h in places], AdaForestSpec(
+                    E.forest_spec(specs[0], specs[0].forest_trees), stages[-1], specs[0].lr), n_features, seed, stages=stages).scores
+            p = F.array(*[F.get(F.col(f"P_{s.n_trees}"), F.lit(places.index((s.lr, h)))) for s, h in zip(specs, holds)])
         cols = [c for c in ("label", "split", "fold", "inner") if c in prep.columns] if out is None else []
         part = scores.select("row_id", *cols, p.alias(f"_g{g}"))
         out = part if out is None else out.join(part, "row_id")

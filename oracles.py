@@ -330,10 +330,10 @@ def boost_ctes(rounds: int, depth: int, kind: str, lr: float, leaf: str, raw: bo
     return ",\n".join(out)
 
 
-def quantile_ctes(long: str, n_bins: int) -> str:
+def quantile_ctes(long: str, n_bins: int, weight: str = "count(*)") -> str:
     """qc(f, b, hi): the bins' largest values; ``long (f, x)`` holds the training values."""
     fits = f"w * ({n_bins} - r + 1) <= tot - above"
-    return f"""qd AS (SELECT f, x, count(*) AS w FROM {long} WHERE x IS NOT NULL GROUP BY f, x),
+    return f"""qd AS (SELECT f, x, {weight} AS w FROM {long} WHERE x IS NOT NULL GROUP BY f, x),
 qo AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY w DESC, x) AS r, sum(w) OVER (PARTITION BY f) AS tot, count(*) OVER (PARTITION BY f) AS n,
               sum(w) OVER (PARTITION BY f ORDER BY w DESC, x ROWS UNBOUNDED PRECEDING) - w AS above FROM qd),
 ql AS (SELECT f, CASE WHEN max(n) <= {n_bins} THEN max(n) ELSE min(CASE WHEN {fits} THEN r END) - 1 END AS heavy,
@@ -632,4 +632,32 @@ xs AS (SELECT row_id, xv.f, CASE WHEN xv.x IS NOT NULL THEN CAST(least(coalesce(
 lb AS (SELECT row_id, lx.f, least(coalesce(qc.b + 1, 0), qm.last) AS b FROM lx ASOF LEFT JOIN qc ON lx.f = qc.f AND lx.x > qc.hi
        JOIN (SELECT DISTINCT f, last FROM qc) qm ON qm.f = lx.f)
 SELECT row_id, {", ".join(f"CAST(max(CASE WHEN f = {i} THEN b END) AS INTEGER) AS b_{c}" for i, c in enumerate(LINE_COLS))} FROM lb GROUP BY row_id"""
+    for name, cte, src, cols in (("quartiles_by_source", DQ, "dq", DOC_CONT), ("quartiles_lineitem", LI, "li", LINE_COLS)):
+        q[name] = f"WITH {cte}\n" + "\nUNION ALL ".join(
+            f"SELECT origin, '{c}' AS feature, {', '.join(f'round(quantile_cont({c}, {D(p)}), 6) AS q{round(100 * p)}' for p in (0.25, 0.5, 0.75))} "
+            f"FROM {src} GROUP BY origin" for c in cols)
+    spark_type = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' END"
+    known = lambda t, cs: " UNION ALL ".join(f"SELECT '{c}' AS col_name, count({e}) AS n FROM {t}" for c, e in cs)
+    q["schema_match"] = f"""WITH a AS (SELECT column_name AS col_name, CASE column_name WHEN 'doc_id' THEN 'string' ELSE {spark_type} END AS type_a
+       FROM (DESCRIBE SELECT * FROM documents)),
+b AS (SELECT column_name AS col_name, {spark_type} AS type_b FROM (DESCRIBE SELECT * FROM labels) UNION ALL SELECT 'text', 'string'),
+ka AS ({known('documents', [(c, c) for c in ('doc_id', 'text', 'lang', 'source', 'n_chars')])}),
+kb AS ({known('labels', [('doc_id', 'doc_id'), ('quality', 'quality'), ('toxic', 'toxic'), ('text', 'NULL')])})
+SELECT col_name, type_a, type_b, type_a IS NOT DISTINCT FROM type_b AS matches, ka.n AS known_a, kb.n AS known_b
+FROM a FULL JOIN b USING (col_name) LEFT JOIN ka USING (col_name) LEFT JOIN kb USING (col_name)"""
+    runs = (("source-a", "fixed", "WHERE origin = 'a'"), ("source-b", "fixed", "WHERE origin = 'b'"), ("source-a", "all", ""))
+    q["metric_sink"] = "\nUNION ALL ".join(
+        f"SELECT '{study}' AS study, '{run}' AS run, CAST(NULL AS VARCHAR) AS model, metric, value FROM "
+        f"(WITH {FIXED}, src AS (SELECT label, score FROM fx {where}){metric_rows('src')})" for study, run, where in runs)
+    q["kfold_grouped"] = f"""WITH {LI},
+gc AS (SELECT md5(concat_ws('|', CAST(l_quantity AS VARCHAR), CAST(l_discount AS VARCHAR), CAST(l_tax AS VARCHAR))) AS content,
+              label, count(*) AS n FROM li GROUP BY 1, 2),
+gm AS (SELECT content, label AS f, sum(n) OVER (PARTITION BY content) AS w FROM gc
+       QUALIFY row_number() OVER (PARTITION BY content ORDER BY n DESC, label) = 1),
+gx AS (SELECT content, f, w, CAST('0x' || substr(md5(content || '|42'), 1, 13) AS BIGINT) AS x FROM gm),
+{quantile_ctes('gx', 5, 'CAST(sum(w) AS BIGINT)')},
+gf AS (SELECT content, CAST(least(coalesce(qc.b + 1, 0), qm.last) AS INTEGER) AS fold FROM gx ASOF LEFT JOIN qc ON gx.f = qc.f AND gx.x > qc.hi
+       JOIN (SELECT DISTINCT f, last FROM qc) qm ON qm.f = gx.f)
+SELECT md5(content || '|' || label || '|' || i) AS row_id, content, label, fold
+FROM (SELECT content, label, unnest(range(n)) AS i FROM gc) JOIN gf USING (content)"""
     return q

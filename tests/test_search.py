@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from metablend.plans import ensembles as E
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +108,53 @@ def test_stack_reports_base_probabilities(spark, prep):
     fit = E.fit_learner(prep, base, [-1])
     own = fit.scores.where("split = 'train'").select("label", F.element_at("P", 1).alias("score"))
     assert got["gbm", "accuracy"] == pytest.approx(accuracy(own.withColumn("pred", threshold("score"))).first()[0], abs=1e-6)
+
+
+def test_learning_curves_follow_the_learner(spark, prep):
+    """Each learner has its own curve; the whole fraction equals a plain fit; folds are held out."""
+    from metablend.functions.metrics import accuracy
+    from metablend.operators.learners import uniform
+    from metablend.plans.search import learning_curve, learning_curve_cv
+    specs = {k: E.QUERY_SPECS[k] for k in ("gbm", "xgb", "rf", "ada")}
+    specs = {k: E.LearnerSpec(**{**s.__dict__, "n_trees": 2}) for k, s in specs.items()}
+    curves = {k: learning_curve(prep, s, [0.5, 1.0]).orderBy("fraction").collect() for k, s in specs.items()}
+    assert len({tuple(round(x, 6) for r in c for x in (r.accuracy, r.auc)) for c in curves.values()}) == 4
+    for kind in ("xgb", "rf"):
+        fit = E.fit_learner(prep, specs[kind], [-1])
+        test = fit.scores.where("split = 'test'").select("label", (F.element_at("P", 1) >= 0.5).cast("int").alias("pred"))
+        assert curves[kind][1].accuracy == pytest.approx(accuracy(test).first()["accuracy"])
+        assert curves[kind][0].n_train < curves[kind][1].n_train == prep.where("split = 'train'").count()
+    got = learning_curve_cv(prep, specs["ada"], [0.6, 1.0], 2).orderBy("fraction").collect()
+    half = prep.withColumn("split", F.when((F.col("split") == "train") & (uniform(F.col("row_id"), "subset", 42) >= 0.6), "no").otherwise(F.col("split")))
+    fit = E.fit_learner(half, specs["ada"], [0, 1])
+    held = [fit.scores.where(f"split IN ('train', 'no') AND fold = {f}").select(
+        F.avg((F.col("label") == (F.element_at("P", f + 1) >= 0.5).cast("int")).cast("double"))).first()[0] for f in (0, 1)]
+    assert got[0].cv_mean == pytest.approx(sum(held) / 2) and got[0].cv_std == pytest.approx(abs(held[0] - held[1]) / 2)
+    assert 0 < got[0].train_mean <= 1 and got[0].n_train < got[1].n_train
+
+
+def brute_scores(prep, kind, configs, holdouts):
+    """Each config fitted alone."""
+    from metablend.plans.search import spec_of
+    return [{r.row_id: r.P for r in E.fit_learner(prep, spec_of(kind, c), holdouts).scores.select("row_id", "P").collect()} for c in configs]
+
+
+@pytest.mark.parametrize("kind,grid,runs", [
+    ("rf", {"n_estimators": [1, 2], "max_depth": [1, 3], "min_samples_split": [2, 60], "min_samples_leaf": [1, 4]}, 2),
+    ("ada", {"n_estimators": [1, 2], "learning_rate": [0.5, 1.0]}, 1),
+    ("ada_rf", {"n_estimators": [1, 2], "estimator__n_estimators": [2], "estimator__max_depth": [2]}, 1),
+])
+def test_a_grid_costs_its_longest_members(spark, prep, monkeypatch, kind, grid, runs):
+    """Staged sums, truncated trees and prefixes of forests equal separate fits; the number of runs is what it should be."""
+    import metablend.plans.search as search
+    made = []
+    for name in ("fit_forest", "fit_ada", "fit_ada_forest"):
+        monkeypatch.setattr(search, name, lambda *a, f=getattr(search, name), **k: made.append(1) or f(*a, **k))
+    configs = search.expand_grid(grid)
+    if kind == "rf":
+        configs = configs[::5] + configs[-2:]
+    got = {r.row_id: r.P for r in search.fit_tasks(prep, [(search.spec_of(kind, c), h) for c in configs for h in (0, -1)]).collect()}
+    assert len(made) == runs
+    for i, alone in enumerate(brute_scores(prep, kind, configs, [0, -1])):
+        for row, p in alone.items():
+            assert got[row][2 * i:2 * i + 2] == pytest.approx(p)
