@@ -256,12 +256,12 @@ def fine_signatures(codes: DataFrame) -> DataFrame:
     return codes.select("node", "codes").mapInArrow(run, "sn binary, sig array<bigint>")
 
 
-def overlap(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity: shared over all occurrences of shingles."""
+def overlap(a: bytes, b: bytes, threshold: float = THRESHOLD) -> float:
+    """Weighted Jaccard similarity: shared over all occurrences of shingles (0 if the sizes alone keep it well below the threshold)."""
     x, y = unpack_codes(a), unpack_codes(b)
     if len(x) > len(y):
         x, y = y, x
-    if len(x) < THRESHOLD / 2 * len(y):
+    if len(x) < threshold / 2 * len(y):
         return 0.0
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
@@ -277,7 +277,7 @@ def verified(pairs: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([overlap(x.as_py(), y.as_py()) >= threshold for x, y in zip(batch.column(2), batch.column(3))],
+            keep = pa.array([overlap(x.as_py(), y.as_py(), threshold) >= threshold for x, y in zip(batch.column(2), batch.column(3))],
                             pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 

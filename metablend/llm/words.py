@@ -9,6 +9,7 @@ by the one longest text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,8 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
-_MULT = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MULT, -1, 1 << 64)
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_KEY = b"metablend words"
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n of eight bytes
+MIXED_BYTES = 64
 
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[ord("0"):ord("9") + 1] = True
@@ -28,20 +31,6 @@ IS_WORD[0x80:] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[ord("A"):ord("Z") + 1] += 32
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^n modulo 2^64, grown by doubling."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
-        full = np.full(size, base, dtype=np.uint64)
-        full[0] = 1
-        have = _powers[base] = np.multiply.accumulate(full)
-    return have
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser (fixed public constants)."""
     x = x ^ (x >> np.uint64(30))
@@ -117,12 +106,24 @@ def words_of(row0: int, buf: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def range_hash(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of byte ranges by prefix sums, the same wherever the bytes stand."""
-    n = len(low)
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power_table(_MULT, n)[:n], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * _power_table(_INV, n)[start])
+    """64-bit hash of byte ranges, the same wherever the bytes stand.
+
+    Ranges of up to ``MIXED_BYTES`` go eight bytes at a time through a mixing step, all ranges side by
+    side; longer ones (few in a slice, by their length) through keyed BLAKE2b.  Memory is a copy of
+    the slice and a few values per range; nothing is kept between calls."""
+    size = end - start
+    out = mix64(size.astype(np.uint64) * _MULT)
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([low, np.zeros(8, np.uint8)]), 8)
+    left = np.flatnonzero(size <= MIXED_BYTES)
+    for at in range(0, MIXED_BYTES, 8):
+        left = left[size[left] > at]
+        if not len(left):
+            break
+        block = np.ascontiguousarray(eight[start[left] + at]).view("<u8").ravel() & _FIRST[np.minimum(size[left] - at, 8)]
+        out[left] = mix64((out[left] ^ block) * _MULT + np.uint64(at))
+    for i in np.flatnonzero(size > MIXED_BYTES):
+        out[i] = int.from_bytes(hashlib.blake2b(low[start[i]:end[i]].tobytes(), digest_size=8, key=_KEY).digest(), "little")
+    return out
 
 
 def count_by_row(rows: np.ndarray, n: int) -> np.ndarray:

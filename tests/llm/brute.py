@@ -82,8 +82,8 @@ def _xx(values, seed=42):
     return h
 
 
-def line_dedup(docs, scales, min_lines, min_words):
-    """{id: (text or None, removed lines)}; docs: {id: text or None} with distinct ids."""
+def line_dedup(docs, scales, min_lines, min_words, numbers=False):
+    """{id: (text or None, removed lines)}; docs: {id: text or None} with distinct ids.  ``numbers``: {id: removed line numbers}."""
     found = collections.defaultdict(list)
     for i, text in docs.items():
         if text is None:
@@ -107,6 +107,8 @@ def line_dedup(docs, scales, min_lines, min_words):
     for (n, _), places in found.items():
         for i, a in sorted(places)[1:]:
             gone[i].update(range(a, a + n))
+    if numbers:
+        return dict(gone)
     return {i: (t if t is None or not gone[i] else
                 "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i]))
             for i, t in docs.items()}

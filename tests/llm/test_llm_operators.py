@@ -5,6 +5,7 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute as B  # noqa: E402
 
 from metablend.llm import (backoff_lm, bagminhash, decontaminate, exact_dedup, line_chunks, mixing,  # noqa: E402
-                           prefix_tokens, toxicity, url_graph, warc)
+                           prefix_tokens, toxicity, url_graph, warc, words)
 from metablend.llm.common import work_path  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -487,6 +488,37 @@ def test_exact_dedup_across_batches(spark, odd, nothing):
     assert exact_dedup.dedup(nothing, work_path(spark, "t")).count() == 0
 
 
+# --- word hashes ------------------------------------------------------------------------
+def thue_morse(n):
+    """Two words that differ everywhere and that polynomials modulo 2^64 cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_word_hashes_tell_made_up_words_apart(spark):
+    rng = random.Random(1)
+    x, y = thue_morse(1024)
+    vocabulary = [x, y] + ["".join(rng.choice("abcdefghij0é漢") for _ in range(n)) for n in [*range(1, 90), 500, 3000] for _ in range(3)]
+    text = " ".join(rng.choice(vocabulary) for _ in range(4000)) + " " + " ".join(vocabulary)
+    seen = {}
+    for part in words.word_slices(pa.array([text, None, "", text.upper()]), 1 << 20):
+        for r, a, b, h in zip(part.row, part.start, part.end, part.hash):
+            seen.setdefault(bytes(part.buf[a:b]).decode().translate(str.maketrans("ABCDEFGHIJ", "abcdefghij")), set()).add(int(h))
+    assert all(len(h) == 1 for w, h in seen.items() if "É" not in w) and len({min(h) for h in seen.values()}) == len(seen)
+    docs = table(spark, [(1, f"{x} one two three four five", "a"), (2, f"{y} one two three four five", "a")])
+    assert {r.id: r.class_id for r in bagminhash.near_duplicate_classes(docs).collect()} == {1: 1, 2: 2}
+    assert sorted(r.n_trigrams for r in backoff_lm.backoff_scores(docs).collect()) == [3, 3]
+    items = spark.createDataFrame([(7, f"{x} {y}")], "item_id bigint, text string")
+    assert {r.id: r.n_hit for r in decontaminate.find_contamination(docs, items).collect()} == {1: 0, 2: 0}
+
+
+def test_overlap_below_the_usual_threshold():
+    codes = np.sort(np.random.default_rng(0).choice(1 << 40, 1000, replace=False).astype(np.uint64))
+    pack = lambda c: c.view(np.uint8).reshape(-1, 8)[:, :bagminhash.CODE_BYTES].tobytes()
+    assert bagminhash.overlap(pack(codes), pack(codes[:350]), 0.3) == pytest.approx(0.35)
+    assert bagminhash.overlap(pack(codes), pack(codes[:350])) < 0.8
+
+
 # --- pipeline ---------------------------------------------------------------------------
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
@@ -501,7 +533,11 @@ def test_pipeline_stages(spark):
     want = {i: t for i, t in have.items() if toxic_scores[i] < 0.7}
     assert {r.doc_id: r.text for r in out.collect()} == want
 
-    cleaned = B.line_dedup(want, line_chunks.SCALES, line_chunks.MIN_LINES, line_chunks.MIN_WORDS)
+    chunked = B.line_dedup(want, line_chunks.SCALES, line_chunks.MIN_LINES, line_chunks.MIN_WORDS, numbers=True)
+    passages = repeated_passages(want, line_chunks.MIN_WORDS)
+    gone = {i: chunked.get(i, set()) | passages[i] for i in want}
+    cleaned = {i: (t if t is None or not gone[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i]))
+               for i, t in want.items()}
     out = stored(C.drop_repeated_lines(spark, out, SMALL), "t")
     assert out.columns == columns
     want = {i: t for i, (t, n) in cleaned.items() if not (n and t == "")}
