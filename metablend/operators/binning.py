@@ -17,16 +17,17 @@ that look bins up as keys) puts them into bin 0.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metablend.operators.prefix import below_sums
+from metablend.operators.literals import arr
+from metablend.operators.prefix import below_sums, count_below
 
 N_BINS = 255
+VALUES_PER_TASK = 50_000
 
 
 @dataclass
@@ -46,7 +47,7 @@ class BinSpec:
         x = known(F.col(self.feature))
         if self.kind == "width":
             return F.when(x.isNotNull(), width_bin(x, self.lo, self.hi, self.n_bins))
-        return F.when(x.isNotNull(), F.expr(_search_tree(f"CAST(`{self.feature}` AS DOUBLE)", self.cuts)))
+        return F.when(x.isNotNull(), bins_below(x, self.cuts))
 
 
 def known(x: Column) -> Column:
@@ -62,14 +63,10 @@ def width_bin(x: Column, lo: float, hi: float, n_bins: int) -> Column:
     return F.least(F.greatest(raw, F.lit(0)), F.lit(n_bins - 1))
 
 
-def _search_tree(x: str, cuts: list[float], first: int = 0) -> str:
-    """Number of ascending cuts below x, as a balanced CASE: log2 comparisons a row, compiled with the rest of the stage."""
-    if not cuts:
-        return str(first)
-    mid = len(cuts) // 2
-    cut = f"{cuts[mid]!r}D" if math.isfinite(cuts[mid]) else f"double('{cuts[mid]}')"
-    return (f"CASE WHEN {x} > {cut} THEN {_search_tree(x, cuts[mid + 1:], first + mid + 1)} "
-            f"ELSE {_search_tree(x, cuts[:mid], first)} END")
+def bins_below(x: Column, cuts: list[float]) -> Column:
+    """Number of ascending cuts below x: a binary search in a literal array (a CASE per cut would outgrow
+    what the JVM compiles)."""
+    return count_below(arr(cuts), x, len(cuts)) if cuts else F.lit(0)
 
 
 # --- weighted quantile cuts -----------------------------------------------------------
@@ -103,8 +100,9 @@ def quantile_cuts(values: DataFrame, n_bins: int = N_BINS) -> dict[int, list[flo
         heaviest: dict[int, list[float]] = {}
         for r in top.select("f", "w").collect():
             heaviest.setdefault(r["f"], []).append(r["w"])
-        levels = []
+        levels, most = [], 0
         for r in values.groupBy("f").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect():
+            most = max(most, r["n"])
             levels.append((r["f"], *cap_level(sorted(heaviest[r["f"]], reverse=True), r["w"], r["n"], n_bins)))
         if not levels:
             return {}
@@ -115,7 +113,12 @@ def quantile_cuts(values: DataFrame, n_bins: int = N_BINS) -> dict[int, list[flo
             (F.col("light") == 0) | (F.col("w") * (n_bins - F.col("heavy")) > F.col("light"))).cast("bigint")).withColumn(
             "small", F.when(F.col("big") == 0, F.col("w")).otherwise(F.lit(0).cast(kind)))
         share = "small_below * (%d - heavy) %s light" % (n_bins, "div" if kind == "bigint" else "/")
-        placed = below_sums(one, ["f"], "x", ["big", "small"], few_groups=True).withColumn(
+        if most <= VALUES_PER_TASK:  # a feature's values fit one task: the plain running sums, with the same result
+            below = Window.partitionBy("f").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+            sums = one.withColumns({f"{c}_below": F.coalesce(F.sum(c).over(below), F.lit(0).cast(t)) for c, t in (("big", "bigint"), ("small", kind))})
+        else:
+            sums = below_sums(one, ["f"], "x", ["big", "small"], few_groups=True)
+        placed = sums.withColumn(
             "b", F.col("big_below") + F.expr(f"CASE WHEN light > 0 THEN CAST(floor({share}) AS BIGINT) ELSE 0 END"))
         ends: dict[int, list[float]] = {f: [] for f, *_ in levels}
         for r in placed.groupBy("f", "b").agg(F.max("x").alias("x")).collect():

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metablend.operators.binning import _search_tree, quantile_cuts
+from metablend.operators.binning import bins_below, quantile_cuts
 
 COPIES_PER_TASK_ROW = 10_000
 NULL = "\\N"
@@ -52,7 +52,7 @@ def grouped_folds(df: DataFrame, features: list[str], k: int, seed: int = 42, la
     cuts = quantile_cuts(places, k)
     fold = F.lit(None).cast("int")
     for f, own in cuts.items():
-        fold = F.when(F.col("f") == f, F.expr(_search_tree("CAST(x AS DOUBLE)", own))).otherwise(fold)
+        fold = F.when(F.col("f") == f, bins_below(F.col("x").cast("double"), own)).otherwise(fold)
     folded = groups.select(F.col("content").alias("_content"), fold.cast("int").alias("fold"))
     one = counts.join(folded, counts["content"] == folded["_content"]).drop("_content")
     # write the copies out again: first in blocks, dealt anew, then row by row

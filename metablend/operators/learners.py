@@ -24,14 +24,27 @@ from pyspark.sql import functions as F
 
 from metablend.operators.literals import arr
 from metablend.session import ensure_checkpoint_dir
-from metablend.operators.grow import Node, TreeParams, grow, is_raw, leaf_values, p_features, value_cells
+from metablend.operators.grow import Node, TreeParams, for_rows, grow, is_raw, leaf_values, p_features
 
 KEEP = ["row_id", "label", "split", "fold", "bins"]
 
 
 def keep_cols(df: DataFrame) -> list[str]:
-    """Row columns carried through a fit (``inner`` exists for nested search)."""
-    return KEEP + (["inner"] if "inner" in df.columns else [])
+    """Row columns carried through a fit (``inner`` exists for nested search, ``copies`` where equal rows were counted)."""
+    return KEEP + [c for c in ("inner", "copies") if c in df.columns]
+
+
+def copies_of(df: DataFrame) -> Column:
+    """How many equal rows a row stands for."""
+    return F.col("copies").cast("double") if "copies" in df.columns else F.lit(1.0)
+
+
+def over_copies(df: DataFrame, draw, *salt) -> Column:
+    """Sum of ``draw(u)`` over the row's copies, each with a uniform of its own."""
+    if "copies" not in df.columns:
+        return draw(uniform(F.col("row_id"), *salt))
+    return F.aggregate(F.sequence(F.lit(1), F.col("copies").cast("int")), F.lit(0.0),
+                       lambda total, i: total + draw(uniform(F.col("row_id"), *salt, i)))
 
 
 def uniform(row_id: Column, *salt) -> Column:
@@ -140,6 +153,7 @@ BOOST_PRESETS = {
     "leafwise": dict(params=TreeParams("newton", max_depth=None, lam=0.0, min_hess=1e-3,
                                        min_rows_leaf=20, max_leaves=31), lr=0.1, n_trees=100),
     # histogram gradient boosting meta-learner defaults (31 leaves, 20 rows/leaf)
+    # (and, as there, early stopping above 10,000 training rows)
     "hist": dict(params=TreeParams("newton", max_depth=None, lam=0.0, min_hess=1e-3,
                                    min_rows_leaf=20, max_leaves=31), lr=0.1, n_trees=100),
 }
@@ -174,8 +188,9 @@ def _row_mask(hold: Column, inner_hold: Column | None, fraction: Column | None,
     return m
 
 
-def _init_scores(prep: DataFrame, slots: list[BoostSlot], seed: int) -> list[float]:
-    """logit of the positive rate on each slot's own training rows (one aggregation for all slots).
+def _init_scores(prep: DataFrame, slots: list[BoostSlot], seed: int, early: EarlyStop | None = None) -> tuple[list[float], list[bool]]:
+    """logit of the positive rate on each slot's own training rows, and whether the slot stops
+    early (one aggregation for all slots).
 
     A slot whose rows have one class starts at a rate half a row away from 0 or 1, so its
     score stays finite whatever the number of rows."""
@@ -184,30 +199,71 @@ def _init_scores(prep: DataFrame, slots: list[BoostSlot], seed: int) -> list[flo
     aggs = []
     for i, (h, ih, frac) in enumerate(keys):
         m = _row_mask(F.lit(h), F.lit(ih) if ih >= 0 else None, F.lit(frac) if frac < 1.0 else None, seed)
-        aggs += [F.sum(F.when(m, F.col("label"))).alias(f"p{i}"), F.sum(m.cast("long")).alias(f"n{i}")]
+        for name, mask in (("", m), ("e", m & ~held_for_stopping(early, seed))):
+            aggs += [F.sum(F.when(mask, F.col("label") * copies_of(prep))).alias(f"p{name}{i}"),
+                     F.sum(F.when(mask, copies_of(prep))).alias(f"n{name}{i}")]
     row = prep.agg(*aggs).first()
-    rate = {}
+    stops, rate = {}, {}
     for i, k in enumerate(keys):
-        pos, n = float(row[f"p{i}"] or 0), float(row[f"n{i}"] or 0)
+        stops[k] = early is not None and float(row[f"n{i}"] or 0) > early.min_rows
+        name = "e" if stops[k] else ""
+        pos, n = float(row[f"p{name}{i}"] or 0), float(row[f"n{name}{i}"] or 0)
         rate[k] = min(max(pos, 0.5), n - 0.5) / n if n > 1 else 0.5
-    out = []
-    for s in slots:
-        r = rate[(s.holdout, s.inner_holdout if inner else -1, float(s.row_fraction))]
-        out.append(math.log(r / (1 - r)))
-    return out
+    own = [(s.holdout, s.inner_holdout if inner else -1, float(s.row_fraction)) for s in slots]
+    return [math.log(rate[k] / (1 - rate[k])) for k in own], [stops[k] for k in own]
+
+
+@dataclass(frozen=True)
+class EarlyStop:
+    """The study library's rule for histogram boosting on more than ``min_rows`` training rows: a hashed
+    ``fraction`` of them is held out; a slot retires once none of its last ``patience`` rounds has a
+    held-out loss more than ``tol`` below that of the round before them."""
+    fraction: float = 0.1
+    patience: int = 10
+    tol: float = 1e-7
+    min_rows: int = 10_000
+
+    def retires(self, losses: list[float]) -> bool:
+        """``losses``: held-out loss of the start score and after each round."""
+        if len(losses) <= self.patience:
+            return False
+        before, recent = losses[-self.patience - 1], losses[-self.patience:]
+        return not any(x < before - self.tol for x in recent)
+
+
+def held_for_stopping(early: EarlyStop | None, seed: int) -> Column:
+    return F.lit(False) if early is None else uniform(F.col("row_id"), "early", seed) < early.fraction
+
+
+def _held_losses(state: DataFrame, slots: list[BoostSlot], stops: list[bool], early: EarlyStop, nested: bool, subset: bool,
+                 seed: int) -> dict[int, float]:
+    """Mean held-out log-loss of the slots that may stop (one aggregation for all)."""
+    aggs, y, n = [], F.col("label").cast("double"), copies_of(state)
+    for i in [i for i, on in enumerate(stops) if on]:
+        s = slots[i]
+        m = _row_mask(F.lit(s.holdout), F.lit(s.inner_holdout) if nested else None, F.lit(float(s.row_fraction)) if subset else None, seed)
+        m = m & held_for_stopping(early, seed)
+        f = F.element_at("F", i + 1)
+        loss = F.greatest(f, F.lit(0.0)) + F.log1p(F.exp(-F.abs(f))) - y * f
+        aggs.append((F.sum(F.when(m, loss * n)) / F.sum(F.when(m, n))).alias(str(i)))
+    row = state.agg(*aggs).first()
+    return {int(k): float(v) if v is not None else 0.0 for k, v in row.asDict().items()}
 
 
 def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42,
               params: TreeParams | None = None, stages: list[int] | None = None,
-              checkpoint_every: int = 10) -> Fitted:
+              checkpoint_every: int = 10, early: EarlyStop | None = None) -> Fitted:
     """Gradient (``gbm``) or Newton (``newton``, ``leafwise``, ``hist``) boosting,
     one ensemble per slot.  ``stages``: also keep each slot's probability after
     that many trees (columns ``P_<n>``) — the staged-prefix reuse for grids
-    whose ``n_estimators`` values are prefixes of each other."""
-    p = replace(params or BOOST_PRESETS[kind]["params"], cells=value_cells(prep))
+    whose ``n_estimators`` values are prefixes of each other.  ``early``: slots with
+    enough rows retire one by one when their held-out loss no longer falls
+    (``extra['rounds']``: trees per slot)."""
+    p = for_rows(params or BOOST_PRESETS[kind]["params"], prep)
     S = len(slots)
     holds = [s.holdout for s in slots]
-    f0 = _init_scores(prep, slots, seed)
+    f0, stops = _init_scores(prep, slots, seed, early)
+    stopping = any(stops)
     d = p_features(prep)
     nested = "inner" in prep.columns and any(s.inner_holdout >= 0 for s in slots)
     sampled = any(s.subsample < 1.0 for s in slots)
@@ -215,7 +271,9 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
     st = _State(prep.select(*keep_cols(prep)).withColumn("F", arr(f0)), checkpoint_every)
     static = {"hold": holds, "ss": [float(s.subsample) for s in slots],
               "rf": [float(s.row_fraction) for s in slots],
-              "ihold": [int(s.inner_holdout) for s in slots]}
+              "ihold": [int(s.inner_holdout) for s in slots], "es": stops}
+    losses: list[list[float]] = [[] for _ in slots]
+    retired: list[int | None] = [None] * S
     lrs = [float(s.lr) for s in slots]
     trees: list[tuple] = []
     newton = p.criterion == "newton"
@@ -223,17 +281,27 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
     n_max = max(s.n_trees for s in slots)
     snaps: dict[int, Column] = {}
     for t in range(n_max):
-        active = [t < s.n_trees for s in slots]
+        if stopping:
+            for i, loss in _held_losses(st.df, slots, stops, early, nested, subset, seed).items():
+                losses[i].append(loss)
+                if retired[i] is None and early.retires(losses[i]):
+                    retired[i] = t
+        active = [t < s.n_trees and retired[i] is None for i, s in enumerate(slots)]
+        if not any(active):
+            break
 
         def gh(ex, t=t):
             prob = 1.0 / (1.0 + F.exp(-F.col("F")))
             y = F.col("label").cast("double")
             m = _row_mask(F.col("hold"), F.col("ihold") if nested else None, F.col("rf") if subset else None, seed)
+            if stopping:
+                m = m & ~(F.col("es") & held_for_stopping(early, seed))
+            n = copies_of(ex)
             if sampled:                   # hash only when some slot subsamples
-                m = m & (uniform(F.col("row_id"), t, seed) < F.col("ss"))
+                n = over_copies(ex, lambda u: (u < F.col("ss")).cast("double"), t, seed)
+                m = m & (n > 0)
             g = (prob - y) if newton else (y - prob)
-            return ex.select("*", g.alias("g"), (prob * (1.0 - prob)).alias("h"),
-                             F.lit(1.0).alias("c"), m.alias("m"))
+            return ex.select("*", (g * n).alias("g"), (prob * (1.0 - prob) * n).alias("h"), n.alias("c"), m.alias("m"))
 
         grown, nodes = grow(st.df, S, static, ["F"], gh, p, active, [s.max_depth for s in slots], d)
 
@@ -250,9 +318,10 @@ def fit_boost(prep: DataFrame, kind: str, slots: list[BoostSlot], seed: int = 42
         st.replace(new)
     sig = lambda c: F.transform(c, lambda x: 1.0 / (1.0 + F.exp(-x)))
     out = st.df.withColumn("P", sig(F.col("F")))
-    for n in stages:
-        out = out.withColumn(f"P_{n}", sig(F.col(f"F_{n}")))
-    return Fitted(out, S, holds, trees, kind, {"init": f0})
+    for n in stages:  # where all slots retired before a stage, their last scores are the stage's
+        out = out.withColumn(f"P_{n}", sig(F.col(f"F_{n}" if f"F_{n}" in out.columns else "F")))
+    rounds = [s.n_trees if r is None else r for s, r in zip(slots, retired)]
+    return Fitted(out, S, holds, trees, kind, {"init": f0, "rounds": rounds})
 
 
 def fit_boost_chunked(prep: DataFrame, kind: str, slots: list[BoostSlot], max_slots: int = 64,
@@ -323,9 +392,9 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10, s
     inner = [int(s.inner_holdout) for s in slots]
     nested = "inner" in prep.columns and any(i >= 0 for i in inner)
     st = _State(prep.select(*keep_cols(prep))
-                .withColumn("w", F.array_repeat(F.lit(1.0), S))
+                .withColumn("w", F.array_repeat(copies_of(prep), S))
                 .withColumn("D", F.array_repeat(F.lit(0.0), S)), checkpoint_every)
-    p = TreeParams("gini", max_depth=1, cells=value_cells(prep))
+    p = for_rows(TreeParams("gini", max_depth=1), prep)
     d = p_features(prep)
     alive = [True] * S
     alpha_sum = [0.0] * S
@@ -339,8 +408,7 @@ def fit_ada(prep: DataFrame, slots: list[AdaSlot], checkpoint_every: int = 10, s
 
         def gh(ex):
             w = F.col("w")
-            return ex.select("*", (w * F.col("label")).alias("g"), w.alias("h"),
-                             F.lit(1.0).alias("c"),
+            return ex.select("*", (w * F.col("label")).alias("g"), w.alias("h"), copies_of(ex).alias("c"),
                              train_mask(F.col("hold"), F.col("ihold") if nested else None).alias("m"))
 
         grown, nodes = grow(st.df, S, {"hold": holds, "ihold": inner}, ["w"], gh, p, active, None, d)
@@ -407,7 +475,7 @@ class ForestSpec:
 
 def _forest_round(prep_state: DataFrame, holds: list[int], spec: ForestSpec, n_features: int,
                   seed: int, weight: str | None, round_id: int,
-                  tree_ids: list[int] | None = None, cells: list | None = None) -> tuple[DataFrame, list[Node], Column]:
+                  tree_ids: list[int] | None = None, of_rows: TreeParams | None = None) -> tuple[DataFrame, list[Node], Column]:
     """Grow the trees ``tree_ids`` of every model in one fused run; returns the
     grown state (``_lv`` = leaf value per slot) and per-model leaf-value sums.
     Bootstrap and feature choice hash (model, tree), never the slot number or the
@@ -420,18 +488,22 @@ def _forest_round(prep_state: DataFrame, holds: list[int], spec: ForestSpec, n_f
     p = TreeParams("gini", max_depth=spec.max_depth, min_rows_leaf=spec.min_rows_leaf,
                    min_rows_split=spec.min_rows_split, feature_k=k if k < n_features else None,
                    seed=seed + 7919 * round_id,
-                   slot_tags=[f"{s // T}|{trees[s % T]}" for s in range(S)], cells=cells)
+                   slot_tags=[f"{s // T}|{trees[s % T]}" for s in range(S)],
+                   **({"cells": of_rows.cells, "missing": of_rows.missing} if of_rows else {}))
     holds, inner = outer_inner(holds)
     nested = "inner" in prep_state.columns and any(i >= 0 for i in inner)
     static = {"hold": [holds[s // T] for s in range(S)], "ihold": [inner[s // T] for s in range(S)], "tree": [trees[s % T] for s in range(S)]}
     arrays = [weight] if weight else []
 
     def gh(ex):
-        u = uniform(F.col("row_id"), F.lit(round_id), F.col("tree"), F.lit(seed))
-        bw = poisson1(u) if spec.bootstrap else F.lit(1.0)
-        w = bw * (F.col(weight) if weight else F.lit(1.0))
-        return ex.select("*", (w * F.col("label")).alias("g"), w.alias("h"),
-                         F.when(bw > 0, 1.0).otherwise(0.0).alias("c"),
+        salt = (F.lit(round_id), F.col("tree"), F.lit(seed))
+        bw = over_copies(ex, poisson1, *salt) if spec.bootstrap else copies_of(ex)
+        if spec.bootstrap and "copies" in ex.columns:
+            c = over_copies(ex, lambda u: (poisson1(u) > 0).cast("double"), *salt)
+        else:
+            c = F.when(bw > 0, 1.0).otherwise(0.0) if spec.bootstrap else bw
+        w = bw * (F.col(weight) / copies_of(ex) if weight else F.lit(1.0))
+        return ex.select("*", (w * F.col("label")).alias("g"), w.alias("h"), c.alias("c"),
                          (train_mask(F.col("hold"), F.col("ihold") if nested else None) & (bw > 0)).alias("m"))
 
     if weight:
@@ -497,7 +569,7 @@ def fit_forest(prep: DataFrame, holdouts: list[int], spec: ForestSpec, n_feature
     own = [ForestVariant(spec.n_trees, spec.max_depth, spec.min_rows_split), *(variants or [])]
     M, T = len(holdouts), spec.n_trees
     per_run = max(1, max_slots // M)
-    cells = value_cells(prep)
+    of_rows = for_rows(TreeParams("gini"), prep)
     ensure_checkpoint_dir(prep.sparkSession)
     accs = [f"_acc{v}" for v in range(len(own))]
     state = prep.select(*keep_cols(prep)).withColumns({a: F.array_repeat(F.lit(0.0), M) for a in accs})
@@ -506,7 +578,7 @@ def fit_forest(prep: DataFrame, holdouts: list[int], spec: ForestSpec, n_feature
     for start in range(0, T, per_run):
         chunk = list(range(start, min(T, start + per_run)))
         C = len(chunk)
-        grown, nodes, _ = _forest_round(state, holdouts, spec, n_features, seed, None, 0, chunk, cells)
+        grown, nodes, _ = _forest_round(state, holdouts, spec, n_features, seed, None, 0, chunk, of_rows)
         shapes: dict[tuple, str] = {}
         for v, variant in enumerate(own):
             taken = min(C, variant.n_trees - start)
@@ -548,18 +620,18 @@ def fit_ada_forest(prep: DataFrame, holdouts: list[int], spec: AdaForestSpec, n_
     M = len(holdouts)
     outer, inner = outer_inner(holdouts)
     nested = "inner" in prep.columns and any(i >= 0 for i in inner)
-    st = _State(prep.select(*keep_cols(prep)).withColumn("w", F.array_repeat(F.lit(1.0), M))
+    st = _State(prep.select(*keep_cols(prep)).withColumn("w", F.array_repeat(copies_of(prep), M))
                 .withColumn("D", F.array_repeat(F.lit(0.0), M)), checkpoint_every)
     alive = [True] * M
     alpha_sum = [0.0] * M
     trees: list[tuple] = []
-    cells = value_cells(prep)
+    of_rows = for_rows(TreeParams("gini"), prep)
     stages = sorted(set(stages or []))
     sums: dict[int, list[float]] = {}
     for r in range(spec.n_rounds):
         if not any(alive):
             break
-        grown, nodes, per_model = _forest_round(st.df, holdouts, spec.forest, n_features, seed, "w", r, cells=cells)
+        grown, nodes, per_model = _forest_round(st.df, holdouts, spec.forest, n_features, seed, "w", r, of_rows=of_rows)
         # restore the per-model weight array (the round repeated it per tree)
         T = spec.forest.n_trees
         cur = grown.withColumn("_p", F.transform(per_model, lambda x: x / float(T))).withColumn(

@@ -6,6 +6,8 @@ are instead written as one SQL expression that the JVM parses once.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def _fmt(v, t: str) -> str:
     if v is None:
         return "NULL"
     if t == "double":
-        return repr(float(v)) + "D"
+        return repr(float(v)) + "D" if math.isfinite(v) else f"double('{v}')"
     if t == "boolean":
         return "true" if v else "false"
     if t in ("bigint", "long"):

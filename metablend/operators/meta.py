@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metablend.operators.binning import N_BINS, apply_bins, fit_bins
-from metablend.operators.learners import BOOST_PRESETS, BoostSlot, Fitted, fit_boost
+from metablend.operators.learners import BOOST_PRESETS, BoostSlot, EarlyStop, Fitted, fit_boost
 from metablend.operators.scale import apply_scaler, fit_scaler
 
 
@@ -105,5 +105,5 @@ def meta_trees(table: DataFrame, cols: list[str], kind: str = "hist", n_trees: i
     p = params or preset["params"]
     slot = BoostSlot(-1, n_trees or preset["n_trees"], lr if lr is not None else preset["lr"],
                      max_depth if max_depth is not None else p.max_depth)  # None: the preset's depth
-    fit = fit_boost(prep, kind, [slot], params=p)
+    fit = fit_boost(prep, kind, [slot], params=p, early=EarlyStop() if kind == "hist" else None)
     return fit.scores.select("row_id", *(["split"] if keep_split else []), F.element_at("P", 1).alias("score"))

@@ -13,6 +13,7 @@ learners' default) cuts raw values wherever the prepared table has them.
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from metablend.functions.metrics import metric_table, threshold
 from metablend.operators.binning import N_BINS, apply_bins, fit_bins, raw_values
+from metablend.operators.compress import compress_rows, expand_scores
 from metablend.operators.grow import TreeParams
 from metablend.operators.keys import exact_split_folds
 from metablend.operators.learners import (
@@ -189,9 +191,23 @@ def fit_learner(prep: DataFrame, spec: LearnerSpec, holdouts: list, seed: int =
 def learner_scores(prep: DataFrame, spec: LearnerSpec, k: int = 3) -> DataFrame:
     """Per-row probabilities of one learner: out-of-fold (train rows), fold
     average and refit model (other rows)."""
-    fit = fit_learner(prep, spec, list(range(k)) + [-1])
+    return _columns_of(fit_learner(prep, spec, list(range(k)) + [-1]).scores, k)
+
+
+def compressed_scores(prep: DataFrame, spec: LearnerSpec, k: int = 3, max_copies: int = 256) -> DataFrame:
+    """``learner_scores`` with the models trained on counted rows.  Learners that draw rows see at most
+    ``max_copies`` copies per counted row (the others any number); their draws differ from those over single rows."""
+    own = features_of(prep, spec)
+    draws = spec.kind in ("rf", "ada_rf") or spec.subsample < 1.0
+    few = compress_rows(own, max_copies if draws else None)
+    ensure_checkpoint_dir(prep.sparkSession)
+    fit = fit_learner(few.checkpoint(eager=True), dataclasses.replace(spec, split="hist"), list(range(k)) + [-1])
+    return _columns_of(expand_scores(own, fit.scores, ["P"]), k)
+
+
+def _columns_of(scores: DataFrame, k: int) -> DataFrame:
     P = F.col("P")
-    return fit.scores.select(
+    return scores.select(
         "row_id", "label", "split", "fold",
         F.when(F.col("split") == "train", F.element_at(P, F.coalesce(F.col("fold"), F.lit(0)) + 1)).alias("p_oof"),
         (F.aggregate(F.slice(P, 1, k), F.lit(0.0), lambda a, b: a + b) / float(k)).alias("p_avg"),

@@ -8,6 +8,8 @@ separately trained ones, tree-table scoring equals in-training scoring).
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from metablend.functions.metrics import threshold
@@ -15,7 +17,7 @@ from metablend.operators.meta import meta_logistic
 from metablend.operators.score import score_trees
 from metablend.plans import ensembles as E
 from metablend.plans.queries import rnd
-from metablend.plans.search import blend_tuned, learner_search, learning_curve, nested_search, tree_grid_search
+from metablend.plans.search import blend_tuned, learner_search, learning_curve, learning_curve_cv, nested_search, tree_grid_search
 from metablend.sources.carriers import DOC_CONTINUOUS
 
 K = 3
@@ -185,6 +187,30 @@ def q_gbm_lineitem(spark, d):
     return rnd(E.learner_scores(prep, S["gbm"], K))
 
 
+def q_gbm_lineitem_compressed(spark, d):
+    """The same models trained on counted rows (equal lines once, with their number) and brought back to every line."""
+    from metablend.plans.ensembles import prepare_lineitem_trees
+    prep = prepare_lineitem_trees(spark, d, k=K)
+    return rnd(E.compressed_scores(prep, S["gbm"], K))
+
+
+def _exact(kind):
+    def q(spark, d):
+        prep = E.prepare_trees(spark, d, k=K, values=True)
+        return rnd(E.learner_scores(prep, dataclasses.replace(S[kind], n_trees=3, split="exact"), K))
+    return q
+
+
+def q_learning_curve_cv(spark, d):
+    """N4 over folds, for three learners."""
+    prep = E.prepare_trees(spark, d, k=K)
+    out = None
+    for kind in ("xgb", "rf", "ada"):
+        one = learning_curve_cv(prep, dataclasses.replace(S[kind], n_trees=3), [0.5, 1.0], K).select(F.lit(kind).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    return rnd(out)
+
+
 def q_stack_resubstitution(spark, d):
     """M6: the logistic stack scored on its own training rows, through the refitted bases."""
     prep = E.prepare_trees(spark, d, k=2)
@@ -192,6 +218,11 @@ def q_stack_resubstitution(spark, d):
 
 
 MODEL_QUERIES = {
+    "ada_exact_model": _exact("ada"),
+    "gbm_exact_model": _exact("gbm"),
+    "rf_exact_model": _exact("rf"),
+    "learning_curve_cv": q_learning_curve_cv,
+    "gbm_lineitem_compressed": q_gbm_lineitem_compressed,
     "ada_model": _learner("ada"),
     "gbm_model": _learner("gbm"),
     "sgb_model": _learner("sgb"),

@@ -41,8 +41,9 @@ def fit_and_bin(spark, values, n_bins):
     return spec, {r.x: r.b for r in df.select("x", spec.expr().alias("b")).collect()}
 
 
-@pytest.mark.parametrize("n_bins", [4, 255])
-def test_a_third_of_the_rows_on_one_value_costs_no_cuts(spark, n_bins):
+@pytest.mark.parametrize("n_bins,in_task", [(4, 50_000), (255, 50_000), (255, 0)])
+def test_a_third_of_the_rows_on_one_value_costs_no_cuts(spark, monkeypatch, n_bins, in_task):
+    monkeypatch.setattr(B, "VALUES_PER_TASK", in_task)
     rng = random.Random(n_bins)
     values = [7.0] * 2000 + [float(rng.randrange(2)) for _ in range(800)] + [rng.gauss(0, 9) for _ in range(3000)]
     rng.shuffle(values)
@@ -197,6 +198,6 @@ def test_exact_search_does_not_depend_on_cells_or_partitions(spark, monkeypatch)
     key = lambda t: tuple((x is not None, x if not isinstance(x, float) else round(x, 9)) for x in t)
     df = table(spark, rows, labels, True)
     one = sorted(map(key, fit_forest(df, [-1], spec, 3).trees))
-    import metablend.operators.learners as L
-    monkeypatch.setattr(L, "value_cells", lambda prep: value_cells(prep, 5))
+    import metablend.operators.grow as grow
+    monkeypatch.setattr(grow, "value_cells", lambda prep, f=value_cells: f(prep, 5))
     assert sorted(map(key, fit_forest(df.repartition(7), [-1], spec, 3).trees)) == one and len(one) > 20
