@@ -626,12 +626,13 @@ xs AS (SELECT row_id, xv.f, CASE WHEN xv.x IS NOT NULL THEN CAST(least(coalesce(
 {boost_ctes(2, 2, 'newton', 0.3, f'(-sum(g) / (sum(h) + 1))', False)}
 """ + "\nUNION ALL ".join(tree_rows(f"t{i}", i, 2, f"round({D(0.3)} * (-sum(g) / (sum(h) + 1)), 6)", False, ", ml AS missing_left", ", NULL")
                           for i in range(2))
-    lx = " UNION ALL ".join(f"SELECT row_id, split, {i} AS f, {c} AS x FROM s" for i, c in enumerate(LINE_COLS))
-    q["bin_quantile"] = f"""WITH {lsplit}, lx AS ({lx}), lt AS (SELECT f, x FROM lx WHERE split = 'train'),
+    # lines are told apart by number: two lines may share their key columns
+    lx = f"SELECT rn, row_id, split, unnest([0, 1, 2, 3]) AS f, unnest([{', '.join(LINE_COLS)}]) AS x FROM (SELECT *, row_number() OVER () AS rn FROM s)"
+    q["bin_quantile"] = f"""WITH {lsplit}, lx AS MATERIALIZED ({lx}), lt AS (SELECT f, x FROM lx WHERE split = 'train'),
 {quantile_ctes('lt', 255)},
-lb AS (SELECT row_id, lx.f, least(coalesce(qc.b + 1, 0), qm.last) AS b FROM lx ASOF LEFT JOIN qc ON lx.f = qc.f AND lx.x > qc.hi
+lb AS (SELECT rn, row_id, lx.f, least(coalesce(qc.b + 1, 0), qm.last) AS b FROM lx ASOF LEFT JOIN qc ON lx.f = qc.f AND lx.x > qc.hi
        JOIN (SELECT DISTINCT f, last FROM qc) qm ON qm.f = lx.f)
-SELECT row_id, {", ".join(f"CAST(max(CASE WHEN f = {i} THEN b END) AS INTEGER) AS b_{c}" for i, c in enumerate(LINE_COLS))} FROM lb GROUP BY row_id"""
+SELECT row_id, {", ".join(f"CAST(max(CASE WHEN f = {i} THEN b END) AS INTEGER) AS b_{c}" for i, c in enumerate(LINE_COLS))} FROM lb GROUP BY rn, row_id"""
     for name, cte, src, cols in (("quartiles_by_source", DQ, "dq", DOC_CONT), ("quartiles_lineitem", LI, "li", LINE_COLS)):
         q[name] = f"WITH {cte}\n" + "\nUNION ALL ".join(
             f"SELECT origin, '{c}' AS feature, {', '.join(f'round(quantile_cont({c}, {D(p)}), 6) AS q{round(100 * p)}' for p in (0.25, 0.5, 0.75))} "
