@@ -21,6 +21,7 @@ empty archives; extra columns are not read.
 from __future__ import annotations
 
 import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,21 +50,21 @@ def record_text(page_id, record_type, uri, refers_to, digest, payload_bytes, pay
     """One WARC record without its last line feed (the text sink writes that)."""
     is_revisit = record_type == "revisit"
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
-                    payload_bytes.cast("string"), F.lit("\r\n\r\n"))
+                    F.coalesce(payload_bytes, F.lit(0)).cast("string"), F.lit("\r\n\r\n"))
     block = F.when(is_revisit, http).otherwise(F.concat(http, payload))
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), record_type, F.lit("\r\n"),
         F.lit("WARC-Record-ID: "), _record_uri(page_id), F.lit(f"\r\nWARC-Date: {WARC_DATE}\r\n"),
-        F.lit("WARC-Target-URI: "), uri, F.lit("\r\n"),
+        _line("WARC-Target-URI", uri),
         _line("X-Page-ID", page_id.cast("string")),
-        F.lit("WARC-Payload-Digest: sha256:"), digest, F.lit("\r\n"),
-        F.lit("X-Payload-Length: "), payload_bytes.cast("string"), F.lit("\r\n"),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
+        _line("X-Payload-Length", payload_bytes.cast("string")),
         F.when(is_revisit, F.concat(
             F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"),
-            F.lit("WARC-Refers-To: "), _record_uri(refers_to), F.lit("\r\n"),
+            F.when(refers_to.isNotNull(), F.concat(F.lit("WARC-Refers-To: "), _record_uri(refers_to), F.lit("\r\n"))).otherwise(""),
             _line("X-Refers-To-Page", refers_to.cast("string")))).otherwise(""),
         F.lit("Content-Type: application/http;msgtype=response\r\nContent-Length: "),
-        F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n\r"))
+        (F.octet_length(http) + F.when(is_revisit, F.lit(0)).otherwise(payload_bytes)).cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n\r"))
 
 
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -86,25 +87,38 @@ def write_archives(records: DataFrame, path: str, records_per_file: int = RECORD
 
 
 def parse_archive(data: bytes, with_payload: bool = True) -> Iterator[tuple]:
-    """Records of one archive file as ``RECORD`` tuples, cut by Content-Length."""
+    """Response and revisit records of one archive file as ``RECORD`` tuples, cut by Content-Length.
+
+    Digest and length of a response come from its payload's bytes, whatever its headers say; those of a revisit,
+    which has no payload, from its headers (null where it names none, or another kind of digest).  Records of other types, and a response
+    without an HTTP message, are passed over.  A payload that is not UTF-8 is an error where payloads are read.
+    """
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
     while at < len(data):
         head_end = data.index(b"\r\n\r\n", at)
         head = {}
-        for line in data[at:head_end].decode().split("\r\n")[1:]:
-            name, _, value = line.partition(": ")
-            head[name] = value
+        for line in data[at:head_end].decode(errors="replace").split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            head[name] = value.strip(" \t")
         block = head_end + 4
         end = block + int(head["Content-Length"])
-        body = data.index(b"\r\n\r\n", block, end) + 4
-        payload = data[body:end].decode() if with_payload and head["WARC-Type"] == "response" else None
-        page, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page")
-        yield (None if page is None else int(page), head["WARC-Type"], head["WARC-Target-URI"],
-               None if refers is None else int(refers), head["WARC-Payload-Digest"].partition(":")[2],
-               int(head["X-Payload-Length"]), payload)
         at = end + 4
+        kind, body = head.get("WARC-Type"), data.find(b"\r\n\r\n", block, end) + 4
+        payload, digest, length = None, head.get("WARC-Payload-Digest"), head.get("X-Payload-Length")
+        if kind == "response" and body > 3:
+            content = data[body:end]
+            digest, length = hashlib.sha256(content).hexdigest(), len(content)
+            payload = content.decode() if with_payload else None
+        elif kind == "revisit":
+            digest = digest[7:] if digest and digest.startswith("sha256:") else None
+            length = None if length is None else int(length)
+        else:
+            continue
+        page, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page")
+        yield (None if page is None else int(page), kind, head.get("WARC-Target-URI"),
+               None if refers is None else int(refers), digest, length, payload)
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True, rows_per_batch: int = 256) -> DataFrame:
