@@ -21,7 +21,8 @@ large, is sorted in one task, and reruns agree.
 Edge cases: null texts have size 0; size-0 documents keep one copy (they take no
 words either way); a source without words has target 0; repeated rows are
 separate documents; null ids hash alike and stay; an empty table gives an empty
-result; only the id, text and source columns are read.
+result; only the id, text and source columns are read, and those named in ``keep``.  Newton steps that
+do not come to the targets in ``steps`` steps are an error (``Unsolved``).
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ TOLERANCE = 1e-7
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+class Unsolved(RuntimeError):
+    """The tilts of some sources have not come to their targets."""
+
+
 def word_size(col):
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -115,15 +120,21 @@ def tilts(sizes: DataFrame, targets: DataFrame, max_copies: int = MAX_COPIES, st
         if not state.where("open").limit(1).count():
             break
         state = state.drop("open")
+    else:
+        raise Unsolved(f"targets are not met to {tolerance} of their size after {steps} Newton steps")
     return state.select("source", "source_size", "target", "scale", "lam", "all_in")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES, seed: int = 17) -> DataFrame:
-    """Per document ``id, size, source, source_size, target, rate, copies, taken``."""
+        weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES, seed: int = 17,
+        keep: list[str] | None = None) -> DataFrame:
+    """Per document ``id, size, source, source_size, target, rate, copies, taken``, and ``kept``: a struct of the
+    columns in ``keep``.  They are shuffled once, to their (source, size, bucket)."""
+    carried = [F.struct(*[docs[c] for c in keep]).alias("kept")] if keep else []
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # never null: its window and join share a shuffle
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(HASH_BUCKETS))
     rows = stored(docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"),
-                              word_size(docs[text_col]).alias("size")), "sizes").withColumn("bucket", bucket)
+                              word_size(docs[text_col]).alias("size"), *carried), "sizes").withColumn("bucket", bucket)
     counts = rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts, "size-buckets")
     sizes = stored(counts.groupBy("source", "size").agg(F.sum("n").alias("n")), "size-counts")
@@ -154,15 +165,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                          "source_size", "target", "rate", "copies_of_all")
     # every document gets the whole part; the first places of its group get one more
     below = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("source").alias("_os"), F.col("size").alias("_oz"), F.col("bucket").alias("_ob"),
+    offsets = counts.select(key.alias("_ok"), F.col("source").alias("_os"), F.col("size").alias("_oz"), F.col("bucket").alias("_ob"),
                             F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"))
     groups = offsets.join(rates, F.col("_os").eqNullSafe(F.col("_rs")) & (F.col("_oz") == F.col("_rz")))
-    place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), F.col("id")), "id"))
-    placed = rows.withColumn("place", place)
-    out = placed.join(groups, F.col("source").eqNullSafe(F.col("_os")) & (F.col("size") == F.col("_oz"))
+    place = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), F.col("id")), "id"))
+    placed = rows.withColumn("key", key).withColumn("place", place)
+    out = placed.join(groups, (F.col("key") == F.col("_ok")) & (F.col("size") == F.col("_oz"))
                       & (F.col("bucket") == F.col("_ob")))
     whole = F.floor(F.col("copies_of_all") / F.col("group_n"))
     odd = F.col("copies_of_all") - whole * F.col("group_n")
     copies = F.least(F.lit(max_copies), whole + (F.col("before") + F.col("place") <= odd).cast("int")).cast("long")
     return out.select("id", "size", "source", "source_size", "target", "rate", copies.alias("copies"),
-                      (copies * F.col("size")).alias("taken"))
+                      (copies * F.col("size")).alias("taken"), *(["kept"] if keep else []))
