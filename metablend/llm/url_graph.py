@@ -12,9 +12,12 @@ fitting rule decides.  Pages that no rule fits get the verdict of their host:
 - seeds weigh as many pages as the rules allow (or block) on a host, each kind summing to 1;
 - a host is blocked if its distrust exceeds ``threshold`` times its trust.
 
+Scores are followed until at most ``tolerance`` of a graph's mass is still on its way, however many steps that takes.
+
 Scale: pages are read twice (links; urls) and are never shuffled whole: links are counted per
 (host, host) before the exchange, so a host with a third of all pages is a few rows.
-The iterations run on tables of hosts and edges; their state is checkpointed in the shared folder.
+The iterations run on tables of hosts and edges, both graphs in the same jobs: one join and one aggregation a
+step; their state is checkpointed in the shared folder.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, fits no rule and is judged by
 the empty host (allowed unless distrusted); null html has no links; repeated rows count as pages of
@@ -33,9 +36,10 @@ from .common import checkpointed, lower_az, stored
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
-STEPS = 12
+TOLERANCE = 1e-6  # of a mass of 1
+STEPS_PER_CHECK = 8
 THRESHOLD = 1.0
-LINK = r"(?i)(?:href|src)\s*=\s*[\"']?[a-z][a-z0-9+.\-]*://([^/?#\"'\s>]+)"
+LINK = r"(?i)(?:href|src)\s*=\s*[\"']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s>]+)"
 
 
 def host_of(url):
@@ -75,26 +79,35 @@ def host_edges(pages: DataFrame, hosts: DataFrame, url_col: str, html_col: str)
     return links.union(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """``host, score``: personalised PageRank.  ``edges``: src, dst, w.  ``seeds``: host, seed (summing to 1).
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """``graph, host, score``: personalised PageRank of several graphs at a time.
 
-    What reaches a host without outgoing edges stays counted there and goes no further.
+    ``edges``: graph, src, dst, w.  ``seeds``: graph, host, seed (summing to 1 a graph).  A step moves the newly
+    arrived mass (``fresh``) along the edges and adds it up in ``score``; what reaches a host without outgoing
+    edges stays counted there and goes no further.  Mass shrinks by ``damping`` a step, so the steps end.
     """
-    out = edges.groupBy("src").agg(F.sum("w").alias("out_w"))
-    moves = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out_w")).alias("p")))
-    start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("v"))
-    score = seeds.select("host", F.col("seed").alias("score"))
-    for step in range(steps):
-        moved = moves.join(score, moves["src"] == score["host"]).select(
-            F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("v"))
-        score = start.union(moved).groupBy("host").agg(F.sum("v").alias("score"))
-        if step % 3 == 2 or step == steps - 1:
-            score = checkpointed(score)
-    return score
+    out = edges.groupBy("graph", "src").agg(F.sum("w").alias("out_w"))
+    moves = edges.join(out, ["graph", "src"]).select("graph", "src", "dst", (F.col("w") / F.col("out_w") * damping).alias("p"))
+    ends = edges.select("graph", "src").union(edges.select("graph", "dst")).union(seeds.select("graph", "host")).distinct()
+    # a row without a share keeps the host's own score
+    moves = checkpointed(moves.union(ends.select("graph", "src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("p"))))
+    begun = F.col("seed") * (1 - damping)
+    state = seeds.select(F.col("graph").alias("g"), "host", begun.alias("fresh"), begun.alias("score"))
+    while True:
+        for _ in range(STEPS_PER_CHECK):
+            share = F.col("fresh") * F.col("p")
+            state = state.join(moves, (F.col("g") == F.col("graph")) & (F.col("host") == F.col("src"))).select(
+                "g", F.col("dst").alias("to"), F.coalesce(share, F.lit(0.0)).alias("fresh"),
+                F.coalesce(share, F.col("score")).alias("score")).groupBy("g", "to").agg(
+                F.sum("fresh").alias("fresh"), F.sum("score").alias("score")).withColumnRenamed("to", "host")
+        state = checkpointed(state)
+        under_way = state.groupBy("g").agg((F.sum("fresh") * damping / (1 - damping)).alias("m")).agg(F.max("m")).first()[0]
+        if under_way is None or under_way <= tolerance:
+            return state.select(F.col("g").alias("graph"), "host", "score")
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-               rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+               rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Per page ``id, host, path, rule, verdict, trust, distrust``."""
     urls = pages.select(pages[id_col].alias("id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
     urls = urls.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
@@ -102,18 +115,23 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.sum((F.col("hit.verdict") == "allow").cast("double")).alias("allowed"),
         F.sum((F.col("hit.verdict") == "block").cast("double")).alias("blocked")), "hosts")
     edges = stored(host_edges(pages, hosts, url_col, html_col), "host-edges")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    both = edges.select(F.lit("trust").alias("graph"), "src", "dst", "w").union(
+        edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "w"))
     totals = hosts.agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")).first()
 
-    def seeds(kind: str) -> DataFrame:
-        return checkpointed(hosts.where(F.col(kind) > 0).select(
-            "host", (F.col(kind) / F.lit(totals[kind] or 1.0)).alias("seed")))
+    def seeds(graph: str, kind: str) -> DataFrame:
+        return hosts.where(F.col(kind) > 0).select(
+            F.lit(graph).alias("graph"), "host", (F.col(kind) / F.lit(totals[kind] or 1.0)).alias("seed"))
+
+    scores = pagerank(both, checkpointed(seeds("trust", "allowed").union(seeds("distrust", "blocked"))), damping, tolerance)
+
+    def score_of(graph: str):
+        return F.sum(F.when(F.col("graph") == graph, F.col("score")).otherwise(0.0)).alias(graph)
 
-    trust = pagerank(edges, seeds("allowed"), damping, steps).withColumnRenamed("score", "trust")
-    distrust = pagerank(back, seeds("blocked"), damping, steps).withColumnRenamed("score", "distrust")
-    judged = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    judged = checkpointed(judged.select(F.col("host").alias("jh"), "trust", "distrust"))
-    host_verdict = F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow")
+    judged = checkpointed(scores.groupBy(F.col("host").alias("jh")).agg(score_of("trust"), score_of("distrust")))
+    none = F.lit(0.0)
+    trust, distrust = F.coalesce("trust", none), F.coalesce("distrust", none)
+    host_verdict = F.when(distrust > threshold * trust, "block").otherwise("allow")
     return urls.join(judged, urls["host"] == F.col("jh"), "left").select(
         "id", "host", "path", F.col("hit.rule").alias("rule"),
-        F.coalesce(F.col("hit.verdict"), host_verdict).alias("verdict"), "trust", "distrust")
+        F.coalesce(F.col("hit.verdict"), host_verdict).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
