@@ -44,8 +44,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of each document, so that sources come to their target shares of words."""
-    return mixing.mix(docs).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", "taken")
+    """The mix: documents with the number of copies that brings sources to their target shares of words.
+
+    Documents of which the mix takes no copy go.  Rows carry the columns of ``documents`` and ``size, source_size,
+    target, copies, taken`` (with ``mix_`` before a name that ``documents`` has itself).
+    """
+    own = {c.lower() for c in docs.columns}
+    facts = [F.col(c).alias("mix_" + c if c in own else c) for c in ("size", "source_size", "target", "copies", "taken")]
+    return mixing.mix(docs, keep=docs.columns).where("copies > 0").select("kept.*", *facts)
 
 
 STAGES = [
