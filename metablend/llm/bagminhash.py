@@ -18,7 +18,9 @@ one.  What is still apart after ``ROUNDS`` leaders is compared between component
 in 30,000 times).  Classes are the components.
 
 Scale: passes over the texts are narrow; a task emits a node once, however many copies it
-holds; what is shuffled are bands, and the shingles of nodes that share a bucket.
+holds; what is shuffled are bands, and the shingles of nodes that share a bucket.  Tasks know those from a
+bitmap of ``2**WANTED_BITS`` bits over hashes of nodes, so the shingles of all others are never shuffled;
+a join drops the few that only share a bit.
 
 Edge cases: null texts read as empty; texts without words are copies if their bytes are equal, and near no
 other text; null ids are members of classes, and a class of null ids only has a null class id; rows that
@@ -48,6 +50,7 @@ FINE_REGISTERS = 640
 POINTS_AT_ONCE = 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+WANTED_BITS = 27  # log2 of the bits of the filter of nodes that share a bucket (16 MB, whatever the input)
 CODE_BYTES = 5  # bytes of a shingle code kept for the overlap
 
 
@@ -199,20 +202,41 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "th bigint, node binary, bands array<bigint>").fields]))
 
 
-def node_shingles(docs: DataFrame, text_col: str) -> DataFrame:
-    """``node, codes``: the shingle multiset (occurrences told apart) as sorted 5-byte codes; once per task and node."""
+def _bit_of(keys: np.ndarray) -> np.ndarray:
+    """Place of each node in the bitmap: the first ``WANTED_BITS`` bits of its key."""
+    return (np.ascontiguousarray(keys).view(">u4")[:, 0] >> np.uint32(32 - WANTED_BITS)).astype(np.int64)
+
+
+def wanted_bitmap(wanted: DataFrame) -> np.ndarray:
+    """Bitmap of the nodes in ``wanted``, made in Spark; at most 2**WANTED_BITS / 32768 rows of 4 KB come back."""
+    place = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long"), 32 - WANTED_BITS)
+    parts = wanted.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("block")).agg(
+        F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
+    out = np.zeros(1 << WANTED_BITS - 3, np.uint8)
+    for r in parts.toLocalIterator():
+        out[r["block"] * 4096:(r["block"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def node_shingles(docs: DataFrame, text_col: str, bitmap) -> DataFrame:
+    """``node, codes`` of the nodes in the broadcast ``bitmap``: the shingle multiset (occurrences told apart) as
+    sorted 5-byte codes; once per task and node."""
     rows = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for part in word_slices(batch.column(0)):
+                keys = node_keys(part)
+                at = _bit_of(keys)
+                asked = np.flatnonzero(bitmap.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                if not len(asked):
+                    continue
                 row, code, count = shingles(part)
-                nodes = [x.tobytes() for x in node_keys(part)]
                 bounds = np.searchsorted(row, np.arange(part.n_rows + 1))
                 keep, codes = [], []
-                for k, node in enumerate(nodes):
-                    a, b = bounds[k], bounds[k + 1]
+                for k in asked:
+                    a, b, node = bounds[k], bounds[k + 1], keys[k].tobytes()
                     if a == b or node in seen:
                         continue
                     seen.add(node)
@@ -301,10 +325,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = stored(members.groupBy("node").agg(F.sum("n").alias("met")), "bucket-nodes")
     members = members.join(wanted.withColumnRenamed("node", "in"), members["node"] == F.col("in")).select(
         "band", "key", "node", F.col("node").alias("comp"), "met")
-    codes = node_shingles(docs, text_col)
+    bitmap = docs.sparkSession.sparkContext.broadcast(wanted_bitmap(wanted))
+    codes = node_shingles(docs, text_col, bitmap)
     wn = wanted.select(F.col("node").alias("wn"))
     codes = stored(codes.join(wn, codes["node"] == F.col("wn")).groupBy("node")
                    .agg(F.first("codes").alias("codes")), "shingle-codes")
+    bitmap.unpersist()  # not destroyed: a lost executor may ask for it again
     labels = wn.select(F.col("wn").alias("node"), F.col("wn").alias("comp"))
     for r in range(rounds + 1):
         mark = F.struct("met", "node", "comp")

@@ -186,6 +186,15 @@ def test_near_classes_match_all_pairs(spark, small_docs):
     assert got == B.near_classes(docs)
 
 
+def test_bitmap_holds_the_wanted_nodes_and_few_others(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, (4000, 2)).astype(np.uint64)
+    bitmap = bagminhash.wanted_bitmap(spark.createDataFrame([(bytearray(k.tobytes()),) for k in keys[:2000]], "node binary"))
+    at = bagminhash._bit_of(keys)
+    held = bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1
+    assert held[:2000].all() and held[2000:].sum() <= 2 and int(np.unpackbits(bitmap).sum()) <= 2000
+
+
 def test_near_classes_chain_without_common_leader(spark):
     """A family in which links form a chain: all in one class though few pairs are links."""
     rng = random.Random(2)
