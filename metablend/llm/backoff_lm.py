@@ -187,7 +187,10 @@ def block_scores(h: np.ndarray, lens: np.ndarray, totals: dict[int, np.ndarray],
     for n, (g, at) in enumerate(grams(h, lens), 1):
         c = np.zeros(len(h))
         if len(g):
-            c[at] = totals.pop(n)[np.searchsorted(np.unique(g), g)]
+            order = np.argsort(g)                        # one sort: the rank of a place's n-gram is the n-grams begun before it
+            begins = g[order]
+            begins = np.concatenate([[False], begins[1:] != begins[:-1]])
+            c[at[order]] = totals.pop(n)[np.cumsum(begins)]
         count[n] = c
     place = np.arange(len(h)) - np.repeat(np.cumsum(lens) - lens, lens)
     before1 = np.concatenate([[1.0], count[1][:-1]]) if len(h) else count[1]
