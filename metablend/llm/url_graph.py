@@ -87,16 +87,20 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toler
     arrived mass (``fresh``) along the edges and adds it up in ``score``; what reaches a host without outgoing
     edges stays counted there and goes no further.  Mass shrinks by ``damping`` a step, so the steps end.
     """
-    # a step of a small graph is a few tasks, not one per shuffle partition
     tasks = 1 + edges.count() // EDGES_PER_TASK
+
+    def settled(df: DataFrame) -> DataFrame:
+        """A graph of one task's size stays in one partition, so its steps need no exchange."""
+        return df.coalesce(1) if tasks == 1 else df
+
     out = edges.groupBy("graph", "src").agg(F.sum("w").alias("out_w"))
     moves = edges.join(out, ["graph", "src"]).select("graph", "src", "dst", (F.col("w") / F.col("out_w") * damping).alias("p"))
     ends = edges.select("graph", "src").union(edges.select("graph", "dst")).union(seeds.select("graph", "host")).distinct()
     # a row without a share keeps the host's own score
     stay = ends.select("graph", "src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("p"))
-    moves = checkpointed(moves.union(stay).coalesce(tasks))
+    moves = settled(checkpointed(moves.union(stay).coalesce(tasks)))
     begun = F.col("seed") * (1 - damping)
-    state = seeds.select(F.col("graph").alias("g"), "host", begun.alias("fresh"), begun.alias("score"))
+    state = settled(seeds.select(F.col("graph").alias("g"), "host", begun.alias("fresh"), begun.alias("score")))
     while True:
         for _ in range(STEPS_PER_CHECK):
             share = F.col("fresh") * F.col("p")
@@ -104,7 +108,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toler
                 "g", F.col("dst").alias("to"), F.coalesce(share, F.lit(0.0)).alias("fresh"),
                 F.coalesce(share, F.col("score")).alias("score")).groupBy("g", "to").agg(
                 F.sum("fresh").alias("fresh"), F.sum("score").alias("score")).withColumnRenamed("to", "host")
-        state = checkpointed(state.coalesce(tasks))
+        state = settled(checkpointed(state.coalesce(tasks)))
         under_way = state.groupBy("g").agg((F.sum("fresh") * damping / (1 - damping)).alias("m")).agg(F.max("m")).first()[0]
         if under_way is None or under_way <= tolerance:
             return state.select(F.col("g").alias("graph"), "host", "score")
