@@ -90,9 +90,13 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toler
     tasks = 1 + edges.count() // EDGES_PER_TASK
 
     def settled(df: DataFrame) -> DataFrame:
-        """A graph of one task's size stays in one partition, so its steps need no exchange."""
+        """A graph of one task's size stays in one partition."""
         return df.coalesce(1) if tasks == 1 else df
 
+    def joined(df: DataFrame) -> DataFrame:
+        """Its steps need no exchange then, but Spark must be told: it does not know the size of a checkpoint."""
+        return F.broadcast(df) if tasks == 1 else df
+
     out = edges.groupBy("graph", "src").agg(F.sum("w").alias("out_w"))
     moves = edges.join(out, ["graph", "src"]).select("graph", "src", "dst", (F.col("w") / F.col("out_w") * damping).alias("p"))
     ends = edges.select("graph", "src").union(edges.select("graph", "dst")).union(seeds.select("graph", "host")).distinct()
@@ -104,7 +108,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toler
     while True:
         for _ in range(STEPS_PER_CHECK):
             share = F.col("fresh") * F.col("p")
-            state = state.join(moves, (F.col("g") == F.col("graph")) & (F.col("host") == F.col("src"))).select(
+            state = state.join(joined(moves), (F.col("g") == F.col("graph")) & (F.col("host") == F.col("src"))).select(
                 "g", F.col("dst").alias("to"), F.coalesce(share, F.lit(0.0)).alias("fresh"),
                 F.coalesce(share, F.col("score")).alias("score")).groupBy("g", "to").agg(
                 F.sum("fresh").alias("fresh"), F.sum("score").alias("score")).withColumnRenamed("to", "host")

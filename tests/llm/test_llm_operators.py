@@ -14,7 +14,7 @@ import brute as B  # noqa: E402
 
 from metablend.llm import (backoff_lm, bagminhash, decontaminate, exact_dedup, line_chunks, mixing,  # noqa: E402
                            prefix_tokens, toxicity, url_graph, warc, words)
-from metablend.llm.common import work_path  # noqa: E402
+from metablend.llm.common import checkpointed, work_path  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 CLASH = ("doc_id bigint, text string, source string, lang string, n_chars bigint, id string, node string, bands int, "
@@ -459,6 +459,28 @@ def test_contamination_of_odd_rows(spark, odd, nothing):
 
 
 # --- op9 --------------------------------------------------------------------------------
+def test_small_graphs_need_no_exchange_a_step(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpointed(df)
+
+    edges = checkpointed(spark.createDataFrame(
+        [(g, a, b, 1.0) for g in ("trust", "distrust") for a, b in (("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"))],
+        "graph string, src string, dst string, w double"))
+    seeds = checkpointed(spark.createDataFrame([("trust", "a", 1.0), ("distrust", "d", 1.0)], "graph string, host string, seed double"))
+    monkeypatch.setattr(url_graph, "checkpointed", seen)
+    together = {(r.graph, r.host): r.score for r in url_graph.pagerank(edges, seeds).collect()}
+    steps = plans[1:]  # the first makes the table of moves
+    assert steps and not any("Exchange hashpartitioning" in p for p in steps)
+    plans.clear()
+    monkeypatch.setattr(url_graph, "EDGES_PER_TASK", 3)
+    apart = {(r.graph, r.host): r.score for r in url_graph.pagerank(edges, seeds).collect()}
+    assert any("Exchange hashpartitioning" in p for p in plans[1:])
+    assert together == pytest.approx(apart)
+
+
 def test_url_graph(spark):
     link = lambda h: f'<a href="https://{h}/x?y">t</a> <img src=//img.net/i> <a href="/local">'
     rows = [(1, "http://a.org/x", link("b.net") * 2), (2, "https://B.net/y?q=1#z", link("spam.net")), (3, "http://spam.net", link("bad.com")),
