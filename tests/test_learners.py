@@ -89,3 +89,14 @@ def test_chunked_grid_equals_single_run(spark, prep):
     assert len(one) == len(chunked) == 4
     for a, b in zip(one, chunked):
         assert a == pytest.approx(b)
+
+
+def test_tree_values_are_made_once_for_all_models(spark):
+    from metablend.operators.learners import _model_sums
+    values = spark.range(3).select("id", F.array(*[F.col("id") + i for i in range(6)]).alias("x")).withColumn(
+        "_lv", F.transform("x", lambda x: F.sqrt(x.cast("double"))))
+    out = values.select("id", _model_sums("_lv", 3, 2, 2).alias("s"))
+    # a plan with one projection would make the values inside the sums, once per model
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Project [") == 2
+    for r in out.collect():
+        assert r["s"] == pytest.approx([(r["id"] + 2 * m) ** 0.5 + (r["id"] + 2 * m + 1) ** 0.5 for m in range(3)])
