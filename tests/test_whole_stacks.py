@@ -11,6 +11,7 @@ from metablend.plans.model_queries import FULL, MODEL_QUERIES
 WHOLE = {
     "stack_newton": "newton",
     "stack_hist": "hist",
+    "stack_external_newton": "newton",
 }
 
 
